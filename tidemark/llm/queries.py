@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import topk, toxicity, urlfilter
+from tidemark.llm import packing, topk, toxicity, urlfilter
 from tidemark.llm.common import table
 
 #: Labels of doc_ids with this crc32 remainder (mod 4) are held out of training.
@@ -24,6 +24,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     model = urlfilter.train(urlfilter.labelled_by_rules(pages))
@@ -49,5 +53,5 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 ) WHERE rank <= 20
 """
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op6_url_filter": op6_url_filter, "op8_top_k": op8_top_k}
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_packing": op3_packing, "op6_url_filter": op6_url_filter, "op8_top_k": op8_top_k}
 SQL = {"op8_top_k": OP8_SQL}

@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 SAMPLE_ROWS = 20_000
 #: Features the model keeps, by their chi-square on the sample.
 KEPT_FEATURES = 4096
-#: A feature must occur in so many sampled texts.
+#: A feature must occur in so many sampled texts, and have this chi-square (one in a thousand by chance) at least.
 LEAST_TEXTS = 3
+LEAST_CHI_SQUARE = 10.83
 THRESHOLD = 0.3
 PENALTY = 1.0
 
@@ -89,7 +90,7 @@ class ToxicityModel:
 
 
 def _descend(rows: list[tuple[int, list[int], list[int]]], n: int, penalty: float, l2: float, rounds: int) -> tuple[np.ndarray, float]:
-    """Minimise mean log loss + penalty * mean squared counterfactual change + l2, by AdaGrad over full batches."""
+    """Minimise mean log loss + penalty * mean squared counterfactual change + (l2 / rows) * weights, by AdaGrad over full batches."""
     y = np.array([r[0] for r in rows], dtype=float)
     row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
     column = np.fromiter((i for r in rows for i in r[1]), dtype=np.int64)
@@ -102,7 +103,7 @@ def _descend(rows: list[tuple[int, list[int], list[int]]], n: int, penalty: floa
     for k in range(rounds):
         z = b + np.bincount(row, w[column], minlength=len(rows))
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        slope = np.bincount(column, error[row], minlength=n) + l2 * w
+        slope = np.bincount(column, error[row], minlength=n) + l2 / len(y) * w
         if len(c_row):
             moved = np.bincount(c_row, c_sign * w[c_col], minlength=len(rows)) / len(y)
             slope += 2 * penalty * np.bincount(c_col, c_sign * moved[c_row], minlength=n)
@@ -115,7 +116,7 @@ def _descend(rows: list[tuple[int, list[int], list[int]]], n: int, penalty: floa
 
 def fit(
     documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, kept: int = KEPT_FEATURES, penalty: float = PENALTY,
-    groups=IDENTITY_GROUPS, l2: float = 1e-5, rounds: int = 150,
+    groups=IDENTITY_GROUPS, l2: float = 0.1, rounds: int = 150,
 ) -> ToxicityModel:
     """Fit on labelled rows (doc_id, toxic). Feature counts and active features are found by the executors."""
     sample = (
@@ -157,7 +158,7 @@ def fit(
         return ToxicityModel(bias=20.0 if n_pos else -20.0)
     a, b, n = F.col("pos").cast("double"), F.col("neg").cast("double"), float(n_pos + n_neg)
     chi = n * F.pow(a * (n_neg - b) - b * (n_pos - a), 2) / F.greatest((a + b) * (n - a - b) * n_pos * n_neg, F.lit(1e-9))
-    best = counted.where(F.col("feature") != "").select("feature", chi.alias("chi")).orderBy(F.desc("chi"), "feature").limit(kept)
+    best = counted.where((F.col("feature") != "") & (chi >= LEAST_CHI_SQUARE)).select("feature", chi.alias("chi")).orderBy(F.desc("chi"), "feature").limit(kept)
     index = {r.feature: i for i, r in enumerate(best.collect())}
     model = ToxicityModel(index, np.zeros(len(index)))
 
