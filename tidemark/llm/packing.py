@@ -4,7 +4,8 @@
    plus one remainder; each piece gets its position among the pieces of its length within its partition.
 2. The histogram of piece lengths (at most ``capacity`` rows) goes to the driver.  A linear program over packing
    patterns is solved by column generation: a knapsack dynamic programme over the dual values prices new
-   patterns.  Patterns are rounded down; what is left of the histogram is packed first-fit decreasing.
+   patterns.  Patterns are rounded; pieces that no nearly full pattern takes are laid end to end and cut
+   where a sequence ends, at most once a sequence.
 3. Patterns are laid over ranks: the pieces of a length, ranked by partition counts, fall into consecutive runs
    of pattern slots.  The slot table has a bounded number of rows and is broadcast; sequence id and offset
    are arithmetic on the rank, so no piece is ever grouped with others.
@@ -30,9 +31,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import written
 
 CAPACITY = 1024
-#: Column generation stops when the lower bound is this near, or after so many rounds.
-GAP, ROUNDS = 0.001, 400
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, local long"
+#: What cutting a piece adds to its share of a sequence, in the linear program; and the most simplex pivots.
+CUT_COST, PIVOTS = 0.02, 300
+PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, local long, ids array<int>"
 
 
 class Encoder:
@@ -70,15 +72,15 @@ def tokenised(documents: DataFrame, tokenizer: str, ranks: str, capacity: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(tokenizer, ranks)
         part, seen = TaskContext.get().partitionId(), Counter()
-        kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64()]
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "local"]
+        kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64(), pa.list_(pa.int32())]
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "local", "ids"]
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 tokens = np.array([*encode(text or ""), end_id], dtype="<u4")
                 for start in range(0, len(tokens), capacity):
                     piece = tokens[start : start + capacity]
-                    rows.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(tokens), part, seen[len(piece)]))
+                    rows.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(tokens), part, seen[len(piece)], piece.view("<i4") if len(piece) < capacity else None))
                     seen[len(piece)] += 1
             columns = zip(*rows, strict=True) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_pydict({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)})
@@ -86,35 +88,94 @@ def tokenised(documents: DataFrame, tokenizer: str, ranks: str, capacity: int =
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
 
-def best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
-    """Unbounded knapsack: the multiset of sizes (by index) that fits ``capacity`` with the highest value."""
+def _cut_at(capacity: int):
+    """Cut in two each piece that runs over the end of its sequence; the second part opens the next one."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        for batch in batches:
+            frame = pa.Table.from_batches([batch])
+            over = np.flatnonzero(frame["offset"].to_numpy() + frame["length"].to_numpy() > capacity)
+            kept = np.ones(batch.num_rows, dtype=bool)
+            kept[over] = False
+            yield from frame.select(names).filter(pa.array(kept)).combine_chunks().to_batches()
+            rows = []
+            for r in frame.take(pa.array(over)).to_pylist():
+                tokens, room = np.array(r["ids"], dtype="<u4"), capacity - r["offset"]
+                for part, start, sequence, offset in ((tokens[:room], 0, 0, r["offset"]), (tokens[room:], room, 1, 0)):
+                    rows.append((r["doc_id"], r["start"] + start, len(part), zlib.crc32(part.tobytes()), r["doc_tokens"], r["sequence_id"] + sequence, offset))
+            if rows:
+                yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(names, zip(*rows, strict=True), strict=True)})
+
+    return cut
+
+
+def best_patterns(values: np.ndarray, sizes: np.ndarray, capacity: int, most: int = 48) -> list[dict[int, int]]:
+    """Unbounded knapsack: for each size the most valuable multiset of sizes (by index) that holds it and
+    fits ``capacity``; the best ``most`` of these, the overall best first."""
     worth = np.zeros(capacity + 1)
     choice = np.full(capacity + 1, -1)
     useful = np.flatnonzero(values > 1e-12)
     sizes_u, values_u = sizes[useful], values[useful]
+    ends = np.searchsorted(sizes_u, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
-        worth[c], choice[c] = worth[c - 1], -2
-        n = np.searchsorted(sizes_u, c, side="right")
-        if n:
+        worth[c] = worth[c - 1]
+        if n := ends[c]:
             total = worth[c - sizes_u[:n]] + values_u[:n]
-            k = int(total.argmax())
+            k = total.argmax()
             if total[k] > worth[c] + 1e-12:
                 worth[c], choice[c] = total[k], k
-    pattern, c = Counter(), capacity
-    while c > 0:
-        if choice[c] == -2:
-            c -= 1
-        else:
-            pattern[int(useful[choice[c]])] += 1
-            c -= int(sizes_u[choice[c]])
-    return float(worth[capacity]), dict(pattern)
+    with_each = values_u + worth[capacity - sizes_u]
+    found = {}
+    for first in np.argsort(-with_each, kind="stable")[:most]:
+        pattern, c = Counter({int(useful[first]): 1}), capacity - int(sizes_u[first])
+        while c > 0:
+            if choice[c] < 0:
+                c -= 1
+            else:
+                pattern[int(useful[choice[c]])] += 1
+                c -= int(sizes_u[choice[c]])
+        found.setdefault(tuple(sorted(pattern.items())), dict(pattern))
+    return list(found.values())
+
 
+def _greedy(sizes: np.ndarray, demand: np.ndarray, apart: np.ndarray, capacity: int) -> tuple[list[dict[int, int] | None], np.ndarray]:
+    """A first basis: for each size the pattern, longest pieces first, that used it up, or None where it is cut.
+
+    Each pattern uses up one size that later patterns lack, so the columns are triangular and independent.
+    """
+    left, columns, amounts = demand.astype(np.int64), [None] * len(sizes), np.zeros(len(sizes))
+    while (open_sizes := np.flatnonzero(left)).size:
+        pattern, room = {}, capacity
+        for i in open_sizes[::-1]:
+            if k := min(int(room // sizes[i]), int(left[i])):
+                pattern[int(i)] = k
+                room -= k * int(sizes[i])
+        times = min(int(left[i]) // k for i, k in pattern.items())
+        last = next(i for i, k in pattern.items() if int(left[i]) // k == times)
+        if sum(apart[i] * k for i, k in pattern.items()) < 1:  # too empty: its longest pieces are cut
+            last = next(iter(pattern))
+            amounts[last], left[last] = left[last], 0
+            continue
+        for i, k in pattern.items():
+            left[i] -= k * times
+        if left[last]:  # a rest too small for the pattern
+            rest, left[last] = left[last], 0
+            times += rest / pattern[last]
+            for i, k in pattern.items():
+                if i != last:
+                    left[i] = max(0, left[i] - int(np.ceil(k * rest / pattern[last])))
+        columns[last], amounts[last] = pattern, times
+    return columns, amounts
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, gap: float = GAP, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """Patterns ({length: pieces}, how often) that hold every piece of ``histogram``.
 
-    The linear program is kept by revised simplex: the basis starts with one pattern per length, the
-    knapsack prices an entering pattern, the ratio test picks the leaving one.
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, cut_cost: float = CUT_COST, pivots_at_most: int = PIVOTS) -> list[tuple[dict[int, int], int]]:
+    """Whole-piece patterns ({length: pieces}, how often); the pieces that they leave are for cutting.
+
+    Revised simplex over the histogram's lengths.  A piece of length n left for cutting costs its share of
+    a sequence and ``cut_cost`` of that on top, so only patterns that are nearly full are worth a sequence.
+    A greedy packing gives the first basis; the knapsack prices entering patterns, the ratio test picks the
+    leaving column.
     """
     sizes = np.array(sorted(n for n, k in histogram.items() if k > 0 and n < capacity), dtype=np.int64)
     used: list[tuple[dict[int, int], int]] = []
@@ -123,53 +184,59 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, gap: float = GAP,
     if not len(sizes):
         return used
     demand = np.array([histogram[int(n)] for n in sizes], dtype=float)
-    patterns = [{i: int(capacity // n)} for i, n in enumerate(sizes)]
-    inverse = np.diag([1.0 / (capacity // n) for n in sizes])
-    amounts = inverse @ demand
-    for _ in range(rounds):
-        duals = inverse.sum(axis=0)  # every pattern costs one sequence
-        value, entering = best_pattern(np.maximum(duals, 0), sizes, capacity)
-        if value <= 1 + gap:  # Farley's bound: the optimum is no less than the present one over this value
-            break
-        column = inverse[:, list(entering)] @ np.array(list(entering.values()), dtype=float)
-        rising = column > 1e-9
-        if not rising.any():
+    apart = sizes * (1 + cut_cost) / capacity
+    columns, amounts = _greedy(sizes, demand, apart, capacity)
+    costs = np.array([1.0 if c else a for c, a in zip(columns, apart, strict=True)])
+    basis = np.eye(len(sizes))
+    for j, column in enumerate(columns):
+        if column:
+            basis[:, j] = 0
+            basis[list(column), j] = list(column.values())
+    inverse = np.linalg.inv(basis)
+    pivots = 0
+    while pivots < pivots_at_most:
+        duals = costs @ inverse
+        entering = [(1.0, p) for p in best_patterns(np.maximum(duals, 0), sizes, capacity)]
+        entering += [(apart[i], None, int(i)) for i in np.argsort(apart - duals)[:8]]  # back to cutting
+        before = pivots
+        for cost, pattern, *own in entering:
+            column = inverse[:, own[0]].copy() if own else inverse[:, list(pattern)] @ np.array(list(pattern.values()), dtype=float)
+            rising = column > 1e-9
+            if costs @ column - cost <= 1e-6 or not rising.any():
+                continue
+            ratio = np.where(rising, amounts / np.where(rising, column, 1), np.inf)
+            leaving = int(ratio.argmin())
+            step = ratio[leaving]
+            amounts = np.maximum(amounts - step * column, 0)
+            amounts[leaving] = step
+            pivot = inverse[leaving] / column[leaving]
+            touched = np.flatnonzero(column)
+            inverse[touched] -= np.outer(column[touched], pivot)
+            inverse[leaving] = pivot
+            costs[leaving], columns[leaving] = cost, pattern
+            pivots += 1
+        if pivots == before:
             break
-        ratio = np.where(rising, amounts / np.where(rising, column, 1), np.inf)
-        leaving = int(ratio.argmin())
-        step = ratio[leaving]
-        amounts = np.maximum(amounts - step * column, 0)
-        amounts[leaving] = step
-        pivot = inverse[leaving] / column[leaving]
-        inverse -= np.outer(column, pivot)
-        inverse[leaving] = pivot
-        patterns[leaving] = entering
     left = {int(n): int(d) for n, d in zip(sizes, demand, strict=True)}
-    for pattern, amount in sorted(zip(patterns, amounts, strict=True), key=lambda x: -x[1]):
-        held = {int(sizes[i]): k for i, k in pattern.items()}
-        times = min([int(amount + 1e-6), *(left[n] // k for n, k in held.items())])
-        if times > 0:
-            used.append((held, times))
-            for n, k in held.items():
-                left[n] -= times * k
-    return used + first_fit(left, capacity)
-
-
-def first_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Pack what rounding left, longest pieces first, each into the fullest sequence that has room."""
-    room: list[list[Counter]] = [[] for _ in range(capacity + 1)]
-    for n in sorted(left, reverse=True):
-        for _ in range(left[n]):
-            free = next((r for r in range(n, capacity + 1) if room[r]), None)
-            held = room[free].pop() if free is not None else Counter()
-            held[n] += 1
-            room[(free if free is not None else capacity) - n].append(held)
-    alike = Counter(tuple(sorted(h.items())) for own in room for h in own)
-    return [(dict(h), times) for h, times in alike.items()]
-
-
-def slots(used: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int, int]]:
-    """(length, first rank, end rank, pieces per sequence, first sequence id, first offset) of each pattern's runs."""
+    chosen = [({int(sizes[i]): k for i, k in c.items()}, float(x)) for c, x in zip(columns, amounts, strict=True) if c]
+    times = Counter()
+    order = sorted(range(len(chosen)), key=lambda j: -(chosen[j][1] % 1))
+    for up in (0, 1):  # rounded down, then one more of each that still finds its pieces
+        for j in order:
+            pattern, amount = chosen[j]
+            n = min([1 if up else int(amount + 1e-6), *(left[m] // k for m, k in pattern.items())])
+            times[j] += n
+            for m, k in pattern.items():
+                left[m] -= n * k
+    return used + [(chosen[j][0], n) for j, n in sorted(times.items()) if n]
+
+
+def slots(used: list[tuple[dict[int, int], int]], histogram: dict[int, int]) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, first rank, end rank, pieces per sequence, first sequence id, first offset) of each run of ranks.
+
+    The last run of a length, with 0 pieces per sequence, is left for cutting: there the sequence id is that
+    of the first of those sequences and the offset counts from its start.
+    """
     ranks, first, out = Counter(), 0, []
     for pattern, times in used:
         offset = 0
@@ -178,6 +245,11 @@ def slots(used: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, i
             ranks[n] += k * times
             offset += n * k
         first += times
+    offset = 0
+    for n in sorted(histogram, reverse=True):
+        if more := histogram[n] - ranks[n]:
+            out.append((n, ranks[n], histogram[n], 0, first, offset))
+            offset += n * more
     return out
 
 
@@ -189,18 +261,21 @@ def pack(documents: DataFrame, tokenizer: str | None = None, ranks: str | None =
     # A row for each length and partition: the ranks before a partition are a sum over the earlier ones.
     before = counts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    # For each length its runs by first rank: as arrays in one row a length, found by binary position.
+    # The runs of a length in one row: at most a few for each of the ``capacity`` lengths.
     runs = spark.createDataFrame(
-        slots(solve(histogram, capacity)) or [(0, 0, 0, 1, 0, 0)],
+        slots(solve(histogram, capacity), histogram) or [(0, 0, 0, 1, 0, 0)],
         "length long, low long, high long, per long, first long, base long",
     ).groupBy("length").agg(F.sort_array(F.collect_list(F.struct("low", "high", "per", "first", "base"))).alias("runs"))
     ranked = pieces.join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("local"))
     placed = ranked.join(F.broadcast(runs), "length").withColumn(
         "run", F.filter("runs", lambda r: (r.low <= F.col("rank")) & (F.col("rank") < r.high))[0]
     )
-    step = F.col("rank") - F.col("run.low")
-    return placed.select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens",
-        (F.col("run.first") + F.floor(step / F.col("run.per"))).alias("sequence_id"),
-        (F.col("run.base") + (step % F.col("run.per")) * F.col("length")).alias("offset"),
+    step, per, base = F.col("rank") - F.col("run.low"), F.col("run.per"), F.col("run.base")
+    at = base + step * F.col("length")  # of a piece left for cutting, from the start of its first sequence
+    whole = per > 0
+    placed = placed.select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids",
+        (F.col("run.first") + F.when(whole, F.floor(step / per)).otherwise(F.floor(at / capacity))).alias("sequence_id"),
+        F.when(whole, base + (step % per) * F.col("length")).otherwise(at % capacity).alias("offset"),
     )
+    return placed.mapInArrow(_cut_at(capacity), PACKED)
