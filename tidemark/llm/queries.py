@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, simhash, topk, toxicity, urlfilter
+from tidemark.llm import packing, simhash, suffixes, topk, toxicity, urlfilter
 from tidemark.llm.common import table
 
 #: Labels of doc_ids with this crc32 remainder (mod 4) are held out of training.
@@ -28,6 +28,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -57,5 +61,5 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 ) WHERE rank <= 20
 """
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_packing": op3_packing, "op5_simhash": op5_simhash, "op6_url_filter": op6_url_filter, "op8_top_k": op8_top_k}
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_packing": op3_packing, "op4_suffix_array": op4_suffix_array, "op5_simhash": op5_simhash, "op6_url_filter": op6_url_filter, "op8_top_k": op8_top_k}
 SQL = {"op8_top_k": OP8_SQL}
