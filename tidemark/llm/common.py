@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +62,21 @@ def is_finite_vector(column):
         F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))),
         F.lit(False),
     )
+
+
+def joined_labels(n: int, a: np.ndarray, b: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
+    """Labels of 0..n-1: the least index joined by the pairs, going on from ``labels``."""
+    labels = np.arange(n) if labels is None else labels.copy()
+    while len(a):
+        la, lb = labels[a], labels[b]
+        differ = la != lb
+        if not differ.any():
+            break
+        a, b, la, lb = a[differ], b[differ], la[differ], lb[differ]
+        np.minimum.at(labels, np.maximum(la, lb), np.minimum(la, lb))
+        while True:
+            jumped = labels[labels]
+            if np.array_equal(jumped, labels):
+                break
+            labels = jumped
+    return labels

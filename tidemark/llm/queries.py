@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, simhash, suffixes, topk, toxicity, urlfilter
+from tidemark.llm import capfilters, packing, simhash, suffixes, topk, toxicity, urlfilter
 from tidemark.llm.common import table
 
 #: Labels of doc_ids with this crc32 remainder (mod 4) are held out of training.
@@ -42,6 +42,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, model)
 
 
+def op7_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilters.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantise(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors.where(F.col("id") % 20 == 0), vectors, k=20)
@@ -61,5 +65,5 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 ) WHERE rank <= 20
 """
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_packing": op3_packing, "op4_suffix_array": op4_suffix_array, "op5_simhash": op5_simhash, "op6_url_filter": op6_url_filter, "op8_top_k": op8_top_k}
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_packing": op3_packing, "op4_suffix_array": op4_suffix_array, "op5_simhash": op5_simhash, "op6_url_filter": op6_url_filter, "op7_embedding_near_duplicates": op7_embedding_near_duplicates, "op8_top_k": op8_top_k}
 SQL = {"op8_top_k": OP8_SQL}

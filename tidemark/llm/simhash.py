@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import joined_labels, written
 from tidemark.llm.components import components
 
 BUDGET = 3
@@ -77,29 +77,11 @@ def _again(path, s: int):
     return top.bitwiseOR(turned)
 
 
-def _components(n: int, a: np.ndarray, b: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
-    """Labels of 0..n-1: the least index joined by the pairs, going on from ``labels``."""
-    labels = np.arange(n) if labels is None else labels.copy()
-    while len(a):
-        la, lb = labels[a], labels[b]
-        differ = la != lb
-        if not differ.any():
-            break
-        a, b, la, lb = a[differ], b[differ], la[differ], lb[differ]
-        np.minimum.at(labels, np.maximum(la, lb), np.minimum(la, lb))
-        while True:
-            jumped = labels[labels]
-            if np.array_equal(jumped, labels):
-                break
-            labels = jumped
-    return labels
-
-
 def self_join(path: np.ndarray, group: np.ndarray, top: int, budget: int = BUDGET) -> np.ndarray:
     """Component labels among sorted distinct ``path`` (uint64) of each ``group``; groups share their ``top`` first bits."""
     n = len(path)
     near = np.flatnonzero((group[1:] == group[:-1]) & (np.bitwise_count(path[1:] ^ path[:-1]) <= budget))
-    labels = _components(n, near, near + 1)
+    labels = joined_labels(n, near, near + 1)
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if n else np.zeros(0, dtype=np.int64)
     ends = np.r_[starts[1:], n]
     many = ends - starts > 1
@@ -122,7 +104,7 @@ def self_join(path: np.ndarray, group: np.ndarray, top: int, budget: int = BUDGE
             width = (bh - bl)[which]
             i, j = al[which] + k // width, bl[which] + k % width
             linked = (i < j) & (np.bitwise_count(path[i] ^ path[j]) <= budget)
-            labels = _components(n, i[linked], j[linked], labels)
+            labels = joined_labels(n, i[linked], j[linked], labels)
             al, ah, bl, bh, diff = al[~small], ah[~small], bl[~small], bh[~small], diff[~small]
         if not len(al):
             break
