@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import capfilters, packing, simhash, suffixes, topk, toxicity, urlfilter
+from tidemark.llm import capfilters, mixing, packing, simhash, suffixes, topk, toxicity, urlfilter, warc
 from tidemark.llm.common import table
 
 #: Labels of doc_ids with this crc32 remainder (mod 4) are held out of training.
@@ -51,6 +51,31 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where(F.col("id") % 20 == 0), vectors, k=20)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slot and place of every document in a mix by square-root smoothed weights."""
+    placed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return placed.select("doc_id", "source", F.col("_slot").alias("slot"), F.col("_place").alias("place"))
+
+
+OP9_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), d AS (
+  SELECT page_id, octet_length(payload) AS n, sha256(payload) AS digest FROM p
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY digest, n) AS first FROM d
+)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
+FROM f
+"""
+
 OP8_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS t
@@ -65,5 +90,15 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 ) WHERE rank <= 20
 """
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_packing": op3_packing, "op4_suffix_array": op4_suffix_array, "op5_simhash": op5_simhash, "op6_url_filter": op6_url_filter, "op7_embedding_near_duplicates": op7_embedding_near_duplicates, "op8_top_k": op8_top_k}
-SQL = {"op8_top_k": OP8_SQL}
+QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op3_packing": op3_packing,
+    "op4_suffix_array": op4_suffix_array,
+    "op5_simhash": op5_simhash,
+    "op6_url_filter": op6_url_filter,
+    "op7_embedding_near_duplicates": op7_embedding_near_duplicates,
+    "op8_top_k": op8_top_k,
+    "op9_warc": op9_warc,
+    "op10_mixing": op10_mixing,
+}
+SQL = {"op8_top_k": OP8_SQL, "op9_warc": OP9_SQL}
