@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import capfilters, mixing, packing, simhash, suffixes, topk, toxicity, urlfilter, warc
+from tidemark.llm import capfilters, mixing, packing, quality, simhash, suffixes, topk, toxicity, urlfilter, warc
 from tidemark.llm.common import table
 
 #: Labels of doc_ids with this crc32 remainder (mod 4) are held out of training.
@@ -16,6 +16,12 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == HELD_OUT
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    model = quality.fit(documents, table(spark, sf_dir, "labels").where(~held_out()))
+    return quality.score(documents, model)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(~held_out())
@@ -90,7 +96,14 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 ) WHERE rank <= 20
 """
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_suffix_array": op4_suffix_array,
@@ -100,5 +113,6 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
+    "pipeline": pipeline,
 }
 SQL = {"op8_top_k": OP8_SQL, "op9_warc": OP9_SQL}
