@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a block; slots of a period (more when there are many sources); rows of a hash bucket.
-BLOCK_ROWS, PERIOD, BUCKET_ROWS = 8, 1024, 20_000
+BLOCK_ROWS, PERIOD, BUCKET_ROWS = 8, 1024, 1000
 #: Without target weights a source weighs its row count to this power.
 SMOOTHING = 0.5
 #: The counts and schedules of so many sources are a small table.
@@ -113,17 +113,20 @@ def mix(documents: DataFrame, weights: dict[str, float] | None = None, source: s
     if not counts:
         return documents.select("*", F.lit(0).cast("long").alias("_slot"), F.lit(0).cast("long").alias("_place"))
     runs = schedule({s: -(-n // block_rows) for s, n in counts.items()}, target_weights(counts, weights), period)
-    buckets = max(1, math.ceil(max(counts.values()) / BUCKET_ROWS))
-    hashed = documents.withColumn("_hash", F.xxhash64("doc_id", "text"))
-    hashed = hashed.withColumn("_bucket", F.pmod("_hash", F.lit(buckets)).cast("int"))
-    sizes = documents.select(F.col(source).alias("_source"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("_at")).groupBy("_source", "_at").count()
+    kind = documents.schema[source].dataType.simpleString()
+    # Every source has buckets by its own size, so a large one is many groups and a small one few rows of counts.
+    parts = F.broadcast(spark.createDataFrame([(s, -(-n // BUCKET_ROWS)) for s, n in counts.items()], f"_source {kind}, _buckets long"))
+    own = lambda df: df.join(parts, F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
+    bucket = F.pmod(F.xxhash64("doc_id", "text"), F.col("_buckets"))
+    hashed = own(documents).withColumn("_hash", F.xxhash64("doc_id", "text")).withColumn("_bucket", bucket).drop("_buckets")
+    sizes = own(documents.select("doc_id", "text", source)).groupBy(F.col(source).alias("_source"), bucket.alias("_at")).count()
     before = sizes.withColumn("_before", F.sum("count").over(Window.partitionBy("_source").orderBy("_at")) - F.col("count")).drop("count")
     order = Window.partitionBy(source, "_bucket").orderBy("_hash", "doc_id", "text")
     ranked = hashed.withColumn("_rank", F.row_number().over(order) - 1)
     ranked = ranked.join(before, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_at"))).drop("_source", "_at")
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before")).withColumn("_block", F.floor(F.col("_rank") / block_rows))
     # A row for each source: its runs, of which there are no more than sources; offsets add up to a period each.
-    table = spark.createDataFrame(runs, f"_source {documents.schema[source].dataType.simpleString()}, low long, high long, slot long, period long, offsets array<long>")
+    table = spark.createDataFrame(runs, f"_source {kind}, low long, high long, slot long, period long, offsets array<long>")
     table = table.groupBy("_source").agg(F.collect_list(F.struct("low", "high", "slot", "period", "offsets")).alias("_runs"))
     placed = ranked.join(F.broadcast(table), F.col(source).eqNullSafe(F.col("_source"))).withColumn(
         "_run", F.filter("_runs", lambda r: (r.low <= F.col("_block")) & (F.col("_block") < r.high))[0]
