@@ -135,7 +135,7 @@ def fit(
         def flush():
             for label in (0, 1):
                 names = list(seen[label])
-                yield pa.RecordBatch.from_pydict({"feature": names, "toxic": pa.array([label] * len(names), pa.int32()), "n": pa.array(list(seen[label].values()), pa.int64())})
+                yield pa.RecordBatch.from_pydict({"feature": pa.array(names, pa.string()), "toxic": pa.array([label] * len(names), pa.int32()), "n": pa.array(list(seen[label].values()), pa.int64())})
                 seen[label].clear()
 
         for batch in batches:
