@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import components, mixing, packing, simhash, suffixes
 from tidemark.llm.common import joined_labels
 
-EXTRA = ["part", "key", "fp", "spans", "_spans", "rank", "node"]
+EXTRA = ["part", "key", "fp", "spans", "_spans", "_text_key", "_row", "_hash", "_source", "_bucket", "_id", "_rows", "rank", "node"]
 
 
 def with_extra(df):
@@ -91,6 +91,7 @@ def test_index_family_keeps_levels_geometric():
 
 
 def test_cutting_keeps_columns_and_clean_texts(documents, corpus):
+    documents = with_extra(documents)
     out = suffixes.without_repeats(documents)
     assert out.columns == documents.columns and out.count() == len(corpus)
     clean = {d: t for d, t, *_ in corpus if t is not None and d is not None and len(t) < 100}
@@ -125,6 +126,7 @@ def test_fingerprints_and_classes(documents, corpus):
 
 
 def test_one_of_each_group_stays(documents, corpus):
+    documents = with_extra(documents)
     kept = simhash.one_of_each(documents)
     assert kept.columns == documents.columns
     ids = [r.doc_id for r in kept.collect()]
@@ -238,8 +240,8 @@ def test_mix(documents, corpus):
     rows = placed.select("doc_id", "source", "_slot", "_place").collect()
     assert sorted(map(str, (r.doc_id for r in rows))) == sorted(str(d[0]) for d in corpus)
     assert len({r._place for r in rows}) == len(rows) and all(r._place // 2 == r._slot for r in rows)
-    kept = mixing.mixed(documents, {"hot": 0.5, "absent": 0.1})
-    assert kept.columns == documents.columns and kept.count() == len(corpus)
+    kept = mixing.mixed(with_extra(documents), {"hot": 0.5, "absent": 0.1})
+    assert kept.columns == with_extra(documents).columns and kept.count() == len(corpus)
     again = {(r.doc_id, r._place) for r in mixing.mix(documents.repartition(3), block_rows=2, period=32).collect() if r.doc_id not in (None, 2, 31)}
     assert again == {(r.doc_id, r._place) for r in rows if r.doc_id not in (None, 2, 31)}
 

@@ -104,40 +104,40 @@ def target_weights(counts: dict[str | None, int], given: dict[str, float] | None
     return {s: given[s] if s in given else max(rest * n / others, 1e-9) for s, n in counts.items()}
 
 
-def mix(documents: DataFrame, weights: dict[str, float] | None = None, source: str = "source", block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
-    """``documents`` with _slot (of the row's block) and _place (in the whole mix: slot and row of the block)."""
+def _placed(documents: DataFrame, weights: dict[str, float] | None = None, source: str = "source", block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+    """(_row, _slot, _place): each row as it is, kept apart from the columns used here."""
     spark = documents.sparkSession
-    counts = {r[0]: r[1] for r in documents.groupBy(source).count().limit(MOST_SOURCES + 1).collect()}
+    kind = documents.schema[source].dataType.simpleString()
+    rows = documents.select(F.struct("*").alias("_row"), F.col(source).alias("_source"), F.xxhash64("doc_id", "text").alias("_hash"))
+    counts = {r[0]: r[1] for r in rows.groupBy("_source").count().limit(MOST_SOURCES + 1).collect()}
     if len(counts) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources: group them first")
-    if not counts:
-        return documents.select("*", F.lit(0).cast("long").alias("_slot"), F.lit(0).cast("long").alias("_place"))
     runs = schedule({s: -(-n // block_rows) for s, n in counts.items()}, target_weights(counts, weights), period)
-    kind = documents.schema[source].dataType.simpleString()
+    same_source = F.col("_source").eqNullSafe(F.col("_of"))
     # Every source has buckets by its own size, so a large one is many groups and a small one few rows of counts.
-    parts = F.broadcast(spark.createDataFrame([(s, -(-n // BUCKET_ROWS)) for s, n in counts.items()], f"_source {kind}, _buckets long"))
-    own = lambda df: df.join(parts, F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
-    bucket = F.pmod(F.xxhash64("doc_id", "text"), F.col("_buckets"))
-    hashed = own(documents).withColumn("_hash", F.xxhash64("doc_id", "text")).withColumn("_bucket", bucket).drop("_buckets")
-    sizes = own(documents.select("doc_id", "text", source)).groupBy(F.col(source).alias("_source"), bucket.alias("_at")).count()
-    before = sizes.withColumn("_before", F.sum("count").over(Window.partitionBy("_source").orderBy("_at")) - F.col("count")).drop("count")
-    order = Window.partitionBy(source, "_bucket").orderBy("_hash", "doc_id", "text")
-    ranked = hashed.withColumn("_rank", F.row_number().over(order) - 1)
-    ranked = ranked.join(before, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_at"))).drop("_source", "_at")
+    buckets = F.broadcast(spark.createDataFrame([(s, -(-n // BUCKET_ROWS)) for s, n in counts.items()], f"_of {kind}, _buckets long"))
+    dealt = rows.join(buckets, same_source).withColumn("_bucket", F.pmod("_hash", "_buckets")).drop("_of", "_buckets")
+    sizes = dealt.groupBy("_source", "_bucket").count()
+    earlier = F.sum("count").over(Window.partitionBy("_source").orderBy("_bucket")) - F.col("count")
+    before = sizes.select(F.col("_source").alias("_of"), F.col("_bucket").alias("_at"), earlier.alias("_before"))
+    order = Window.partitionBy("_source", "_bucket").orderBy("_hash", "_row.doc_id", "_row.text")
+    ranked = dealt.withColumn("_rank", F.row_number().over(order) - 1).join(before, same_source & (F.col("_bucket") == F.col("_at"))).drop("_of", "_at")
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before")).withColumn("_block", F.floor(F.col("_rank") / block_rows))
     # A row for each source: its runs, of which there are no more than sources; offsets add up to a period each.
-    table = spark.createDataFrame(runs, f"_source {kind}, low long, high long, slot long, period long, offsets array<long>")
-    table = table.groupBy("_source").agg(F.collect_list(F.struct("low", "high", "slot", "period", "offsets")).alias("_runs"))
-    placed = ranked.join(F.broadcast(table), F.col(source).eqNullSafe(F.col("_source"))).withColumn(
-        "_run", F.filter("_runs", lambda r: (r.low <= F.col("_block")) & (F.col("_block") < r.high))[0]
-    )
+    table = spark.createDataFrame(runs, f"_of {kind}, low long, high long, slot long, period long, offsets array<long>")
+    table = table.groupBy("_of").agg(F.collect_list(F.struct("low", "high", "slot", "period", "offsets")).alias("_runs"))
+    run = F.filter("_runs", lambda r: (r.low <= F.col("_block")) & (F.col("_block") < r.high))[0]
+    found = ranked.join(F.broadcast(table), same_source).withColumn("_run", run)
     step, size = F.col("_block") - F.col("_run.low"), F.size("_run.offsets")
     slot = F.col("_run.slot") + F.floor(step / size) * F.col("_run.period") + F.element_at("_run.offsets", (step % size + 1).cast("int"))
-    placed = placed.withColumn("_slot", slot).withColumn("_place", F.col("_slot") * block_rows + F.col("_rank") % block_rows)
-    return placed.select(*documents.columns, "_slot", "_place")
+    return found.select("_row", slot.alias("_slot"), (slot * block_rows + F.col("_rank") % block_rows).alias("_place"))
+
+
+def mix(documents: DataFrame, weights: dict[str, float] | None = None, **options) -> DataFrame:
+    """``documents`` with _slot (of the row's block) and _place (in the whole mix: slot and row of the block)."""
+    return _placed(documents, weights, **options).select("_row.*", "_slot", "_place")
 
 
 def mixed(documents: DataFrame, weights: dict[str, float] | None = None, **options) -> DataFrame:
     """The rows of ``documents``, all of them, in the order of the mix."""
-    placed = mix(documents, weights, **options)
-    return placed.repartitionByRange("_place").sortWithinPartitions("_place").select(*documents.columns)
+    return _placed(documents, weights, **options).repartitionByRange("_place").sortWithinPartitions("_place").select("_row.*")

@@ -208,9 +208,8 @@ def one_of_each(documents: DataFrame, budget: int = BUDGET, crowded: int = CROWD
     best = placed.groupBy("component_id", "fp", "doc_id", "text_key").agg(F.count("*").alias("rows"))
     best = best.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("fp")).alias("nameless"), "component_id").agg(F.min(F.struct("text_key", "rows")).alias("first"))
     best = best.select(F.col("doc_id").alias("_id"), F.col("first.text_key").alias("_key"), F.col("first.rows").alias("_rows"))
-    keyed = documents.withColumn("_text_key", F.xxhash64("text"))
-    same = keyed["doc_id"].cast("long").eqNullSafe(best["_id"]) & (keyed["_text_key"] == best["_key"])
-    kept = keyed.join(best.hint("shuffle_hash"), same)
-    once = kept.where("_rows = 1").drop("_id", "_key", "_rows", "_text_key")
-    more = kept.where("_rows > 1").dropDuplicates(["_id", "_key"]).drop("_id", "_key", "_rows", "_text_key")
-    return once.unionByName(more)
+    rows = documents.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc_id"), F.xxhash64("text").alias("_text_key"))
+    kept = rows.join(best.hint("shuffle_hash"), F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")))
+    once = kept.where("_rows = 1").select("_row")
+    more = kept.where("_rows > 1").dropDuplicates(["_id", "_key"]).select("_row")
+    return once.unionByName(more).select("_row.*")

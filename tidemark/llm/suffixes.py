@@ -453,11 +453,12 @@ def _cut(text: bytes, spans: list | None) -> tuple[bytes, int, int]:
 
 
 def _with_spans(documents: DataFrame, length: int) -> DataFrame:
+    """(_row, _text, _spans): each row as it is, with its text's repeats; rows are kept apart from columns used here."""
     found = repeats(documents, length)
-    marked = documents.withColumn("_doc_id", F.col("doc_id").cast("long")).withColumn("_text_key", F.xxhash64("text"))
+    rows = documents.select(F.struct("*").alias("_row"), F.col("text").alias("_text"), F.col("doc_id").cast("long").alias("_doc_id"), F.xxhash64("text").alias("_text_key"))
     own = found.select(F.col("doc_id").alias("_own_id"), F.col("text_key").alias("_own_key"), F.col("spans").alias("_spans"))
     same = F.col("_doc_id").eqNullSafe(F.col("_own_id")) & (F.col("_text_key") == F.col("_own_key"))
-    return marked.join(own.hint("shuffle_hash"), same, "left").drop("_doc_id", "_text_key", "_own_id", "_own_key")
+    return rows.join(own.hint("shuffle_hash"), same, "left").select("_row", "_text", "_spans")
 
 
 def digest(documents: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -475,7 +476,7 @@ def digest(documents: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_pydict({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)})
 
     joined = _with_spans(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length)
-    return joined.mapInArrow(digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.select("_row.doc_id", "_row.text", "_spans").mapInArrow(digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -490,9 +491,11 @@ def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pd.Series([_cut((t or "").encode("utf-8", "surrogatepass"), s)[0].decode("utf-8", "replace") for t, s in zip(texts, spans.map(lambda s: None if s is None else list(s)), strict=True)], dtype=object)
 
     joined = _with_spans(documents, length)
-    changed = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut(F.when(F.col("_spans").isNotNull(), F.col("text")), F.col("_spans")))
-    out = joined.withColumn("text", changed)
+    touched = F.col("_spans").isNotNull()
+    changed = F.when(touched, cut(F.when(touched, F.col("_text")), F.col("_spans"))).otherwise(F.col("_text"))
+    row = F.col("_row").withField("text", changed)
     if "n_chars" in documents.columns:
-        kind = documents.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return out.select(*documents.columns)
+        left = F.length(F.col("_row.text")).cast(documents.schema["n_chars"].dataType)
+        joined = joined.withColumn("_row", row)
+        row = F.when(touched, F.col("_row").withField("n_chars", left)).otherwise(F.col("_row"))
+    return joined.withColumn("_row", row).select("_row.*")
