@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.period import Period, bucket_index, bucket_start, friendly_size, round_down
@@ -78,8 +78,8 @@ def _by_period(cut: DataFrame, fn: str, period: Period, grouping: Grouping, keys
         start = round_down(F.col("key"), period, zone)
         parts = cut.groupBy(*keys, start.alias("_start")).agg(reducer(fn)(F.col("value")).alias("value"), F.first("range_start").alias("_range_start"))
         parts = parts.withColumnRenamed("_start", "key")
-        first = parts.groupBy(*keys).agg(F.min(F.coalesce(round_down(F.col("_range_start"), period, zone), F.col("key"))).alias("_from"))
-        capped = parts.join(first, keys).where(bucket_index(F.col("key"), F.col("_from"), period, zone) < grouping.max_parts)
+        first = F.min(F.coalesce(round_down(F.col("_range_start"), period, zone), F.col("key"))).over(Window.partitionBy(*keys))
+        capped = parts.withColumn("_from", first).where(bucket_index(F.col("key"), F.col("_from"), period, zone) < grouping.max_parts)
         return capped.select(*keys, "key", "value")
     anchored = _anchored(cut, keys).withColumn("_anchor", round_down(F.col("_from"), period, zone))
     parts = anchored.withColumn("_k", bucket_index(F.col("key"), F.col("_anchor"), period, zone)).where(F.col("_k") < grouping.max_parts)
