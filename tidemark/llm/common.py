@@ -47,6 +47,16 @@ def drop_written(df: DataFrame) -> None:
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def hashed_sample(df: DataFrame, by: list[str], rows: int) -> DataFrame:
+    """At most ``rows`` rows of ``df``, those of smallest hash of ``by``: the same at every run.
+
+    A cut-off from the row count leaves about twice as many, so that tasks hand on no more than that in all.
+    """
+    share = min(1.0, 2.0 * rows / max(df.count(), 1))
+    low = F.shiftrightunsigned(F.xxhash64(*by), 32) <= int(share * 0xFFFFFFFF)
+    return df.where(low).orderBy(F.shiftrightunsigned(F.xxhash64(*by), 32), *df.columns).limit(rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import hashed_sample, written
 
 SAMPLE_ROWS = 20_000
 #: Bounds of a prior strength, in documents; weight of the site's shift.
@@ -80,10 +80,8 @@ def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, rounds: int = 300) -> QualityModel:
     """Fit on labelled rows (doc_id, quality), at most ``sample_rows``."""
-    sample = (
-        labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
-        .select("doc_id", F.col("quality").cast("int").alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id", "good").limit(sample_rows)
-    )
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
+    sample = hashed_sample(usable.select("doc_id", F.col("quality").cast("int").alias("good")), ["doc_id"], sample_rows)
     rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("good", "text").mapInArrow(_shapes, "good int, x array<double>").collect()
     rows = sorted((r.good, list(r.x)) for r in rows)
     y = np.array([r[0] for r in rows], dtype=float)

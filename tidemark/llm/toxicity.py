@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import hashed_sample
+
 #: Labelled rows the model is fitted on, at most.
 SAMPLE_ROWS = 20_000
 #: Features the model keeps, by their chi-square on the sample.
@@ -119,12 +121,8 @@ def fit(
     groups=IDENTITY_GROUPS, l2: float = 0.1, rounds: int = 150,
 ) -> ToxicityModel:
     """Fit on labelled rows (doc_id, toxic). Feature counts and active features are found by the executors."""
-    sample = (
-        labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
-        .select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic")
-        .limit(sample_rows)
-    )
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
+    sample = hashed_sample(usable.select("doc_id", F.col("toxic").cast("int").alias("toxic")), ["doc_id"], sample_rows)
     texts = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
     swaps = swap_table(groups)
 

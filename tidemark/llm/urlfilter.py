@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower
+from tidemark.llm.common import ascii_lower, hashed_sample
 
 #: (host, path, verdict), the default rule table.
 RULES = (
@@ -101,8 +101,8 @@ def labelled_by_rules(pages: DataFrame, rules=RULES, rows: int = LABELLED_ROWS)
     decided = parts.select("host", "path", verdict.alias("verdict")).where(F.col("verdict").isNotNull())
     picked = []
     for value, label in (("allow", 0), ("block", 1)):
-        own = decided.where(F.col("verdict") == value)
-        for r in own.orderBy(F.xxhash64("host", "path"), "host", "path").limit(rows).collect():
+        own = decided.where(F.col("verdict") == value).select("host", "path")
+        for r in hashed_sample(own, ["host", "path"], rows).collect():
             picked.append((r.host, r.path, label))
     return picked
 
