@@ -16,6 +16,8 @@ from tidemark.operators.running import positions
 from tidemark.plans.registry import run
 from tidemark.sources import records, sinks, store
 from tidemark.sources.delimited import melt_to_series
+from tidemark.sources.folders import fresh_path
+from tidemark.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -458,3 +460,105 @@ def reduce_on_load(spark, sf_dir):
 @query("SELECT 'v' AS column_path, row_number() OVER (ORDER BY value, value) - 1 AS key, value FROM events")
 def series_from_values(spark, sf_dir):
     return store.series_from_values(table(spark, sf_dir, "events"), "v", "value")
+
+
+@query(f"SELECT column_path, key, value * 2 + 1 AS value FROM {{S}} WHERE key >= {T1} - 86400000 AND key < {T2}")
+def extended_and_mapped(spark, sf_dir):
+    asked, read = ranges.extend_range([SeriesRange(T1, T2)], before=86_400_000)[0]
+    found = ranges.in_range(series(spark, sf_dir), read.start, asked.until)
+    return ranges.map_values(found, lambda v: v * 2 + 1)
+
+
+@query("SELECT column_path, key, CAST(event_id AS VARCHAR) AS value, 'long' AS value_type FROM {S} UNION ALL SELECT 't/' || column_path, key, event_type, 'string' FROM {S}")
+def scan_all_types(spark, sf_dir):
+    """Two typed tables written to a store and scanned together."""
+    kept = store.SeriesStore(spark, fresh_path(spark, "store"))
+    e = series(spark, sf_dir, "event_id", "event_type")
+    kept.write(e.select("column_path", "key", F.col("event_id").alias("value")), "long", 1)
+    kept.write(e.select(F.concat(F.lit("t/"), "column_path").alias("column_path"), "key", F.col("event_type").alias("value")), "string", 1)
+    return kept.scan_all()
+
+
+@query("SELECT column_path, key, value, 'double' AS value_type FROM {S}")
+def typed_columns(spark, sf_dir):
+    e = series(spark, sf_dir, "event_type")
+    both = e.select("column_path", "key", "value", F.lit("double").alias("value_type")).unionByName(e.select("column_path", "key", F.lit(0.0).alias("value"), F.lit("flags").alias("value_type")))
+    return ranges.of_type(both, "double")
+
+
+@query(f"SELECT time, duration, name, trace_id FROM (SELECT epoch_us(ts) // 1000 AS time, event_id * 1000 AS duration, event_type AS name, CAST(user_id AS VARCHAR) AS trace_id FROM events)")
+def aligned_spans(spark, sf_dir):
+    e = series(spark, sf_dir, "event_id", "event_type", "user_id")
+    column = lambda c: e.select("key", c.alias("value"))
+    return spans.spans(column(F.col("event_id") * 1000), column(F.col("event_type")), column(F.col("user_id").cast("string")))
+
+
+@query("SELECT CASE user_id WHEN 1 THEN 0 ELSE 1 END AS group_id, column_path, key, value FROM {S} WHERE user_id IN (1, 2, 3)")
+def selected_sources(spark, sf_dir):
+    selection = catalog.select_sources(spark, ["events/u1/value", ["events/u2/value", "events/u3/value"]])
+    return catalog.selected(series(spark, sf_dir), selection).select("group_id", "column_path", "key", "value")
+
+
+@query("SELECT column_path, key, value FROM {S} WHERE user_id = 7")
+def dataset_items(spark, sf_dir):
+    return catalog.read_dataset(series(spark, sf_dir), "events/u7")
+
+
+@query("SELECT user_id, bit_or(CASE WHEN value > 250 THEN 3 ELSE 1 END::BIGINT << (2 * (event_id % 3))) AS flags FROM events GROUP BY 1")
+def flags_set(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    bits = F.coalesce(*[F.when(F.col("event_id") % 3 == p, scalars.set_flag(F.lit(0).cast("long"), p, F.col("value") > 250)) for p in range(3)])
+    return e.groupBy("user_id").agg(F.bit_or(bits).alias("flags"))
+
+
+@query("SELECT column_path, key, value FROM {S} WHERE value > 400")
+def watched_items(spark, sf_dir):
+    return ranges.watch(series(spark, sf_dir), F.col("value") > 400)
+
+
+def _arriving(spark: SparkSession, sf_dir: str, parts: int = 4) -> DataFrame:
+    """The events as a stream of files, in the order of time."""
+    e, folder = series(spark, sf_dir), fresh_path(spark, "stream")
+    low, high = e.agg(F.min("key"), F.max("key")).first()
+    edges = [low + (high + 1 - low) * i // parts for i in range(parts + 1)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        ranges.in_range(e, a, b).coalesce(1).write.mode("append").parquet(folder)
+    return streams.follow(spark, folder, "column_path string, key long, value double", max_files=1)
+
+
+def _sent(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+    """What a stream sends, with the number of its batch, after all files were read."""
+    out = fresh_path(spark, "sent")
+    query = streams.start(stream, lambda b, n: b.withColumn("ingest_seq", F.lit(n)).write.mode("append").parquet(out), fresh_path(spark, "progress"), mode=mode)
+    query.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query("SELECT column_path, key // 3600000 * 3600000 AS key, round(sum(value), 4) AS value FROM {S} GROUP BY 1, 2")
+def stream_sum_by_hour(spark, sf_dir):
+    sent = _sent(spark, streams.stream_reduce(_arriving(spark, sf_dir), "sum", "1 hour"), "update")
+    return four(store.latest_wins(sent).drop("ingest_seq"))
+
+
+@query("""WITH h AS (SELECT column_path, key // 86400000 AS d, round(sum(value), 4) AS value FROM {S} GROUP BY 1, 2),
+e AS (SELECT column_path, unnest(generate_series(min(d), max(d))) AS d FROM h GROUP BY 1)
+SELECT e.column_path, e.d * 86400000 AS key, h.value FROM e LEFT JOIN h ON e.column_path = h.column_path AND e.d = h.d""")
+def stream_sum_with_empties(spark, sf_dir):
+    sent = _sent(spark, streams.stream_reduce_with_empties(_arriving(spark, sf_dir), "1 day"), "update")
+    return four(store.latest_wins(sent).drop("ingest_seq"))
+
+
+@query("""WITH n AS (SELECT *, (row_number() OVER (PARTITION BY column_path ORDER BY key) - 1) // 10 AS p, count(*) OVER (PARTITION BY column_path) AS c FROM {S})
+SELECT column_path, min(key) AS key, round(sum(value), 4) AS value FROM n WHERE (p + 1) * 10 <= c GROUP BY column_path, p""")
+def stream_sum_of_tens(spark, sf_dir):
+    return four(_sent(spark, streams.stream_count_reduce(_arriving(spark, sf_dir), 10), "append").drop("ingest_seq"))
+
+
+@query("""WITH b AS (SELECT *, (SELECT min(key) FROM {S}) AS low, (SELECT max(key) + 1 FROM {S}) AS high FROM {S}),
+p AS (SELECT *, CASE WHEN key < low + (high - low) // 4 THEN 0 WHEN key < low + (high - low) * 2 // 4 THEN 1 WHEN key < low + (high - low) * 3 // 4 THEN 2 ELSE 3 END AS part FROM b)
+SELECT column_path, min(key) AS key, round(sum(value), 4) AS value FROM p GROUP BY column_path, part""")
+def stream_batch_totals(spark, sf_dir):
+    out = fresh_path(spark, "totals")
+    emit = lambda df, n: df.select("column_path", "key", "value").write.mode("append").parquet(out)
+    streams.stream_batch_reduce(_arriving(spark, sf_dir), "sum", emit, fresh_path(spark, "progress")).awaitTermination()
+    return four(spark.read.parquet(out))

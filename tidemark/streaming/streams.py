@@ -73,7 +73,7 @@ def stream_reduce_with_empties(stream: DataFrame, period: str, zone: str = "UTC"
         top = max(sums)
         keys = list(range(first, top + 1))
         state.update((top, sums[top]))
-        yield pd.DataFrame({"column_path": group[0], "k": keys, "value": [sums.get(k) for k in keys]})
+        yield pd.DataFrame({"column_path": group[0], "k": keys, "value": pd.Series([sums.get(k) for k in keys], dtype="float64")})
 
     out = numbered.groupBy("column_path").applyInPandasWithState(step, "column_path string, k long, value double", "last long, total double", "update", GroupStateTimeout.NoTimeout)
     return out.select("column_path", bucket_start(F.col("k"), base, p, zone).alias("key"), "value")
@@ -93,7 +93,8 @@ def stream_count_reduce(stream: DataFrame, n: int) -> DataFrame:
                 out.append((group[0], first, total))
                 count, total = 0, 0.0
         state.update((count, first, total))
-        yield pd.DataFrame(out, columns=["column_path", "key", "value"])
+        if out:
+            yield pd.DataFrame(out, columns=["column_path", "key", "value"])
 
     rows = stream.select("column_path", "key", F.col("value").cast("double").alias("value"))
     return rows.groupBy("column_path").applyInPandasWithState(step, "column_path string, key long, value double", "n long, first long, total double", "append", GroupStateTimeout.NoTimeout)
