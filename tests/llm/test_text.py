@@ -215,7 +215,7 @@ def test_added_tokens_in_a_text():
     from tokenizers import Tokenizer
 
     encode, own = packing.Encoder(*packing.default_paths()), Tokenizer.from_file(packing.default_paths()[0])
-    for text in ("a <|endoftext|> b", "", " \n\n  x's 12 ü…", "日本 語\t"):
+    for text in ("a <|endoftext|> b", "", " \n\n  x's 12 ü…", "日本 語\t", "a" + " " * 1_200_000 + "b", "x" * 5000):
         assert encode(text) == own.encode(text, add_special_tokens=False).ids
 
 

@@ -18,6 +18,7 @@ are ranked by partition and row; an empty table gives no rows; other columns are
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -40,9 +41,13 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class Encoder:
     """Ids of the byte-level BPE in ``tokenizer`` (a tokenizers file), by its merge ranks in ``ranks`` (the same
     vocabulary as a tiktoken file, some four times as fast).  A text that holds one of the file's added
-    tokens goes through the tokenizers library itself, so the ids are that library's in every case.
+    tokens, or white space too long for the other's pattern matcher, goes through the tokenizers library itself,
+    so the ids are that library's in every case.
     """
 
+    #: The matcher of ``fast`` gives up on a million characters of white space.
+    BLANK = re.compile(r"\s{100000}")
+
     def __init__(self, tokenizer: str, ranks: str):
         import public_tokenizers
         import tiktoken
@@ -55,7 +60,7 @@ class Encoder:
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
 
     def __call__(self, text: str) -> list[int]:
-        if any(a in text for a in self.added):
+        if any(a in text for a in self.added) or (len(text) > 100_000 and self.BLANK.search(text)):
             return self.whole.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
