@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.period import Period, bucket_index, bucket_start, round_down
 from tidemark.model import MAX_PARTS, SeriesRange
 from tidemark.operators.ranges import extend_range, in_range
 from tidemark.operators.running import CHUNK_MS, running
+from tidemark.sources.folders import written
 
 DAY = 86_400_000
 
@@ -30,15 +31,36 @@ def durations_to_intervals(df: DataFrame, by: Sequence[str] = ("column_path",))
 
 
 def merge_intervals(df: DataFrame, by: Sequence[str] = ("column_path",), touching: bool = True, chunk_ms: int = CHUNK_MS) -> DataFrame:
-    """The union of the intervals of each group; ``touching`` also joins those that only meet."""
-    spans = df.where(F.col("start").isNotNull() & F.col("end").isNotNull()).select(*by, "start", "end")
-    reach = running(spans, by, ("start", "end"), "max", F.col("end"), "_reach", chunk_ms=chunk_ms, key="start")
-    opens = F.col("_reach").isNull() | (F.col("start") > F.col("_reach"))
-    if not touching:
-        opens = F.col("_reach").isNull() | (F.col("start") >= F.col("_reach"))
-    opened = reach.withColumn("_open", opens.cast("long"))
-    numbered = running(opened, by, ("start", "end"), "sum", F.col("_open"), "_island", inclusive=True, chunk_ms=chunk_ms, key="start")
-    return numbered.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+    """The union of the intervals of each group; ``touching`` also joins those that only meet.
+
+    An interval opens an island if it starts after all earlier ones end; the island ends where the intervals before
+    the next opening reach.  Windows run inside chunks of time; the chunks' reaches and first openings are small tables.
+    """
+    by = list(by)
+    spans = df.where(F.col("start").isNotNull() & F.col("end").isNotNull()).select(*by, "start", "end", F.floor(F.col("start") / chunk_ms).alias("_chunk"))
+    chunks = written(spans.groupBy(*by, "_chunk").agg(F.max("end").alias("_end")), "chunks")
+    in_order = Window.partitionBy(*by).orderBy("_chunk")
+    earlier = chunks.select(*by, "_chunk", F.max("_end").over(in_order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    inside = Window.partitionBy(*by, "_chunk").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.greatest(F.max("end").over(inside), F.col("_before"))
+    reached = _join_on(spans, earlier, [*by, "_chunk"]).withColumn("_reach", reach)
+    opens = F.col("_reach").isNull() | ((F.col("start") > F.col("_reach")) if touching else (F.col("start") >= F.col("_reach")))
+    openings = written(reached.where(opens).select(*by, "_chunk", "start", "_reach"), "openings")
+    firsts = openings.groupBy(*by, "_chunk").agg(F.min_by("_reach", F.struct("start", "_reach")).alias("_first"))
+    following = firsts.select(*by, "_chunk", F.lead("_first").over(in_order).alias("_following"))
+    last = chunks.groupBy(*by).agg(F.max("_end").alias("_last"))
+    in_chunk = Window.partitionBy(*by, "_chunk").orderBy("start", "_reach")
+    end = F.coalesce(F.lead("_reach").over(in_chunk), F.col("_following"), F.col("_last"))
+    return _join_on(_join_on(openings, following, [*by, "_chunk"]), last, by).withColumn("end", end).select(*by, "start", "end")
+
+
+def _join_on(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
+    """Inner join on columns of the same name, nulls equal."""
+    renamed = right.select(*[F.col(n).alias(f"_on_{n}") for n in names], *[c for c in right.columns if c not in names])
+    same = F.lit(True)
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"_on_{n}"))
+    return left.join(renamed, same).drop(*[f"_on_{n}" for n in names])
 
 
 def cut_by_period(df: DataFrame, period: str, zone: str = "UTC", by: Sequence[str] = ("column_path",), until: int | None = None, max_parts: int = MAX_PARTS, anchor: str | None = None) -> DataFrame:
@@ -87,7 +109,8 @@ def onoff_interval_sum(
     """
     asked, read = extend_range([ranges or SeriesRange()], before=early_ms)[0]
     chosen = in_range(df, read.start, read.until).join(selection.select("group_id", "column_path"), "column_path")
-    spans = onoff_to_intervals(chosen, ("group_id", "column_path")).drop("column_path")
+    # Intervals are far fewer than items, merged ones fewer still: written, they are not worked out again for each use.
+    spans = written(onoff_to_intervals(chosen, ("group_id", "column_path")).drop("column_path"), "intervals")
     merged = merge_intervals(spans, ("group_id",))
     if asked.start is not None:
         merged = merged.withColumn("start", F.greatest("start", F.lit(asked.start))).where(F.col("end") >= F.col("start"))
@@ -95,9 +118,10 @@ def onoff_interval_sum(
         merged = merged.withColumn("end", F.least("end", F.lit(asked.until))).where(F.col("end") >= F.col("start"))
     if period is None:
         return coverage(merged, None, zone, ("group_id",))
+    merged = written(merged, "merged")
     first = merged.agg(F.min("start").alias("_first"))  # one anchor, so that the groups' periods line up
     cut = cut_by_period(merged.crossJoin(F.broadcast(first)), period, zone, ("group_id",), asked.until, anchor="_first")
-    sums = cut.groupBy("group_id", "key").agg(F.sum("overlap").alias("value"))
+    sums = written(cut.groupBy("group_id", "key").agg(F.sum("overlap").alias("value")), "sums")
     groups = selection.select("group_id").distinct()
     every = sums.select("key").distinct().crossJoin(F.broadcast(groups))  # as many rows as the wide result has cells
     return every.join(sums, ["group_id", "key"], "left").select("group_id", "key", F.coalesce("value", F.lit(0)).alias("value"))

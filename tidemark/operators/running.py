@@ -2,7 +2,8 @@
 
 A window over a whole series is a single task for a series that holds a third of all rows.  Here keys are cut into
 chunks of time; aggregates of whole chunks are combined (a small table, with sums before the shuffle), and the window
-runs inside a chunk only.
+runs inside a chunk only.  The small table is written to the shared folder at once, so that running aggregates over
+running aggregates read their input once more each, not twice as often each.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.folders import written
+
 #: Milliseconds of keys that one window partition covers.
 CHUNK_MS = 86_400_000
 
@@ -24,7 +27,7 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], kind: str, v
     total = {"sum": F.sum, "max": F.max, "min": F.min}[kind]
     pick = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": F.greatest, "min": F.least}[kind]
     chunked = df.withColumn("_chunk", F.floor(F.col(key) / chunk_ms)).withColumn("_value", value)
-    sums = chunked.groupBy(*by, "_chunk").agg(total("_value").alias("_sum"))
+    sums = written(chunked.groupBy(*by, "_chunk").agg(total("_value").alias("_sum")), "chunks")
     earlier = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_chunk").alias("_at"), total("_sum").over(earlier).alias("_before"))
     inside = Window.partitionBy(*by, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
