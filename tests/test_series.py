@@ -116,6 +116,14 @@ def test_round_down_and_buckets(spark):
         assert (r.a, r.b) == (key(start), key(start)), text
 
 
+def test_period_starts(spark):
+    from tidemark.functions.period import period_starts
+
+    got = spark.range(1).select(period_starts(F.lit(key("2013-01-31T05:00")), F.lit(key("2013-04-01")), Period.parse("1 month"), "UTC").alias("s")).first().s
+    assert got == [key("2013-01-01"), key("2013-02-01"), key("2013-03-01")]
+    assert Period.parse("2 weeks").millis() == 14 * DAY and Period.parse("13 months").millis() == key("1971-02-01")
+
+
 def test_running_over_chunks_is_running_over_all(spark):
     rng = random.Random(2)
     rows = [(s, k, rng.randint(-5, 9)) for s in "ab" for k in sorted(rng.sample(range(5000), 200))]
@@ -204,6 +212,7 @@ def test_catalog(spark):
     assert split["p99"] == ("default", "p99") and split["/x"] == ("default", "x") and split["/"] == (None, None) and split["march/epochs/p99"] == ("march/epochs", "p99")
     with pytest.raises(LookupError):
         catalog.column(paths, "none")
+    assert [r.v for r in catalog.distinct_in_order(spark.createDataFrame([("b", 2), ("a", 3), ("b", 5)], "v string, o int"), "v", "o").orderBy("first").collect()] == ["b", "a"]
     groups = catalog.select_sources(spark, ["a/b", ["c", "d"], lambda s: s.createDataFrame([("e",)], "column_path string")])
     assert groups.select("group_id").distinct().count() == 3
     with pytest.raises(ValueError):

@@ -113,6 +113,13 @@ def bucket_start(index: Column, anchor: Column, period: Period, zone: str = "UTC
     return to_key(F.add_months(day, (index * period.size).cast("int")), zone)
 
 
+def period_starts(start: Column, until: Column, period: Period, zone: str = "UTC") -> Column:
+    """Array of the period starts from the one at or before ``start`` up to ``until``; for bounded ranges."""
+    anchor = round_down(start, period, zone)
+    last = bucket_index(until - 1, anchor, period, zone)
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0).cast("long"), last), lambda k: bucket_start(k, anchor, period, zone)))
+
+
 def friendly(millis: int) -> Period:
     """A round period near a duration: rounded up to the next listed size, a power of ten beyond the list."""
     for longest, unit_ms, unit, sizes in FRIENDLY:

@@ -94,3 +94,32 @@ def entity_key(path: Column) -> Column:
     entity = entity_path(path)
     parts = F.split(entity, "/")
     return F.when(F.size(parts) == 1, entity).when(F.size(parts) > 1, F.element_at(parts, -2))
+
+
+def to_text(value: Column) -> Column:
+    """A string, long, int, double or boolean as text."""
+    return value.cast("string")
+
+
+def json_text(value: Column) -> Column:
+    """A JSON text in its canonical form, through VARIANT; null where it is no JSON."""
+    return F.to_json(F.try_parse_json(value))
+
+
+class PathFormat:
+    """How paths name things; another format overrides these column expressions."""
+
+    def category(self, path: Column) -> Column:
+        return path
+
+    def split(self, path: Column) -> tuple[Column, Column]:
+        return split_path(path)
+
+    def entity(self, path: Column) -> Column:
+        return entity_path(path)
+
+    def lookup_key(self, path: Column) -> Column:
+        return entity_key(path)
+
+    def below(self, path: Column, prefix: str) -> Column:
+        return path.startswith(prefix.rstrip("/") + "/")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import entity_key, entity_path, split_path
+from tidemark.functions.scalars import PathFormat
 
 
 def columns_catalog(df: DataFrame) -> DataFrame:
@@ -28,14 +28,17 @@ def column(df: DataFrame, path: str) -> DataFrame:
     return own
 
 
-def split_paths(paths: DataFrame) -> DataFrame:
-    dataset, name = split_path(F.col("column_path"))
+BASIC = PathFormat()
+
+
+def split_paths(paths: DataFrame, form: PathFormat = BASIC) -> DataFrame:
+    dataset, name = form.split(F.col("column_path"))
     return paths.select("column_path", dataset.alias("dataset"), name.alias("column"))
 
 
-def entities(paths: DataFrame) -> DataFrame:
+def entities(paths: DataFrame, form: PathFormat = BASIC) -> DataFrame:
     """(lookup_key, entity_path), one row each."""
-    found = paths.select(entity_key(F.col("column_path")).alias("lookup_key"), entity_path(F.col("column_path")).alias("entity_path"))
+    found = paths.select(form.lookup_key(F.col("column_path")).alias("lookup_key"), form.entity(F.col("column_path")).alias("entity_path"))
     return found.where(F.col("entity_path").isNotNull()).distinct()
 
 
@@ -46,8 +49,8 @@ def find_entities(paths: DataFrame, key: str, required: bool = False) -> DataFra
     return found
 
 
-def _below(df: DataFrame, prefix: str) -> DataFrame:
-    return df.where(F.col("column_path").startswith(prefix.rstrip("/") + "/")).select("column_path").distinct().orderBy("column_path")
+def _below(df: DataFrame, prefix: str, form: PathFormat = BASIC) -> DataFrame:
+    return df.where(form.below(F.col("column_path"), prefix)).select("column_path").distinct().orderBy("column_path")
 
 
 def entity_columns(df: DataFrame, entity: str) -> DataFrame:
@@ -140,3 +143,8 @@ def read_dataset(df: DataFrame, dataset: str) -> DataFrame:
     if own.select("column_path").first() is None:
         raise LookupError(f"no such dataset: {dataset}")
     return own
+
+
+def distinct_in_order(df: DataFrame, column: str, order: str) -> DataFrame:
+    """(column, first): each value with the least ``order`` it is seen at; sorting by ``first`` is first-seen order."""
+    return df.groupBy(column).agg(F.min(order).alias("first"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
-from tidemark.functions.period import Period, friendly_size, round_down
+from tidemark.functions.period import Period, friendly_size, period_starts, round_down
 from tidemark.model import Grouping, SeriesRange
 from tidemark.operators import catalog, intervals, load, ranges, spans, tabular
 from tidemark.operators.reduce import key_value_ranges, keys_extent, reduce
@@ -562,3 +562,21 @@ def stream_batch_totals(spark, sf_dir):
     emit = lambda df, n: df.select("column_path", "key", "value").write.mode("append").parquet(out)
     streams.stream_batch_reduce(_arriving(spark, sf_dir), "sum", emit, fresh_path(spark, "progress")).awaitTermination()
     return four(spark.read.parquet(out))
+
+
+@query("SELECT event_type, min(event_id) AS first FROM events GROUP BY 1")
+def types_in_first_seen_order(spark, sf_dir):
+    return catalog.distinct_in_order(table(spark, sf_dir, "events"), "event_type", "event_id")
+
+
+@query("WITH r AS (SELECT column_path, min(key) AS a, max(key) + 1 AS b FROM {S} GROUP BY 1) SELECT column_path, unnest(generate_series(a // 86400000, (b - 1) // 86400000)) * 86400000 AS start FROM r")
+def period_starts_by_series(spark, sf_dir):
+    r = series(spark, sf_dir).groupBy("column_path").agg(F.min("key").alias("a"), (F.max("key") + 1).alias("b"))
+    return r.select("column_path", F.explode(period_starts(F.col("a"), F.col("b"), Period.parse("1 day"))).alias("start"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, props IS NOT NULL AS valid FROM events")
+def json_values(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    text = scalars.json_text(F.col("props"))
+    return e.select("event_id", F.get_json_object(text, "$.k").cast("long").alias("k"), text.isNotNull().alias("valid"))
