@@ -11,6 +11,7 @@ from tidemark.functions.period import Period, bucket_index, bucket_start, friend
 from tidemark.model import Grouping, SeriesRange
 from tidemark.operators.ranges import with_ranges
 from tidemark.operators.running import positions
+from tidemark.sources.folders import written
 
 #: Reducers by name: a column to an aggregate that is null where there is no value.
 REDUCERS: dict[str, Callable[[Column], Column]] = {
@@ -56,7 +57,7 @@ def _by_count(cut: DataFrame, fn: str, grouping: Grouping, keys: list[str]) -> D
     if grouping.count is not None:
         part = F.floor(F.col("position") / grouping.count)
     else:
-        totals = cut.groupBy(*keys).agg(F.count("*").alias("_total"))
+        totals = written(cut.groupBy(*keys).agg(F.count("*").alias("_total")), "totals")
         numbered = numbered.join(totals, keys)
         part = F.floor(F.col("position") / F.ceil(F.col("_total") / grouping.into_counted))
     parts = numbered.withColumn("_part", part).groupBy(*keys, "_part").agg(F.min("key").alias("key"), reducer(fn)(F.col("value")).alias("value"))
@@ -64,8 +65,12 @@ def _by_count(cut: DataFrame, fn: str, grouping: Grouping, keys: list[str]) -> D
 
 
 def _anchored(cut: DataFrame, keys: list[str]) -> DataFrame:
-    """Range start, or else the first key, of each series and range: a small aggregate joined back."""
-    first = cut.groupBy(*keys).agg(F.coalesce(F.first("range_start"), F.min("key")).alias("_from"))
+    """Range start, or else the first key, of each series and range: a small aggregate joined back.
+
+    It is written first, so that its size is known when the join is planned: while it is small Spark broadcasts
+    it and the items are not shuffled for the join.
+    """
+    first = written(cut.groupBy(*keys).agg(F.coalesce(F.first("range_start"), F.min("key")).alias("_from")), "firsts")
     return cut.join(first, keys)
 
 
@@ -85,6 +90,7 @@ def _by_period(cut: DataFrame, fn: str, period: Period, grouping: Grouping, keys
     parts = anchored.withColumn("_k", bucket_index(F.col("key"), F.col("_anchor"), period, zone)).where(F.col("_k") < grouping.max_parts)
     parts = parts.groupBy(*keys, "_anchor", "range_until", "_k").agg(reducer(fn)(F.col("value")).alias("value"))
     if grouping.empties:
+        parts = written(parts, "parts")
         end = F.greatest(F.max("_k"), F.max(bucket_index(F.col("range_until") - 1, F.col("_anchor"), period, zone)))
         last = parts.groupBy(*keys, "_anchor").agg(F.least(end, F.lit(grouping.max_parts - 1)).alias("_last"))
         every = last.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last")))).drop("_last")
@@ -98,7 +104,7 @@ def _into_duration(cut: DataFrame, fn: str, grouping: Grouping, keys: list[str])
         (F.coalesce(F.first("range_until"), F.max("key") + 1) - F.coalesce(F.first("range_start"), F.min("key"))).alias("_span")
     )
     n, unit = friendly_size(F.floor(F.col("_span") / grouping.into_duration))
-    chosen = spans.select(*keys, n.alias("_n"), unit.alias("_unit"))
+    chosen = written(spans.select(*keys, n.alias("_n"), unit.alias("_unit")), "periods")
     marked = cut.join(chosen, keys)
     used = sorted((r[0], r[1]) for r in chosen.select("_n", "_unit").distinct().collect())  # friendly periods: a short list
     out = None
