@@ -28,12 +28,16 @@ RESULT = "query_id long, vec_id long, score long"
 
 
 def quantise(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
-    """(id, terms): floor(scale * x) of each component, x as double; vectors that take no part are left out."""
+    """(id, terms): floor(scale * x) of each component, x as double; vectors that take no part are left out.
+
+    Rows of one id become one before blocks are dealt, so an id with very many rows fills no block.
+    """
     usable = vectors.where(F.col(id_col).isNotNull() & is_finite_vector(F.col(vec_col)))
-    return usable.select(
+    rows = usable.select(
         F.col(id_col).cast("long").alias("id"),
         F.transform(vec_col, lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("terms"),
     )
+    return rows.groupBy("id").agg(F.min("terms").alias("terms"))
 
 
 def _matrix(ids: np.ndarray, terms: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
