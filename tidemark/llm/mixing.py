@@ -13,7 +13,7 @@ Ranks within a source come from two-step counting over hash buckets: no source i
 
 Defined cases: a null source is a source of its own; sources without a weight share the rows' own proportion of
 what the given weights leave (at least one slot a period); sources with a weight but no rows are ignored; repeated
-rows are rows like any; ties in hash are in the order of doc_id and text; an empty table gives no rows; extra columns
+rows are rows like any; ties in hash are in the order of a second hash; an empty table gives no rows; extra columns
 stay as they are.
 """
 
@@ -104,11 +104,12 @@ def target_weights(counts: dict[str | None, int], given: dict[str, float] | None
     return {s: given[s] if s in given else max(rest * n / others, 1e-9) for s, n in counts.items()}
 
 
-def _placed(documents: DataFrame, weights: dict[str, float] | None = None, source: str = "source", block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
-    """(_row, _slot, _place): each row as it is, kept apart from the columns used here."""
+def _placed(documents: DataFrame, weights: dict[str, float] | None = None, source: str = "source", block_rows: int = BLOCK_ROWS, period: int = PERIOD, keep: list[str] | None = None) -> DataFrame:
+    """(_row, _slot, _place): each row (of all columns, or those to ``keep``), apart from the columns used here."""
     spark = documents.sparkSession
     kind = documents.schema[source].dataType.simpleString()
-    rows = documents.select(F.struct("*").alias("_row"), F.col(source).alias("_source"), F.xxhash64("doc_id", "text").alias("_hash"))
+    own = F.struct("*") if keep is None else F.struct(*keep)
+    rows = documents.select(own.alias("_row"), F.col(source).alias("_source"), F.xxhash64("doc_id", "text").alias("_hash"), F.hash("text", "doc_id").alias("_tie"))
     counts = {r[0]: r[1] for r in rows.groupBy("_source").count().limit(MOST_SOURCES + 1).collect()}
     if len(counts) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources: group them first")
@@ -120,7 +121,7 @@ def _placed(documents: DataFrame, weights: dict[str, float] | None = None, sourc
     sizes = dealt.groupBy("_source", "_bucket").count()
     earlier = F.sum("count").over(Window.partitionBy("_source").orderBy("_bucket")) - F.col("count")
     before = sizes.select(F.col("_source").alias("_of"), F.col("_bucket").alias("_at"), earlier.alias("_before"))
-    order = Window.partitionBy("_source", "_bucket").orderBy("_hash", "_row.doc_id", "_row.text")
+    order = Window.partitionBy("_source", "_bucket").orderBy("_hash", "_tie")
     ranked = dealt.withColumn("_rank", F.row_number().over(order) - 1).join(before, same_source & (F.col("_bucket") == F.col("_at"))).drop("_of", "_at")
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before")).withColumn("_block", F.floor(F.col("_rank") / block_rows))
     # A row for each source: its runs, of which there are no more than sources; offsets add up to a period each.
@@ -134,7 +135,10 @@ def _placed(documents: DataFrame, weights: dict[str, float] | None = None, sourc
 
 
 def mix(documents: DataFrame, weights: dict[str, float] | None = None, **options) -> DataFrame:
-    """``documents`` with _slot (of the row's block) and _place (in the whole mix: slot and row of the block)."""
+    """``documents`` with _slot (of the row's block) and _place (in the whole mix: slot and row of the block).
+
+    ``keep`` names the columns wanted: without the text, only ids move.
+    """
     return _placed(documents, weights, **options).select("_row.*", "_slot", "_place")
 
 

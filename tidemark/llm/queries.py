@@ -64,7 +64,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The slot and place of every document in a mix by square-root smoothed weights."""
-    placed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    placed = mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id", "source"])
     return placed.select("doc_id", "source", F.col("_slot").alias("slot"), F.col("_place").alias("place"))
 
 
