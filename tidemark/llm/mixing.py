@@ -1,18 +1,20 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-The rows of a source, in hash order, are cut into blocks.  The i-th block of a source of weight w is released at
-floor((i - 1) / w) and due at ceil(i / w); in every slot the released block with the earliest deadline goes next.
-So at any slot every source is within one block of its share.
+The rows of a source, in hash order, are cut into blocks.  All sources are dealt a share v that grows together: at v
+a source of weight w has had w v blocks, until it runs out and leaves its slots to the others in proportion.  The
+slot at which v is reached has a closed form (``Fluid``), so block i is released at floor(slot of (i - 1) / w) and due at
+ceil(slot of i / w); in every slot the released block with the earliest deadline goes next.  These windows come
+from the weights as they are, so at any slot of the whole mix every source is within one block of its unrounded
+share, and every row is placed once.
 
-Weights are whole numbers of slots out of a period, and a schedule repeats with that period, so the driver
-works out one period for each set of sources that still have blocks, from the row counts alone; the slot of a
-block is then arithmetic on its number.  A phase ends when a source runs out; the others go on with their
-weights scaled up, so every row is placed once and none is dropped or repeated.
+Time is cut into stretches no shorter than the longest window, a task each.  Which blocks that are open at the end of
+a stretch go before it follows from the blocks released in that stretch (``done_before``), so a task needs those of its own
+stretch and of the one before, and no other task's result.
 
 Ranks within a source come from two-step counting over hash buckets: no source is ever one group.
 
 Defined cases: a null source is a source of its own; sources without a weight share the rows' own proportion of
-what the given weights leave (at least one slot a period); sources with a weight but no rows are ignored; repeated
+what the given weights leave (1e-9 where these leave nothing); sources with a weight but no rows are ignored; repeated
 rows are rows like any; ties in hash are in the order of a second hash; an empty table gives no rows; extra columns
 stay as they are.
 """
@@ -22,14 +24,18 @@ from __future__ import annotations
 import heapq
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block; slots of a period (more when there are many sources); rows of a hash bucket.
-BLOCK_ROWS, PERIOD, BUCKET_ROWS = 8, 1024, 1000
+from tidemark.llm.common import written
+
+#: Rows of a block; slots of a period of ``schedule``; rows of a hash bucket; slots of a stretch (more when windows are longer).
+BLOCK_ROWS, PERIOD, BUCKET_ROWS, STRETCH = 8, 1024, 1000, 1 << 16
 #: Without target weights a source weighs its row count to this power.
 SMOOTHING = 0.5
-#: The counts and schedules of so many sources are a small table.
+#: More sources than this are refused.
 MOST_SOURCES = 20_000
 
 
@@ -96,42 +102,167 @@ def schedule(blocks: dict[str | None, int], weights: dict[str | None, float], pe
     return runs
 
 
-def target_weights(counts: dict[str | None, int], given: dict[str, float] | None) -> dict[str | None, float]:
-    if given is None:
-        return {s: n**SMOOTHING for s, n in counts.items()}
-    rest = max(1.0 - sum(given.get(s, 0) for s in counts), 0.0)
-    others = sum(n for s, n in counts.items() if s not in given) or 1
-    return {s: given[s] if s in given else max(rest * n / others, 1e-9) for s, n in counts.items()}
+class Fluid:
+    """Slots as a function of the share dealt, for all sources at once and without phases.
+
+    At share v a source of weight w has had w * v blocks, or all of its own when these are fewer.  ``kinds`` has a row
+    (blocks, weight, how many sources) for each pair that occurs, which is few: default weights follow from the rows.
+    """
+
+    def __init__(self, kinds: list[tuple[int, float, int]]):
+        blocks, weight, many = (np.array(x) for x in zip(*kinds, strict=True)) if kinds else (np.zeros(0),) * 3
+        order = np.argsort(blocks / weight, kind="stable")
+        self.ends = (blocks / weight)[order]
+        self.ended = np.r_[0, np.cumsum((blocks * many)[order])]
+        self.live = np.r_[np.cumsum((weight * many)[order][::-1])[::-1], 0.0]
+        self.slots = int(self.ended[-1])
+        # Sources that run out leave more to the others, so no window of a source is longer than its first.
+        self.longest = int(np.ceil(self.at(1 / weight)).max()) if kinds else 0
+
+    def at(self, v: np.ndarray) -> np.ndarray:
+        """The slot at which the share is ``v``; whole slots are told from rounding."""
+        k = np.searchsorted(self.ends, v, side="left")
+        slot = self.ended[k] + v * self.live[k]
+        whole = np.rint(slot)
+        return np.where(np.abs(slot - whole) < 1e-7 + 1e-14 * slot, whole, slot)
+
+    def windows(self, block: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(release, due) of the blocks, counted from 0."""
+        return np.floor(self.at(block / weight)).astype(np.int64), np.ceil(self.at((block + 1) / weight)).astype(np.int64)
+
+
+def done_before(release: np.ndarray, due: np.ndarray, slot: int, begin: int, most: int) -> np.ndarray:
+    """Which of the blocks (in order of deadline) that are due after ``slot`` go before it: ``most`` of them.
+
+    Those of earliest deadline, as far as the slots from ``begin`` on have room for them after each one's release.
+    As no block's window is longer than that stretch, what is open at its own begin makes no difference.
+    """
+    before = np.bincount(np.maximum(release[due <= slot] - begin, 0), minlength=slot - begin)
+    room = np.arange(slot - begin, 0, -1) - np.cumsum(before[::-1])[::-1]
+    open_at = np.flatnonzero(due > slot)
+    open_at = open_at[np.argsort(-release[open_at], kind="stable")]
+    picked, i, high = [], 0, slot - begin
+    while i < len(open_at):
+        at = max(int(release[open_at[i]]) - begin, 0)
+        if picked and at + 1 < high and (fit := int(room[at + 1 : high].min())) < len(picked):
+            while len(picked) > max(fit, 0):
+                heapq.heappop(picked)
+        while i < len(open_at) and max(int(release[open_at[i]]) - begin, 0) == at:
+            heapq.heappush(picked, -int(open_at[i]))
+            i += 1
+        while len(picked) > max(int(room[at]), 0):
+            heapq.heappop(picked)
+        high = at
+    fit = min(most, *room[:high].tolist()) if high else most
+    while len(picked) > max(fit, 0):
+        heapq.heappop(picked)
+    return -np.array(sorted(picked, reverse=True), dtype=np.int64)
+
+
+def earliest_deadline_first(release: np.ndarray, begin: int) -> np.ndarray:
+    """The slots of blocks (in order of deadline), one in each slot from ``begin`` on."""
+    slots, ready = np.empty(len(release), dtype=np.int64), []
+    coming = np.argsort(release, kind="stable")
+    times, coming, i = release[coming].tolist(), coming.tolist(), 0
+    for slot in range(begin, begin + len(release)):
+        while i < len(times) and (times[i] <= slot or not ready):
+            heapq.heappush(ready, coming[i])
+            i += 1
+        slots[heapq.heappop(ready)] = slot
+    return slots
+
+
+def stretch(release: np.ndarray, due: np.ndarray, number: int, length: int, slots: int, due_before: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(which, slot): the blocks in slots number * length and on, of the blocks (in order of deadline) released there or
+    in the stretch before it.  ``due_before`` counts all blocks due at its begin and at its end."""
+    begin, end = number * length, min((number + 1) * length, slots)
+    gone = due <= begin
+    if begin:
+        earlier = np.flatnonzero(release < begin)
+        gone[earlier[done_before(release[earlier], due[earlier], begin, begin - length, begin - due_before[0])]] = True
+    left = np.flatnonzero(~gone)
+    own = due[left] <= end
+    started = np.flatnonzero((release[left] >= begin) & (release[left] < end))
+    own[started[done_before(release[left][started], due[left][started], end, begin, end - due_before[1])]] = True
+    which = left[own]
+    return which, earliest_deadline_first(release[which], begin)
+
+
+def _kinds(sources: DataFrame, weights: dict[str, float] | None, block_rows: int) -> tuple[DataFrame, Fluid]:
+    """``sources`` (_name, _null, _n) with _weight, and their shares.
+
+    The driver gets a row for each row count that occurs (at most the square root of twice the rows) and given weight.
+    """
+    spark = sources.sparkSession
+    if weights is None:
+        weighed = sources.withColumn("_weight", F.pow(F.col("_n"), F.lit(SMOOTHING)))
+    else:
+        given = spark.createDataFrame([(s or "", s is None, float(w)) for s, w in weights.items()], "_name string, _null boolean, _given double")
+        sources = sources.join(F.broadcast(given), ["_name", "_null"], "left")
+        taken, others = sources.agg(F.sum("_given"), F.sum(F.when(F.col("_given").isNull(), F.col("_n")))).first()
+        rest = F.lit(max(1.0 - (taken or 0.0), 0.0) / (others or 1)) * F.col("_n")
+        weighed = sources.withColumn("_weight", F.coalesce("_given", F.greatest(rest, F.lit(1e-9)))).drop("_given")
+    kinds = weighed.groupBy(F.ceil(F.col("_n") / block_rows).alias("blocks"), "_weight").count().collect()
+    return weighed, Fluid(sorted((r[0], r[1], r[2]) for r in kinds))
+
+
+def _slots(buckets: DataFrame, fluid: Fluid, length: int) -> DataFrame:
+    """(_name, _null, _block, _slot) of all blocks of ``buckets`` (_name, _null, _own, _last, _weight: the blocks that start there)."""
+    key = ["_name", "_null", "_block"]
+    many = buckets.select("_name", "_null", "_weight", F.explode(F.sequence("_own", "_last")).alias("_block"))
+
+    @F.pandas_udf("release long, due long")
+    def windows(block: pd.Series, weight: pd.Series) -> pd.DataFrame:
+        release, due = fluid.windows(block.to_numpy(), weight.to_numpy())
+        return pd.DataFrame({"release": release, "due": due})
+
+    blocks = many.withColumn("_window", windows("_block", "_weight")).select(*key, "_window.release", "_window.due")
+    blocks = written(blocks, "blocks")
+    # A row for each stretch: how many blocks are due by its end.
+    due = dict(blocks.groupBy(F.ceil(F.col("due") / length)).count().collect())
+    stretches = -(-fluid.slots // length)
+    by_end = np.cumsum([due.get(k, 0) for k in range(stretches + 1)]).tolist()
+
+    def place(group: pd.DataFrame) -> pd.DataFrame:
+        number = int(group["stretch"].iloc[0])
+        group = group.sort_values(["due", *key], kind="stable", ignore_index=True)
+        which, slot = stretch(group["release"].to_numpy(), group["due"].to_numpy(), number, length, fluid.slots, (by_end[number], by_end[number + 1]))
+        return group.loc[which, key].assign(_slot=slot)
+
+    at = F.floor(F.col("release") / length)
+    dealt = blocks.withColumn("stretch", F.explode(F.array(at, at + 1))).where(F.col("stretch") < stretches)
+    return dealt.groupBy("stretch").applyInPandas(place, "_name string, _null boolean, _block long, _slot long")
 
 
-def _placed(documents: DataFrame, weights: dict[str, float] | None = None, source: str = "source", block_rows: int = BLOCK_ROWS, period: int = PERIOD, keep: list[str] | None = None) -> DataFrame:
+def _placed(documents: DataFrame, weights: dict[str, float] | None = None, source: str = "source", block_rows: int = BLOCK_ROWS, period: int = STRETCH, keep: list[str] | None = None) -> DataFrame:
     """(_row, _slot, _place): each row (of all columns, or those to ``keep``), apart from the columns used here."""
-    spark = documents.sparkSession
-    kind = documents.schema[source].dataType.simpleString()
     own = F.struct("*") if keep is None else F.struct(*keep)
-    rows = documents.select(own.alias("_row"), F.col(source).alias("_source"), F.xxhash64("doc_id", "text").alias("_hash"), F.hash("text", "doc_id").alias("_tie"))
-    counts = {r[0]: r[1] for r in rows.groupBy("_source").count().limit(MOST_SOURCES + 1).collect()}
-    if len(counts) > MOST_SOURCES:
+    name = F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_name")
+    rows = documents.select(own.alias("_row"), name, F.col(source).isNull().alias("_null"), F.xxhash64("doc_id", "text").alias("_hash"), F.hash("text", "doc_id").alias("_tie"))
+    sources = written(rows.groupBy("_name", "_null").agg(F.count("*").alias("_n")), "sources")
+    if sources.limit(MOST_SOURCES + 1).count() > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources: group them first")
-    runs = schedule({s: -(-n // block_rows) for s, n in counts.items()}, target_weights(counts, weights), period)
-    same_source = F.col("_source").eqNullSafe(F.col("_of"))
-    # Every source has buckets by its own size, so a large one is many groups and a small one few rows of counts.
-    buckets = F.broadcast(spark.createDataFrame([(s, -(-n // BUCKET_ROWS)) for s, n in counts.items()], f"_of {kind}, _buckets long"))
-    dealt = rows.join(buckets, same_source).withColumn("_bucket", F.pmod("_hash", "_buckets")).drop("_of", "_buckets")
-    sizes = dealt.groupBy("_source", "_bucket").count()
-    earlier = F.sum("count").over(Window.partitionBy("_source").orderBy("_bucket")) - F.col("count")
-    before = sizes.select(F.col("_source").alias("_of"), F.col("_bucket").alias("_at"), earlier.alias("_before"))
-    order = Window.partitionBy("_source", "_bucket").orderBy("_hash", "_tie")
-    ranked = dealt.withColumn("_rank", F.row_number().over(order) - 1).join(before, same_source & (F.col("_bucket") == F.col("_at"))).drop("_of", "_at")
-    ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before")).withColumn("_block", F.floor(F.col("_rank") / block_rows))
-    # A row for each source: its runs, of which there are no more than sources; offsets add up to a period each.
-    table = spark.createDataFrame(runs, f"_of {kind}, low long, high long, slot long, period long, offsets array<long>")
-    table = table.groupBy("_of").agg(F.collect_list(F.struct("low", "high", "slot", "period", "offsets")).alias("_runs"))
-    run = F.filter("_runs", lambda r: (r.low <= F.col("_block")) & (F.col("_block") < r.high))[0]
-    found = ranked.join(F.broadcast(table), same_source).withColumn("_run", run)
-    step, size = F.col("_block") - F.col("_run.low"), F.size("_run.offsets")
-    slot = F.col("_run.slot") + F.floor(step / size) * F.col("_run.period") + F.element_at("_run.offsets", (step % size + 1).cast("int"))
-    return found.select("_row", slot.alias("_slot"), (slot * block_rows + F.col("_rank") % block_rows).alias("_place"))
+    sources, fluid = _kinds(sources, weights, block_rows)
+    # Every source has buckets by its own size, so a large one is many groups; a bucket's rows at least are behind each row of this table.
+    large = sources.where(F.col("_n") > BUCKET_ROWS).select("_name", "_null", F.ceil(F.col("_n") / BUCKET_ROWS).alias("_buckets"))
+    dealt = rows.join(F.broadcast(large), ["_name", "_null"], "left").withColumn("_bucket", F.pmod("_hash", F.coalesce("_buckets", F.lit(1)))).drop("_buckets")
+    group = ["_name", "_null", "_bucket"]
+    sizes = dealt.groupBy(*group).agg(F.count("*").alias("_count"))
+    before = F.sum("_count").over(Window.partitionBy("_name", "_null").orderBy("_bucket")) - F.col("_count")
+    sizes = sizes.withColumn("_before", before).join(sources.drop("_n"), ["_name", "_null"])
+    # The blocks that have rows in the bucket, and the first that starts there.
+    last = F.floor((F.col("_before") + F.col("_count") - 1) / block_rows)
+    sizes = sizes.withColumn("_first", F.floor(F.col("_before") / block_rows)).withColumn("_own", F.ceil(F.col("_before") / block_rows)).withColumn("_last", last)
+    sizes = written(sizes, "buckets")
+    slots = _slots(sizes.where("_own <= _last"), fluid, max(period, fluid.longest + 1))
+    parts = sizes.select(*group, "_before", "_first", F.explode(F.sequence("_first", "_last")).alias("_block")).join(slots, ["_name", "_null", "_block"])
+    found = parts.groupBy(*group).agg(F.first("_before").alias("_before"), F.first("_first").alias("_first"), F.sort_array(F.collect_list(F.struct("_block", "_slot")))["_slot"].alias("_slots"))
+    found = written(found, "slots")
+    order = Window.partitionBy(*group).orderBy("_hash", "_tie")
+    ranked = dealt.withColumn("_rank", F.row_number().over(order) - 1).join(found, group)
+    rank = F.col("_rank") + F.col("_before")
+    slot = F.element_at("_slots", (F.floor(rank / block_rows) - F.col("_first") + 1).cast("int"))
+    return ranked.select("_row", slot.alias("_slot"), (slot * block_rows + rank % block_rows).alias("_place"))
 
 
 def mix(documents: DataFrame, weights: dict[str, float] | None = None, **options) -> DataFrame:
