@@ -181,12 +181,15 @@ def links(distinct: DataFrame, budget: int = BUDGET, crowded: int = CROWDED) ->
 
 
 def classes(marks: DataFrame, budget: int = BUDGET, crowded: int = CROWDED) -> DataFrame:
-    """(fp, component_id) for each distinct fingerprint of ``marks`` (doc_id, fp)."""
+    """(fp, component_id, root) for each distinct fingerprint of ``marks`` (doc_id, fp).
+
+    The root is a fingerprint of the class and no other's; two classes that share a doc_id may share the component_id.
+    """
     distinct = marks.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = components(links(distinct, budget, crowded))
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rooted.join(ids, "root").select("fp", "component_id")
+    return rooted.join(ids, "root").select("fp", "component_id", "root")
 
 
 def near_duplicates(documents: DataFrame, budget: int = BUDGET, crowded: int = CROWDED) -> DataFrame:
@@ -205,8 +208,8 @@ def one_of_each(documents: DataFrame, budget: int = BUDGET, crowded: int = CROWD
     marks = written(fingerprints(documents), "fingerprints")
     placed = marks.join(classes(marks, budget, crowded), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # Rows of one class and doc_id with different texts: the text of least hash. Copies of a row are counted.
-    best = placed.groupBy("component_id", "fp", "doc_id", "text_key").agg(F.count("*").alias("rows"))
-    best = best.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("fp")).alias("nameless"), "component_id").agg(F.min(F.struct("text_key", "rows")).alias("first"))
+    best = placed.groupBy("root", "fp", "doc_id", "text_key").agg(F.count("*").alias("rows"))
+    best = best.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("fp")).alias("nameless"), "root").agg(F.min(F.struct("text_key", "rows")).alias("first"))
     best = best.select(F.col("doc_id").alias("_id"), F.col("first.text_key").alias("_key"), F.col("first.rows").alias("_rows"))
     rows = documents.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc_id"), F.xxhash64("text").alias("_text_key"))
     kept = rows.join(best.hint("shuffle_hash"), F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")))
