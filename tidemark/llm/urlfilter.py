@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, hashed_sample
+from tidemark.llm.common import ascii_lower, hashed_sample, written
 
 #: (host, path, verdict), the default rule table.
 RULES = (
@@ -95,10 +95,13 @@ def train(labelled: list[tuple[str, str, int]], epochs: int = 60, rate: float =
 
 
 def labelled_by_rules(pages: DataFrame, rules=RULES, rows: int = LABELLED_ROWS) -> list[tuple[str, str, int]]:
-    """A small labelled url table: of each verdict the ``rows`` urls of smallest hash that a rule decides."""
+    """A small labelled url table: of each verdict the ``rows`` urls of smallest hash that a rule decides.
+
+    Copies of a url count once, so the table does not depend on how often the urls occur.
+    """
     parts = with_parts(pages)
     _, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    decided = parts.select("host", "path", verdict.alias("verdict")).where(F.col("verdict").isNotNull())
+    decided = written(parts.select("host", "path", verdict.alias("verdict")).where(F.col("verdict").isNotNull()).distinct(), "urls")
     picked = []
     for value, label in (("allow", 0), ("block", 1)):
         own = decided.where(F.col("verdict") == value).select("host", "path")
