@@ -39,8 +39,8 @@ def in_mixed_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences."""
-    return packing.pack(docs)
+    """The pieces of all documents, packed into sequences in the order of the mix, which is that of the files' names and rows."""
+    return packing.pack(docs, in_order=True)
 
 
 STAGES = [

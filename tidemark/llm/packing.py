@@ -12,7 +12,7 @@
 
 Defined cases: a null or empty text is the closing id alone; a document of several thousand tokens gives
 several whole sequences and a remainder; repeated rows and repeated doc_ids are packed each; ties in length
-are ranked by partition and row; an empty table gives no rows; other columns are ignored.
+are ranked by partition and row (with ``in_order`` by file name and row); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ CAPACITY = 1024
 #: What cutting a piece adds to its share of a sequence, in the linear program; and the most simplex pivots.
 CUT_COST, PIVOTS = 0.02, 300
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, local long, ids array<int>"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, block long, local long, number long, ids array<int>"
 
 
 class Encoder:
@@ -71,33 +71,42 @@ def default_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def tokenised(documents: DataFrame, tokenizer: str, ranks: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """Pieces of every whole text, with their place among the pieces of their length in their partition."""
+def tokenised(documents: DataFrame, tokenizer: str, ranks: str, capacity: int = CAPACITY, end_id: int = 0, in_order: bool = False) -> DataFrame:
+    """Pieces of every whole text, with their place among the pieces of their length, and among all, in their part.
+
+    A part is a partition, or with ``in_order`` a split of a file: (number of the file by name, first byte).
+    """
+    files = {f.rsplit("/", 1)[-1]: i for i, f in enumerate(sorted(documents.inputFiles()))} if in_order else {}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(tokenizer, ranks)
-        part, seen = TaskContext.get().partitionId(), Counter()
-        kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64(), pa.list_(pa.int32())]
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "local", "ids"]
+        part, block, seen, number = TaskContext.get().partitionId(), 0, Counter(), 0
+        kinds = [pa.int64()] * 5 + [pa.int32()] + [pa.int64()] * 3 + [pa.list_(pa.int32())]
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "block", "local", "number", "ids"]
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            splits = zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), strict=True) if in_order else [None] * batch.num_rows
+            for doc_id, text, split in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), splits, strict=True):
+                if split and (files[split[0]], split[1]) != (part, block) or split and not number:
+                    part, block, seen, number = files[split[0]], split[1], Counter(), 0
                 tokens = np.array([*encode(text or ""), end_id], dtype="<u4")
                 for start in range(0, len(tokens), capacity):
                     piece = tokens[start : start + capacity]
-                    rows.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(tokens), part, seen[len(piece)], piece.view("<i4") if len(piece) < capacity else None))
+                    rows.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(tokens), part, block, seen[len(piece)], number, piece.view("<i4") if len(piece) < capacity else None))
                     seen[len(piece)] += 1
+                    number += 1
             columns = zip(*rows, strict=True) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_pydict({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)})
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
+    split = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block")] if in_order else []
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *split).mapInArrow(cut, PIECES)
 
 
 def _cut_at(capacity: int):
     """Cut in two each piece that runs over the end of its sequence; the second part opens the next one."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "position"]
         for batch in batches:
             frame = pa.Table.from_batches([batch])
             over = np.flatnonzero(frame["offset"].to_numpy() + frame["length"].to_numpy() > capacity)
@@ -108,7 +117,7 @@ def _cut_at(capacity: int):
             for r in frame.take(pa.array(over)).to_pylist():
                 tokens, room = np.array(r["ids"], dtype="<u4"), capacity - r["offset"]
                 for part, start, sequence, offset in ((tokens[:room], 0, 0, r["offset"]), (tokens[room:], room, 1, 0)):
-                    rows.append((r["doc_id"], r["start"] + start, len(part), zlib.crc32(part.tobytes()), r["doc_tokens"], r["sequence_id"] + sequence, offset))
+                    rows.append((r["doc_id"], r["start"] + start, len(part), zlib.crc32(part.tobytes()), r["doc_tokens"], r["sequence_id"] + sequence, offset, r["position"]))
             if rows:
                 yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(names, zip(*rows, strict=True), strict=True)})
 
@@ -258,20 +267,48 @@ def slots(used: list[tuple[dict[int, int], int]], histogram: dict[int, int]) ->
     return out
 
 
-def pack(documents: DataFrame, tokenizer: str | None = None, ranks: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
+def _numbered_by_first(placed: DataFrame) -> DataFrame:
+    """``placed`` with sequences numbered by the position of their earliest piece."""
+    spark = placed.sparkSession
+    first = placed.groupBy("sequence_id").agg(F.min("position").alias("first"))
+    ordered = first.repartitionByRange("first", "sequence_id").sortWithinPartitions("first", "sequence_id")
+    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ordered = written(ordered.select("sequence_id", F.spark_partition_id().alias("part"), local.alias("local")), "sequences")
+    # A row for each partition.
+    total, base = 0, []
+    for part, n in sorted(ordered.groupBy("part").count().collect()):
+        base.append((part, total))
+        total += n
+    base = F.broadcast(spark.createDataFrame(base, "part int, base long"))
+    numbers = ordered.join(base, "part").select("sequence_id", (F.col("base") + F.col("local")).alias("number"))
+    return placed.join(numbers, "sequence_id").select(*[F.col("number").alias(c) if c == "sequence_id" else c for c in placed.columns])
+
+
+def pack(documents: DataFrame, tokenizer: str | None = None, ranks: str | None = None, capacity: int = CAPACITY, end_id: int = 0, in_order: bool = False) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece.
+
+    With ``in_order``, ``documents`` is read from files, and their order by file name and row counts: pieces of a length
+    are ranked in it, and sequences numbered by their earliest piece.
+    """
     spark = documents.sparkSession
-    pieces = written(tokenised(documents, tokenizer or default_paths()[0], ranks or default_paths()[1], capacity, end_id), "pieces")
-    counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
+    pieces = written(tokenised(documents, tokenizer or default_paths()[0], ranks or default_paths()[1], capacity, end_id, in_order), "pieces")
+    counts = pieces.groupBy("length", "part", "block").agg(F.count("*").alias("n"))
     # A row for each length and partition: the ranks before a partition are a sum over the earlier ones.
-    before = counts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
+    before = counts.select("length", "part", "block", (F.sum("n").over(Window.partitionBy("length").orderBy("part", "block")) - F.col("n")).alias("before"))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     # The runs of a length in one row: at most a few for each of the ``capacity`` lengths.
     runs = spark.createDataFrame(
         slots(solve(histogram, capacity), histogram) or [(0, 0, 0, 1, 0, 0)],
         "length long, low long, high long, per long, first long, base long",
     ).groupBy("length").agg(F.sort_array(F.collect_list(F.struct("low", "high", "per", "first", "base"))).alias("runs"))
-    ranked = pieces.join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("local"))
+    # A row for each part: the pieces of all lengths before it.
+    total, base = 0, []
+    for part, block, n in sorted(map(tuple, counts.groupBy("part", "block").agg(F.sum("n")).collect())):
+        base.append((part, block, total))
+        total += n
+    base = F.broadcast(spark.createDataFrame(base, "part int, block long, base long"))
+    ranked = pieces.join(before, ["length", "part", "block"]).join(base, ["part", "block"]).withColumn("position", F.col("base") + F.col("number")).drop("base", "number")
+    ranked = ranked.withColumn("rank", F.col("before") + F.col("local"))
     placed = ranked.join(F.broadcast(runs), "length").withColumn(
         "run", F.filter("runs", lambda r: (r.low <= F.col("rank")) & (F.col("rank") < r.high))[0]
     )
@@ -279,8 +316,9 @@ def pack(documents: DataFrame, tokenizer: str | None = None, ranks: str | None =
     at = base + step * F.col("length")  # of a piece left for cutting, from the start of its first sequence
     whole = per > 0
     placed = placed.select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids",
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "position",
         (F.col("run.first") + F.when(whole, F.floor(step / per)).otherwise(F.floor(at / capacity))).alias("sequence_id"),
         F.when(whole, base + (step % per) * F.col("length")).otherwise(at % capacity).alias("offset"),
     )
-    return placed.mapInArrow(_cut_at(capacity), PACKED)
+    placed = placed.mapInArrow(_cut_at(capacity), PACKED + ", position long")
+    return (_numbered_by_first(written(placed, "placed")) if in_order else placed).drop("position")
