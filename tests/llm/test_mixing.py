@@ -48,3 +48,9 @@ def test_unrounded_weights_over_many_stretches(trial):
             break  # from here on the others share what it leaves
         assert all(abs(exact[x] * t - seen[x]) < 1 for x in range(n))
     assert t > 64 or fluid.slots < 200
+
+
+def test_a_source_for_every_row_or_two(spark):
+    rows = spark.range(31_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.concat(F.lit("site"), F.col("id") % 21_000).alias("source"))
+    placed = mixing.mix(rows, block_rows=1).agg(F.count("*"), F.countDistinct("_slot"), F.min("_slot"), F.max("_slot")).first()
+    assert tuple(placed) == (31_000, 31_000, 0, 30_999)

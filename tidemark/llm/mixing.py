@@ -11,6 +11,8 @@ Time is cut into stretches no shorter than the longest window, a task each.  Whi
 a stretch go before it follows from the blocks released in that stretch (``done_before``), so a task needs those of its own
 stretch and of the one before, and no other task's result.
 
+Sources are rows of a table in every step and may be any number; the driver sees the row counts that occur.
+
 Ranks within a source come from two-step counting over hash buckets: no source is ever one group.
 
 Defined cases: a null source is a source of its own; sources without a weight share the rows' own proportion of
@@ -35,8 +37,6 @@ from tidemark.llm.common import written
 BLOCK_ROWS, PERIOD, BUCKET_ROWS, STRETCH = 8, 1024, 1000, 1 << 16
 #: Without target weights a source weighs its row count to this power.
 SMOOTHING = 0.5
-#: More sources than this are refused.
-MOST_SOURCES = 20_000
 
 
 def shares(weights: dict[str | None, float], period: int) -> dict[str | None, int]:
@@ -240,8 +240,6 @@ def _placed(documents: DataFrame, weights: dict[str, float] | None = None, sourc
     name = F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_name")
     rows = documents.select(own.alias("_row"), name, F.col(source).isNull().alias("_null"), F.xxhash64("doc_id", "text").alias("_hash"), F.hash("text", "doc_id").alias("_tie"))
     sources = written(rows.groupBy("_name", "_null").agg(F.count("*").alias("_n")), "sources")
-    if sources.limit(MOST_SOURCES + 1).count() > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources: group them first")
     sources, fluid = _kinds(sources, weights, block_rows)
     # Every source has buckets by its own size, so a large one is many groups; a bucket's rows at least are behind each row of this table.
     large = sources.where(F.col("_n") > BUCKET_ROWS).select("_name", "_null", F.ceil(F.col("_n") / BUCKET_ROWS).alias("_buckets"))
@@ -259,7 +257,7 @@ def _placed(documents: DataFrame, weights: dict[str, float] | None = None, sourc
     found = parts.groupBy(*group).agg(F.first("_before").alias("_before"), F.first("_first").alias("_first"), F.sort_array(F.collect_list(F.struct("_block", "_slot")))["_slot"].alias("_slots"))
     found = written(found, "slots")
     order = Window.partitionBy(*group).orderBy("_hash", "_tie")
-    ranked = dealt.withColumn("_rank", F.row_number().over(order) - 1).join(found, group)
+    ranked = dealt.withColumn("_rank", F.row_number().over(order) - 1).join(found.hint("merge"), group)
     rank = F.col("_rank") + F.col("_before")
     slot = F.element_at("_slots", (F.floor(rank / block_rows) - F.col("_first") + 1).cast("int"))
     return ranked.select("_row", slot.alias("_slot"), (slot * block_rows + rank % block_rows).alias("_place"))
