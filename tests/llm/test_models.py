@@ -125,15 +125,18 @@ def vectors(spark, rows):
 def test_top_k_is_exhaustive(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 6) / 8], 0) for i in range(300)]
-    rows += [(300, None, 0), (301, [1.0, None], 0), (302, [float("nan")] * 6, 0), (303, [float("inf")] * 6, 0), (320, [], 0), (340, [0.5] * 9, 0), rows[7], (None, [1.0] * 6, 0)]
+    rows += [(300, None, 0), (301, [1.0, None], 0), (302, [float("nan")] * 6, 0), (303, [float("inf")] * 6, 0), (320, [], 0), (340, [0.5] * 9, 0), rows[7], rows[20], (None, [1.0] * 6, 0)]
     q = topk.quantise(vectors(spark, rows))
     got = topk.top_k(q.where("id % 20 = 0"), q, 20, query_block=5, candidate_block=40).collect()
-    terms = {i: [int(np.floor(64 * x)) for x in v] for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    terms = [(i, [int(np.floor(64 * x)) for x in v]) for i, v, _ in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for i in (x for x in terms if x % 20 == 0):
-        ranked = sorted((-sum(a * b for a, b in zip(terms[i], terms[j], strict=False)), j) for j in terms if j != i)[:20]
-        want += [(i, n, j, -s) for n, (s, j) in enumerate(ranked, 1)]
-    assert sorted(map(tuple, got)) == sorted(want)
+    for a, (i, x) in enumerate(terms):
+        if i is not None and i % 20 == 0:
+            ranked = sorted((-sum(p * q for p, q in zip(x, y, strict=False)), j is None, j or 0) for b, (j, y) in enumerate(terms) if b != a)[:20]
+            want += [(i, n, None if missing else j, -s) for n, (s, missing, j) in enumerate(ranked, 1)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    twice = topk.quantise(vectors(spark, [(1, [1.0], 0), (1, [2.0], 0), (20, [1.0], 0)]))
+    assert [r.score for r in topk.top_k(twice.where("id = 20"), twice).collect()] == [8192, 4096]
     few = q.where("id < 3")
     assert topk.top_k(few, few, 20).count() == 6 and topk.top_k(q.limit(0), q.limit(0)).count() == 0
 
@@ -164,15 +167,23 @@ def test_vector_links(spark, monkeypatch):
     odd = [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, []), (904, [1.0, None]), (905, [2.0, 0.0]), (906, [1.0, 0.0])]
     data = [(i, [float(y) for y in v], 0) for i, v in rows] + [(i, v, 0) for i, v in odd] + [(None, [1.0] * 16, 0)]
     got = {r.vec_id: r for r in capfilters.near_duplicates(vectors(spark, data).withColumn("node", F.lit(1))).collect()}
-    assert len(got) == len(rows) + len(odd)
+    assert len(got) == len(rows) + len(odd) + 1
     found = np.array([got[i].n_links for i in range(len(rows))])
     assert (found <= links).all() and found.sum() >= 0.98 * links.sum()
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in (900, 901, 902, 903, 904))
     assert got[905].n_links == got[906].n_links == 1 and got[906].component_id == 905 and not got[906].kept
-    assert all(got[i].component_id <= i for i in got)
+    assert all(got[i].component_id <= i for i in got if i is not None)
     assert capfilters.near_duplicates(vectors(spark, [])).count() == 0
 
 
+def test_sizes_and_ids_of_vectors(spark):
+    rows = [(1, [1e300, 1e300], 0), (2, [1e300, 1.01e300], 0), (3, [1e-300, 1e-300], 0), (4, [5e-324, 0.0], 0), (4, [3.0, 0.1], 0), (None, [2.0, 0.0], 0), (None, [-1.0, 0.0], 0), (9, [-1.0, 0.01], 0), (None, None, 0), (8, None, 0), (8, None, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(map(repr, map(tuple, capfilters.near_duplicates(df).collect())))
+    want = [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 2, 4, True), (4, 2, 4, True), (None, 2, 4, False), (None, 1, 9, False), (9, 1, 9, True), (None, 0, None, True), (8, 0, 8, True), (8, 0, 8, True)]
+    assert got == sorted(map(repr, want))
+
+
 def test_filters_find_pairs_at_the_threshold():
     rng = np.random.default_rng(3)
     for dim in (8, 64, 200):
@@ -206,6 +217,14 @@ def test_archives_round_trip(spark, folder):
     assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to)) for r in got) == sorted(want)
     texts = {r.page_id: bytes(r.payload).decode() for r in got if r.record_type == "response" and r.page_id is not None}
     assert texts[6] == big and texts[4] == texts[5] == ""
+    import duckdb
+
+    from tidemark.llm.queries import OP9_SQL
+
+    con, frame = duckdb.connect(), pages.toArrow()
+    con.register("pages", frame)
+    theirs = con.execute(OP9_SQL).fetchall()
+    assert sorted(map(repr, theirs)) == sorted(repr((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in got)
     kinds = {r.kind for r in warc.read_records(spark, folder + "/w").collect()}
     assert kinds == {"response", "revisit", "continuation"}
     assert warc.round_trip(pages.limit(0)).count() == 0

@@ -4,7 +4,6 @@ import hashlib
 import random
 import zlib
 from collections import Counter
-from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -246,20 +245,6 @@ def test_mix(documents, corpus):
     assert again == {(r.doc_id, r._place) for r in rows if r.doc_id not in (None, 2, 31)}
 
 
-@pytest.mark.parametrize("trial", range(10))
-def test_every_source_keeps_within_a_block_of_its_share(trial):
-    rng = random.Random(trial)
-    weights = {f"s{i}": rng.random() + 0.01 for i in range(rng.randint(1, 8))}
-    share = mixing.shares(weights, 64)
-    seen = dict.fromkeys(weights, 0)
-    for t, s in enumerate(mixing.one_period(share, 64), 1):
-        seen[s] += 1
-        assert all(abs(Fraction(share[x] * t, 64) - seen[x]) < 1 for x in weights)
-    blocks = {s: rng.randint(0, 200) for s in weights}
-    slots = [run[3] + (j - run[1]) // len(run[5]) * run[4] + run[5][(j - run[1]) % len(run[5])] for run in mixing.schedule(blocks, weights, 64) for j in range(run[1], run[2])]
-    assert sorted(slots) == list(range(sum(blocks.values())))
-
-
 def test_empty_tables(nothing):
     assert suffixes.digest(nothing).count() == 0 and suffixes.without_repeats(nothing).columns == nothing.columns
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.one_of_each(nothing).count() == 0

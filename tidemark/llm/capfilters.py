@@ -14,9 +14,11 @@ smaller number finds too, and a spanning forest of them.  No list of pairs is ev
 
 Links are exact (none is below the threshold); the share of links found is measured in the tests.
 
-Defined cases: vectors that are null, empty, zero or hold a null or non-finite component link with nothing and are
-their own component; vectors of different lengths do not link; rows without an id are left out; rows that share an id
-count as one (its smallest vector); an empty table gives no rows; other columns are ignored.
+Defined cases: every row is a vector of its own and gives a row, rows that share an id and rows without an id too (a
+component's id is the least id in it, null if it has none; such a row is kept); vectors that are null, empty, zero or hold a null
+or non-finite component link with nothing and are their own component; vectors of different lengths do not link; finite
+components of any size count, as vectors are scaled by their largest component first; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import is_finite_vector, joined_labels, written
+from tidemark.llm.common import is_finite_vector, join_each, joined_labels, written
 from tidemark.llm.components import components
 
 THRESHOLD = 0.95
@@ -41,6 +43,12 @@ SEED = 7
 _CELL = "node long, links long, root long"
 
 
+def unit_vectors(vectors: np.ndarray) -> np.ndarray:
+    """Each row at length one; scaled by its largest component first, so that no square overflows or vanishes."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
 def code_shape(n: int, dim: int) -> tuple[int, int]:
     """(blocks, words): about n * EXPECTED / FILL directions, in as few blocks as keep the books under 128 words."""
     wanted = max(64.0, n * EXPECTED / FILL)
@@ -78,7 +86,7 @@ def filters_of(vectors: np.ndarray, n: int, expected: float = EXPECTED, least: i
     dim = vectors.shape[1]
     blocks, words = code_shape(n, dim)
     books = code_books(dim, blocks, words)
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = unit_vectors(vectors)
     share = min(0.5, expected / words**blocks)
     threshold = NormalDist().inv_cdf(1 - share) / math.sqrt(dim)
     rows, codes, open_rows = [], [], np.arange(len(unit))
@@ -122,7 +130,7 @@ def _map_filters(n: int, expected: float):
 def _compare(x: np.ndarray, copies: np.ndarray, codes: list[np.ndarray], code: int, side_a: np.ndarray, side_b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(links, labels) of a cell's vectors; a pair counts unless a filter of smaller number holds both."""
     n = len(x)
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    unit = unit_vectors(x)
     links, labels = np.zeros(n, dtype=np.int64), np.arange(n)
     smaller = [c[: np.searchsorted(c, code)] for c in codes]
     names = np.unique(np.concatenate(smaller)) if n else np.zeros(0)
@@ -183,12 +191,15 @@ def _cells(threshold: float):
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding", expected: float = EXPECTED) -> DataFrame:
     """vec_id, n_links, component_id and kept (vec_id = component_id) of every vector."""
-    named = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("raw"))
+    named = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("raw"))
     as_double = F.transform("raw", lambda x: x.cast("double"))
     usable = is_finite_vector(F.col("raw")) & F.exists("raw", lambda x: x != 0)
-    rows = written(named.select("vec_id", F.when(usable, as_double).alias("vector")).groupBy("vec_id").agg(F.min("vector").alias("vector")), "vectors")
+    rows = named.select("vec_id", F.when(usable, as_double).alias("vector"))
+    rows = written(rows.withColumn("hash", F.xxhash64("vector")), "vectors")
     real = rows.where("vector IS NOT NULL")
-    distinct = written(real.groupBy("vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "distinct")
+    # Ids may repeat, so different vectors are told apart by a number of their own; the table's rows are fixed once it is written.
+    counted = written(real.groupBy("hash", "vector").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies")), "counted")
+    distinct = written(counted.withColumn("node", F.monotonically_increasing_id()), "distinct")
     n = distinct.count()
     held = distinct.mapInArrow(_map_filters(n, expected), "node long, copies long, vector array<double>, dim int, code long, codes array<long>")
     held = written(held, "filters")
@@ -201,8 +212,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     found = written(found.sortWithinPartitions("dim", "code", "low", "high").mapInArrow(_cells(threshold), _CELL), "found")
     links = found.groupBy("node").agg(F.sum("links").alias("found"))
     roots = components(found, "node", "root")
-    told = distinct.join(links, "node", "left").join(roots, "node", "left")
-    told = told.select("vector", (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
-    linked = real.join(told, "vector").select("vec_id", "n_links", "component_id")
+    own = distinct.select("hash", "vector", "first_id", "copies", "node")
+    told = own.join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    told = written(told.select("hash", "vector", "first_id", "copies", "root", (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "told")
+    ids = written(told.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n")), "ids")
+    told = join_each(told, ids.drop("n"), ["root"], ids).select("hash", "vector", "n_links", "component_id")
+    linked = join_each(real, written(told, "classes"), ["hash", "vector"], distinct.withColumnRenamed("copies", "n")).select("vec_id", "n_links", "component_id")
     alone = rows.where("vector IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

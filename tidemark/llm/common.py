@@ -6,17 +6,41 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.folders import fresh_path, written  # noqa: F401
+from tidemark.sources.folders import drop_written, fresh_path, written  # noqa: F401
 
 
-def drop_written(df: DataFrame) -> None:
-    """Remove a table made by ``written`` once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if "-" in folder.getName():
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+#: A key is heavy if it holds more than one in so many rows; so there are fewer heavy keys than this.
+HEAVY = 1000
+
+
+def _same(left: DataFrame, right: DataFrame, on: list[str]):
+    """(condition, right): null-safe equality on ``on``, with these columns of ``right`` renamed."""
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+    return same, right.withColumnsRenamed({c: f"_on_{c}" for c in on})
+
+
+def join_each(rows: DataFrame, ones: DataFrame, on: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """Inner join of ``rows`` with ``ones``, which holds a key once at most; null keys are equal.
+
+    The rows of heavy keys meet theirs by a broadcast of fewer than ``HEAVY`` rows, whatever their number; the
+    others by a shuffle, in which no key has more than one in ``HEAVY`` rows.  ``counts`` (on, n) says how many rows each key
+    has, if that is known.
+    """
+    counts = rows.groupBy(*on).agg(F.count("*").alias("n")) if counts is None else counts.select(*on, "n")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    busy = counts.where(F.col("n") * HEAVY > total).select(*on).collect()
+    names = [f"_on_{c}" for c in on]
+    same, renamed = _same(rows, ones, on)
+    if not busy:
+        return rows.join(renamed, same).drop(*names)
+    heavy = rows.sparkSession.createDataFrame(busy, counts.select(*on).schema)
+    of_heavy, keys = _same(rows, heavy, on)
+    few, few_keys = _same(ones, heavy, on)
+    hot = ones.join(F.broadcast(few_keys), few, "left_semi").withColumnsRenamed(dict(zip(on, names, strict=True)))
+    light = rows.join(F.broadcast(keys), of_heavy, "left_anti").join(renamed, same)
+    return rows.join(F.broadcast(hot), same).drop(*names).unionByName(light.drop(*names))
 
 
 def hashed_sample(df: DataFrame, by: list[str], rows: int) -> DataFrame:
@@ -29,6 +53,18 @@ def hashed_sample(df: DataFrame, by: list[str], rows: int) -> DataFrame:
     return df.where(low).orderBy(F.shiftrightunsigned(F.xxhash64(*by), 32), *df.columns).limit(rows)
 
 
+def sampled_labels(labels: DataFrame, value: str, rows: int) -> DataFrame:
+    """(doc_id, label): at most ``rows`` labelled doc_ids, each once; of differing labels of one doc_id the larger counts."""
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col(value).isin(0, 1))
+    return hashed_sample(usable.groupBy("doc_id").agg(F.max(F.col(value).cast("int")).alias("label")), ["doc_id"], rows)
+
+
+def labelled_texts(documents: DataFrame, sample: DataFrame) -> DataFrame:
+    """(label, text): the text of each sampled doc_id, the least of those of a repeated doc_id, so at most a row for each label."""
+    found = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    return written(found.groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("label", "text"), "labelled")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

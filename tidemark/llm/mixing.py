@@ -17,14 +17,14 @@ Ranks within a source come from two-step counting over hash buckets: no source i
 
 Defined cases: a null source is a source of its own; sources without a weight share the rows' own proportion of
 what the given weights leave (1e-9 where these leave nothing); sources with a weight but no rows are ignored; repeated
-rows are rows like any; ties in hash are in the order of a second hash; an empty table gives no rows; extra columns
-stay as they are.
+rows are rows like any; ties in hash are in the order of a second hash; null, negative, zero or non-finite target weights count
+as not given; null and empty texts and texts of any length are rows like any; an empty table gives no rows; extra columns, of
+whatever names, stay as they are.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
 
 import numpy as np
 import pandas as pd
@@ -33,75 +33,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
 
-#: Rows of a block; slots of a period of ``schedule``; rows of a hash bucket; slots of a stretch (more when windows are longer).
-BLOCK_ROWS, PERIOD, BUCKET_ROWS, STRETCH = 8, 1024, 1000, 1 << 16
+#: Rows of a block; rows of a hash bucket; slots of a stretch (more when windows are longer).
+BLOCK_ROWS, BUCKET_ROWS, STRETCH = 8, 1000, 1 << 16
 #: Without target weights a source weighs its row count to this power.
 SMOOTHING = 0.5
 
 
-def shares(weights: dict[str | None, float], period: int) -> dict[str | None, int]:
-    """Whole slots out of ``period`` for each source, at least one, by largest remainder."""
-    total = sum(weights.values())
-    exact = {s: w / total * period for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    name = lambda s: (s is not None, s or "")
-    spare = period - sum(out.values())
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], name(s)))[: max(spare, 0)]:
-        out[s] += 1
-    while sum(out.values()) > period:
-        out[max(out, key=lambda s: (out[s] - exact[s], name(s)))] -= 1
-    return out
-
-
-def one_period(slots: dict[str | None, int], period: int) -> list:
-    """The source of each slot: earliest deadline first among released blocks."""
-    order = {s: k for k, s in enumerate(sorted(slots, key=lambda s: (s is not None, s or "")))}
-    releases = [[] for _ in range(period)]
-    for s, k in slots.items():
-        for i in range(1, k + 1):
-            releases[(i - 1) * period // k].append((-(-i * period // k), order[s], i, s))
-    ready, out = [], []
-    for slot in range(period):
-        for block in releases[slot]:
-            heapq.heappush(ready, block)
-        due, _, _, source = heapq.heappop(ready)
-        if due <= slot:
-            raise AssertionError("a block missed its deadline")
-        out.append(source)
-    return out
-
-
-def schedule(blocks: dict[str | None, int], weights: dict[str | None, float], period: int = PERIOD) -> list[tuple]:
-    """(source, first block, end block, first slot, period, offsets): block j of a run is in slot
-    first slot + (j - first block) // len(offsets) * period + offsets[(j - first block) % len(offsets)]."""
-    left = {s: n for s, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    slot, runs = 0, []
-    while left:
-        length = max(period, 2 ** math.ceil(math.log2(4 * len(left))))
-        share = shares({s: weights[s] for s in left}, length)
-        order = one_period(share, length)
-        whole = min(n // share[s] for s, n in left.items())
-        remaining = {s: n - whole * share[s] for s, n in left.items()}
-        part, used = 0, dict.fromkeys(left, 0)
-        if all(remaining.values()):
-            for part, s in enumerate(order, 1):  # into the next period, until the first source runs out
-                used[s] += 1
-                if used[s] == remaining[s]:
-                    break
-        offsets = {s: [] for s in left}
-        for k, s in enumerate(order):
-            offsets[s].append(k)
-        for s in left:
-            n = whole * share[s] + used[s]
-            if n:
-                runs.append((s, done[s], done[s] + n, slot, length, offsets[s]))
-            done[s] += n
-        slot += whole * length + part
-        left = {s: blocks[s] - done[s] for s in left if blocks[s] > done[s]}
-    return runs
-
-
 class Fluid:
     """Slots as a function of the share dealt, for all sources at once and without phases.
 
@@ -197,7 +134,8 @@ def _kinds(sources: DataFrame, weights: dict[str, float] | None, block_rows: int
     if weights is None:
         weighed = sources.withColumn("_weight", F.pow(F.col("_n"), F.lit(SMOOTHING)))
     else:
-        given = spark.createDataFrame([(s or "", s is None, float(w)) for s, w in weights.items()], "_name string, _null boolean, _given double")
+        usable = [(s or "", s is None, float(w)) for s, w in weights.items() if w is not None and 0 < w < float("inf")]
+        given = spark.createDataFrame(usable, "_name string, _null boolean, _given double")
         sources = sources.join(F.broadcast(given), ["_name", "_null"], "left")
         taken, others = sources.agg(F.sum("_given"), F.sum(F.when(F.col("_given").isNull(), F.col("_n")))).first()
         rest = F.lit(max(1.0 - (taken or 0.0), 0.0) / (others or 1)) * F.col("_n")

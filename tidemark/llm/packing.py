@@ -12,7 +12,8 @@
 
 Defined cases: a null or empty text is the closing id alone; a document of several thousand tokens gives
 several whole sequences and a remainder; repeated rows and repeated doc_ids are packed each; ties in length
-are ranked by partition and row (with ``in_order`` by file name and row); an empty table gives no rows; other columns are ignored.
+are ranked by partition and row (with ``in_order`` by file name and row); an empty table gives no rows; other columns are
+ignored; a text with a hundred thousand blanks in a row, or an added token, has its ids from the tokenizers library directly.
 """
 
 from __future__ import annotations
@@ -32,8 +33,13 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import written
 
 CAPACITY = 1024
-#: What cutting a piece adds to its share of a sequence, in the linear program; and the most simplex pivots.
-CUT_COST, PIVOTS = 0.02, 300
+#: What cutting a piece adds to its share of a sequence, in the linear program.
+CUT_COST = 0.02
+#: The simplex ends once its value is proven to be so near the optimum, as a share of it, or once as many exchanges as
+#: there are lengths have gained less than that (what is left to gain lies within the price of cutting).
+GAP = 0.002
+#: The table of ranks before each part is broadcast up to so many rows (some 40 MB), joined by a shuffle beyond.
+BROADCAST_ROWS = 1_000_000
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, block long, local long, number long, ids array<int>"
 
@@ -183,13 +189,22 @@ def _greedy(sizes: np.ndarray, demand: np.ndarray, apart: np.ndarray, capacity:
     return columns, amounts
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, cut_cost: float = CUT_COST, pivots_at_most: int = PIVOTS) -> list[tuple[dict[int, int], int]]:
+def _exchange(inverse: np.ndarray, column: np.ndarray, leaving: int) -> None:
+    """The basis inverse after ``column`` (in terms of the basis) takes the place of column ``leaving``."""
+    pivot = inverse[leaving] / column[leaving]
+    touched = np.flatnonzero(column)
+    inverse[touched] -= column[touched, None] * pivot
+    inverse[leaving] = pivot
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, cut_cost: float = CUT_COST, gap: float = GAP) -> list[tuple[dict[int, int], int]]:
     """Whole-piece patterns ({length: pieces}, how often); the pieces that they leave are for cutting.
 
     Revised simplex over the histogram's lengths.  A piece of length n left for cutting costs its share of
     a sequence and ``cut_cost`` of that on top, so only patterns that are nearly full are worth a sequence.
     A greedy packing gives the first basis; the knapsack prices entering patterns, the ratio test picks the
-    leaving column.
+    leaving column.  Duals scaled until no column prices out bound the optimum from below: it ends within ``gap`` of that
+    bound, or where no more is gained.  No call here goes to a threaded linear algebra library: such a call hung in a driver that had forked.
     """
     sizes = np.array(sorted(n for n, k in histogram.items() if k > 0 and n < capacity), dtype=np.int64)
     used: list[tuple[dict[int, int], int]] = []
@@ -200,33 +215,41 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, cut_cost: float =
     demand = np.array([histogram[int(n)] for n in sizes], dtype=float)
     apart = sizes * (1 + cut_cost) / capacity
     columns, amounts = _greedy(sizes, demand, apart, capacity)
+    # Slightly more of each column: no amount is zero, so every exchange gains and none comes back.
+    amounts = amounts + np.random.default_rng(0).uniform(0.5e-4, 1e-4, len(sizes))
     costs = np.array([1.0 if c else a for c, a in zip(columns, apart, strict=True)])
-    basis = np.eye(len(sizes))
+    inverse = np.eye(len(sizes))
+    combined = lambda pattern: (inverse[:, list(pattern)] * np.array(list(pattern.values()), dtype=float)).sum(axis=1)
     for j, column in enumerate(columns):
         if column:
-            basis[:, j] = 0
-            basis[list(column), j] = list(column.values())
-    inverse = np.linalg.inv(basis)
-    pivots = 0
-    while pivots < pivots_at_most:
-        duals = costs @ inverse
-        entering = [(1.0, p) for p in best_patterns(np.maximum(duals, 0), sizes, capacity)]
+            _exchange(inverse, combined(column), j)
+    pivots, best_bound, mark, at_mark = 0, 0.0, 0, np.inf
+    while True:
+        duals = np.einsum("i,ij->j", costs, inverse)
+        priced, above = best_patterns(np.maximum(duals, 0), sizes, capacity), np.maximum(duals, 0)
+        worth = sum(above[i] * k for i, k in priced[0].items()) if priced else 0.0
+        best_bound = max(best_bound, float((above * demand).sum()) / max(1.0, worth, float((above / apart).max())))
+        now = float((costs * amounts).sum())
+        if now <= best_bound * (1 + gap):
+            break
+        if pivots >= mark:
+            if at_mark - now < gap * now:
+                break
+            mark, at_mark = pivots + len(sizes), now
+        entering = [(1.0, p) for p in priced]
         entering += [(apart[i], None, int(i)) for i in np.argsort(apart - duals)[:8]]  # back to cutting
         before = pivots
         for cost, pattern, *own in entering:
-            column = inverse[:, own[0]].copy() if own else inverse[:, list(pattern)] @ np.array(list(pattern.values()), dtype=float)
+            column = inverse[:, own[0]].copy() if own else combined(pattern)
             rising = column > 1e-9
-            if costs @ column - cost <= 1e-6 or not rising.any():
+            if (costs * column).sum() - cost <= 1e-6 or not rising.any():
                 continue
             ratio = np.where(rising, amounts / np.where(rising, column, 1), np.inf)
             leaving = int(ratio.argmin())
             step = ratio[leaving]
             amounts = np.maximum(amounts - step * column, 0)
             amounts[leaving] = step
-            pivot = inverse[leaving] / column[leaving]
-            touched = np.flatnonzero(column)
-            inverse[touched] -= np.outer(column[touched], pivot)
-            inverse[leaving] = pivot
+            _exchange(inverse, column, leaving)
             costs[leaving], columns[leaving] = cost, pattern
             pivots += 1
         if pivots == before:
@@ -292,7 +315,7 @@ def pack(documents: DataFrame, tokenizer: str | None = None, ranks: str | None =
     """
     spark = documents.sparkSession
     pieces = written(tokenised(documents, tokenizer or default_paths()[0], ranks or default_paths()[1], capacity, end_id, in_order), "pieces")
-    counts = pieces.groupBy("length", "part", "block").agg(F.count("*").alias("n"))
+    counts = written(pieces.groupBy("length", "part", "block").agg(F.count("*").alias("n")), "counts")
     # A row for each length and partition: the ranks before a partition are a sum over the earlier ones.
     before = counts.select("length", "part", "block", (F.sum("n").over(Window.partitionBy("length").orderBy("part", "block")) - F.col("n")).alias("before"))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -307,6 +330,8 @@ def pack(documents: DataFrame, tokenizer: str | None = None, ranks: str | None =
         base.append((part, block, total))
         total += n
     base = F.broadcast(spark.createDataFrame(base, "part int, block long, base long"))
+    if counts.count() <= BROADCAST_ROWS:
+        before = F.broadcast(before)
     ranked = pieces.join(before, ["length", "part", "block"]).join(base, ["part", "block"]).withColumn("position", F.col("base") + F.col("number")).drop("base", "number")
     ranked = ranked.withColumn("rank", F.col("before") + F.col("local"))
     placed = ranked.join(F.broadcast(runs), "length").withColumn(

@@ -3,16 +3,18 @@
 A logistic regression on shape features of the whole text gives each document a probability of being good.
 Sums of these by host and by path below it give group means; a group's posterior is its mean shrunk towards its
 parent's (path to host to all documents) by a prior strength that the spread between groups sets (method of
-moments), so a site of few documents says little and a large one speaks for itself.  A document's score adds its
+moments; for paths the spread is that around their own host's mean), so a site of few documents says little and a large one
+speaks for itself.  A document's score adds its
 path's posterior, as a shift in log odds against the whole, to its own evidence.
 
 All group figures are sums, combined before the shuffle, over all documents; the only bounded sample is the
 labelled rows of the fit (``SAMPLE_ROWS``, smallest hashes of doc_id).
 
 Defined cases: null text is empty and has features like any; a null host or path is a group of its own; labels of
-missing documents or other values than 0 and 1 are ignored; without labels of both classes the own evidence is
-the share of label 1 (a half when there are none); repeated rows count each; an empty table gives no rows; other columns
-are ignored.
+missing documents or other values than 0 and 1 are ignored, a doc_id with several counts once (the larger); without labels
+of both classes the own evidence is near the one label (a half when there are none); repeated rows count each, and a doc_id that
+repeats trains once, by its least text; a text of any length is one row of shape features; a score of exactly a half is kept; an empty
+table gives no rows; other columns, of whatever names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import hashed_sample, written
+from tidemark.llm.common import join_each, labelled_texts, sampled_labels, written
 
 SAMPLE_ROWS = 20_000
 #: Bounds of a prior strength, in documents; weight of the site's shift.
@@ -80,9 +82,8 @@ def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, rounds: int = 300) -> QualityModel:
     """Fit on labelled rows (doc_id, quality), at most ``sample_rows``."""
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
-    sample = hashed_sample(usable.select("doc_id", F.col("quality").cast("int").alias("good")), ["doc_id"], sample_rows)
-    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("good", "text").mapInArrow(_shapes, "good int, x array<double>").collect()
+    texts = labelled_texts(documents, sampled_labels(labels, "quality", sample_rows)).withColumnRenamed("label", "good")
+    rows = texts.mapInArrow(_shapes, "good int, x array<double>").collect()
     rows = sorted((r.good, list(r.x)) for r in rows)
     y = np.array([r[0] for r in rows], dtype=float)
     if not len(y) or y.min() == y.max():
@@ -91,9 +92,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     model = QualityModel(x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6))
     z = model.expand(x)
     w, b, squares, b_squares = np.zeros(z.shape[1]), 0.0, np.full(z.shape[1], 1e-10), 1e-10
-    for _ in range(rounds):  # AdaGrad
-        error = (1 / (1 + np.exp(-np.clip(z @ w + b, -30, 30))) - y) / len(y)
-        slope = z.T @ error + 0.1 / len(y) * w
+    for _ in range(rounds):  # AdaGrad; einsum keeps to this thread, where a threaded library may hang in a driver that has forked
+        error = (1 / (1 + np.exp(-np.clip(np.einsum("ij,j->i", z, w) + b, -30, 30))) - y) / len(y)
+        slope = np.einsum("ij,i->j", z, error) + 0.1 / len(y) * w
         squares += slope**2
         w -= 0.3 * slope / np.sqrt(squares)
         b_squares += error.sum() ** 2
@@ -114,28 +115,32 @@ def evidence(documents: DataFrame, model: QualityModel, host: str = "source", pa
     return named.mapInArrow(scored, "doc_id long, host string, path string, own double")
 
 
-def _strength(groups: DataFrame, mean: float) -> float:
-    """The prior's weight in documents: binomial spread over the spread between groups that is left after sampling."""
-    r = groups.agg(F.count("*").alias("g"), F.sum("n").alias("n"), F.sum(F.col("n") * F.pow(F.col("total") / F.col("n") - mean, 2)).alias("between"), F.sum(F.col("squares") - F.col("total") * F.col("total") / F.col("n")).alias("within")).first()
-    if not r.g or r.g < 2 or r.n <= r.g:
+def _strength(groups: DataFrame, mean: float, parents: int) -> float:
+    """The prior's weight in documents: binomial spread over the spread of groups around their parents that is left after sampling.
+
+    ``groups`` has n, total, squares and the ``centre`` of the parent; there are ``parents`` of these.
+    """
+    r = groups.agg(F.count("*").alias("g"), F.sum("n").alias("n"), F.sum(F.col("n") * F.pow(F.col("total") / F.col("n") - F.col("centre"), 2)).alias("between"), F.sum(F.col("squares") - F.col("total") * F.col("total") / F.col("n")).alias("within")).first()
+    if not r.g or r.g <= parents or r.n <= r.g:
         return STRENGTH[1]
     within = max(r.within / (r.n - r.g), 1e-12)
-    spread = (r.between - within * (r.g - 1)) / r.n
+    spread = (r.between - within * (r.g - parents)) / r.n
     return float(min(max(mean * (1 - mean) / spread - 1, STRENGTH[0]), STRENGTH[1])) if spread > 1e-12 else STRENGTH[1]
 
 
 def posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
-    """(host, path, host_posterior, path_posterior) of every path, and the global mean."""
+    """(host, path, n, host_posterior, path_posterior) of every path, and the global mean."""
     sums = [F.count("*").alias("n"), F.sum("own").alias("total"), F.sum(F.col("own") * F.col("own")).alias("squares")]
     paths = written(scored.groupBy("host", "path").agg(*sums), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"))
-    whole = hosts.agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
+    hosts = written(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.count("*").alias("paths")), "hosts")
+    whole = hosts.agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.count("*").alias("hosts")).first()
     mean = min(max(whole.total / whole.n, 1e-6), 1 - 1e-6) if whole.n else 0.5
-    of_hosts, of_paths = _strength(hosts, mean), _strength(paths, mean)
-    shrunk = hosts.select(F.col("host").alias("_host"), ((F.col("total") + of_hosts * mean) / (F.col("n") + of_hosts)).alias("host_posterior"))
-    both = paths.join(shrunk, F.col("host").eqNullSafe(F.col("_host")))
+    of_hosts = _strength(hosts.withColumn("centre", F.lit(mean)), mean, 1)
+    shrunk = hosts.select("host", (F.col("total") / F.col("n")).alias("centre"), ((F.col("total") + of_hosts * mean) / (F.col("n") + of_hosts)).alias("host_posterior"))
+    both = written(join_each(paths, shrunk, ["host"], hosts.select("host", F.col("paths").alias("n"))), "both")
+    of_paths = _strength(both, mean, whole.hosts)
     path = (F.col("total") + of_paths * F.col("host_posterior")) / (F.col("n") + of_paths)
-    return both.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "host_posterior", path.alias("path_posterior")), mean
+    return both.select("host", "path", "n", "host_posterior", path.alias("path_posterior")), mean
 
 
 def score(documents: DataFrame, model: QualityModel, host: str = "source", path: str = "lang", site_weight: float = SITE_WEIGHT) -> DataFrame:
@@ -144,6 +149,6 @@ def score(documents: DataFrame, model: QualityModel, host: str = "source", path:
     groups, mean = posteriors(scored)
     odds = lambda p: F.log(p / (1 - p))
     bounded = lambda c: F.least(F.greatest(c, F.lit(1e-9)), F.lit(1 - 1e-9))
-    joined = scored.join(groups, F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path")))
+    joined = join_each(scored, groups.drop("n"), ["host", "path"], groups)
     z = odds(bounded(F.col("own"))) + site_weight * (odds(bounded(F.col("path_posterior"))) - float(np.log(mean / (1 - mean))))
     return joined.select("doc_id", "own", "host_posterior", "path_posterior", (1 / (1 + F.exp(-z))).alias("score")).withColumn("keep", (F.col("score") >= 0.5).cast("int"))

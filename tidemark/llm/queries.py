@@ -74,25 +74,26 @@ WITH p AS (
 ), d AS (
   SELECT page_id, octet_length(payload) AS n, sha256(payload) AS digest FROM p
 ), f AS (
-  SELECT *, min(page_id) OVER (PARTITION BY digest, n) AS first FROM d
+  SELECT *, min(page_id) OVER (PARTITION BY digest, n) AS first,
+         row_number() OVER (PARTITION BY digest, n ORDER BY page_id NULLS LAST) AS place FROM d
 )
 SELECT page_id, n AS payload_bytes, digest AS payload_digest,
-       CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
+       CASE WHEN n >= 100 AND page_id IS NOT NULL AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id IS NOT NULL AND place > 1 THEN first END AS refers_to
 FROM f
 """
 
 OP8_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS t
+  SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS t
   FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.t, c.t) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+  SELECT q.i, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.t, c.t) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.i <> c.i
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s
 ) WHERE rank <= 20
 """
 

@@ -13,7 +13,8 @@ beyond the budget.  A subtrie reports a spanning forest of its links, at most on
 
 Defined cases: null text is empty; repeated rows and doc_ids are rows of their own and get the same class; rows
 with a null doc_id get their class's smallest id (null if it has none); an empty table gives no rows; other
-columns are ignored.
+columns are ignored; a text of any length is one row with one fingerprint, worked out 4096 shingles at a time; a bit that half of
+the shingles set, no more, is not set.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import joined_labels, written
+from tidemark.llm.common import join_each, joined_labels, written
 from tidemark.llm.components import components
 
 BUDGET = 3
@@ -181,22 +182,28 @@ def links(distinct: DataFrame, budget: int = BUDGET, crowded: int = CROWDED) ->
 
 
 def classes(marks: DataFrame, budget: int = BUDGET, crowded: int = CROWDED) -> DataFrame:
-    """(fp, component_id, root) for each distinct fingerprint of ``marks`` (doc_id, fp).
+    """(fp, n, component_id, root) for each distinct fingerprint of ``marks`` (doc_id, fp), which n rows have.
 
     The root is a fingerprint of the class and no other's; two classes that share a doc_id may share the component_id.
     """
-    distinct = marks.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    distinct = written(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct")
     roots = components(links(distinct, budget, crowded))
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rooted.join(ids, "root").select("fp", "component_id", "root")
+    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = written(rooted, "rooted")
+    ids = written(rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n")), "ids")
+    return join_each(rooted, ids.drop("n"), ["root"], ids).select("fp", "n", "component_id", "root")
+
+
+def _placed(documents: DataFrame, budget: int, crowded: int) -> DataFrame:
+    """(doc_id, text_key, fp, component_id, root) of every row."""
+    marks = written(fingerprints(documents), "fingerprints")
+    found = written(classes(marks, budget, crowded), "classes")
+    return join_each(marks, found.drop("n"), ["fp"], found)
 
 
 def near_duplicates(documents: DataFrame, budget: int = BUDGET, crowded: int = CROWDED) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row."""
-    marks = written(fingerprints(documents), "fingerprints")
-    found = classes(marks, budget, crowded)
-    return marks.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _placed(documents, budget, crowded).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(documents: DataFrame, budget: int = BUDGET, crowded: int = CROWDED) -> DataFrame:
@@ -205,8 +212,7 @@ def one_of_each(documents: DataFrame, budget: int = BUDGET, crowded: int = CROWD
     Of repeated rows one stays; rows without a doc_id stay only where their class has no doc_id at all (one for
     each fingerprint).  Rows come with their own columns, whatever these are.
     """
-    marks = written(fingerprints(documents), "fingerprints")
-    placed = marks.join(classes(marks, budget, crowded), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    placed = _placed(documents, budget, crowded).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # Rows of one class and doc_id with different texts: the text of least hash. Copies of a row are counted.
     best = placed.groupBy("root", "fp", "doc_id", "text_key").agg(F.count("*").alias("rows"))
     best = best.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("fp")).alias("nameless"), "root").agg(F.min(F.struct("text_key", "rows")).alias("first"))

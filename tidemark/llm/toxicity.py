@@ -1,17 +1,20 @@
 """Toxicity: a counterfactual-regularised classifier.
 
-A logistic regression on word and word-beginning features.  Each labelled text that mentions an identity
-group also yields a counterfactual, the same text with its identity terms swapped for those of the opposite
-or next group; the loss adds ``penalty * (score change in logits) ** 2``, so a neutral mention of a group
-moves a score no more than a mention of another group does.
+A logistic regression on word and word-beginning features.  Each sentence of a labelled text that mentions an identity
+group yields a counterfactual, the same sentence with its identity terms swapped for those of the opposite
+or next group; the loss adds ``penalty * (score change in logits) ** 2``, averaged over a text's different changes, so a
+neutral mention of a group moves a score no more than a mention of another group does.
 
 The model is fitted on a bounded sample of labelled rows (``SAMPLE_ROWS``, the smallest hashes of doc_id,
 so the sample is the same at every run); scoring covers every whole text and is a pure map: no shuffle.
 Inputs of a score are words of the text only.
 
 Defined cases: null text is empty and scores the model's bias, like any text without known features; labels
-whose document or value is missing are ignored; without labels of both classes every score is the share of
-label 1 (0 when there are none); repeated rows are scored each; extra columns are kept out of the model.
+whose document or value is missing are ignored, a doc_id with several labels counts once (the larger); without labels of both
+classes every score is near the one label (0 when there are none); repeated rows are scored each and alike, and a doc_id that
+repeats trains once, by its least text; ties in the sample, of features of equal chi-square, are in the order of their
+doc_ids and names; a text of any length is one set of words; empty tables of documents or labels give no rows or the model of no
+labels; extra columns, of whatever names, are kept out of the model and kept with the rows.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import hashed_sample
+from tidemark.llm.common import labelled_texts, sampled_labels
 
 #: Labelled rows the model is fitted on, at most.
 SAMPLE_ROWS = 20_000
@@ -52,6 +55,9 @@ IDENTITY_GROUPS = (
     (("mujeres", "mujer"), ("hombres", "hombre")),
 )
 WORD = re.compile(r"[^\W\d_]+")
+SENTENCE = re.compile(r"[.!?\n]+")
+#: Words whose features a worker keeps at hand.
+KEPT_WORDS = 500_000
 STARTS = (3, 4, 5, 6)
 
 
@@ -82,23 +88,55 @@ class ToxicityModel:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = -20.0
 
+    def __post_init__(self):
+        self._known: dict[str, tuple[int, ...]] = {}
+
+    def __getstate__(self):
+        return (self.index, self.weights, self.bias)
+
+    def __setstate__(self, state):
+        self.index, self.weights, self.bias = state
+        self._known = {}
+
     def active(self, found: set[str]) -> list[int]:
-        get = self.index.get
-        return sorted({i for f in features_of(found) if (i := get(f)) is not None})
+        """The features of a set of words; a word's own are looked up once."""
+        known, get, out = self._known, self.index.get, set()
+        if len(known) > KEPT_WORDS:
+            known.clear()
+        for w in found:
+            own = known.get(w)
+            if own is None:
+                own = known[w] = tuple(i for f in features_of({w}) if (i := get(f)) is not None)
+            if own:
+                out.update(own)
+        return sorted(out)
+
+    def changes(self, text: str, swaps: dict[str, str]) -> list[list[int]]:
+        """The different changes that swapping a sentence's identity terms makes: features lost (as -1 - i) and gained."""
+        out = set()
+        for sentence in SENTENCE.split(text):
+            found = words(sentence)
+            if not found.isdisjoint(swaps):
+                own, other = set(self.active(found)), set(self.active({swaps.get(w, w) for w in found}))
+                if own != other:
+                    out.add((*sorted(-1 - i for i in own - other), *sorted(other - own)))
+        return [list(c) for c in sorted(out)]
 
     def score(self, text: str | None) -> float:
         z = self.bias + float(self.weights[self.active(words(text))].sum())
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
 
 
-def _descend(rows: list[tuple[int, list[int], list[int]]], n: int, penalty: float, l2: float, rounds: int) -> tuple[np.ndarray, float]:
+def _descend(rows: list[tuple[int, list[int], list[list[int]]]], n: int, penalty: float, l2: float, rounds: int) -> tuple[np.ndarray, float]:
     """Minimise mean log loss + penalty * mean squared counterfactual change + (l2 / rows) * weights, by AdaGrad over full batches."""
     y = np.array([r[0] for r in rows], dtype=float)
     row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
     column = np.fromiter((i for r in rows for i in r[1]), dtype=np.int64)
-    changes = [(k, i, s) for k, r in enumerate(rows) for s, part in ((1.0, set(r[1]) - set(r[2])), (-1.0, set(r[2]) - set(r[1]))) for i in part if r[2]]
-    c_row, c_col = np.array([c[0] for c in changes], dtype=np.int64), np.array([c[1] for c in changes], dtype=np.int64)
-    c_sign = np.array([c[2] for c in changes])
+    swapped = [(c, 1.0 / len(r[2])) for r in rows for c in r[2]]
+    c_row = np.repeat(np.arange(len(swapped)), [len(c) for c, _ in swapped])
+    c_all = np.fromiter((i for c, _ in swapped for i in c), dtype=np.int64)
+    c_sign, c_col = np.where(c_all < 0, -1.0, 1.0), np.where(c_all < 0, -1 - c_all, c_all)
+    c_weight = np.array([w for _, w in swapped]) / len(y)
     prior = min(max(y.mean(), 1e-6), 1 - 1e-6)
     w, b = np.zeros(n), float(np.log(prior / (1 - prior)))
     squares, b_squares = np.full(n, 1e-10), 1e-10
@@ -107,7 +145,7 @@ def _descend(rows: list[tuple[int, list[int], list[int]]], n: int, penalty: floa
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
         slope = np.bincount(column, error[row], minlength=n) + l2 / len(y) * w
         if len(c_row):
-            moved = np.bincount(c_row, c_sign * w[c_col], minlength=len(rows)) / len(y)
+            moved = np.bincount(c_row, c_sign * w[c_col], minlength=len(swapped)) * c_weight
             slope += 2 * penalty * np.bincount(c_col, c_sign * moved[c_row], minlength=n)
         squares += slope**2
         w -= 0.3 * slope / np.sqrt(squares)
@@ -121,9 +159,7 @@ def fit(
     groups=IDENTITY_GROUPS, l2: float = 0.1, rounds: int = 150,
 ) -> ToxicityModel:
     """Fit on labelled rows (doc_id, toxic). Feature counts and active features are found by the executors."""
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
-    sample = hashed_sample(usable.select("doc_id", F.col("toxic").cast("int").alias("toxic")), ["doc_id"], sample_rows)
-    texts = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
+    texts = labelled_texts(documents, sampled_labels(labels, "toxic", sample_rows)).withColumnRenamed("label", "toxic")
     swaps = swap_table(groups)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,18 +198,14 @@ def fit(
 
     def activate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, other = [], []
-            for text in batch.column("text").to_pylist():
-                found = words(text)
-                own.append(model.active(found))
-                swapped = {swaps.get(w, w) for w in found} if found & swaps.keys() else None
-                other.append(model.active(swapped) if swapped else [])
+            texts = batch.column("text").to_pylist()
+            own, changed = [model.active(words(t)) for t in texts], [model.changes(t, swaps) for t in texts]
             kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic").cast(pa.int32()), "own": pa.array(own, kind), "other": pa.array(other, kind)})
+            yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic").cast(pa.int32()), "own": pa.array(own, kind), "changed": pa.array(changed, pa.list_(kind))})
 
-    rows = texts.mapInArrow(activate, "toxic int, own array<int>, other array<int>").collect()
+    rows = texts.mapInArrow(activate, "toxic int, own array<int>, changed array<array<int>>").collect()
     # The sum of the slopes depends on the order of the rows in the last digits only; sorted, it doesn't at all.
-    rows = sorted((r.toxic, list(r.own), list(r.other)) for r in rows)
+    rows = sorted((r.toxic, list(r.own), [list(c) for c in r.changed]) for r in rows)
     model.weights, model.bias = _descend(rows, len(index), penalty, l2, rounds)
     return model
 

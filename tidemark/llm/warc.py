@@ -10,7 +10,8 @@ ordered by segment number, checked against the total length, and the chunked fra
 
 Defined cases: a null html is an empty payload; payloads of fewer than ``least`` bytes are never revisits; of
 repeated rows with equal payload one is the response; rows with a null id are always responses; a null url has no
-target URI; an empty table gives no rows; other columns are ignored.  Reading an archive whose record is cut
+target URI; an empty table gives no rows; other columns are ignored; a very long html is as many segments as it takes, put
+together once, in time and memory in proportion to its own length.  Reading an archive whose record is cut
 short, or a message whose framing or digest is wrong, is an error; a message that lacks a segment has ``complete``
 false.
 """
@@ -187,24 +188,22 @@ def message(kind: str, block: bytes, digest: str | None) -> tuple[int, str | Non
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One row for each response or revisit, put together from its segments."""
     records = read_records(spark, path)
-    single = records.where("segment IS NULL").select("kind", "page_id", "refers_to", "digest", "block", F.lit(True).alias("complete"))
-    pieces = F.sort_array(F.collect_list(F.struct("segment", "block")))
     first = lambda c: F.max(F.when(F.col("segment") == 1, F.col(c)))
-    joined = records.where("segment IS NOT NULL").groupBy("origin_id").agg(
-        pieces.alias("pieces"), F.max("total_length").alias("total"), *(first(c).alias(c) for c in ("kind", "page_id", "refers_to", "digest"))
-    )
-    whole = F.aggregate("pieces.block", F.lit(b""), lambda a, b: F.concat(a, b))
-    last = F.element_at("pieces.segment", -1)
-    joined = joined.withColumn("block", whole).withColumn(
-        "complete", F.coalesce((F.length("block") == F.col("total")) & (F.size("pieces") == last) & F.col("kind").isNotNull(), F.lit(False))
+    named = ("kind", "page_id", "refers_to", "digest")
+    single = records.where("segment IS NULL").select(*named, F.array("block").alias("blocks"), F.lit(None).cast("long").alias("total"), F.lit(True).alias("complete"))
+    pieces = records.where("segment IS NOT NULL").groupBy("origin_id").agg(
+        F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("pieces"), F.max("total_length").alias("total"), *(first(c).alias(c) for c in named)
     )
+    numbers = F.col("pieces.segment") == F.sequence(F.lit(1), F.size("pieces"))
+    joined = pieces.select(*named, F.col("pieces.block").alias("blocks"), "total", F.coalesce(numbers & F.col("total").isNotNull() & F.col("kind").isNotNull(), F.lit(False)).alias("complete"))
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("kind", "page_id", "refers_to", "digest", "block", "complete")
         for whole_batch in batches:
             for at in range(0, whole_batch.num_rows, 500):
                 rows = []
-                for kind, page_id, refers_to, digest, block, complete in zip(*(whole_batch.column(c).slice(at, 500).to_pylist() for c in names), strict=True):
+                for kind, page_id, refers_to, digest, blocks, total, complete in zip(*(whole_batch.column(c).slice(at, 500).to_pylist() for c in (*named, "blocks", "total", "complete")), strict=True):
+                    block = b"".join(blocks)
+                    complete = complete and (total is None or len(block) == total)
                     size, own, payload = message(kind, block, digest) if complete else (None, digest, None)
                     rows.append((page_id, size, own, kind, refers_to, payload, complete))
                 yield _batch(rows, _PAGE)
