@@ -2,49 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop_written, written
+from tidemark.llm.common import drop_written, join_each, written
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _lowest_so_far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over edges sorted by (u, v): the least of u and its neighbours in this partition, and whether u is the partition's first."""
-    opening = last = low_of_last = None
-    for batch in batches:
-        u, v = batch.column("u").to_numpy(), batch.column("v").to_numpy()
-        if not len(u):
-            continue
-        opening = u[0] if opening is None else opening
-        new = np.r_[True, u[1:] != u[:-1]]
-        starts = np.flatnonzero(new)
-        low = np.minimum(u[starts], v[starts])
-        if last is not None and u[0] == last:
-            low[0] = min(low[0], low_of_last)
-        last, low_of_last = u[-1], low[-1]
-        low = low[np.cumsum(new) - 1]
-        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(low), pa.array(u == opening)], ["u", "v", "low", "first"])
-
-
 def _with_lowest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The table written here, and (u, v, low): each edge with the least of u and all its neighbours.
 
-    Distinct edges are dealt by ranges of (u, v), so a node of very many neighbours is spread over many tasks.  The
-    node that a partition begins with may go on from the partitions before it: these nodes, at most one for each partition, get
-    their least from a broadcast table.
+    Minima are combined before the shuffle.  Written, their table has a known size: Spark broadcasts it while it is small;
+    beyond that the nodes of very many neighbours, and only these, meet theirs by a broadcast (``join_each``).
     """
-    part = edges.repartitionByRange("u", "v").sortWithinPartitions("u", "v").mapInArrow(_lowest_so_far, "u long, v long, low long, first boolean")
-    part = written(part, "stars")
-    heads = part.where("first").groupBy("u").agg(F.min("low").alias("head"))
-    return part, part.join(F.broadcast(heads), "u", "left").select("u", "v", F.least("low", "head").alias("low"))
+    lows = written(edges.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("low"), F.count("*").alias("n")), "lows")
+    return lows, join_each(edges, lows.drop("n"), ["u"], lows)
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -57,13 +32,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     seen = None
     while True:
-        star, lowest = _with_lowest(_both_ways(edges))
+        lows, lowest = _with_lowest(_both_ways(edges))
         down = written(lowest.where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct(), "links")
-        small_star, lowest = _with_lowest(down)
+        more_lows, lowest = _with_lowest(down)
         ends = F.array(F.struct(F.col("v").alias("u"), F.col("low").alias("v")), F.struct(F.col("u"), F.col("low").alias("v")))
         following = written(lowest.select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u <> v").distinct(), "links")
         now = following.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        for past in (edges, star, down, small_star):
+        for past in (edges, lows, down, more_lows):
             drop_written(past)
         edges = following
         if now == seen:
