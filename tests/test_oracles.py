@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from tidemark import queries_load  # noqa: F401
 from tidemark.queries import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"

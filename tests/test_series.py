@@ -156,7 +156,8 @@ def test_durations(spark):
     assert pairs(intervals.interval_sum(df)) == [(0, 2 * HOUR + 10_000)]
     assert intervals.interval_sum(df, "0 days").count() == 0
     assert intervals.interval_sum(df.where("key < 0"), "1 hour").count() == 0
-    assert intervals.interval_sum(df.limit(1), "1 millisecond").count() == 3000
+    assert intervals.interval_sum(df.limit(1), "1 millisecond", max_parts=3000).count() == 3000
+    assert intervals.interval_sum(df.limit(1), "1 second").count() == 7200
 
 
 def onoff(spark, values):
@@ -182,6 +183,37 @@ def test_onoff_groups(spark):
     assert {r.group_id: r.value for r in clipped.collect()} == {0: MINUTE, 1: MINUTE}
 
 
+def test_every_range_of_interval_sums(spark):
+    rows = [("a", T0, 2 * HOUR), ("b", T0 + HOUR, HOUR), ("a", T0 + 3 * HOUR, 10_000)]
+    df = spark.createDataFrame(rows, "column_path string, key long, value long")
+    two = [SeriesRange(T0, T0 + HOUR), SeriesRange(T0 + HOUR, T0 + 4 * HOUR)]
+    got = registry.run("IntervalSum", df, {"ranges": two}).collect()
+    assert {(r.range_id, r.column_path, r.value) for r in got} == {(0, "a", 2 * HOUR), (1, "b", HOUR), (1, "a", 10_000)}
+    wide = registry.run("intervalSum", df, {"period": "1 hour", "columns": ["b", "a"]}).orderBy("key")
+    assert [((r.key - T0) // HOUR, r.b, r.a) for r in wide.collect()] == [(0, 0, HOUR), (1, HOUR, HOUR), (3, 0, 10_000)]
+    signals = spark.createDataFrame([("s", T0, True), ("s", T0 + 90 * MINUTE, False)], "column_path string, key long, value boolean")
+    selection = spark.createDataFrame([(0, "s")], "group_id int, column_path string")
+    got = registry.run("OnOffIntervalSum", signals, {"ranges": two}, selection).collect()
+    assert {(r.range_id, r.value) for r in got} == {(0, 0), (1, 30 * MINUTE)}  # the first range holds no off
+    assert registry.run("OnOffIntervalSum", signals.limit(0), {"period": "1 hour"}, selection).count() == 0
+
+
+def test_no_period_is_left_out_unasked(spark):
+    df = spark.range(4000).select(F.lit("y").alias("column_path"), (F.lit(T0) + F.col("id") * HOUR).alias("key"), F.lit(2).alias("value"))
+    assert reduce(df, "sum", Grouping(period="1 hour")).count() == 4000 == reduce(df, "sum", Grouping(period="60 minutes", empties=True)).count()
+    assert reduce(df, "sum", Grouping(period="1 hour", max_parts=3000)).count() == 3000
+
+
+def test_fold_in_order(spark):
+    from tidemark.operators.reduce import fold_values
+
+    df = spark.createDataFrame([("a", i, str(i % 10)) for i in range(57)] + [("b", 1, None)], "column_path string, key long, value string")
+    got = {r.column_path: r.value for r in fold_values(df, ["column_path"], lambda a, b: F.concat(a, b), F.lit(""), rows=4).collect()}
+    assert got == {"a": "".join(str(i % 10) for i in range(57)), "b": None}
+    times = spans.times_lists(df.where("column_path = 'a'"), ["3"], most=4).orderBy("part").collect()
+    assert [t.times for t in times] == [[3, 13, 23, 33], [43, 53]]
+
+
 def test_merging(spark):
     df = spark.createDataFrame([("x", 0, 10), ("x", 2, 4), ("x", 10, 12), ("x", 20, 21)], "column_path string, start long, end long")
     as_pairs = lambda d: sorted((r.start, r.end) for r in d.collect())
@@ -193,6 +225,8 @@ def test_tabular(spark):
     df = spark.createDataFrame([("d/a", 1, 1.5), ("d/b", 2, 2.5), ("d/a", 2, 3.5)], "column_path string, key long, value double")
     wide = tabular.zero_fill(tabular.tabular(df, ["d/a", "d/b"]), ["d/a", "d/b"])
     assert sorted(map(tuple, wide.collect())) == [(1, 1.5, 0.0), (2, 3.5, 2.5)]
+    twice = df.withColumn("place", F.col("value") * -1).union(spark.createDataFrame([("d/a", 1, 9.5, -9.5)], "a string, b long, c double, d double"))
+    assert tabular.tabular(twice, ["d/a"], order="place").where("key = 1").first()["d/a"] == 9.5
     assert sorted(map(tuple, tabular.wide_table(df, ["d/b", "d/a"]).collect())) == [(1, "1.5", None), (2, "3.5", "2.5")]
     with pytest.raises(LookupError):
         tabular.wide_table(df, ["d/none"])

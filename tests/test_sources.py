@@ -64,6 +64,7 @@ def test_store(spark, folder):
     s.write(rows, "double", 1)
     s.write(rows.where("key = 2").withColumn("value", F.lit(9.0)), "double", 2)
     s.write(rows.where("key = 2").withColumn("value", F.lit(9.0)), "double", 2)
+    s.write(rows.where("key = 2").withColumn("value", F.lit(7.0)), "double", 1)
     s.write(rows.select("column_path", "key", F.lit('{"x":1}').alias("value")), "json", 1)
     want = {("d/a", 1, 1.0), ("d/a", 2, 9.0), ("e/b", 1, 3.0)}
     assert {tuple(r)[:3] for r in s.scan("double").collect()} == want
@@ -77,6 +78,52 @@ def test_store(spark, folder):
         s.scan_all()
 
 
+def test_batch_and_stream_writes_are_in_one_order(spark, folder):
+    s = SeriesStore(spark, folder + "/store")
+    df = lambda v: spark.createDataFrame([("d/a", 1, v)], SCHEMA)
+    now = lambda: [r.value for r in s.scan("double").collect()]
+    s.write(df(1.0), "double")
+    df(2.0).write.parquet(folder + "/in")
+    stream = lambda ck: streams.write_stream(streams.follow(spark, folder + "/in", SCHEMA), s, "double", folder + ck).awaitTermination(120)
+    stream("/ck")
+    assert now() == [2.0]
+    s.write(df(3.0), "double")
+    assert now() == [3.0]
+    df(4.0).write.mode("append").parquet(folder + "/in")
+    stream("/ck")
+    assert now() == [4.0]
+    for name in ("1", ".1.crc"):
+        os.remove(f"{folder}/ck/commits/{name}")  # as if the machine had stopped after the write
+    s.write(df(5.0), "double")
+    stream("/ck")
+    assert now() == [5.0]
+    s.erase_column("d/a", "double")
+    assert now() == []
+    stream("/ck2")  # a new stream reads all files again
+    assert now() == [4.0]
+    s.compact("double")
+    assert now() == [4.0]
+    s.write(df(6.0).union(df(7.0)).withColumn("n", F.col("value") * -1), "double", place="n")
+    assert now() == [6.0]
+
+
+def test_headers_of_many_files(spark, folder):
+    for i in range(12):
+        put(folder, f"d/f{i}.csv", f"v{i},time:long,w:Bool\n\"{i},5\",{i},true\nv{i},time:long,w:Bool\n" if i % 2 else f"{i},{i}.5\n{i + 1},x\n")
+    got = {(r.column_path, r.key, r.value, r.value_type) for r in delimited.read_delimited(spark, folder).collect()}
+    want = {(f"d/f{i}/v{i}", i, f"{i},5", "string") for i in range(1, 12, 2)} | {(f"d/f{i}/w", i, "true", "boolean") for i in range(1, 12, 2)}
+    want |= {(f"d/f{i}/2", i, f"{i}.5", "string") for i in range(0, 12, 2)} | {(f"d/f{i}/2", i + 1, "x", "string") for i in range(0, 12, 2)}
+    assert got == want
+    for line in ("name,seconds:Double,startTime,endTime", "a,when_date", "a,b", "1.5,2", "Time,time\tx", ":long,b", "é:flags,c:foo", "a:b:INT,date"):
+        separator = "\t" if "\t" in line else ","
+        h = delimited.detect_header(line, separator)
+        r = spark.createDataFrame([(line,)], "line string").select(*[c.alias(n) for n, c in delimited.header_columns(F.col("line")).items()]).first()
+        assert (tuple(r.names), tuple(r.types), r.key_at, r.has_header, r.separator) == (h.names, h.types, h.key, h.has_header, separator), line
+    put(folder, "bad/x.csv", "single\n1\n")
+    with pytest.raises(ValueError):
+        delimited.read_delimited(spark, folder + "/bad")
+
+
 def test_updates(spark):
     base = spark.createDataFrame([("a", 1, 1), ("a", 2, 2)], "column_path string, key long, value int")
     got = merge_updates(base, base.where("key = 2").withColumn("value", F.lit(5)), base.where("key = 1"))

@@ -93,10 +93,15 @@ def first_item(df: DataFrame, by: Sequence[str] = ("column_path",), last: bool =
     return df.groupBy(*by).agg((F.max if last else F.min)("key").alias("key"), pick("value", "key").alias("value"))
 
 
-def count_items(df: DataFrame, start: int | None = None, until: int | None = None) -> int:
+def items_in_range(df: DataFrame, start: int | None = None, until: int | None = None) -> DataFrame:
+    """The number of items in [start, until), as one row."""
     from tidemark.operators.ranges import in_range
 
-    return in_range(df, start, until).count()
+    return in_range(df, start, until).agg(F.count("*").alias("items"))
+
+
+def count_items(df: DataFrame, start: int | None = None, until: int | None = None) -> int:
+    return items_in_range(df, start, until).first().items
 
 
 def count_by_type(df: DataFrame) -> DataFrame:

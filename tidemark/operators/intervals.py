@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.period import Period, bucket_index, bucket_start, round_down
-from tidemark.model import MAX_PARTS, SeriesRange
+from tidemark.model import SeriesRange
 from tidemark.operators.ranges import extend_range, in_range
-from tidemark.operators.running import CHUNK_MS, running
+from tidemark.operators.running import chunk_size, positions, running
+from tidemark.operators.tabular import tabular, zero_fill
 from tidemark.sources.folders import written
 
 DAY = 86_400_000
 
 
-def onoff_to_intervals(df: DataFrame, by: Sequence[str] = ("column_path",), chunk_ms: int = CHUNK_MS) -> DataFrame:
-    """(by, start, end) from a boolean series: on opens, off closes, more ons extend; one left open ends at its last on."""
+def onoff_to_intervals(df: DataFrame, by: Sequence[str] = ("column_path",), chunk_ms: int | None = None) -> DataFrame:
+    """(by, start, end) from a boolean series: on opens, off closes, more ons extend; one left open ends at its last on.
+
+    At one key off comes before on.
+    """
     known = df.where(F.col("value").isNotNull()).select(*by, "key", "value")
     off = F.when(F.col("value"), 0).otherwise(1).cast("long")
-    marked = running(known, by, ("key",), "sum", off, "_island", chunk_ms=chunk_ms)
+    marked = running(known, by, ("key", "value"), "sum", off, "_island", chunk_ms=chunk_ms)
     islands = marked.groupBy(*by, "_island").agg(F.min(F.when(F.col("value"), F.col("key"))).alias("start"), F.max("key").alias("end"))
     return islands.where(F.col("start").isNotNull()).select(*by, "start", "end")
 
@@ -30,14 +34,16 @@ def durations_to_intervals(df: DataFrame, by: Sequence[str] = ("column_path",))
     return df.select(*by, F.col("key").alias("start"), (F.col("key") + F.col("value")).alias("end"))
 
 
-def merge_intervals(df: DataFrame, by: Sequence[str] = ("column_path",), touching: bool = True, chunk_ms: int = CHUNK_MS) -> DataFrame:
+def merge_intervals(df: DataFrame, by: Sequence[str] = ("column_path",), touching: bool = True, chunk_ms: int | None = None) -> DataFrame:
     """The union of the intervals of each group; ``touching`` also joins those that only meet.
 
     An interval opens an island if it starts after all earlier ones end; the island ends where the intervals before
     the next opening reach.  Windows run inside chunks of time; the chunks' reaches and first openings are small tables.
     """
     by = list(by)
-    spans = df.where(F.col("start").isNotNull() & F.col("end").isNotNull()).select(*by, "start", "end", F.floor(F.col("start") / chunk_ms).alias("_chunk"))
+    spans = df.where(F.col("start").isNotNull() & F.col("end").isNotNull()).select(*by, "start", "end")
+    chunk_ms = chunk_ms or chunk_size(spans, by, "start")
+    spans = spans.withColumn("_chunk", F.floor(F.col("start") / chunk_ms))
     chunks = written(spans.groupBy(*by, "_chunk").agg(F.max("end").alias("_end")), "chunks")
     in_order = Window.partitionBy(*by).orderBy("_chunk")
     earlier = chunks.select(*by, "_chunk", F.max("_end").over(in_order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
@@ -63,22 +69,23 @@ def _join_on(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
     return left.join(renamed, same).drop(*[f"_on_{n}" for n in names])
 
 
-def cut_by_period(df: DataFrame, period: str, zone: str = "UTC", by: Sequence[str] = ("column_path",), until: int | None = None, max_parts: int = MAX_PARTS, anchor: str | None = None) -> DataFrame:
+def cut_by_period(df: DataFrame, period: str, zone: str = "UTC", by: Sequence[str] = ("column_path",), until: int | None = None, max_parts: int | None = None, anchor: int | None = None) -> DataFrame:
     """Each interval cut by the periods it overlaps: (by, key = period start, overlap).
 
-    Periods count from the group's first start (or the ``anchor`` column).  The periods of an interval are
+    Periods count from the group's first start (or the key ``anchor``).  The periods of an interval are
     a sequence of numbers, so no join on ranges is needed.  Only touching a period is no overlap.
     """
     p = Period.parse(period)
     if p.n == 0:
         return df.select(*by, F.col("start").alias("key"), (F.col("end") - F.col("start")).alias("overlap")).where(F.lit(False))
     if anchor is None:
-        first = df.groupBy(*by).agg(F.min("start").alias("_first"))
-        df, anchor = df.join(first, list(by)), "_first"
-    df = df.withColumn("_anchor", round_down(F.col(anchor), p, zone))
+        df = _join_on(df, df.groupBy(*by).agg(F.min("start").alias("_first")), list(by))
+    df = df.withColumn("_anchor", round_down(F.col("_first") if anchor is None else F.lit(anchor).cast("long"), p, zone))
     low = bucket_index(F.col("start"), F.col("_anchor"), p, zone)
     high = bucket_index(F.greatest(F.col("end") - 1, F.col("start")), F.col("_anchor"), p, zone)
-    parts = df.withColumn("_k", F.explode(F.sequence(F.greatest(low, F.lit(0)), F.least(high, F.lit(max_parts - 1)))))
+    if max_parts is not None:
+        df, high = df.where(low < max_parts), F.least(high, F.lit(max_parts - 1))
+    parts = df.withColumn("_k", F.explode(F.sequence(F.greatest(low, F.lit(0)), high)))
     begin, end = bucket_start(F.col("_k"), F.col("_anchor"), p, zone), bucket_start(F.col("_k") + 1, F.col("_anchor"), p, zone)
     if until is not None:
         end = F.least(end, F.lit(until))
@@ -86,21 +93,44 @@ def cut_by_period(df: DataFrame, period: str, zone: str = "UTC", by: Sequence[st
     return cut.where(F.col("overlap") > 0)
 
 
-def coverage(df: DataFrame, period: str | None, zone: str = "UTC", by: Sequence[str] = ("column_path",), until: int | None = None, max_parts: int = MAX_PARTS) -> DataFrame:
+def coverage(df: DataFrame, period: str | None, zone: str = "UTC", by: Sequence[str] = ("column_path",), until: int | None = None, max_parts: int | None = None) -> DataFrame:
     """(by, key, value): milliseconds that merged intervals cover, by period or in all (key: the first start)."""
     if period is None:
         return df.groupBy(*by).agg(F.min("start").alias("key"), F.sum(F.col("end") - F.col("start")).alias("value"))
     return cut_by_period(df, period, zone, by, until, max_parts).groupBy(*by, "key").agg(F.sum("overlap").alias("value"))
 
 
-def interval_sum(df: DataFrame, period: str | None = None, zone: str = "UTC", by: Sequence[str] = ("column_path",), start: int | None = None, until: int | None = None) -> DataFrame:
+def interval_sum(
+    df: DataFrame, period: str | None = None, zone: str = "UTC", by: Sequence[str] = ("column_path",), start: int | None = None, until: int | None = None, max_parts: int | None = None,
+) -> DataFrame:
     """Coverage by series whose items are durations; time covered twice counts once."""
     spans = durations_to_intervals(in_range(df, start, until, by=by), by)
-    return coverage(merge_intervals(spans, by), period, zone, by, until)
+    return coverage(merge_intervals(spans, by), period, zone, by, until, max_parts)
+
+
+def of_every_range(ranges: Sequence[SeriesRange] | None, one: Callable[[SeriesRange], DataFrame]) -> DataFrame:
+    """``one`` of each range of a request (a short list), put together with its range_id; without ranges ``one`` of all."""
+    if ranges is None:
+        return one(SeriesRange())
+    parts = [one(r).withColumn("range_id", F.lit(i)) for i, r in enumerate(ranges)]
+    if not parts:
+        return one(SeriesRange()).withColumn("range_id", F.lit(0)).where(F.lit(False))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def interval_sum_across(
+    df: DataFrame, columns: Sequence[str], period: str | None = None, zone: str = "UTC", names: Sequence[str] | None = None, start: int | None = None, until: int | None = None,
+) -> DataFrame:
+    """(key, a coverage for each of ``columns``, in their order): the sums of several series side by side, 0 where one has none."""
+    own = interval_sum(df.where(F.col("column_path").isin(list(columns))), period, zone, start=start, until=until)
+    return zero_fill(tabular(own, columns, names=names), names or columns)
 
 
 def onoff_interval_sum(
-    df: DataFrame, selection: DataFrame, period: str | None = None, zone: str = "UTC", ranges: SeriesRange | None = None, early_ms: int = DAY,
+    df: DataFrame, selection: DataFrame, period: str | None = None, zone: str = "UTC", ranges: SeriesRange | None = None, early_ms: int = DAY, max_parts: int | None = None,
 ) -> DataFrame:
     """Coverage (group_id, key, value) by groups of on/off series, clipped to the range; zero where a group has none.
 
@@ -119,9 +149,13 @@ def onoff_interval_sum(
     if period is None:
         return coverage(merged, None, zone, ("group_id",))
     merged = written(merged, "merged")
-    first = merged.agg(F.min("start").alias("_first"))  # one anchor, so that the groups' periods line up
-    cut = cut_by_period(merged.crossJoin(F.broadcast(first)), period, zone, ("group_id",), asked.until, anchor="_first")
+    first = merged.agg(F.min("start")).first()[0] or 0  # one anchor, so that the groups' periods line up
+    cut = cut_by_period(merged, period, zone, ("group_id",), asked.until, max_parts, anchor=first)
     sums = written(cut.groupBy("group_id", "key").agg(F.sum("overlap").alias("value")), "sums")
+    # Each group meets each period that any has: periods are numbered and a group counts through the numbers.
+    keys = written(positions(sums.select("key").distinct(), [], "place"), "keys")
+    last = keys.agg(F.max("place")).first()[0]
+    places = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-1 if last is None else last).cast("long")))
     groups = selection.select("group_id").distinct()
-    every = sums.select("key").distinct().crossJoin(F.broadcast(groups))  # as many rows as the wide result has cells
+    every = (groups if last is not None else groups.where(F.lit(False))).withColumn("place", places).join(keys, "place")
     return every.join(sums, ["group_id", "key"], "left").select("group_id", "key", F.coalesce("value", F.lit(0)).alias("value"))

@@ -25,8 +25,8 @@ def reduce_by_period_on_load(df: DataFrame, period: str, fields: Mapping[str, st
     field = split_path(F.col("column_path"))[1]
     marked = df.withColumn("_field", field)
     out = marked.where(~F.col("_field").isin(list(fields)) | F.col("_field").isNull()).drop("_field").select(*df.columns)
-    for name, fn in fields.items():
-        own = marked.where(F.col("_field") == name)
+    for fn in sorted(set(fields.values())):  # a scan for each reducer, of which there are a few
+        own = marked.where(F.col("_field").isin([name for name, f in fields.items() if f == fn]))
         part = reduce(own, fn, Grouping(period=period, zone=zone), by=("record_id", "column_path")).drop("range_id")
         out = out.unionByName(part.select(*df.columns))
     return out

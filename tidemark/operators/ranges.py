@@ -33,7 +33,7 @@ def ranges_table(df: DataFrame, ranges: Sequence[SeriesRange]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "range_id int, range_start long, range_until long")
 
 
-def with_ranges(df: DataFrame, ranges: Sequence[SeriesRange] | None) -> DataFrame:
+def with_ranges(df: DataFrame, ranges: Sequence[SeriesRange] | None, by: Sequence[str] = ("column_path",)) -> DataFrame:
     """Each item once for each range that holds it, with range_id, range_start and range_until.
 
     The ranges of a request are a short list: each is a filter that the scan can use, and the parts are
@@ -44,7 +44,7 @@ def with_ranges(df: DataFrame, ranges: Sequence[SeriesRange] | None) -> DataFram
     for i, r in enumerate(wanted):
         part = in_range(df, r.start, r.until)
         if r.limit is not None:
-            part = limit_range(df, r.start, r.until, r.limit)
+            part = limit_range(df, r.start, r.until, r.limit, by)
         ends = [F.lit(x).cast("long").alias(n) for n, x in (("range_start", r.start), ("range_until", r.until))]
         parts.append(part.select("*", F.lit(i).alias("range_id"), *ends))
     out = parts[0]
@@ -53,9 +53,9 @@ def with_ranges(df: DataFrame, ranges: Sequence[SeriesRange] | None) -> DataFram
     return out
 
 
-def raw(df: DataFrame, ranges: Sequence[SeriesRange] | None = None) -> DataFrame:
+def raw(df: DataFrame, ranges: Sequence[SeriesRange] | None = None, by: Sequence[str] = ("column_path",)) -> DataFrame:
     """Source items unchanged, by range in request order; overlapping ranges repeat items."""
-    return with_ranges(df, ranges).drop("range_start", "range_until")
+    return with_ranges(df, ranges, by).drop("range_start", "range_until")
 
 
 def limit_range(df: DataFrame, start: int | None = None, until: int | None = None, limit: int = 1, by: Sequence[str] = ("column_path",)) -> DataFrame:

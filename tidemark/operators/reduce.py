@@ -23,7 +23,8 @@ REDUCERS: dict[str, Callable[[Column], Column]] = {
     "count": lambda c: F.nullif(F.count(c), F.lit(0)),
     "integral_mean": lambda c: F.floor(F.sum(c) / F.nullif(F.count(c), F.lit(0))).cast("long"),
 }
-MINUTE_PERIOD = Period(1, "minute")
+#: Values that one step of a fold takes into a row.
+FOLD_ROWS = 10_000
 
 
 def reducer(name: str) -> Callable[[Column], Column]:
@@ -40,7 +41,7 @@ def reduce(
     ``df`` has the columns of ``by``, key (epoch ms) and ``value``.  Sums and counts widen as Spark's do.
     """
     grouping = grouping or Grouping()
-    cut = with_ranges(df.select(*by, "key", F.col(value).alias("value")), ranges)
+    cut = with_ranges(df.select(*by, "key", F.col(value).alias("value")), ranges, by)
     keys = [*by, "range_id"]
     if grouping.period is not None:
         return _by_period(cut, fn, Period.parse(grouping.period), grouping, keys)
@@ -64,14 +65,8 @@ def _by_count(cut: DataFrame, fn: str, grouping: Grouping, keys: list[str]) -> D
     return parts.drop("_part")
 
 
-def _anchored(cut: DataFrame, keys: list[str]) -> DataFrame:
-    """Range start, or else the first key, of each series and range: a small aggregate joined back.
-
-    It is written first, so that its size is known when the join is planned: while it is small Spark broadcasts
-    it and the items are not shuffled for the join.
-    """
-    first = written(cut.groupBy(*keys).agg(F.coalesce(F.first("range_start"), F.min("key")).alias("_from")), "firsts")
-    return cut.join(first, keys)
+def _capped(index: Column, grouping: Grouping) -> Column:
+    return F.lit(True) if grouping.max_parts is None else index < grouping.max_parts
 
 
 def _by_period(cut: DataFrame, fn: str, period: Period, grouping: Grouping, keys: list[str]) -> DataFrame:
@@ -79,40 +74,57 @@ def _by_period(cut: DataFrame, fn: str, period: Period, grouping: Grouping, keys
         return cut.select(*keys, "key", "value").where(F.lit(False))
     zone = grouping.zone
     if period.self_aligned and not grouping.empties:
-        # Boundaries do not depend on the first key: one aggregation; the cap needs the first part only.
+        # Boundaries do not depend on the first key: one aggregation; a cap needs the first part only.
         start = round_down(F.col("key"), period, zone)
         parts = cut.groupBy(*keys, start.alias("_start")).agg(reducer(fn)(F.col("value")).alias("value"), F.first("range_start").alias("_range_start"))
         parts = parts.withColumnRenamed("_start", "key")
-        first = F.min(F.coalesce(round_down(F.col("_range_start"), period, zone), F.col("key"))).over(Window.partitionBy(*keys))
-        capped = parts.withColumn("_from", first).where(bucket_index(F.col("key"), F.col("_from"), period, zone) < grouping.max_parts)
-        return capped.select(*keys, "key", "value")
-    anchored = _anchored(cut, keys).withColumn("_anchor", round_down(F.col("_from"), period, zone))
-    parts = anchored.withColumn("_k", bucket_index(F.col("key"), F.col("_anchor"), period, zone)).where(F.col("_k") < grouping.max_parts)
-    parts = parts.groupBy(*keys, "_anchor", "range_until", "_k").agg(reducer(fn)(F.col("value")).alias("value"))
+        if grouping.max_parts is not None:
+            first = F.min(F.coalesce(round_down(F.col("_range_start"), period, zone), F.col("key"))).over(Window.partitionBy(*keys))
+            parts = parts.withColumn("_from", first).where(_capped(bucket_index(F.col("key"), F.col("_from"), period, zone), grouping))
+        return parts.select(*keys, "key", "value")
+    return _anchored(cut, fn, _firsts(cut, keys).select(*keys, "_from"), [(F.lit(True), period)], grouping, keys)
+
+
+def _firsts(cut: DataFrame, keys: list[str]) -> DataFrame:
+    """(_from, _span): range start, or else the first key, of each series and range, and the keys it spans."""
+    start, until = F.coalesce(F.first("range_start"), F.min("key")), F.coalesce(F.first("range_until"), F.max("key") + 1)
+    return cut.groupBy(*keys).agg(start.alias("_from"), (until - start).alias("_span"))
+
+
+def _anchored(cut: DataFrame, fn: str, firsts: DataFrame, choices: list[tuple[Column, Period]], grouping: Grouping, keys: list[str]) -> DataFrame:
+    """Periods counted from an anchor of each series and range, in one aggregation; a series takes the first choice that fits.
+
+    ``firsts`` is written first, so that its size is known when the join is planned: while it is small Spark broadcasts
+    it and the items are not shuffled for the join.
+    """
+    zone = grouping.zone
+    chosen = lambda f: F.coalesce(*[F.when(fits, f(period)) for fits, period in choices])
+    firsts = firsts.withColumn("_anchor", chosen(lambda p: round_down(F.col("_from"), p, zone)))
+    firsts = written(firsts.drop("_from", "_span"), "firsts")
+    own = [c for c in firsts.columns if c not in keys]
+    index = lambda key: chosen(lambda p: bucket_index(key, F.col("_anchor"), p, zone))
+    parts = cut.join(firsts, keys).withColumn("_k", index(F.col("key"))).where(_capped(F.col("_k"), grouping))
+    parts = parts.groupBy(*keys, *own, "range_until", "_k").agg(reducer(fn)(F.col("value")).alias("value"))
     if grouping.empties:
         parts = written(parts, "parts")
-        end = F.greatest(F.max("_k"), F.max(bucket_index(F.col("range_until") - 1, F.col("_anchor"), period, zone)))
-        last = parts.groupBy(*keys, "_anchor").agg(F.least(end, F.lit(grouping.max_parts - 1)).alias("_last"))
+        end = F.greatest(F.max("_k"), F.max(index(F.col("range_until") - 1)))
+        if grouping.max_parts is not None:
+            end = F.least(end, F.lit(grouping.max_parts - 1))
+        last = parts.groupBy(*keys, *own).agg(end.alias("_last"))
         every = last.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last")))).drop("_last")
-        parts = every.join(parts.drop("_anchor"), [*keys, "_k"], "left")
-    return parts.select(*keys, bucket_start(F.col("_k"), F.col("_anchor"), period, zone).alias("key"), "value")
+        parts = every.join(parts.drop(*own), [*keys, "_k"], "left")
+    return parts.select(*keys, chosen(lambda p: bucket_start(F.col("_k"), F.col("_anchor"), p, zone)).alias("key"), "value")
 
 
 def _into_duration(cut: DataFrame, fn: str, grouping: Grouping, keys: list[str]) -> DataFrame:
-    """Each series and range picks a friendly period for its span; the few periods in use are reduced apart."""
-    spans = cut.groupBy(*keys).agg(
-        (F.coalesce(F.first("range_until"), F.max("key") + 1) - F.coalesce(F.first("range_start"), F.min("key"))).alias("_span")
-    )
+    """Each series and range picks a friendly period for its span; all are reduced in one aggregation."""
     n, unit = friendly_size(F.floor(F.col("_span") / grouping.into_duration))
-    chosen = written(spans.select(*keys, n.alias("_n"), unit.alias("_unit")), "periods")
-    marked = cut.join(chosen, keys)
-    used = sorted((r[0], r[1]) for r in chosen.select("_n", "_unit").distinct().collect())  # friendly periods: a short list
-    out = None
-    for count, name in used:
-        own = marked.where((F.col("_n") == count) & (F.col("_unit") == name)).drop("_n", "_unit")
-        part = _by_period(own, fn, Period(count, name), grouping, keys)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else _by_period(cut, fn, MINUTE_PERIOD, grouping, keys)
+    firsts = written(_firsts(cut, keys).withColumn("_n", n).withColumn("_unit", unit), "periods")
+    used = sorted((r[0], r[1]) for r in firsts.select("_n", "_unit").distinct().collect())  # friendly periods: a short list
+    if not used:
+        return cut.select(*keys, "key", "value").where(F.lit(False))
+    choices = [((F.col("_n") == count) & (F.col("_unit") == name), Period(count, name)) for count, name in used]
+    return _anchored(cut, fn, firsts, choices, grouping, keys)
 
 
 def key_value_ranges(df: DataFrame, by: Sequence[str] = ("column_path",)) -> DataFrame:
@@ -125,7 +137,17 @@ def keys_extent(df: DataFrame) -> DataFrame:
     return df.agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"))
 
 
-def fold_values(df: DataFrame, by: Sequence[str], function: Callable[[Column, Column], Column], zero: Column) -> DataFrame:
-    """An associative fold of the values of each group by a Column function; for groups that fit a row."""
-    folded = F.aggregate(F.collect_list("value"), zero, function)
-    return df.groupBy(*by).agg(F.when(F.count("value") > 0, folded).alias("value"))
+def fold_values(df: DataFrame, by: Sequence[str], function: Callable[[Column, Column], Column], zero: Column, rows: int = FOLD_ROWS) -> DataFrame:
+    """An associative fold of the values of each group, in order of key, by a Column function of which ``zero`` is the neutral value.
+
+    Runs of ``rows`` neighbours are folded at a time, then the results in the same way, until each group has one; so no row
+    holds more.  Null values are left out; a group without others has null.
+    """
+    known = df.where(F.col("value").isNotNull()).select(*by, "key", "value")
+    while True:
+        numbered = positions(known, by)
+        run = numbered.groupBy(*by, F.floor(F.col("position") / rows).alias("_run")).agg(F.sort_array(F.collect_list(F.struct("position", "value"))).alias("_items"))
+        known = written(run.select(*by, F.col("_run").alias("key"), F.aggregate("_items.value", zero, function).alias("value")), "fold")
+        if (known.agg(F.max("key")).first()[0] or 0) == 0:
+            break
+    return df.select(*by).distinct().join(known.drop("key"), list(by), "left")

@@ -15,17 +15,25 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.folders import written
 
-#: Milliseconds of keys that one window partition covers.
-CHUNK_MS = 86_400_000
+#: Rows of the largest series that one window partition should cover.
+CHUNK_ROWS = 200_000
 
 
-def running(df: DataFrame, by: Sequence[str], order: Sequence[str], kind: str, value: Column, name: str, inclusive: bool = False, chunk_ms: int = CHUNK_MS, key: str = "key") -> DataFrame:
+def chunk_size(df: DataFrame, by: Sequence[str], key: str = "key") -> int:
+    """Keys to a chunk, so that the series with most rows has some ``CHUNK_ROWS`` in one; at least 1."""
+    sizes = df.groupBy(*by).agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
+    most, low, high = sizes.agg(F.max("n"), F.min("low"), F.max("high")).first()
+    return max(1, (high - low + 1) * CHUNK_ROWS // max(most, CHUNK_ROWS)) if most and low is not None else 1
+
+
+def running(df: DataFrame, by: Sequence[str], order: Sequence[str], kind: str, value: Column, name: str, inclusive: bool = False, chunk_ms: int | None = None, key: str = "key") -> DataFrame:
     """Add the running sum, max or min of ``value`` over the rows before each row (with it if inclusive).
 
     ``order`` starts with ``key``.  Null where no row comes before; a running sum is then 0.
     """
     total = {"sum": F.sum, "max": F.max, "min": F.min}[kind]
     pick = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": F.greatest, "min": F.least}[kind]
+    chunk_ms = chunk_ms or chunk_size(df, by, key)
     chunked = df.withColumn("_chunk", F.floor(F.col(key) / chunk_ms)).withColumn("_value", value)
     sums = written(chunked.groupBy(*by, "_chunk").agg(total("_value").alias("_sum")), "chunks")
     earlier = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -38,6 +46,21 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], kind: str, v
     return local.join(before, same).withColumn(name, pick(F.col("_inside"), F.col("_before"))).select(*df.columns, name)
 
 
-def positions(df: DataFrame, by: Sequence[str], name: str = "position", order: Sequence[str] = ("key",), chunk_ms: int = CHUNK_MS) -> DataFrame:
+def positions(df: DataFrame, by: Sequence[str], name: str = "position", order: Sequence[str] = ("key",), chunk_ms: int | None = None) -> DataFrame:
     """Number the rows of each series from 0 by key."""
     return running(df, by, order, "sum", F.lit(1).cast("long"), name, chunk_ms=chunk_ms, key=order[0])
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
+    """Number all rows from 0 in an order: rows are dealt by ranges of it (ties too, by a number of their own) and sorted there."""
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    dealt = tied.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie")
+    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = written(dealt.select(*df.columns, F.spark_partition_id().alias("_part"), local.alias("_local")), "numbered")
+    # A row for each partition.
+    total, base = 0, []
+    for part, n in sorted(dealt.groupBy("_part").count().collect()):
+        base.append((part, total))
+        total += n
+    base = F.broadcast(df.sparkSession.createDataFrame(base, "_part int, _base long"))
+    return dealt.join(base, "_part").select(*df.columns, (F.col("_base") + F.col("_local")).alias(name))

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.running import positions
+
 
 def spans(df: DataFrame, names: DataFrame, trace_ids: DataFrame) -> DataFrame:
     """Spans from three series of one dataset (durations, names, trace ids), joined by key."""
@@ -53,6 +55,8 @@ def times_by_category(df: DataFrame, categories: Sequence[str], codes: Mapping[s
     return df.select(value.alias("category"), "key").where(F.col("category").isin(list(categories)))
 
 
-def times_lists(df: DataFrame, categories: Sequence[str], codes: Mapping[str, str] | None = None) -> DataFrame:
-    """(category, times): the sorted keys of each category as one array, for charts of bounded ranges."""
-    return times_by_category(df, categories, codes).groupBy("category").agg(F.sort_array(F.collect_list("key")).alias("times"))
+def times_lists(df: DataFrame, categories: Sequence[str], codes: Mapping[str, str] | None = None, most: int = 10_000) -> DataFrame:
+    """(category, part, times): the sorted keys of each category as arrays of at most ``most``, numbered in order."""
+    numbered = positions(times_by_category(df, categories, codes), ["category"])
+    part = F.floor(F.col("position") / most).alias("part")
+    return numbered.groupBy("category", part).agg(F.sort_array(F.collect_list("key")).alias("times"))

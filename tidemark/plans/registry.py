@@ -56,12 +56,11 @@ def _ranges(params: dict) -> list[SeriesRange] | None:
     return None if given is None else [r if isinstance(r, SeriesRange) else SeriesRange(**r) for r in given]
 
 
-def _one(params: dict) -> SeriesRange:
-    return (_ranges(params) or [SeriesRange()])[0]
-
-
 def run(name: str, df: DataFrame, params: dict | None = None, selection: DataFrame | None = None) -> DataFrame:
-    """Run a transform: reduce*, Raw, KeyValueRanges, IntervalSum, OnOffIntervalSum (in any case), or a custom one."""
+    """Run a transform: reduce*, Raw, KeyValueRanges, IntervalSum, OnOffIntervalSum (in any case), or a custom one.
+
+    ``params["ranges"]`` are all applied, each with its range_id.  IntervalSum with ``columns`` puts these side by side.
+    """
     params = dict(params or {})
     if selection is not None and name.lower() != "onoffintervalsum":
         df = df.join(selection.select("group_id", "column_path"), "column_path")
@@ -71,16 +70,20 @@ def run(name: str, df: DataFrame, params: dict | None = None, selection: DataFra
         options = {k: params[k] for k in ("period", "count", "into_counted", "into_duration", "zone", "empties", "max_parts") if k in params}
         return reducing.reduce(df, known.removeprefix("reduce"), Grouping(**options), _ranges(params), by)
     if known == "raw":
-        return ranges.raw(df, _ranges(params))
+        return ranges.raw(df, _ranges(params), by)
     if known == "keyvalueranges":
         return reducing.key_value_ranges(df, by)
     if known == "intervalsum":
-        r = _one(params)
-        return intervals.interval_sum(df, params.get("period"), params.get("zone", "UTC"), by, r.start, r.until)
+        options = (params.get("period"), params.get("zone", "UTC"))
+        if "columns" in params:
+            return intervals.of_every_range(_ranges(params), lambda r: intervals.interval_sum_across(df, params["columns"], *options, params.get("names"), r.start, r.until))
+        return intervals.of_every_range(_ranges(params), lambda r: intervals.interval_sum(df, *options, by, r.start, r.until, params.get("max_parts")))
     if known == "onoffintervalsum":
         if selection is None:
             raise ValueError("OnOffIntervalSum needs a selection of columns")
-        return intervals.onoff_interval_sum(df, selection, params.get("period"), params.get("zone", "UTC"), _one(params))
+        return intervals.of_every_range(
+            _ranges(params), lambda r: intervals.onoff_interval_sum(df, selection, params.get("period"), params.get("zone", "UTC"), r, max_parts=params.get("max_parts"))
+        )
     if name in _CUSTOM:
         return _CUSTOM[name](df, params)
     raise LookupError(f"no transform {name!r}")

@@ -396,7 +396,8 @@ def melted_orders(spark, sf_dir):
 @query("SELECT 'in/u' || user_id || '/' || event_type || '/' || 'value' AS column_path, epoch_us(ts) // 1000 AS key, CAST(event_id AS VARCHAR) AS value, 'long' AS value_type FROM events")
 def flatten_array(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    nested = e.groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("id"), F.col("event_type").alias("id2")).agg(F.collect_list(F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("time"), F.col("event_id").alias("value"))).alias("elements"))
+    day = F.to_date("ts").alias("day")  # so that no record's array grows with the table's length in time
+    nested = e.groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("id"), F.col("event_type").alias("id2"), day).agg(F.collect_list(F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("time"), F.col("event_id").alias("value"))).alias("elements"))
     return records.flatten_avro_array(nested, ids=[("id", None), ("id2", "none")], prefix="in")
 
 
@@ -516,17 +517,23 @@ def watched_items(spark, sf_dir):
     return ranges.watch(series(spark, sf_dir), F.col("value") > 400)
 
 
-def _arriving(spark: SparkSession, sf_dir: str, parts: int = 4) -> DataFrame:
-    """The events as a stream of files, in the order of time."""
-    e, folder = series(spark, sf_dir), fresh_path(spark, "stream")
+#: Files of each quarter of a stream that queries read.
+QUARTER_FILES = 4
+
+
+def arriving(spark: SparkSession, sf_dir: str, *more: str, parts: int = 4) -> DataFrame:
+    """The events as a stream of files, in the order of time: each part of the time is a batch of ``QUARTER_FILES`` files."""
+    e, folder = series(spark, sf_dir, *more), fresh_path(spark, "stream")
     low, high = e.agg(F.min("key"), F.max("key")).first()
     edges = [low + (high + 1 - low) * i // parts for i in range(parts + 1)]
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        ranges.in_range(e, a, b).coalesce(1).write.mode("append").parquet(folder)
-    return streams.follow(spark, folder, "column_path string, key long, value double", max_files=1)
+        ranges.in_range(e, a, b).repartition(QUARTER_FILES).write.mode("append").parquet(folder)
+    types = {"event_id": "long", "event_type": "string", "user_id": "long"}
+    schema = ", ".join(["column_path string, key long, value double", *(f"{c} {types[c]}" for c in more)])
+    return streams.follow(spark, folder, schema, max_files=QUARTER_FILES)
 
 
-def _sent(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+def sent(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """What a stream sends, with the number of its batch, after all files were read."""
     out = fresh_path(spark, "sent")
     query = streams.start(stream, lambda b, n: b.withColumn("ingest_seq", F.lit(n)).write.mode("append").parquet(out), fresh_path(spark, "progress"), mode=mode)
@@ -536,22 +543,22 @@ def _sent(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
 
 @query("SELECT column_path, key // 3600000 * 3600000 AS key, round(sum(value), 4) AS value FROM {S} GROUP BY 1, 2")
 def stream_sum_by_hour(spark, sf_dir):
-    sent = _sent(spark, streams.stream_reduce(_arriving(spark, sf_dir), "sum", "1 hour"), "update")
-    return four(store.latest_wins(sent).drop("ingest_seq"))
+    found = sent(spark, streams.stream_reduce(arriving(spark, sf_dir), "sum", "1 hour"), "update")
+    return four(store.latest_wins(found).drop("ingest_seq"))
 
 
 @query("""WITH h AS (SELECT column_path, key // 86400000 AS d, round(sum(value), 4) AS value FROM {S} GROUP BY 1, 2),
 e AS (SELECT column_path, unnest(generate_series(min(d), max(d))) AS d FROM h GROUP BY 1)
 SELECT e.column_path, e.d * 86400000 AS key, h.value FROM e LEFT JOIN h ON e.column_path = h.column_path AND e.d = h.d""")
 def stream_sum_with_empties(spark, sf_dir):
-    sent = _sent(spark, streams.stream_reduce_with_empties(_arriving(spark, sf_dir), "1 day"), "update")
-    return four(store.latest_wins(sent).drop("ingest_seq"))
+    found = sent(spark, streams.stream_reduce_with_empties(arriving(spark, sf_dir), "1 day"), "update")
+    return four(store.latest_wins(found).drop("ingest_seq"))
 
 
 @query("""WITH n AS (SELECT *, (row_number() OVER (PARTITION BY column_path ORDER BY key) - 1) // 10 AS p, count(*) OVER (PARTITION BY column_path) AS c FROM {S})
 SELECT column_path, min(key) AS key, round(sum(value), 4) AS value FROM n WHERE (p + 1) * 10 <= c GROUP BY column_path, p""")
 def stream_sum_of_tens(spark, sf_dir):
-    return four(_sent(spark, streams.stream_count_reduce(_arriving(spark, sf_dir), 10), "append").drop("ingest_seq"))
+    return four(sent(spark, streams.stream_count_reduce(arriving(spark, sf_dir), 10), "append").drop("ingest_seq"))
 
 
 @query("""WITH b AS (SELECT *, (SELECT min(key) FROM {S}) AS low, (SELECT max(key) + 1 FROM {S}) AS high FROM {S}),
@@ -560,7 +567,7 @@ SELECT column_path, min(key) AS key, round(sum(value), 4) AS value FROM p GROUP
 def stream_batch_totals(spark, sf_dir):
     out = fresh_path(spark, "totals")
     emit = lambda df, n: df.select("column_path", "key", "value").write.mode("append").parquet(out)
-    streams.stream_batch_reduce(_arriving(spark, sf_dir), "sum", emit, fresh_path(spark, "progress")).awaitTermination()
+    streams.stream_batch_reduce(arriving(spark, sf_dir), "sum", emit, fresh_path(spark, "progress")).awaitTermination()
     return four(spark.read.parquet(out))
 
 

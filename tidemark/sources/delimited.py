@@ -1,6 +1,7 @@
 """Delimited text files as series.
 
-Files are read by Spark; only the first lines of the distinct header shapes come to the driver.
+Files are read by Spark, and their headers worked out by it, a row for each file: any number of files and headers is one plan.
+The lines are written to the shared folder first, so that a file's first line is the same to every part of the plan.
 """
 
 from __future__ import annotations
@@ -8,19 +9,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import parse_key_ms, parse_value
+from tidemark.sources.folders import written
 
 #: Names of key columns, exact ones first.  Fixed values.
 KEY_NAMES = ("time", "Time", "epoch", "startDate", "startTime")
 KEY_PARTS = ("time", "TIME", "Time", "date", "Date", "DATE")
 #: Type suffixes of a header field.  Fixed values.
 TYPES = ("boolean", "bool", "short", "int", "long", "double", "char", "string", "json", "flags", "blob")
+#: Rows of a file, its first ones, that its types are inferred from.
 SAMPLE = 1000
-#: Different header lines that one directory may have.
-MOST_HEADERS = 10_000
 
 
 @dataclass(frozen=True)
@@ -82,23 +83,44 @@ def roots(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line) of every line that is not blank or a comment, of every .csv and .tsv below ``path``."""
+    """(file, block, at, line) of every line that is not blank or a comment, of every .csv and .tsv below ``path``;
+    block and at give the order of a file's lines."""
     # A glob cannot be caseless for a single file; the filter is on the file's name.
-    lines = spark.read.option("recursiveFileLookup", "true").text(roots(spark, path)).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.option("recursiveFileLookup", "true").text(roots(spark, path)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
     named = F.col("file").rlike(r"(?i)\.[ct]sv$")
-    return lines.where(named & (F.trim("line") != "") & ~F.ltrim("line").startswith("#"))
+    return written(lines.where(named & (F.trim("line") != "") & ~F.ltrim("line").startswith("#")), "lines")
 
 
-def infer_types(rows: DataFrame, width: int, sample: int = SAMPLE) -> list[str]:
-    """Long if all sampled values parse, else double, else boolean, else string; an empty sample is string."""
-    cell = lambda i: F.nullif(F.trim(F.get("cells", F.lit(i))), F.lit(""))
-    checks = []
-    for i in range(width):
-        filled = F.count(cell(i))
-        for kind in ("long", "double", "boolean"):
-            checks.append(((F.count(parse_value(cell(i), kind)) == filled) & (filled > 0)).alias(f"{kind}{i}"))
-    found = rows.limit(sample).agg(*checks).first()
-    return [next((k for k in ("long", "double", "boolean") if found[f"{k}{i}"]), "string") for i in range(width)]
+def header_columns(line: Column) -> dict[str, Column]:
+    """What ``detect_header`` tells of a first line, as columns: separator, has_header, names, types (null where not given), place of the key."""
+    separator = F.when(F.contains(line, F.lit("\t")), F.lit("\t")).otherwise(F.lit(","))
+    fields = F.transform(F.split(line, separator), lambda f: F.trim(f))
+    has_header = line.rlike(r"^\p{L}")
+    kind = lambda f: F.lower(F.element_at(F.split(f, ":"), -1))
+    typed = lambda f: (F.locate(":", f) > 1) & kind(f).isin(*TYPES)
+    given = F.transform(fields, lambda f: F.when(typed(f), F.regexp_replace(f, r":[^:]*$", "")).otherwise(f))
+    names = F.when(has_header, given).otherwise(F.transform(fields, lambda f, i: (i + 1).cast("string")))
+    types = F.transform(fields, lambda f: F.when(has_header & typed(f), F.when(kind(f) == "bool", "boolean").otherwise(kind(f))))
+    exact = [F.nullif(F.array_position(given, n), F.lit(0)) for n in KEY_NAMES]
+    first_with = lambda p: F.nullif(F.array_position(F.transform(given, lambda n: F.contains(n, F.lit(p))), True), F.lit(0))
+    key = F.when(has_header, F.coalesce(*exact, *map(first_with, KEY_PARTS), F.lit(1))).otherwise(1) - 1
+    return {"separator": separator, "has_header": has_header, "names": names, "types": types, "key_at": key.cast("int")}
+
+
+def _filled(cell: Column) -> Column:
+    return F.nullif(F.trim(cell), F.lit(""))
+
+
+def infer_types(cells: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(file, inferred): for each file and column long if all values of its first ``sample`` rows parse, else double, else
+    boolean, else string; a column without values is string.  ``cells`` has (file, block, at, cells)."""
+    first = F.row_number().over(Window.partitionBy("file").orderBy("block", "at"))  # a limit by group: each task keeps no more
+    rows = cells.withColumn("_n", first).where(F.col("_n") <= sample).select("file", F.posexplode("cells").alias("i", "cell"))
+    filled = _filled(F.col("cell"))
+    checks = [((F.count(parse_value(filled, kind)) == F.count(filled)) & (F.count(filled) > 0)).alias(kind) for kind in ("long", "double", "boolean")]
+    kinds = rows.groupBy("file", "i").agg(*checks)
+    kind = F.coalesce(*[F.when(F.col(k), F.lit(k)) for k in ("long", "double", "boolean")], F.lit("string"))
+    return kinds.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("i", kind.alias("kind"))))["kind"].alias("inferred"))
 
 
 def read_delimited(spark: SparkSession, path: str, single_file: bool = False) -> DataFrame:
@@ -107,53 +129,50 @@ def read_delimited(spark: SparkSession, path: str, single_file: bool = False) ->
     Tab-separated if a file's first line has a tab, else comma-separated.  A cell that is missing or does not parse
     gives no item; rows whose key does not parse are in ``bad_keys``.
     """
-    return _series(spark, path, single_file)[0]
+    keyed = _keyed(spark, path, single_file)
+    return melt_cells(keyed.where(F.col("key").isNotNull()))
 
 
 def bad_keys(spark: SparkSession, path: str, single_file: bool = False) -> DataFrame:
     """(file, line) of the rows whose key is no time."""
-    return _series(spark, path, single_file)[1]
+    return _keyed(spark, path, single_file).where(F.col("key").isNull()).select("file", "line")
+
+
+def headers(lines: DataFrame) -> DataFrame:
+    """(file, first_block, first_at, separator, has_header, names, types, key_at), a row for each file."""
+    firsts = lines.groupBy("file").agg(F.min_by(F.struct("block", "at", "line"), F.struct("block", "at")).alias("_first"))
+    told = header_columns(F.col("_first.line"))
+    return firsts.select("file", F.col("_first.block").alias("first_block"), F.col("_first.at").alias("first_at"), F.col("_first.line").alias("first_line"), *[c.alias(n) for n, c in told.items()])
+
+
+def _row_of(line: str, width: int, separator: str) -> Column:
+    """The cells c0, c1 and so on of a line; a quote within quotes is doubled."""
+    return F.from_csv(line, ", ".join(f"c{i} string" for i in range(width)), {"sep": separator, "escape": '"'})
 
 
-def _series(spark: SparkSession, path: str, single_file: bool) -> tuple[DataFrame, DataFrame]:
+def _keyed(spark: SparkSession, path: str, single_file: bool) -> DataFrame:
     lines = read_lines(spark, path)
-    firsts = lines.groupBy("file").agg(F.min_by("line", F.struct("block", "at")).alias("first_line"))
-    shapes = [r.first_line for r in firsts.select("first_line").distinct().limit(MOST_HEADERS + 1).collect()]
-    if len(shapes) > MOST_HEADERS:
-        raise ValueError("too many different headers for one load")
-    marked = lines.join(firsts, "file")
-    series, bad = None, None
-    for shape in sorted(shapes):
-        separator = "\t" if "\t" in shape else ","
-        spec = detect_header(shape, separator)
-        own = marked.where(F.col("first_line") == shape)
-        if spec.has_header:
-            own = own.where(F.col("line") != shape)
-        own = own.select("file", "line", F.from_csv("line", ", ".join(f"`c{i}` string" for i in range(len(spec.names))), {"sep": separator}).alias("r"))
-        own = own.select("file", "line", F.array(*[F.col(f"r.c{i}") for i in range(len(spec.names))]).alias("cells"))
-        inferred = infer_types(own, len(spec.names)) if any(t is None for t in spec.types) else [None] * len(spec.names)
-        kinds = [t or k for t, k in zip(spec.types, inferred, strict=True)]
-        key = parse_key_ms(F.trim(F.get("cells", F.lit(spec.key))))
-        keyed = own.withColumn("key", key).withColumn("dataset", dataset_from_path(F.col("file"), path, single_file))
-        wide = [(n, k, i) for i, (n, k) in enumerate(zip(spec.names, kinds, strict=True)) if i != spec.key]
-        part = melt_cells(keyed.where(F.col("key").isNotNull()), wide)
-        wrong = keyed.where(F.col("key").isNull()).select("file", "line")
-        series, bad = (part, wrong) if series is None else (series.unionByName(part), bad.unionByName(wrong))
-    if series is None:
-        empty = spark.createDataFrame([], "column_path string, key long, value string, value_type string, file string")
-        return empty, spark.createDataFrame([], "file string, line string")
-    return series, bad
-
-
-def melt_cells(df: DataFrame, wide: Sequence[tuple[str, str, int]]) -> DataFrame:
-    def item(name: str, kind: str, i: int) -> Column:
-        text = F.nullif(F.trim(F.get("cells", F.lit(i))), F.lit(""))
-        parsed = parse_value(text, kind)
-        shown = F.when(parsed.isNotNull(), text if kind in ("string", "json", "blob") else parsed.cast("string"))
-        return F.struct(F.concat_ws("/", "dataset", F.lit(name)).alias("column_path"), shown.alias("value"), F.lit(kind).alias("value_type"))
-
-    items = F.explode(F.array(*[item(*w) for w in wide])) if wide else F.explode(F.array().cast("array<struct<column_path:string,value:string,value_type:string>>"))
-    return df.select("key", "file", items.alias("i")).select("i.column_path", "key", "i.value", "i.value_type", "file").where(F.col("value").isNotNull())
+    specs = written(headers(lines), "headers")
+    short = specs.where(F.col("has_header") & (F.size("names") < 2)).select("file", "first_line").first()
+    if short:
+        raise ValueError(f"a header needs two fields: {short.first_line!r} in {short.file}")
+    widest = specs.agg(F.max(F.size("names"))).first()[0] or 1
+    row = F.when(F.col("separator") == "\t", _row_of("line", widest, "\t")).otherwise(_row_of("line", widest, ","))
+    own = lines.join(specs, "file").where(~F.col("has_header") | (F.col("block") != F.col("first_block")) | (F.col("at") != F.col("first_at")))
+    own = own.withColumn("_row", row).withColumn("cells", F.slice(F.array(*[F.col(f"_row.c{i}") for i in range(widest)]), F.lit(1), F.size("names"))).drop("_row")
+    kinds = written(infer_types(own.select("file", "block", "at", "cells")), "kinds")
+    typed = own.join(kinds, "file").withColumn("kinds", F.zip_with("types", "inferred", lambda given, found: F.coalesce(given, found, F.lit("string"))))
+    key = parse_key_ms(F.trim(F.get("cells", F.col("key_at"))))
+    return typed.withColumn("key", key).withColumn("dataset", dataset_from_path(F.col("file"), path, single_file))
+
+
+def melt_cells(df: DataFrame) -> DataFrame:
+    """(column_path, key, value, value_type, file): the filled cells of rows (key, file, dataset, names, kinds, cells, key_at) but the key's own."""
+    cell = F.transform(F.arrays_zip("names", "kinds", "cells"), lambda c, i: F.struct(i.alias("i"), c["names"].alias("name"), c["kinds"].alias("kind"), _filled(c["cells"]).alias("text")))
+    long = df.select("key", "file", "dataset", "key_at", F.explode(cell).alias("c")).where((F.col("c.i") != F.col("key_at")) & F.col("c.text").isNotNull())
+    text, kind = F.col("c.text"), F.col("c.kind")
+    shown = F.coalesce(*[F.when(kind == k, text if k == "string" else F.when(parse_value(text, k).isNotNull(), text) if k in ("json", "blob") else parse_value(text, k).cast("string")) for k in TYPES if k != "bool"])
+    return long.select(F.concat_ws("/", "dataset", "c.name").alias("column_path"), "key", shown.alias("value"), kind.alias("value_type"), "file").where(F.col("value").isNotNull())
 
 
 def melt_to_series(df: DataFrame, dataset: str, key: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -166,7 +185,8 @@ def melt_to_series(df: DataFrame, dataset: str, key: str, columns: Sequence[str]
 def stream_delimited(spark: SparkSession, path: str, header: str, dataset: str, max_files: int | None = None) -> DataFrame:
     """Items of the files that are in a folder and come into it, all with the ``header`` line given.
 
-    A file is read once: a changed one needs a new name.
+    A file is read once: a changed one needs a new name.  Lines are parsed as in ``read_delimited``; as a stream does not
+    tell a file's first line, every line equal to the header is taken for one.
     """
     separator = "\t" if "\t" in header else ","
     spec = detect_header(header, separator)
@@ -174,6 +194,8 @@ def stream_delimited(spark: SparkSession, path: str, header: str, dataset: str,
     if max_files:
         source = source.option("maxFilesPerTrigger", max_files)
     lines = source.load(path).where((F.trim("value") != "") & ~F.ltrim("value").startswith("#") & (F.col("value") != header))
-    cells = lines.select(F.split("value", separator, -1).alias("cells"), F.lit("").alias("file"), F.lit(dataset).alias("dataset"))
+    row = _row_of("value", len(spec.names), separator)
+    cells = lines.select(F.array(*[row[f"c{i}"] for i in range(len(spec.names))]).alias("cells"), F.lit("").alias("file"), F.lit(dataset).alias("dataset"), F.lit(spec.key).alias("key_at"),
+                         F.array(*map(F.lit, spec.names)).alias("names"), F.array(*[F.lit(t or "string") for t in spec.types]).alias("kinds"))
     keyed = cells.withColumn("key", parse_key_ms(F.trim(F.get("cells", F.lit(spec.key))))).where(F.col("key").isNotNull())
-    return melt_cells(keyed, [(n, t or "string", i) for i, (n, t) in enumerate(zip(spec.names, spec.types, strict=True)) if i != spec.key]).drop("file")
+    return melt_cells(keyed).drop("file")

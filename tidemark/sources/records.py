@@ -96,8 +96,20 @@ def load_events(spark: SparkSession, inputs: Sequence[str], reader: Callable[[Sp
     return out
 
 
-def stream_topic(spark: SparkSession, topic: str, decoder: Callable[[DataFrame], DataFrame], servers: str, max_offsets: int | None = 10_000) -> DataFrame:
-    """Decoded items of a Kafka topic, from its first message on. Needs Spark's Kafka source on the class path."""
+def decode_json_message(messages: DataFrame, column: str = "value") -> DataFrame:
+    """Messages that hold an item as JSON: (column_path, key, value, error); error is null when decoded."""
+    item = F.from_json(F.col(column).cast("string"), "column_path string, key long, value double")
+    known = item["column_path"].isNotNull() & item["key"].isNotNull()
+    return messages.select(item["column_path"].alias("column_path"), item["key"].alias("key"), item["value"].alias("value"), F.when(~F.coalesce(known, F.lit(False)), "deserialize").alias("error"))
+
+
+def stream_topic(spark: SparkSession, topic: str, decoder: Callable[[DataFrame], DataFrame], servers: str, max_offsets: int | None = 10_000, fmt: str = "kafka") -> DataFrame:
+    """Decoded items of a topic, from its first message on, so many at a time. ``kafka`` needs Spark's Kafka source on the
+    class path; ``parquet`` reads the stand-in of ``write_topic``, ``max_offsets`` files at a time."""
+    if fmt != "kafka":
+        source = spark.readStream.schema("key binary, value binary").format(fmt)
+        source = source.option("maxFilesPerTrigger", max_offsets) if max_offsets else source
+        return decoder(source.load(f"{servers}/{topic}"))
     source = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest")
     if max_offsets:
         source = source.option("maxOffsetsPerTrigger", max_offsets)

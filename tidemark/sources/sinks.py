@@ -27,6 +27,11 @@ def encoded(df: DataFrame, encoder: Callable[[DataFrame], Column] | None = None)
     return df.select(F.col("column_path").cast("binary").alias("key"), body.cast("binary").alias("value"))
 
 
-def write_topic(df: DataFrame, topic: str, servers: str, encoder: Callable[[DataFrame], Column] | None = None) -> None:
-    """Send items to a Kafka topic. Needs Spark's Kafka sink on the class path."""
-    encoded(df, encoder).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+def write_topic(df: DataFrame, topic: str, servers: str, encoder: Callable[[DataFrame], Column] | None = None, fmt: str = "kafka") -> None:
+    """Send items to a topic. ``kafka`` needs Spark's Kafka sink on the class path; ``parquet`` is a stand-in whose
+    messages are files in the folder ``servers``/``topic``."""
+    messages = encoded(df, encoder)
+    if fmt == "kafka":
+        messages.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+    else:
+        messages.write.format(fmt).mode("append").save(f"{servers}/{topic}")

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+
+from tidemark.operators.running import numbered
 
 #: Logical value types that share a table.
 TABLES = {"short": "int", "int": "int", "char": "string", "json": "string", "string": "string", "flags": "bigint", "long": "bigint", "bigint": "bigint", "double": "double", "boolean": "boolean", "blob": "binary"}
 
 
-def latest_wins(df: DataFrame, order: str = "ingest_seq") -> DataFrame:
-    """For each column and key the item written last; one aggregation, combined before the shuffle."""
+def latest_wins(df: DataFrame, order: str | Sequence[str] = "ingest_seq") -> DataFrame:
+    """For each column and key the item written last, of those alike in ``order`` the one of greatest values: one
+    aggregation, combined before the shuffle."""
+    order = [order] if isinstance(order, str) else list(order)
     rest = [c for c in df.columns if c not in ("column_path", "key")]
-    newest = df.groupBy("column_path", "key").agg(F.max_by(F.struct(*rest), F.col(order)).alias("_item"))
+    newest = df.groupBy("column_path", "key").agg(F.max_by(F.struct(*rest), F.struct(*order, *[c for c in rest if c not in order])).alias("_item"))
     return newest.select("column_path", "key", *[F.col("_item")[c].alias(c) for c in rest])
 
 
@@ -26,9 +31,19 @@ def merge_updates(base: DataFrame, updates: DataFrame, deletes: DataFrame | None
     return latest_wins(both, "_seq").drop("_seq")
 
 
+_ITEM = "column_path string, key long, value {}, value_type string, ingest_seq long, token string, place long"
+_ORDER = ("ingest_seq", "token", "place")
+
+
 @dataclass
 class SeriesStore:
-    """Tables below ``path``: series_<type> (column_path, key, value, value_type, dataset, ingest_seq)."""
+    """Tables below ``path``, one for each Spark type: series_<type>.
+
+    Every write, whoever makes it, is a folder of its own whose name holds its number (one more than those before it)
+    and its token; it is written aside and renamed, so it is there whole or not at all.  Items are ordered by (number,
+    token), in one write by ``place``.  A write whose token is there already is left out: so a stream's batch that runs again
+    changes nothing.  Erasing a column adds a mark that hides what was written before it.
+    """
 
     spark: SparkSession
     path: str
@@ -36,71 +51,102 @@ class SeriesStore:
     def _table(self, value_type: str) -> str:
         return f"{self.path}/series_{TABLES[value_type]}"
 
-    def write(self, df: DataFrame, value_type: str, seq: int | None = None) -> None:
-        """Append (column_path, key, value); an item of the same column and key counts as replaced."""
-        stamp = F.lit(seq).cast("long") if seq is not None else F.unix_micros(F.current_timestamp())
-        rows = df.select("column_path", F.col("key").cast("long").alias("key"), F.col("value").cast({"blob": "binary", "long": "bigint"}.get(TABLES[value_type], TABLES[value_type])).alias("value"),
-                         F.lit(value_type).alias("value_type"), stamp.alias("ingest_seq"), F.regexp_replace("column_path", r"/[^/]*$", "").alias("dataset"))
-        rows.repartition("dataset", F.pmod(F.xxhash64("column_path"), F.lit(64))).sortWithinPartitions("dataset", "column_path", "key").write.mode("append").partitionBy("dataset").parquet(self._table(value_type))
+    def _fs(self):
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return hadoop(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+    def _names(self, table: str) -> list[str]:
+        fs, hadoop = self._fs()
+        return sorted(f.getPath().getName() for f in fs.listStatus(hadoop(table))) if fs.exists(hadoop(table)) else []
+
+    def _commit(self, df: DataFrame, table: str, kind: str, token: str, number: int | None = None) -> None:
+        names = self._names(table)
+        if any(n[:1] in "we" and n.split("-", 2)[2] == token for n in names):
+            return
+        number = number or 1 + max((int(n.split("-", 2)[1]) for n in names if n[:1] in "we"), default=0)
+        fs, hadoop = self._fs()
+        aside, final = f"{table}/.{uuid.uuid4().hex}", f"{table}/{kind}-{number:012d}-{token}"
+        df.withColumn("ingest_seq", F.lit(number).cast("long") if "ingest_seq" not in df.columns else F.col("ingest_seq")).write.parquet(aside)
+        if not fs.rename(hadoop(aside), hadoop(final)):
+            raise OSError(f"{final} could not be put in place")
+
+    def write(self, df: DataFrame, value_type: str, token: str | int | None = None, place: str | None = None) -> None:
+        """Write (column_path, key, value); an item of the same column and key counts as replaced.
+
+        ``token`` names the write: a second one of the same name is no write.  Of items of one column and key the one of
+        greatest ``place`` (a column) counts, without it that of greatest value.
+        """
+        kind = TABLES[value_type]
+        rows = df.select("column_path", F.col("key").cast("long").alias("key"), F.col("value").cast(kind).alias("value"), F.lit(value_type).alias("value_type"),
+                         F.lit(str(token) if token is not None else uuid.uuid4().hex).alias("token"), (F.col(place) if place else F.lit(0)).cast("long").alias("place"))
+        # Files by ranges of path and key: a path or dataset is in few files, which their statistics find.
+        sized = rows.repartitionByRange("column_path", "key").sortWithinPartitions("column_path", "key")
+        self._commit(sized, self._table(value_type), "w", str(token) if token is not None else uuid.uuid4().hex)
+
+    def _items(self, kind: str, names: list[str] | None = None) -> DataFrame | None:
+        """All items of a table (or of its writes and marks ``names``) that are not erased, replaced ones too; None without a table."""
+        table = f"{self.path}/series_{kind}"
+        names = self._names(table) if names is None else names
+        if not any(n.startswith("w-") for n in names):
+            return None
+        found = self.spark.read.schema(_ITEM.format(kind)).parquet(*[f"{table}/{n}" for n in names if n.startswith("w-")])
+        if erased := [n for n in names if n.startswith("e-")]:
+            marks = self.spark.read.schema("_path string, ingest_seq long").parquet(*[f"{table}/{n}" for n in erased])
+            marks = marks.groupBy("_path").agg(F.max("ingest_seq").alias("_until"))
+            found = found.join(marks, F.col("column_path") == F.col("_path"), "left").where(F.col("_until").isNull() | (F.col("ingest_seq") > F.col("_until"))).drop("_path", "_until")
+        return found
 
     def scan(self, value_type: str) -> DataFrame:
         """All items of one logical type."""
-        found = self.spark.read.parquet(self._table(value_type)).where(F.col("value_type") == value_type)
-        return latest_wins(found).select("column_path", "key", "value", "value_type")
+        found = self._items(TABLES[value_type])
+        if found is None:
+            raise LookupError(f"no {value_type} is stored in {self.path}")
+        return latest_wins(found.where(F.col("value_type") == value_type), _ORDER).select("column_path", "key", "value", "value_type")
 
     def scan_all(self) -> DataFrame:
         """All items of all types that were written, values as text."""
         out = None
         for kind in sorted(set(TABLES.values())):
-            try:
-                found = self.spark.read.parquet(f"{self.path}/series_{kind}")
-            except AnalysisException as e:
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
+            found = self._items(kind)
+            if found is None:
                 continue
-            part = latest_wins(found).select("column_path", "key", (F.base64("value") if kind == "binary" else F.col("value").cast("string")).alias("value"), "value_type")
+            part = latest_wins(found, _ORDER).select("column_path", "key", (F.base64("value") if kind == "binary" else F.col("value").cast("string")).alias("value"), "value_type")
             out = part if out is None else out.unionByName(part)
         if out is None:
             raise LookupError(f"nothing is stored in {self.path}")
         return out
 
     def compact(self, value_type: str) -> None:
-        """Rewrite the table with the latest items only, beside the old one, and swap."""
-        table = self._table(value_type)
-        newest = latest_wins(self.spark.read.parquet(table))
-        newest.write.mode("overwrite").partitionBy("dataset").parquet(table + "_new")
-        self._replace(table)
+        """Put the latest items into one write, then remove those it replaces.
 
-    def erase_column(self, path: str, value_type: str) -> None:
+        Items keep their numbers, so it makes no difference which of both a reader finds, nor where this breaks off.
+        """
         table = self._table(value_type)
-        self.spark.read.parquet(table).where(F.col("column_path") != path).write.mode("overwrite").partitionBy("dataset").parquet(table + "_new")
-        self._replace(table)
+        old = self._names(table)
+        found = self._items(TABLES[value_type], old)
+        if found is None:
+            return
+        newest = latest_wins(found, _ORDER).select(found.columns).repartitionByRange("column_path", "key").sortWithinPartitions("column_path", "key")
+        self._commit(newest, table, "w", uuid.uuid4().hex, max(int(n.split("-", 2)[1]) for n in old if n[:1] in "we"))
+        fs, hadoop = self._fs()
+        for name in sorted(old, reverse=True):  # writes before the marks that hide them
+            if name[:2] in ("w-", "e-"):
+                fs.delete(hadoop(f"{table}/{name}"), True)
 
-    def _replace(self, table: str) -> None:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        old, new = jvm.org.apache.hadoop.fs.Path(table), jvm.org.apache.hadoop.fs.Path(table + "_new")
-        fs = old.getFileSystem(conf)
-        fs.delete(old, True)
-        fs.rename(new, old)
-        self.spark.catalog.refreshByPath(table)
+    def erase_column(self, path: str, value_type: str) -> None:
+        """Hide what was written to a column so far; ``compact`` removes it."""
+        self._commit(self.spark.createDataFrame([(path,)], "_path string"), self._table(value_type), "e", uuid.uuid4().hex)
 
     def reset(self) -> None:
         """Drop all tables."""
-        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+        fs, hadoop = self._fs()
+        fs.delete(hadoop(self.path), True)
 
 
 def series_from_values(df: DataFrame, path: str, order_by: str, value: str = "value") -> DataFrame:
-    """A column of values keyed by position; ranges of the order are ranked apart, so no task takes all rows."""
-    sorted_rows = df.select(F.col(order_by).alias("_order"), F.col(value).alias("value"))
-    bounds = sorted_rows.select(F.percentile_approx("_order", [i / 64 for i in range(1, 64)], 10_000)).first()[0] or []
-    part = F.aggregate(F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<double>"), F.lit(0), lambda n, b: n + F.when(F.col("_order") > b, 1).otherwise(0))
-    cut = sorted_rows.withColumn("_part", part)
-    counts = cut.groupBy("_part").count()
-    before = counts.select(F.col("_part").alias("_p"), (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))  # 64 rows
-    ranked = cut.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy("_order", "value")) - 1)
-    placed = ranked.join(F.broadcast(before), F.col("_part") == F.col("_p"))
-    return placed.select(F.lit(path).alias("column_path"), (F.col("_n") + F.col("_before")).cast("long").alias("key"), "value")
+    """A column of values keyed by their position in an order of any type; ties are in the order of the values."""
+    rows = numbered(df.select(F.col(order_by).alias("_order"), F.col(value).alias("value")), ["_order", "value"])
+    return rows.select(F.lit(path).alias("column_path"), F.col("position").alias("key"), "value")
 
 
 def series_from_pairs(df: DataFrame, path: str, key: str = "key", value: str = "value") -> DataFrame:

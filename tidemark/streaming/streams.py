@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.period import Period, bucket_index, bucket_start, round_down
 from tidemark.operators.reduce import reduce, reducer
+from tidemark.sources.sinks import to_json_pairs
 from tidemark.sources.store import SeriesStore
 
 #: Monday 1970-01-05, from which weeks of a stream count.
@@ -52,52 +55,76 @@ def stream_reduce(
     return timed.groupBy(*by, "ts").agg(reducer(fn)(F.col("value")).alias("value")).select(*by, F.unix_millis("ts").alias("key"), "value")
 
 
-def stream_reduce_with_empties(stream: DataFrame, period: str, zone: str = "UTC", anchor: int | None = None) -> DataFrame:
-    """Sums by period of each series, with a missing value for every empty period between the last sent and new data."""
-    p = Period.parse(period)
+#: Reducers that a state can carry: from (items, sum, least, greatest).
+CARRIED = {"sum": lambda n, t, a, b: t, "count": lambda n, t, a, b: n, "min": lambda n, t, a, b: a, "max": lambda n, t, a, b: b, "mean": lambda n, t, a, b: t / n, "average": lambda n, t, a, b: t / n}
+
+
+def _carried(fn: str):
+    if fn not in CARRIED:
+        raise ValueError(f"a stream's state carries no {fn!r}")
+    return CARRIED[fn]
+
+
+def _joined(a: tuple, b: tuple) -> tuple:
+    return a[0] + b[0], a[1] + b[1], min(a[2], b[2]), max(a[3], b[3])
+
+
+def stream_reduce_with_empties(stream: DataFrame, period: str, zone: str = "UTC", anchor: int | None = None, fn: str = "sum") -> DataFrame:
+    """Totals by period of each series, with a missing value for every empty period between the last sent and new data.
+
+    The state of a series is its open period and that one's total; a period is sent with the first of the empty ones before it,
+    which Spark's ``explode`` then lists, so that a key far ahead costs the state nothing.
+    """
+    p, shown = Period.parse(period), _carried(fn)
     base = F.lit(anchor).cast("long") if anchor is not None else default_anchor(p, zone)
-    numbered = stream.select("column_path", bucket_index(F.col("key"), base, p, zone).alias("k"), F.col("value").cast("double").alias("value"))
+    rows = stream.select("column_path", bucket_index(F.col("key"), base, p, zone).alias("k"), F.col("value").cast("double").alias("value"))
 
     def step(group: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, total = state.get if state.exists else (None, 0.0)
-        sums: dict[int, float] = {}
+        last, *before = state.get if state.exists else (None,)
+        totals: dict[int, tuple] = {}
         for f in frames:
-            for k, v in f.groupby("k")["value"].sum().items():
-                sums[int(k)] = sums.get(int(k), 0.0) + float(v)
-        sums = {k: v for k, v in sums.items() if last is None or k >= last}  # an earlier period is past: late data
-        if not sums:
+            for k, n, t, a, b in f.groupby("k")["value"].agg(["count", "sum", "min", "max"]).itertuples():
+                if n and (last is None or k >= last):  # an earlier period is past: late data
+                    own = (int(n), float(t), float(a), float(b))
+                    totals[int(k)] = _joined(totals[int(k)], own) if int(k) in totals else own
+        if not totals:
             return
-        if last in sums:
-            sums[last] += total
-        first = min(sums) if last is None or last in sums else last + 1
-        top = max(sums)
-        keys = list(range(first, top + 1))
-        state.update((top, sums[top]))
-        yield pd.DataFrame({"column_path": group[0], "k": keys, "value": pd.Series([sums.get(k) for k in keys], dtype="float64")})
+        if last in totals:
+            totals[last] = _joined(tuple(before), totals[last])
+        keys = sorted(totals)
+        reach = [k if last is None or last in totals else last + 1 for k in keys[:1]] + [k + 1 for k in keys[:-1]]
+        state.update((keys[-1], *totals[keys[-1]]))
+        yield pd.DataFrame({"column_path": group[0], "since": reach, "k": keys, "value": [float(shown(*totals[k])) for k in keys]})
 
-    out = numbered.groupBy("column_path").applyInPandasWithState(step, "column_path string, k long, value double", "last long, total double", "update", GroupStateTimeout.NoTimeout)
-    return out.select("column_path", bucket_start(F.col("k"), base, p, zone).alias("key"), "value")
+    out = rows.groupBy("column_path").applyInPandasWithState(
+        step, "column_path string, since long, k long, value double", "last long, n long, total double, low double, high double", "update", GroupStateTimeout.NoTimeout
+    )
+    every = out.select("column_path", F.explode(F.sequence("since", "k")).alias("at"), "k", "value")
+    return every.select("column_path", bucket_start(F.col("at"), base, p, zone).alias("key"), F.when(F.col("at") == F.col("k"), F.col("value")).alias("value"))
 
 
-def stream_count_reduce(stream: DataFrame, n: int) -> DataFrame:
-    """Sums of each ``n`` items of a series, sent when complete and keyed by their first item."""
+def stream_count_reduce(stream: DataFrame, n: int, fn: str = "sum") -> DataFrame:
+    """Totals of each ``n`` items of a series, sent when complete and keyed by their first item."""
+    shown = _carried(fn)
 
     def step(group: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, first, total = state.get if state.exists else (0, 0, 0.0)
-        rows = pd.concat(list(frames)).sort_values("key", kind="stable")
-        out = []
-        for key, value in zip(rows["key"].tolist(), rows["value"].tolist(), strict=True):
-            first = key if count == 0 else first
-            count, total = count + 1, total + value
-            if count == n:
-                out.append((group[0], first, total))
-                count, total = 0, 0.0
-        state.update((count, first, total))
-        if out:
-            yield pd.DataFrame(out, columns=["column_path", "key", "value"])
+        held, first, *before = state.get if state.exists else (0, 0, 0.0, 0.0, 0.0)
+        rows = pd.concat(list(frames)).sort_values("key", kind="stable", ignore_index=True)
+        part = (held + np.arange(len(rows))) // n
+        own = rows.groupby(part).agg(key=("key", "first"), n=("value", "size"), total=("value", "sum"), low=("value", "min"), high=("value", "max"))
+        totals = [(int(k), (int(c), float(t), float(a), float(b))) for k, c, t, a, b in own.itertuples(index=False)]
+        if held and totals:
+            totals[0] = (first, _joined((held, *before), totals[0][1]))
+        whole = [x for x in totals if x[1][0] == n]
+        rest = totals[-1] if totals and totals[-1][1][0] < n else (0, (0, 0.0, 0.0, 0.0))
+        state.update((rest[1][0], rest[0], *rest[1][1:]))
+        if whole:
+            yield pd.DataFrame({"column_path": group[0], "key": [k for k, _ in whole], "value": [float(shown(*t)) for _, t in whole]})
 
     rows = stream.select("column_path", "key", F.col("value").cast("double").alias("value"))
-    return rows.groupBy("column_path").applyInPandasWithState(step, "column_path string, key long, value double", "n long, first long, total double", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("column_path").applyInPandasWithState(
+        step, "column_path string, key long, value double", "n long, first long, total double, low double, high double", "append", GroupStateTimeout.NoTimeout
+    )
 
 
 def stream_batch_reduce(stream: DataFrame, fn: str, emit: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None):
@@ -110,23 +137,37 @@ def start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint:
     return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(each).start()
 
 
+def _token(batch: DataFrame, checkpoint: str, n: int) -> str:
+    """A name of a stream's batch: the stream's id, which its checkpoint keeps, and the batch number."""
+    held = batch.sparkSession.read.text(checkpoint + "/metadata").first().value
+    return f"{json.loads(held)['id']}-{n}"
+
+
 def write_stream(stream: DataFrame, store: SeriesStore, value_type: str, checkpoint: str, trigger: dict | None = None):
-    """Write a stream to the store; the batch number orders writes, so a batch that runs again changes nothing."""
-    return start(stream, lambda batch, n: store.write(batch, value_type, n), checkpoint, trigger)
+    """Write a stream to the store, in one order with all other writes; a batch that runs again changes nothing."""
+    return start(stream, lambda batch, n: store.write(batch, value_type, _token(batch, checkpoint, n)), checkpoint, trigger)
 
 
 def load_stream(
     messages: DataFrame, decoder: Callable[[DataFrame], DataFrame], store: SeriesStore, value_type: str, checkpoint: str, errors: str, transforms: Sequence[Callable[[DataFrame], DataFrame]] = (), trigger: dict | None = None,
 ):
-    """Decode messages, transform, write items to the store and failures (error, n by batch) to the ``errors`` table."""
+    """Decode messages, transform, write items to the store and failures (error, count, by batch) to the ``errors`` table.
+
+    A batch that runs again overwrites its own failures.
+    """
 
     def each(batch: DataFrame, n: int) -> None:
-        decoded = decoder(batch)
+        decoded, token = decoder(batch), _token(batch, checkpoint, n)
         items = decoded.where(F.col("error").isNull()).drop("error")
         for t in transforms:
             items = t(items)
-        store.write(items, value_type, n)
+        store.write(items, value_type, token)
         failed = decoded.where(F.col("error").isNotNull()).groupBy("error").count()
-        failed.withColumn("batch", F.lit(n)).write.mode("append").parquet(errors)
+        failed.write.mode("overwrite").parquet(f"{errors}/batch={token}")
 
     return start(messages, each, checkpoint, trigger)
+
+
+def json_blocks(stream: DataFrame, out: str, checkpoint: str, trigger: dict | None = None):
+    """Write a stream as JSON pairs in numbered blocks: block 0 is what was there at the start, later ones are updates."""
+    return start(stream, lambda batch, n: to_json_pairs(batch).write.mode("overwrite").parquet(f"{out}/block={n}"), checkpoint, trigger)
