@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm.conftest import words
 from tidemark.llm import components, mixing, packing, simhash, suffixes
 from tidemark.llm.common import joined_labels
 
@@ -34,19 +35,36 @@ def expected_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("crowded", [suffixes.CROWDED, 2])
-def test_repeats_are_those_of_brute_force(documents, corpus, monkeypatch, crowded):
+@pytest.mark.parametrize(("crowded", "heavy"), [(suffixes.CROWDED, 100), (suffixes.CROWDED, 1), (2, 1)])
+def test_repeats_are_those_of_brute_force(documents, corpus, monkeypatch, crowded, heavy):
     find = suffixes.repeats
-    monkeypatch.setattr(suffixes, "repeats", lambda d, n=suffixes.LENGTH: find(d, n, crowded=crowded))
+    monkeypatch.setattr(suffixes, "repeats", lambda d, n=suffixes.LENGTH: find(d, n, crowded=crowded, heavy=heavy))
     got = suffixes.digest(with_extra(documents)).collect()
     want = expected_repeats([(t or "").encode() for _, t, *_ in corpus], 200)
     assert sorted((str(r.doc_id), *tuple(r)[1:]) for r in got) == sorted((str(d[0]), *w) for d, w in zip(corpus, want, strict=True))
 
 
+def test_one_anchor_in_many_contexts(spark):
+    """A common line among unlike ones: longer anchors part its runs, and the same windows are found."""
+    rng = random.Random(11)
+    line = words(rng, 12) + " all rights reserved by the publishers of this page and of all others "
+    sides = [words(rng, 60) for _ in range(9)]
+    texts = [rng.choice(sides)[-rng.randint(20, 180) :] + line + rng.choice(sides)[: rng.randint(20, 180)] for _ in range(240)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {i: w[1:] for i, w in enumerate(expected_repeats([t.encode() for t in texts], 200))}
+    for heavy in (10, 10_000):
+        found = {r.doc_id: [{"start": s.start, "stop": s.stop} for s in r.spans] for r in suffixes.repeats(docs, heavy=heavy).collect()}
+        for i, t in enumerate(texts):
+            kept, removed, n = suffixes._cut(t.encode(), found.get(i))
+            assert (removed, n, hashlib.sha256(kept).hexdigest()) == want[i]
+
+
 def test_repeats_in_random_strings(spark, monkeypatch):
     rng = random.Random(1)
     monkeypatch.setattr(suffixes, "CHUNK", 700)
     monkeypatch.setattr(suffixes, "BUFFER", 50)
+    monkeypatch.setattr(suffixes, "BATCH", 9)
+    monkeypatch.setattr(suffixes, "SPREAD", 13)
     monkeypatch.setattr(suffixes, "_ROLLING", {})
     parts = ["".join(rng.choice("ab") for _ in range(rng.randint(5, 90))) for _ in range(12)]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 6))) for _ in range(60)] + ["ab" * 2000, "a" * 100]
@@ -69,24 +87,25 @@ def test_repeats_in_random_strings(spark, monkeypatch):
         assert (len(data[i]), r, k, hashlib.sha256(kept).hexdigest()) == (n, removed, stretches, digest)
 
 
-def test_index_family_keeps_levels_geometric():
+def test_index_family_keeps_levels_geometric(monkeypatch):
+    monkeypatch.setattr(suffixes, "SPREAD", 37)
     rng = np.random.default_rng(0)
-    family, seen, told = suffixes.IndexFamily(), Counter(), set()
+    family, seen, told, rows = suffixes.IndexFamily(5), Counter(), set(), []
     for n in range(60):
-        h = rng.integers(0, 3000, 40).astype(np.uint64)
-        rows = {"key": np.zeros(40, dtype=np.int64), "content": np.full(40, n), "place": np.arange(40), "head": h % np.uint64(7), "h1": h, "h2": h}
-        out = family.add(rows, 0)
-        told |= set(zip(out["content"].tolist(), out["place"].tolist(), strict=True))
-        seen.update(h.tolist())
-        rows_of = getattr(family, "_rows", [])
-        family._rows = [*rows_of, *((n, p, int(x)) for p, x in enumerate(h))]
-    want = {(c, p) for c, p, x in family._rows if seen[x] > 1}
-    first = {}
-    for c, p, x in family._rows:
-        first.setdefault(x, (c, p))
-    assert told == want
-    sizes = [len(level["h1"]) for level in family.levels]
-    assert all(a > 2 * b for a, b in zip(sizes[:-1], sizes[1:], strict=True)) and len(sizes) < 12
+        text = rng.integers(0, 4, 64, dtype=np.uint8)  # zero bytes too
+        at = np.arange(60)
+        run, place = family.add(text, at, np.full(60, n), at)
+        found = list(zip(run.tolist(), place.tolist(), strict=True))
+        assert not told & set(found) and len(set(found)) == len(found)
+        told |= set(found)
+        rows += [(n, p, text[p : p + 5].tobytes()) for p in range(60)]
+        seen.update(x for r, _, x in rows[-60:])
+        sizes = [len(level) for level in family.levels]
+        assert all(a > 2 * b for a, b in zip(sizes[:-1], sizes[1:], strict=True)) and sum(sizes) == len(seen)
+        for level in family.levels:
+            windows = [level.text[a : a + 5].tobytes() for a in level.at.tolist()]
+            assert windows == sorted(set(windows))
+    assert told == {(r, p) for r, p, x in rows if seen[x] > 1}
 
 
 def test_cutting_keeps_columns_and_clean_texts(documents, corpus):
@@ -218,6 +237,19 @@ def test_added_tokens_in_a_text():
         assert encode(text) == own.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_every_character():
+    """Each code point between letters, digits and blanks, and random texts: the two libraries agree."""
+    from tokenizers import Tokenizer
+
+    encode, own = packing.Encoder(*packing.default_paths()), Tokenizer.from_file(packing.default_paths()[0])
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{c}b 1{c}2{c} {c}{c}'s" for c in points[i : i + 2000]) for i in range(0, len(points), 2000)]
+    rng = random.Random(6)
+    texts += ["".join(rng.choice([rng.choice(points), rng.choice(" \t\n\r\u00a0\u2003"), rng.choice("abcXYZ019'.,-s"), "'ll"]) for _ in range(rng.randint(1, 300))) for _ in range(3000)]
+    for text, theirs in zip(texts, own.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encode(text) == theirs.ids, next((c for c in points if encode(f"a{c}b 1{c}2{c} {c}{c}'s") != own.encode(f"a{c}b 1{c}2{c} {c}{c}'s", add_special_tokens=False).ids), text)
+
+
 @pytest.mark.parametrize("n", [1, 50, 5000])
 def test_patterns_hold_every_piece(n):
     rng = np.random.default_rng(n)

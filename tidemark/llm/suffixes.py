@@ -7,24 +7,28 @@ one) is removed; strings are judged on the input.
    the ``GRAM``-byte strings inside it.  The anchor depends on the window's bytes alone, so equal windows have
    equal anchors.  Neighbouring windows of one anchor form a run of under ``2 * length`` bytes; some 1.3 rows
    per 100 bytes leave a document, each with the anchor's hash (``key``) and a hash of its bytes.
-2. *Whole runs.*  Runs of a key, in order of their hash, are scanned: a run whose bytes occur twice is all
-   repeats.  Only a run that is unlike any other but shares its key goes on, with its bytes.
-3. *Partial runs.*  The windows of each key form an index family: a new batch gets its suffix array (windows by
-   their first bytes, then by fingerprint), is merge-scanned against each existing level, equal neighbours
+2. *Whole runs.*  Runs of a key, in order of their hash, are scanned: a run whose two hashes (128 bits) occur twice is all
+   repeats.  Only a run that is unlike any other but shares its key goes on, with its bytes.  Heavy keys, known by a count
+   before this shuffle, are dealt by key and hash of bytes together.
+3. *Partial runs.*  The windows of these form index families, one for each partition of the keys: a new batch of runs gets its
+   suffix array (windows in the order of all their bytes), is merge-scanned against each existing level, equal neighbours
    being repeats, and becomes a level; levels of like size merge, so a window is merged a logarithmic number
-   of times.  Keys come in order and a level forgets keys that are past.  A key with over ``CROWDED`` runs is
-   counted window by window in an aggregation instead, so no task holds it.
+   of times.  Windows are compared by their bytes.  Heavy keys are dealt again by a longer anchor: what follows the first one
+   or, in windows where too little follows, what stands before it.  A key that still has over ``CROWDED`` runs is counted
+   window by window in an aggregation over 128-bit hashes, so no task holds it.
 4. The repeats of a document are joined to its text and cut out.
 
 Defined cases: null text is empty, and texts under ``length`` bytes keep all; repeated rows and doc_ids are
 documents of their own (rows alike remove each other from ``length`` bytes on); a null doc_id is a value like any;
-an empty table gives no rows; extra columns stay with ``without_repeats`` and are ignored else.
+an empty table gives no rows; extra columns, of whatever names, stay with ``without_repeats`` and are ignored else; a very long
+text is worked on in overlapping pieces of a megabyte.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import HEAVY, join_each, written
 
 LENGTH = 200
 GRAM = 48
@@ -40,6 +44,8 @@ GRAM = 48
 CROWDED = 50_000
 #: Bytes and rows that are worked on at once.
 CHUNK, BUFFER = 1 << 20, 400_000
+#: Runs of a batch of the index family; runs to a partition of it; windows of a level that are laid out at once.
+BATCH, PARTITION, SPREAD = 1000, 20_000, 100_000
 
 _RUN = "key long, fp long, doc_id long, text_key long, place long"
 _SPAN = "doc_id long, text_key long, start long, stop long, kind int, key long"
@@ -109,7 +115,7 @@ def runs_of(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple
 
 def _text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts of a column, one after another, and the offsets of each."""
-    column = pa.concat_arrays([column.fill_null("")]).cast(pa.large_binary())
+    column = pa.concat_arrays([column if pa.types.is_binary(column.type) else column.fill_null("")]).cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
     return data, offsets
@@ -176,8 +182,11 @@ def _map_runs(length: int, gram: int):
     return map_runs
 
 
-def _classify(length: int):
-    """Over runs sorted by (key, fp): kind 0 for repeats, 1 for runs to look into, 2 for repeats to hold them against."""
+def _classify(length: int, heavy: bool = False):
+    """Over runs sorted by (key, fp): kind 0 for repeats, 1 for runs to look into, 2 for repeats to hold them against.
+
+    Of ``heavy`` keys a task sees a part only; they are taken to have unlike runs.
+    """
 
     def spans(rows: pa.Table, pick: np.ndarray, kind: int) -> pa.RecordBatch | None:
         if not len(pick):
@@ -213,7 +222,7 @@ def _classify(length: int):
             repeated = (size > 1) | (np.maximum.reduceat(flags, first) > 0)
             group_key = key[first]
             same = group_key[1:] == group_key[:-1]
-            shared = np.r_[False, same] | np.r_[same, False] | (group_key == others if others is not None else False)
+            shared = np.r_[False, same] | np.r_[same, False] | (group_key == others if others is not None else False) | heavy
             done = len(first) - 1 if more else len(first)
             emitted = (flags == 3)
             row_done = group < done
@@ -222,7 +231,7 @@ def _classify(length: int):
             out.append(spans(rows, first[:done][repeated[:done] & shared[:done]], 2))
             if not more:
                 return out, None
-            others = group_key[-1] if shared[-1] else None
+            others = group_key[-1] if shared[-1] and not heavy else None
             tail = rows.slice(int(first[-1]))
             if size[-1] > 1:  # report what is known to repeat; one row, marked as reported, stands for all
                 out.append(spans(rows, np.flatnonzero(~row_done & ~emitted), 0))
@@ -266,16 +275,19 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def windows_of(contents: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(content, place in it, first eight bytes, two hashes) of every window of every content."""
-    contents = contents.cast(pa.large_binary())
-    offsets = np.frombuffer(contents.buffers()[1], dtype=np.int64)[contents.offset : contents.offset + len(contents) + 1]
-    data = np.frombuffer(contents.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
+def _places(offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(run, place in it) of every window of the runs between ``offsets``."""
     counts = np.maximum(np.diff(offsets) - length + 1, 0)
-    content = np.repeat(np.arange(len(counts)), counts)
-    place = np.arange(len(content)) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = offsets[content] + place
+    run = np.repeat(np.arange(len(counts)), counts)
+    return run, np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def windows_of(contents: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(run, place in it, two hashes) of every window of every run."""
+    data, offsets = _text_bytes(contents)
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    run, place = _places(offsets, length)
+    at = offsets[run] + place
     hashes = []
     for seed in (2, 3):
         h = np.zeros(len(at), dtype=np.uint64)
@@ -284,98 +296,142 @@ def windows_of(contents: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray,
             own = slice(*np.searchsorted(at, [a, a + step]))
             h[own] = rolling(seed, CHUNK * 2)(data[a : a + step + length - 1], length)[at[own] - a]
         hashes.append(h)
-    padded = np.r_[data, np.zeros(8, dtype=np.uint8)]
-    head = np.zeros(len(at), dtype=np.uint64)
-    for k in range(8):
-        head = (head << np.uint64(8)) | padded[at + k].astype(np.uint64)
-    return content, place, head, *hashes
+    return run, place, *hashes
+
+
+@dataclass
+class Level:
+    """A suffix array: unlike windows of ``text`` in the order of their bytes, each with its run, its place there and whether it has a twin."""
+
+    text: np.ndarray
+    at: np.ndarray
+    run: np.ndarray
+    place: np.ndarray
+    twin: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def picked(self, which: np.ndarray) -> Level:
+        return Level(self.text, self.at[which], self.run[which], self.place[which], self.twin[which])
 
 
 class IndexFamily:
-    """Levels of suffix arrays over windows; a level's arrays are sorted by (head, h1, h2).
+    """Levels of suffix arrays over ``length``-byte windows, from large to small.
 
-    ``add`` gives the windows, new and old, that now have a twin and had none before.
+    ``add`` gives the windows, new and old, that now have a twin and had none before, as (run, place).
     """
 
-    def __init__(self):
-        self.levels: list[dict[str, np.ndarray]] = []
-
-    @staticmethod
-    def _sorted(level: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        order = np.lexsort((level["h2"], level["h1"], level["head"]))
-        return {k: v[order] for k, v in level.items()}
-
-    @staticmethod
-    def _scan(level: dict[str, np.ndarray]) -> None:
-        """Mark equal neighbours of a merged array."""
-        same = np.ones(max(len(level["h1"]) - 1, 0), dtype=bool)
-        for k in ("h1", "h2", "head"):
-            same &= level[k][1:] == level[k][:-1]
-        level["twin"][1:] |= same
-        level["twin"][:-1] |= same
-
-    @staticmethod
-    def _unlike(level: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        """One of the windows that are alike is enough to find later ones."""
-        keep = np.r_[True, (level["h1"][1:] != level["h1"][:-1]) | (level["h2"][1:] != level["h2"][:-1]) | (level["head"][1:] != level["head"][:-1])]
-        return {k: v[keep] for k, v in level.items()} if len(level["h1"]) else level
-
-    def add(self, batch: dict[str, np.ndarray], oldest_key: int) -> dict[str, np.ndarray]:
-        batch = batch | {"twin": np.zeros(len(batch["h1"]), dtype=bool)}
-        batch = self._sorted(batch)
-        self._scan(batch)
-        told = [{k: v[batch["twin"]] for k, v in batch.items()}]
-        kept = []
+    def __init__(self, length: int):
+        self.length, self.levels = length, []
+
+    def _windows(self, level: Level, begin: int, end: int) -> np.ndarray:
+        """The bytes of some of a level's windows, as strings that compare byte by byte."""
+        laid_out = np.lib.stride_tricks.sliding_window_view(level.text, self.length)[level.at[begin:end]]
+        return np.ascontiguousarray(laid_out).view(f"S{self.length}").ravel()
+
+    def _after(self, level: Level, window: np.bytes_, begin: int) -> int:
+        """How many of a level's windows are no greater than ``window``, from ``begin`` on."""
+        low, high = begin, len(level)
+        while low < high:
+            mid = (low + high) // 2
+            if self._windows(level, mid, mid + 1)[0] <= window:
+                low = mid + 1
+            else:
+                high = mid
+        return low
+
+    def _merge_scan(self, level: Level, new: Level) -> tuple[np.ndarray, np.ndarray]:
+        """For each window of ``new`` how many of ``level``'s are less, and whether the next one is its equal; a part of either at a time."""
+        before, equal = np.zeros(len(new), dtype=np.int64), np.zeros(len(new), dtype=bool)
+        reached = 0
+        for begin in range(0, len(new), SPREAD):
+            windows = self._windows(new, begin, begin + SPREAD)
+            stop, done, at = self._after(level, windows[-1], reached), 0, reached
+            while at < stop:
+                part = self._windows(level, at, min(at + SPREAD, stop))
+                upto = len(windows) if at + len(part) == stop else int(np.searchsorted(windows, part[-1], side="right"))
+                own = windows[done:upto]
+                place = np.searchsorted(part, own)
+                before[begin + done : begin + upto] = at + place
+                inside = place < len(part)
+                equal[begin + done : begin + upto][inside] = part[place[inside]] == own[inside]
+                done, at = upto, at + len(part)
+            before[begin + done : begin + len(windows)] = stop
+            reached = max(reached, stop - 1)
+        return before, equal
+
+    def _merged(self, level: Level, new: Level) -> Level:
+        """One level of both; of windows alike in both the older stays."""
+        before, equal = self._merge_scan(level, new)
+        own = np.flatnonzero(~equal)
+        place = before[own] + np.arange(len(own))
+        old = np.ones(len(level) + len(own), dtype=bool)
+        old[place] = False
+        out = []
+        for a, b in ((level.at, new.at[own] + len(level.text)), (level.run, new.run[own]), (level.place, new.place[own]), (level.twin, new.twin[own])):
+            both = np.empty(len(old), dtype=a.dtype)
+            both[old], both[place] = a, b
+            out.append(both)
+        return Level(np.concatenate([level.text, new.text]), *out)
+
+    def add(self, text: np.ndarray, at: np.ndarray, run: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        new = Level(text, at, run, place, np.zeros(len(at), dtype=bool))
+        windows = self._windows(new, 0, len(at))
+        order = np.argsort(windows, kind="stable")
+        new, windows = new.picked(order), windows[order]
+        same = windows[1:] == windows[:-1]
+        new.twin[1:] |= same
+        new.twin[:-1] |= same
+        unlike = np.r_[True, ~same] if len(at) else np.zeros(0, dtype=bool)
+        told = [(new.run[new.twin], new.place[new.twin])]
+        new = new.picked(unlike)
+        held, fresh = np.zeros(len(new), dtype=bool), np.zeros(len(new), dtype=bool)
         for level in self.levels:
-            alive = level["key"] >= oldest_key
-            level = {k: v[alive] for k, v in level.items()}
-            old = np.r_[np.zeros(len(batch["h1"]), dtype=bool), np.ones(len(level["h1"]), dtype=bool)]
-            merged = self._sorted({k: np.r_[batch[k], level[k]] for k in batch} | {"old": old})
-            before = merged["twin"].copy()
-            self._scan(merged)
-            fresh = merged["twin"] & ~before
-            told.append({k: merged[k][fresh] for k in batch})
-            batch = {k: merged[k][~merged["old"]] for k in batch}
-            level = {k: merged[k][merged["old"]] for k in batch}
-            if len(level["h1"]):
-                kept.append(level)
-        # Levels stand from large to small; while the last is no larger than the new one, they merge.
-        new = self._unlike(batch)
-        while kept and len(kept[-1]["h1"]) <= 2 * len(new["h1"]):
-            last = kept.pop()
-            new = self._unlike(self._sorted({k: np.r_[new[k], last[k]] for k in new}))
-        self.levels = [*kept, new]
-        return {k: np.concatenate([t[k] for t in told]) for k in batch}
-
-
-def _ranges(rows: dict[str, np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(content, first byte, end) of neighbouring windows of a content."""
-    order = np.lexsort((rows["place"], rows["content"]))
-    content, place = rows["content"][order], rows["place"][order]
-    new = np.r_[True, (content[1:] != content[:-1]) | (place[1:] != place[:-1] + 1)] if len(content) else np.zeros(0, dtype=bool)
+            before, equal = self._merge_scan(level, new)
+            met = np.unique(before[equal])
+            met = met[~level.twin[met]]
+            level.twin[met] = True
+            told.append((level.run[met], level.place[met]))
+            held |= equal
+            fresh |= equal & ~new.twin
+        told.append((new.run[fresh], new.place[fresh]))
+        new.twin |= held
+        # One of the windows that are alike is enough to find later ones; levels stand from large to small.
+        new = new.picked(~held)
+        while self.levels and len(self.levels[-1]) <= 2 * len(new):
+            new = self._merged(self.levels.pop(), new)
+        if len(new):
+            self.levels.append(new)
+        return np.concatenate([r for r, _ in told]), np.concatenate([p for _, p in told])
+
+
+def _ranges(run: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, first byte, end) of neighbouring windows of a run."""
+    order = np.lexsort((place, run))
+    run, place = run[order], place[order]
+    new = np.r_[True, (run[1:] != run[:-1]) | (place[1:] != place[:-1] + 1)] if len(run) else np.zeros(0, dtype=bool)
     first = np.flatnonzero(new)
-    last = np.r_[first[1:] - 1, len(content) - 1] if len(first) else first
-    return content[first], place[first], place[last] + length
+    last = np.r_[first[1:] - 1, len(run) - 1] if len(first) else first
+    return run[first], place[first], place[last] + length
 
 
 def _match(length: int):
-    """Over contents sorted by key: spans of windows that have a twin."""
+    """Over the runs of a partition of the keys: spans of windows that have a twin."""
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, seen, known = IndexFamily(), 0, {}
+        family, known = IndexFamily(length), []
         for whole in batches:
-            for at in range(0, whole.num_rows, 4000):
-                batch = whole.slice(at, 4000)
-                content, place, head, h1, h2 = windows_of(batch.column("content"), length)
-                key = batch.column("key").to_numpy()
-                known = {c: v for c, v in known.items() if v[4] >= key[0]}  # contents of keys that are not past
-                known.update({seen + i: v for i, v in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "start", "kind", "key")), strict=True))})
-                rows = {"key": key[content], "content": content + seen, "place": place, "head": head, "h1": h1, "h2": h2}
-                told = family.add(rows, int(key[0]))
-                seen += batch.num_rows
+            for begin in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(begin, BATCH)
+                text, offsets = _text_bytes(batch.column("content"))
+                text, offsets = text[offsets[0] : offsets[-1]], offsets - offsets[0]
+                run, place = _places(offsets, length)
+                seen = len(known)
+                known += zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "start", "kind")), strict=True)
                 out = []
-                for c, a, b in zip(*(x.tolist() for x in _ranges(told, length)), strict=True):
-                    doc_id, text_key, start, kind, _ = known[c]
+                for r, a, b in zip(*(x.tolist() for x in _ranges(*family.add(text, offsets[run] + place, run + seen, place), length)), strict=True):
+                    doc_id, text_key, start, kind = known[r]
                     if kind == 1:
                         out.append((doc_id, text_key, start + a, start + b))
                 if out:
@@ -384,16 +440,45 @@ def _match(length: int):
     return match
 
 
+def _deal_again(length: int, gram: int):
+    """Runs of heavy keys, under keys of a longer anchor.
+
+    Where at most half of the room is before the anchor, a window holds so many bytes after it; in the others as many
+    are before it.  A run becomes two, and the windows of either share these bytes too.
+    """
+    half = (length - gram) // 2
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            rows = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "text_key", "start", "kind", "content")), strict=True):
+                key, doc_id, text_key, start, kind, content = row
+                grams = rolling(1, CHUNK * 2)(np.frombuffer(content, dtype=np.uint8), gram).view(np.int64)
+                anchor, windows = int(np.flatnonzero(grams == key)[0]), len(content) - length + 1
+                after, since = content[anchor + gram : anchor + length - half], max(0, anchor - half)
+                if since < windows:
+                    rows.append((key ^ xxhash.xxh3_64_intdigest(after, 1) >> 1, doc_id, text_key, start + since, kind, content[since:]))
+                if (upto := min(windows, anchor - half)) > 0:
+                    rows.append((key ^ xxhash.xxh3_64_intdigest(content[anchor - half - 1 : anchor], 2) >> 1, doc_id, text_key, start, kind, content[: upto - 1 + length]))
+            if rows:
+                kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "doc_id", "text_key", "start", "kind", "content"])
+
+    return deal
+
+
 def _explode(length: int):
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                content, place, head, h1, h2 = windows_of(batch.column("content"), length)
-                take = pa.array(content)
-                start = batch.column("start").to_numpy()[content] + place
+                run, place, h1, h2 = windows_of(batch.column("content"), length)
+                take = pa.array(run)
+                start = batch.column("start").to_numpy()[run] + place
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((h1 ^ (head * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)), pa.array(h2.view(np.int64)), batch.column("doc_id").take(take), batch.column("text_key").take(take), pa.array(start), batch.column("kind").take(take)],
+                    [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch.column("doc_id").take(take), batch.column("text_key").take(take), pa.array(start), batch.column("kind").take(take)],
                     ["h1", "h2", "doc_id", "text_key", "start", "kind"],
                 )
 
@@ -409,24 +494,50 @@ def _same_text(a: DataFrame, b: DataFrame):
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
 
 
-def repeats(documents: DataFrame, length: int = LENGTH, gram: int | None = None, crowded: int = CROWDED) -> DataFrame:
-    """(doc_id, text_key, spans): all repeated stretches of each text that has any, as [start, stop) byte spans."""
+def _heavy_keys(rows: DataFrame, more_than: int) -> tuple[DataFrame | None, int]:
+    """(the keys with over one in ``HEAVY`` of the rows and over ``more_than``, number of rows): fewer than ``HEAVY`` keys, or None."""
+    counts = written(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > more_than), "counts")
+    total = rows.count()
+    keys = counts.where(F.col("n") * HEAVY > total).select("key").collect()
+    return (rows.sparkSession.createDataFrame(keys, "key long") if keys else None), total
+
+
+def repeats(documents: DataFrame, length: int = LENGTH, gram: int | None = None, crowded: int = CROWDED, heavy: int = 100) -> DataFrame:
+    """(doc_id, text_key, spans): all repeated stretches of each text that has any, as [start, stop) byte spans.
+
+    A key of over one in a thousand of the rows, if that is over ``heavy`` rows, is dealt out further.
+    """
     gram = gram or max(1, min(GRAM, length // 2))
     if not gram <= length <= gram + 255:
         raise ValueError("a run's place holds lengths up to gram + 255")
     docs = keyed(documents)
-    runs = docs.mapInArrow(_map_runs(length, gram), _RUN).repartition("key").sortWithinPartitions("key", "fp")
-    spans = written(runs.mapInArrow(_classify(length), _SPAN), "runs")
+    runs = written(docs.mapInArrow(_map_runs(length, gram), _RUN), "all_runs")
+    few_keys, _ = _heavy_keys(runs, heavy)
+    light = runs if few_keys is None else runs.join(F.broadcast(few_keys), "key", "left_anti")
+    spans = light.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_classify(length), _SPAN)
+    if few_keys is not None:
+        dealt = runs.join(F.broadcast(few_keys), "key", "left_semi").repartition("key", "fp").sortWithinPartitions("key", "fp")
+        spans = spans.unionByName(dealt.mapInArrow(_classify(length, True), _SPAN))
+    spans = written(spans, "runs")
     asked = spans.where("kind > 0").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("key", "start", "stop", "kind")).alias("runs"))
     fetched = docs.join(asked.hint("shuffle_hash"), _same_text(docs, asked)).select(docs["doc_id"], docs["text_key"], docs["text"], "runs")
-    contents = written(fetched.mapInArrow(_fetch, "key long, doc_id long, text_key long, start long, kind int, content binary"), "contents")
-    busy = contents.groupBy("key").count().where(F.col("count") > crowded).select("key")
-    few = contents.join(busy, "key", "left_anti").repartition("key").sortWithinPartitions("key")
+    schema = "key long, doc_id long, text_key long, start long, kind int, content binary"
+    contents = written(fetched.mapInArrow(_fetch, schema), "contents")
+    few_keys, total = _heavy_keys(contents, heavy)
+    if few_keys is not None:
+        again = contents.join(F.broadcast(few_keys), "key", "left_semi").mapInArrow(_deal_again(length, gram), schema)
+        contents = written(contents.join(F.broadcast(few_keys), "key", "left_anti").unionByName(again), "contents")
+    busy = written(contents.groupBy("key").count().where(F.col("count") > crowded).select("key"), "busy")
+    parts = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION))
+    few = contents.join(busy, "key", "left_anti").repartition(parts, "key")
     partial = few.mapInArrow(_match(length), "doc_id long, text_key long, start long, stop long")
     windows = contents.join(busy, "key", "left_semi").mapInArrow(_explode(length), "h1 long, h2 long, doc_id long, text_key long, start long, kind int")
-    twice = windows.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
-    counted = windows.join(twice, ["h1", "h2"]).where("kind = 1").select("doc_id", "text_key", "start", (F.col("start") + length).alias("stop"))
-    found = spans.where("kind = 0").select("doc_id", "text_key", "start", "stop").unionByName(partial).unionByName(counted)
+    found = spans.where("kind = 0").select("doc_id", "text_key", "start", "stop").unionByName(partial)
+    if busy.first() is not None:
+        windows = written(windows, "windows")
+        counts = written(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")), "counts")
+        twice = join_each(windows, counts.where("n > 1").select("h1", "h2"), ["h1", "h2"], counts)
+        found = found.unionByName(twice.where("kind = 1").select("doc_id", "text_key", "start", (F.col("start") + length).alias("stop")))
     return found.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
 

@@ -1,8 +1,10 @@
 """URL filter: host and path rules, and a logistic regression on hashed character n-grams for the rest.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, fits no rule and gets the
-model's verdict on empty strings; extra columns are ignored; a labelled table that is empty or of one class
-gives a model that answers with that class (allow when empty).
+model's verdict on empty strings; repeated rows are judged each and alike, and their url is one row of the labelled table; a
+probability of exactly a half blocks; of rules that are as long as each other the first by name counts; a url of any length is
+one row of n-grams; an empty table gives no rows; extra columns are ignored; a labelled table that is empty or of one class gives
+a model that answers with that class (allow when empty).
 """
 
 from __future__ import annotations
