@@ -444,7 +444,8 @@ def _deal_again(length: int, gram: int):
     """Runs of heavy keys, under keys of a longer anchor.
 
     Where at most half of the room is before the anchor, a window holds so many bytes after it; in the others as many
-    are before it.  A run becomes two, and the windows of either share these bytes too.
+    are before it.  A run becomes two, and the windows of either share these bytes too.  Of pieces that are alike in a
+    batch, byte by byte, one goes on to hold others against; the others are repeats (kind 0, ``key`` is their end).
     """
     half = (length - gram) // 2
 
@@ -452,16 +453,23 @@ def _deal_again(length: int, gram: int):
         import xxhash
 
         for batch in batches:
-            rows = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "text_key", "start", "kind", "content")), strict=True):
-                key, doc_id, text_key, start, kind, content = row
+            pieces: dict[tuple[int, bytes], list[tuple]] = {}
+            for key, doc_id, text_key, start, kind, content in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "text_key", "start", "kind", "content")), strict=True):
                 grams = rolling(1, CHUNK * 2)(np.frombuffer(content, dtype=np.uint8), gram).view(np.int64)
                 anchor, windows = int(np.flatnonzero(grams == key)[0]), len(content) - length + 1
-                after, since = content[anchor + gram : anchor + length - half], max(0, anchor - half)
+                since, upto = max(0, anchor - half), min(windows, anchor - half)
                 if since < windows:
-                    rows.append((key ^ xxhash.xxh3_64_intdigest(after, 1) >> 1, doc_id, text_key, start + since, kind, content[since:]))
-                if (upto := min(windows, anchor - half)) > 0:
-                    rows.append((key ^ xxhash.xxh3_64_intdigest(content[anchor - half - 1 : anchor], 2) >> 1, doc_id, text_key, start, kind, content[: upto - 1 + length]))
+                    again = key ^ xxhash.xxh3_64_intdigest(content[anchor + gram : anchor + length - half], 1) >> 1
+                    pieces.setdefault((again, content[since:]), []).append((doc_id, text_key, start + since, kind))
+                if upto > 0:
+                    again = key ^ xxhash.xxh3_64_intdigest(content[anchor - half - 1 : anchor], 2) >> 1
+                    pieces.setdefault((again, content[: upto - 1 + length]), []).append((doc_id, text_key, start, kind))
+            rows = []
+            for (key, content), own in pieces.items():
+                doc_id, text_key, start, kind = own[0]
+                rows.append((key, doc_id, text_key, start, kind if len(own) == 1 else 2, content))
+                if len(own) > 1:
+                    rows += [(start + len(content), doc_id, text_key, start, 0, None) for doc_id, text_key, start, kind in own if kind == 1]
             if rows:
                 kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "doc_id", "text_key", "start", "kind", "content"])
@@ -494,12 +502,11 @@ def _same_text(a: DataFrame, b: DataFrame):
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
 
 
-def _heavy_keys(rows: DataFrame, more_than: int) -> tuple[DataFrame | None, int]:
-    """(the keys with over one in ``HEAVY`` of the rows and over ``more_than``, number of rows): fewer than ``HEAVY`` keys, or None."""
+def _heavy_keys(rows: DataFrame, more_than: int) -> tuple[list[int], int]:
+    """(the keys with over one in ``HEAVY`` of the rows and over ``more_than``, number of rows): fewer than ``HEAVY`` keys."""
     counts = written(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > more_than), "counts")
     total = rows.count()
-    keys = counts.where(F.col("n") * HEAVY > total).select("key").collect()
-    return (rows.sparkSession.createDataFrame(keys, "key long") if keys else None), total
+    return [r.key for r in counts.where(F.col("n") * HEAVY > total).select("key").collect()], total
 
 
 def repeats(documents: DataFrame, length: int = LENGTH, gram: int | None = None, crowded: int = CROWDED, heavy: int = 100) -> DataFrame:
@@ -512,33 +519,37 @@ def repeats(documents: DataFrame, length: int = LENGTH, gram: int | None = None,
         raise ValueError("a run's place holds lengths up to gram + 255")
     docs = keyed(documents)
     runs = written(docs.mapInArrow(_map_runs(length, gram), _RUN), "all_runs")
-    few_keys, _ = _heavy_keys(runs, heavy)
-    light = runs if few_keys is None else runs.join(F.broadcast(few_keys), "key", "left_anti")
+    keys, _ = _heavy_keys(runs, heavy)
+    is_heavy = F.col("key").isin(keys)
+    light = runs.where(~is_heavy) if keys else runs
     spans = light.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_classify(length), _SPAN)
-    if few_keys is not None:
-        dealt = runs.join(F.broadcast(few_keys), "key", "left_semi").repartition("key", "fp").sortWithinPartitions("key", "fp")
+    if keys:
+        dealt = runs.where(is_heavy).repartition("key", "fp").sortWithinPartitions("key", "fp")
         spans = spans.unionByName(dealt.mapInArrow(_classify(length, True), _SPAN))
     spans = written(spans, "runs")
-    asked = spans.where("kind > 0").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("key", "start", "stop", "kind")).alias("runs"))
+    asked = spans.where("kind > 0").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("key", "start", "stop", "kind")).alias("runs"))  # a text that repeats has its runs once
     fetched = docs.join(asked.hint("shuffle_hash"), _same_text(docs, asked)).select(docs["doc_id"], docs["text_key"], docs["text"], "runs")
     schema = "key long, doc_id long, text_key long, start long, kind int, content binary"
     contents = written(fetched.mapInArrow(_fetch, schema), "contents")
-    few_keys, total = _heavy_keys(contents, heavy)
-    if few_keys is not None:
-        again = contents.join(F.broadcast(few_keys), "key", "left_semi").mapInArrow(_deal_again(length, gram), schema)
-        contents = written(contents.join(F.broadcast(few_keys), "key", "left_anti").unionByName(again), "contents")
+    keys, total = _heavy_keys(contents, heavy)
+    found = spans.where("kind = 0").select("doc_id", "text_key", "start", "stop")
+    if keys:
+        is_heavy = F.col("key").isin(keys)
+        again = written(contents.where(is_heavy).mapInArrow(_deal_again(length, gram), schema), "again")
+        found = found.unionByName(again.where("kind = 0").select("doc_id", "text_key", "start", F.col("key").alias("stop")))
+        contents = written(contents.where(~is_heavy).unionByName(again.where("kind > 0")), "contents")
     busy = written(contents.groupBy("key").count().where(F.col("count") > crowded).select("key"), "busy")
     parts = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION))
     few = contents.join(busy, "key", "left_anti").repartition(parts, "key")
     partial = few.mapInArrow(_match(length), "doc_id long, text_key long, start long, stop long")
     windows = contents.join(busy, "key", "left_semi").mapInArrow(_explode(length), "h1 long, h2 long, doc_id long, text_key long, start long, kind int")
-    found = spans.where("kind = 0").select("doc_id", "text_key", "start", "stop").unionByName(partial)
+    found = found.unionByName(partial)
     if busy.first() is not None:
         windows = written(windows, "windows")
         counts = written(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")), "counts")
         twice = join_each(windows, counts.where("n > 1").select("h1", "h2"), ["h1", "h2"], counts)
         found = found.unionByName(twice.where("kind = 1").select("doc_id", "text_key", "start", (F.col("start") + length).alias("stop")))
-    return found.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    return found.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
