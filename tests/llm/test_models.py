@@ -89,8 +89,9 @@ def test_quality(spark):
     rows += [(900, None, None, None, 0), (901, "", "once", "p", 0), (901, "", "once", "p", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, own int")
     labels = docs.where("doc_id < 900 AND doc_id % 2 = 0").select("doc_id", F.col("own").alias("quality"))
-    model = quality.fit(docs.drop("own"), labels)
-    got = quality.score(docs.drop("own"), model).collect()
+    with_own = docs.withColumn("host", F.lit(1)).withColumn("n", F.lit("x")).withColumn("good", F.lit(None).cast("int"))
+    model = quality.fit(with_own, labels)
+    got = quality.score(with_own, model).collect()
     assert len(got) == len(rows)
     truth = {r[0]: r[4] for r in rows}
     held = [r for r in got if r.doc_id % 2 and r.doc_id < 900]
@@ -200,7 +201,7 @@ def test_archives_round_trip(spark, folder):
     big = "<p>ü" + "x" * 5000 + "\r\n\r\nWARC/1.1\r\n" + "é" * 3000
     html = ["a" * 200, "b" * 99, "a" * 200, "b" * 99, None, "", big, big, "c" * 100, "c" * 100]
     rows = [(i, None if i == 3 else f"http://h/ü {i}\r\nX: y", h, "k") for i, h in enumerate(html)]
-    rows += [rows[0], (None, "u", "a" * 200, "k"), (50, "u", "é" * 50, "k")]
+    rows += [rows[0], rows[0], rows[1], (0, "http://other", "a" * 200, "k"), (1, None, "b" * 99, "k"), (None, "u", "a" * 200, "k"), (50, "u", "é" * 50, "k")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, kind string").repartition(3)
     warc.write(pages, folder + "/w", segment_bytes=700)
     got = warc.read(spark, folder + "/w").collect()
@@ -231,7 +232,7 @@ def test_archives_round_trip(spark, folder):
 
 
 def test_segments_that_are_missing(spark, folder):
-    records = warc.records_of(1, "u", b"x" * 3000, hashlib.sha256(b"x" * 3000).hexdigest(), None, 0, 500)
+    records = warc.records_of(1, "u", b"x" * 3000, hashlib.sha256(b"x" * 3000).hexdigest(), None, 0, 3000, 500)
     os.makedirs(folder + "/w")
     with open(folder + "/w/a.warc.gz", "wb") as f:
         f.write(gzip.compress(b"".join(r + warc.END for i, r in enumerate(records) if i != 2)))
@@ -265,5 +266,8 @@ def test_pipeline(spark):
     toxic = {r.doc_id for r in before.select("doc_id").subtract(docs.select("doc_id")).collect()}
     assert counts[0] < before.count() and counts[1] < counts[0] and counts[1] == counts[2] == counts[3]
     assert toxic
+    nothing = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, written(nothing, "nothing"), DIR).count() == 0
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DIR)
     assert packed.select("doc_id").distinct().count() == counts[3]

@@ -233,7 +233,7 @@ def test_added_tokens_in_a_text():
     from tokenizers import Tokenizer
 
     encode, own = packing.Encoder(*packing.default_paths()), Tokenizer.from_file(packing.default_paths()[0])
-    for text in ("a <|endoftext|> b", "", " \n\n  x's 12 ü…", "日本 語\t", "a" + " " * 1_200_000 + "b", "x" * 5000):
+    for text in ("a <|endoftext|> b", "", " \n\n  x's 12 ü…", "日本 語\t", "a" + " " * 1_200_000 + "b", "x" * 5000, "ab1" * 100_000):
         assert encode(text) == own.encode(text, add_special_tokens=False).ids
 
 
@@ -271,7 +271,7 @@ def test_mix(documents, corpus):
     rows = placed.select("doc_id", "source", "_slot", "_place").collect()
     assert sorted(map(str, (r.doc_id for r in rows))) == sorted(str(d[0]) for d in corpus)
     assert len({r._place for r in rows}) == len(rows) and all(r._place // 2 == r._slot for r in rows)
-    kept = mixing.mixed(with_extra(documents), {"hot": 0.5, "absent": 0.1})
+    kept = mixing.mixed(with_extra(documents), {"hot": 0.5, "absent": 0.1, "s1": None, "s2": 0.0, None: float("nan")})
     assert kept.columns == with_extra(documents).columns and kept.count() == len(corpus)
     again = {(r.doc_id, r._place) for r in mixing.mix(documents.repartition(3), block_rows=2, period=32).collect() if r.doc_id not in (None, 2, 31)}
     assert again == {(r.doc_id, r._place) for r in rows if r.doc_id not in (None, 2, 31)}

@@ -25,10 +25,10 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.folders import fresh_path
+from tidemark.llm.common import fresh_path, join_each, written
 
 LEAST_BYTES = 100
 SEGMENT_BYTES = 32 * 1024
@@ -72,7 +72,7 @@ def _name(*parts: object) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5('|'.join(map(str, parts)).encode('utf-8', 'surrogatepass')).digest())}>"
 
 
-def records_of(page_id, url, payload: bytes, digest: str, refers_to, copy: int, segment_bytes: int) -> list[bytes]:
+def records_of(page_id, url, payload: bytes | None, digest: str, refers_to, copy: int, size: int, segment_bytes: int) -> list[bytes]:
     own = _name(page_id, digest, url, copy)
     target = None if url is None else quote(url, safe="%/:=&?~#+!$,;'@()*[]")
     common = [("WARC-Date", DATE), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Page-ID", page_id)]
@@ -81,7 +81,7 @@ def records_of(page_id, url, payload: bytes, digest: str, refers_to, copy: int,
     if refers_to is not None:
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
         fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common, ("WARC-Profile", profile), ("X-Refers-To-Page", refers_to), *kind]
-        return [_record(fields, f"{head}Content-Length: {len(payload)}\r\n\r\n".encode())]
+        return [_record(fields, f"{head}Content-Length: {size}\r\n\r\n".encode())]
     block = f"{head}Transfer-Encoding: chunked\r\n\r\n".encode() + chunked(payload)
     parts = [block[a : a + segment_bytes] for a in range(0, len(block), segment_bytes)]
     if len(parts) == 1:
@@ -98,25 +98,41 @@ def write(pages: DataFrame, path: str, least: int = LEAST_BYTES, segment_bytes:
     """One record, or a series of segments, for each row of (page_id, url, html), as gzipped archives in ``path``."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256))
-    # Ids and digests only; minima are combined before the shuffle, so many equal payloads are no hot key.
-    groups = rows.select("page_id", "digest", F.length("payload").alias("size")).where(F.col("page_id").isNotNull() & (F.col("size") >= least))
-    firsts = groups.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    ids = groups.select("page_id", "digest").distinct().join(firsts, "digest").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "first")
-    # Back to the payloads by id and digest together: no hot key here either.
-    joined = rows.join(ids.hint("shuffle_hash"), (F.col("page_id") == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left").drop("_id", "_digest")
-    copy = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")) - 1
-    numbered = joined.withColumn("copy", copy)
-    refers = F.when((F.col("first") != F.col("page_id")) | (F.col("copy") > 0), F.col("first"))
+    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.length("payload"))
+    # Ids and digests only, combined before the shuffle: many equal payloads or rows are no hot key.
+    named, key = rows.where(F.col("page_id").isNotNull()), ["page_id", "digest"]
+    ids = written(named.groupBy(*key).agg(F.count("*").alias("rows"), F.min("size").alias("size")), "ids")
+    firsts = written(ids.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")), "firsts")
+    told = join_each(ids.where(F.col("size") >= least), firsts.drop("n"), ["digest"], firsts).unionByName(ids.where(F.col("size") < least).withColumn("first", F.lit(None).cast("long")))
+    told = written(told.where((F.col("rows") > 1) | (F.col("first") != F.col("page_id"))), "told")
+    once, more = told.where("rows = 1").select(*key, "first"), told.where("rows > 1").drop("rows")
+    refers = F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to")
+    columns = ("page_id", "url", "payload", "digest", "refers_to", "copy", "size")
+    zero = F.lit(0).cast("long").alias("copy")
+    if more.first() is not None:
+        # One of the rows of an id and payload stands for all; the others follow from their number.
+        own = rows.drop("size").join(more.select(*key), key, "left_semi")
+        same = written(own.groupBy(*key).agg(F.first("payload").alias("payload"), F.min("url").alias("url")).join(more, key), "same")
+        counts = written(own.groupBy(*key, "url").agg(F.count("*").alias("n")), "copies")
+        small = F.when(F.col("size") < least, F.col("payload")).alias("payload")
+        others = join_each(counts, same.select(*key, "first", "size", small, F.col("url").alias("first_url")), key)
+        others = others.withColumn("n", F.col("n") - F.col("url").eqNullSafe(F.col("first_url")).cast("long")).where("n > 0")
+        others = others.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).withColumn("refers_to", F.col("first"))
+        rows, repeated = rows.join(more.select(*key), key, "left_anti"), same.select("page_id", "url", "payload", "digest", refers, zero, "size").unionByName(others.select(*columns))
+    else:
+        repeated = None
+    numbered = rows.join(once, key, "left").select("page_id", "url", "payload", "digest", refers, zero, "size")
+    if repeated is not None:
+        numbered = numbered.unionByName(repeated)
 
     def to_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
-                columns = (whole.column(c).slice(at, 500).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to", "copy"))
-                out = [r for row in zip(*columns, strict=True) for r in records_of(*row, segment_bytes)]
+                values = (whole.column(c).slice(at, 500).to_pylist() for c in columns)
+                out = [r for row in zip(*values, strict=True) for r in records_of(*row, segment_bytes)]
                 yield pa.RecordBatch.from_pydict({"record": pa.array(out, pa.binary())})
 
-    records = numbered.withColumn("refers_to", refers).mapInArrow(to_records, "record binary")
+    records = numbered.mapInArrow(to_records, "record binary")
     text = records.select(F.col("record").cast("string").alias("value"))
     text.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
