@@ -204,8 +204,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     held = distinct.mapInArrow(_map_filters(n, expected), "node long, copies long, vector array<double>, dim int, code long, codes array<long>")
     held = written(held, "filters")
     # Only filters of more than one vector can link; the large ones are dealt into blocks.
-    sizes = held.groupBy("dim", "code").agg(F.count("*").alias("size")).where("size > 1").select("dim", "code", F.ceil(F.col("size") / CELL).cast("int").alias("blocks"))
-    dealt = held.join(sizes, ["dim", "code"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sizes = written(held.groupBy("dim", "code").agg(F.count("*").alias("n")), "sizes")
+    dealt = join_each(held, sizes.where("n > 1").select("dim", "code", F.ceil(F.col("n") / CELL).cast("int").alias("blocks")), ["dim", "code"], sizes)
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     found = cells.select("dim", "code", "low", "high", "node", "copies", "vector", "codes", "block").repartition("dim", "code", "low", "high")

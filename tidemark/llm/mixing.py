@@ -31,10 +31,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import join_each, written
 
 #: Rows of a block; rows of a hash bucket; slots of a stretch (more when windows are longer).
 BLOCK_ROWS, BUCKET_ROWS, STRETCH = 8, 1000, 1 << 16
+#: The table of sources is broadcast up to so many rows (some 50 MB); beyond that the large ones only are.
+BROADCAST_SOURCES = 500_000
 #: Without target weights a source weighs its row count to this power.
 SMOOTHING = 0.5
 
@@ -179,9 +181,13 @@ def _placed(documents: DataFrame, weights: dict[str, float] | None = None, sourc
     rows = documents.select(own.alias("_row"), name, F.col(source).isNull().alias("_null"), F.xxhash64("doc_id", "text").alias("_hash"), F.hash("text", "doc_id").alias("_tie"))
     sources = written(rows.groupBy("_name", "_null").agg(F.count("*").alias("_n")), "sources")
     sources, fluid = _kinds(sources, weights, block_rows)
-    # Every source has buckets by its own size, so a large one is many groups; a bucket's rows at least are behind each row of this table.
-    large = sources.where(F.col("_n") > BUCKET_ROWS).select("_name", "_null", F.ceil(F.col("_n") / BUCKET_ROWS).alias("_buckets"))
-    dealt = rows.join(F.broadcast(large), ["_name", "_null"], "left").withColumn("_bucket", F.pmod("_hash", F.coalesce("_buckets", F.lit(1)))).drop("_buckets")
+    # Every source has buckets by its own size, so a large one is many groups.
+    buckets = sources.select("_name", "_null", F.ceil(F.col("_n") / BUCKET_ROWS).alias("_buckets"), "_n")
+    if sources.count() <= BROADCAST_SOURCES:
+        dealt = rows.join(F.broadcast(buckets.drop("_n")), ["_name", "_null"])
+    else:
+        dealt = join_each(rows, buckets.drop("_n"), ["_name", "_null"], buckets.withColumnRenamed("_n", "n"))
+    dealt = dealt.withColumn("_bucket", F.pmod("_hash", "_buckets")).drop("_buckets")
     group = ["_name", "_null", "_bucket"]
     sizes = dealt.groupBy(*group).agg(F.count("*").alias("_count"))
     before = F.sum("_count").over(Window.partitionBy("_name", "_null").orderBy("_bucket")) - F.col("_count")
