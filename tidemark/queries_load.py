@@ -129,7 +129,7 @@ def _messages(spark: SparkSession, sf_dir: str) -> str:
 
 
 @query("""SELECT 'item' AS what, column_path, key, value * 2 AS value FROM {S} WHERE event_id % 10 <> 0
-UNION ALL SELECT 'deserialize', NULL, NULL, CAST(count(*) AS DOUBLE) FROM events WHERE event_id % 10 = 0""")
+UNION ALL SELECT 'deserialize', NULL, -1, CAST(count(*) AS DOUBLE) FROM events WHERE event_id % 10 = 0""")
 def topic_round_trip(spark, sf_dir):
     """Items sent to a topic, read back at a limited rate, decoded, transformed and written to a store, failures counted."""
     servers, kept, errors = _messages(spark, sf_dir), store.SeriesStore(spark, fresh_path(spark, "store")), fresh_path(spark, "errors")
@@ -139,7 +139,7 @@ def topic_round_trip(spark, sf_dir):
     streams.load_stream(raw, decoder, kept, "double", fresh_path(spark, "progress"), errors, [lambda df: load.chain(df, [double])]).awaitTermination()
     items = kept.scan("double").select(F.lit("item").alias("what"), "column_path", "key", "value")
     failed = spark.read.parquet(errors).groupBy(F.col("error").alias("what")).agg(F.sum("count").cast("double").alias("value"))
-    return items.unionByName(failed.select("what", F.lit(None).cast("string").alias("column_path"), F.lit(None).cast("long").alias("key"), "value"))
+    return items.unionByName(failed.select("what", F.lit(None).cast("string").alias("column_path"), F.lit(-1).cast("long").alias("key"), "value"))
 
 
 @query("SELECT column_path, key, value FROM {S} WHERE event_id % 10 <> 0")
@@ -298,26 +298,27 @@ def watched_even_users(spark, sf_dir):
 # Scalars
 
 
-@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M') AS minute, epoch_us(date_trunc('minute', ts)) // 1000 AS back, date_trunc('milliseconds', ts) AS at FROM events")
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M') AS minute, epoch_us(date_trunc('minute', ts)) // 1000 AS back, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS at FROM events")
 def iso_texts(spark, sf_dir):
     e = series(spark, sf_dir, "event_id")
     minute = scalars.ms_to_minute_text(F.col("key"))
-    return e.select("event_id", minute.alias("minute"), scalars.iso_to_ms(minute).alias("back"), scalars.ms_to_date(F.col("key")).cast("timestamp_ntz").alias("at"))
+    return e.select("event_id", minute.alias("minute"), scalars.iso_to_ms(minute).alias("back"), F.date_format(scalars.ms_to_date(F.col("key")), "yyyy-MM-dd HH:mm:ss.SSS").alias("at"))
 
 
 _TEXT = "CASE event_id % 6 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN event_id || '.5' WHEN 2 THEN 'True' WHEN 3 THEN '{\"a\": ' || event_id || '}' WHEN 4 THEN 'x' || event_id ELSE 'FALSE' END"
 
 
 @query(f"""WITH t AS (SELECT event_id, {_TEXT} AS t FROM events)
-SELECT event_id, CASE WHEN t = 'True' THEN true WHEN t = 'FALSE' THEN false END AS as_boolean, left(t, 1) AS as_char, TRY_CAST(CASE WHEN event_id % 6 = 0 THEN t END AS SMALLINT) AS as_short,
-TRY_CAST(CASE WHEN event_id % 6 = 0 THEN t END AS BIGINT) AS as_long, CASE WHEN event_id % 6 < 2 THEN CAST(t AS DOUBLE) END AS as_double, t AS as_string, CASE WHEN event_id % 6 = 3 THEN t END AS as_json FROM t""")
+SELECT event_id, CASE WHEN t = 'True' THEN true WHEN t = 'FALSE' THEN false END AS as_boolean, left(t, 1) AS as_char, coalesce(TRY_CAST(CASE WHEN event_id % 6 = 0 THEN t END AS SMALLINT), -1)::SMALLINT AS as_short,
+coalesce(TRY_CAST(CASE WHEN event_id % 6 = 0 THEN t END AS BIGINT), -1) AS as_long, CASE WHEN event_id % 6 < 2 THEN CAST(t AS DOUBLE) END AS as_double, t AS as_string, CASE WHEN event_id % 6 = 3 THEN t END AS as_json FROM t""")
 def parsed_values(spark, sf_dir):
     n = F.col("event_id").cast("string")
     texts = [n, F.concat(n, F.lit(".5")), F.lit("True"), F.concat(F.lit('{"a": '), n, F.lit("}")), F.concat(F.lit("x"), n), F.lit("FALSE")]
     text = F.coalesce(*[F.when(F.col("event_id") % 6 == i, t) for i, t in enumerate(texts)])
     e = table(spark, sf_dir, "events").select("event_id", text.alias("t"))
     json = F.when(F.col("t").startswith("{"), scalars.parse_value(F.col("t"), "json"))
-    return e.select("event_id", *[scalars.parse_value(F.col("t"), k).alias(f"as_{k}") for k in ("boolean", "char", "short", "long", "double", "string")], json.alias("as_json"))
+    parsed = e.select("event_id", *[scalars.parse_value(F.col("t"), k).alias(f"as_{k}") for k in ("boolean", "char", "short", "long", "double", "string")], json.alias("as_json"))
+    return parsed.na.fill(-1, ["as_short", "as_long"])
 
 
 @query("SELECT p_partkey, split_part(p_name, ' ', -1) || '.x' AS last, split_part(p_name, ' ', 1) AS first, 'x' AS suffix, format('{:,}', p_partkey * 1000003) AS grouped, CAST(p_partkey AS VARCHAR) AS shown, CAST(p_partkey % 2 = 0 AS VARCHAR) AS flag FROM part")
