@@ -191,9 +191,21 @@ def test_crowded_subtries_lose_nothing(spark):
         assert (joined_labels(len(p), a, b) == want).all()
 
 
+def test_joins_with_a_heavy_key(spark, monkeypatch):
+    from tidemark.llm import common
+
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, 7).otherwise(F.col("id")).alias("k"), "id")
+    ones = rows.select("k").distinct().select("k", (F.coalesce("k", F.lit(-1)) * 2).alias("twice"))
+    want = {(i, 2 * (-1 if i % 3 == 0 else 7 if i % 3 == 1 else i)) for i in range(5000)}
+    for small in (common.SMALL, 10):
+        monkeypatch.setattr(common, "SMALL", small)
+        assert {(r.id, r.twice) for r in common.join_each(rows, ones, ["k"]).collect()} == want
+        assert common.join_each(rows, ones.where("k > 100"), ["k"]).count() == 1633
+
+
 def test_components(spark):
     rng = random.Random(4)
-    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, None), (7, 7)] + [(2000, 2001 + i) for i in range(80)]
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(25)] + [(5, None), (7, 7)] + [(2000, 2001 + i) for i in range(80)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     root = {x: x for ab in links for x in ab if x is not None}
     for _ in range(400):

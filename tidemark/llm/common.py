@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from tidemark.sources.folders import drop_written, fresh_path, written  # noqa: F401
 
 
+#: A table of so many rows at most is broadcast.
+SMALL = 20_000
 #: A key is heavy if it holds more than one in so many rows; so there are fewer heavy keys than this.
 HEAVY = 1000
 
@@ -24,15 +26,17 @@ def _same(left: DataFrame, right: DataFrame, on: list[str]):
 def join_each(rows: DataFrame, ones: DataFrame, on: list[str], counts: DataFrame | None = None) -> DataFrame:
     """Inner join of ``rows`` with ``ones``, which holds a key once at most; null keys are equal.
 
-    The rows of heavy keys meet theirs by a broadcast of fewer than ``HEAVY`` rows, whatever their number; the
-    others by a shuffle, in which no key has more than one in ``HEAVY`` rows.  ``counts`` (on, n) says how many rows each key
-    has, if that is known.
+    Up to ``SMALL`` rows of ``ones`` are broadcast.  Beyond that the rows of heavy keys meet theirs by a broadcast of fewer
+    than ``HEAVY`` rows, whatever their number, the others by a shuffle, in which no key has more than one in ``HEAVY``
+    rows.  ``counts`` (on, n) says how many rows each key has, if that is known.
     """
+    names = [f"_on_{c}" for c in on]
+    same, renamed = _same(rows, ones, on)
+    if ones.limit(SMALL + 1).count() <= SMALL:
+        return rows.join(F.broadcast(renamed), same).drop(*names)
     counts = rows.groupBy(*on).agg(F.count("*").alias("n")) if counts is None else counts.select(*on, "n")
     total = counts.agg(F.sum("n")).first()[0] or 0
     busy = counts.where(F.col("n") * HEAVY > total).select(*on).collect()
-    names = [f"_on_{c}" for c in on]
-    same, renamed = _same(rows, ones, on)
     if not busy:
         return rows.join(renamed, same).drop(*names)
     heavy = rows.sparkSession.createDataFrame(busy, counts.select(*on).schema)
