@@ -38,8 +38,8 @@ CUT_COST = 0.02
 #: The simplex ends once its value is proven to be so near the optimum, as a share of it, or once as many exchanges as
 #: there are lengths have gained less than that (what is left to gain lies within the price of cutting).
 GAP = 0.002
-#: The table of ranks before each part is broadcast up to so many rows (some 40 MB), joined by a shuffle beyond.
-BROADCAST_ROWS = 1_000_000
+#: The table of ranks before each part is broadcast up to so many rows (some 20 MB), joined by a shuffle beyond.
+BROADCAST_ROWS = 100_000
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, block long, local long, number long, ids array<int>"
 
