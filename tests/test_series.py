@@ -196,6 +196,10 @@ def test_every_range_of_interval_sums(spark):
     got = registry.run("OnOffIntervalSum", signals, {"ranges": two}, selection).collect()
     assert {(r.range_id, r.value) for r in got} == {(0, 0), (1, 30 * MINUTE)}  # the first range holds no off
     assert registry.run("OnOffIntervalSum", signals.limit(0), {"period": "1 hour"}, selection).count() == 0
+    keys, groups = spark.range(5).select((F.col("id") * 7).alias("key")), spark.range(1300).select(F.col("id").alias("group_id"))
+    for n in (0, 3, 1300):
+        assert intervals._each_group(keys, groups.limit(n)).distinct().count() == 5 * n
+    assert intervals._each_group(keys.limit(0), groups).count() == 0
 
 
 def test_no_period_is_left_out_unasked(spark):

@@ -129,6 +129,23 @@ def interval_sum_across(
     return zero_fill(tabular(own, columns, names=names), names or columns)
 
 
+#: Groups of a request that are listed in the plan; more are met through numbered periods.
+FEW_GROUPS = 1000
+
+
+def _each_group(keys: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group_id, key): each group with each period that any has, without a cross join."""
+    kind = groups.schema["group_id"].dataType
+    few = [r.group_id for r in groups.limit(FEW_GROUPS + 1).collect()]
+    if len(few) <= FEW_GROUPS:
+        ids = F.array(*map(F.lit, few)) if few else F.array()
+        return keys.select(F.explode(F.transform(ids, lambda x: x.cast(kind))).alias("group_id"), "key")
+    keys = written(positions(keys, [], "place"), "keys")
+    last = keys.agg(F.max("place")).first()[0]
+    places = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last or 0).cast("long")))
+    return groups.withColumn("place", places).join(keys, "place").select("group_id", "key")
+
+
 def onoff_interval_sum(
     df: DataFrame, selection: DataFrame, period: str | None = None, zone: str = "UTC", ranges: SeriesRange | None = None, early_ms: int = DAY, max_parts: int | None = None,
 ) -> DataFrame:
@@ -152,10 +169,5 @@ def onoff_interval_sum(
     first = merged.agg(F.min("start")).first()[0] or 0  # one anchor, so that the groups' periods line up
     cut = cut_by_period(merged, period, zone, ("group_id",), asked.until, max_parts, anchor=first)
     sums = written(cut.groupBy("group_id", "key").agg(F.sum("overlap").alias("value")), "sums")
-    # Each group meets each period that any has: periods are numbered and a group counts through the numbers.
-    keys = written(positions(sums.select("key").distinct(), [], "place"), "keys")
-    last = keys.agg(F.max("place")).first()[0]
-    places = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-1 if last is None else last).cast("long")))
-    groups = selection.select("group_id").distinct()
-    every = (groups if last is not None else groups.where(F.lit(False))).withColumn("place", places).join(keys, "place")
+    every = _each_group(sums.select("key").distinct(), selection.select("group_id").distinct())
     return every.join(sums, ["group_id", "key"], "left").select("group_id", "key", F.coalesce("value", F.lit(0)).alias("value"))
