@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import join_each, written
+from tidemark.llm.common import join_each, words, written
 
 #: Failure conditions on a row with columns ``text`` (never null) and ``words`` (its words, in order).
 FILTERS: dict[str, Callable[[], Column]] = {
@@ -43,11 +43,6 @@ RESULT = "part string, filter_order string, step int, kept long, removed long, r
 PARTS = 64
 
 
-def words(text: Column) -> Column:
-    """Maximal runs of characters other than space and tab to carriage return."""
-    return F.array_remove(F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " "), "")
-
-
 def marked(documents: DataFrame, filters: Mapping[str, Callable[[], Column]] = FILTERS) -> DataFrame:
     """(part, doc_id, digest, mask) of each row: bit i for the i-th of ``filters``, without duplicates."""
     rows = documents.select(

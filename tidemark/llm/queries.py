@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import capfilters, filteraudit, mixing, packing, quality, simhash, suffixes, topk, toxicity, urlfilter, warc
+from tidemark.llm import capfilters, filteraudit, mixing, packing, prefixtrie, quality, simhash, suffixes, topk, toxicity, urlfilter, warc
 from tidemark.llm.common import table
 
 #: Labels of doc_ids with this crc32 remainder (mod 4) are held out of training.
@@ -68,6 +68,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "source", F.col("_slot").alias("slot"), F.col("_place").alias("place"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations")).drop("token")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -101,6 +105,45 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 ) WHERE rank <= 20
 """
 
+OP11_SQL = """
+WITH ids AS (
+  SELECT conv_id, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)) AS bytes
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), h AS (
+  SELECT conv_id, xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda a, b:
+    list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 4 AS h
+  FROM ids
+), t AS (
+  SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS token,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+), o AS (
+  SELECT conv_id, token, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, token) - 1 AS pos FROM t
+), r AS (
+  SELECT h.conv_id, 0 AS own, pos, token, words FROM h JOIN o ON o.conv_id = h.conv_id - h.conv_id % 20 AND pos < h
+  UNION ALL SELECT conv_id, 1, pos, token, words FROM o JOIN h USING (conv_id) WHERE pos >= h
+), s AS (
+  SELECT h.conv_id, coalesce(list(token ORDER BY own, pos) FILTER (token IS NOT NULL), []) AS seq, list(words ORDER BY own, pos) AS words
+  FROM h LEFT JOIN r USING (conv_id) GROUP BY h.conv_id
+), p AS (
+  SELECT conv_id, unnest(range(len(seq) + 1)) AS depth, seq, words FROM s
+), n AS (
+  SELECT depth, seq[1:depth] AS prefix, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(CASE WHEN depth > 0 THEN words[depth] ELSE 0 END) AS words,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(seq) = depth), '') AS ends
+  FROM p GROUP BY 1, 2
+), c AS (
+  SELECT prefix[1:depth - 1] AS prefix, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1
+), m AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (prefix)
+), a AS (
+  SELECT unnest(range(depth + 1)) AS top, prefix, n_convs, words, n_children FROM m
+), u AS (
+  SELECT prefix[1:top] AS prefix, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens FROM a GROUP BY 1
+)
+SELECT m.conv_id, m.depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN u USING (prefix) LEFT JOIN m q ON m.depth > 0 AND q.prefix = m.prefix[1:m.depth - 1]
+"""
+
 OP12_SQL = """
 WITH d AS (
   SELECT coalesce(source, '') AS part, doc_id, coalesce(text, '') AS t FROM documents
@@ -154,7 +197,8 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_filter_audit": op12_filter_audit,
     "pipeline": pipeline,
 }
-SQL = {"op8_top_k": OP8_SQL, "op9_warc": OP9_SQL, "op12_filter_audit": OP12_SQL}
+SQL = {"op8_top_k": OP8_SQL, "op9_warc": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op12_filter_audit": OP12_SQL}
