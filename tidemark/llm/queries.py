@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import capfilters, filteraudit, mixing, packing, prefixtrie, quality, simhash, suffixes, topk, toxicity, urlfilter, warc
+from tidemark.llm import annscan, capfilters, filteraudit, mixing, packing, prefixtrie, quality, simhash, suffixes, topk, toxicity, urlfilter, warc
 from tidemark.llm.common import table
 
 #: Labels of doc_ids with this crc32 remainder (mod 4) are held out of training.
@@ -76,6 +76,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annscan.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 OP9_SQL = """
 WITH p AS (
   SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
@@ -199,6 +203,7 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_filter_audit": op12_filter_audit,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
     "pipeline": pipeline,
 }
 SQL = {"op8_top_k": OP8_SQL, "op9_warc": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op12_filter_audit": OP12_SQL}
