@@ -22,6 +22,9 @@ COLUMNS = {
     "op8_top_k": {"query_id", "rank", "vec_id", "score"},
     "op9_warc": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
     "op10_mixing": {"doc_id", "slot", "place"},
+    "op11_prefix_trie": {"conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"},
+    "op12_filter_audit": {"part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"},
+    "op13_nearest_neighbours": {"query_id", "rank", "vec_id", "score"},
     "pipeline": {"doc_id", "sequence_id", "offset"},
 }
 ONE_A_ROW = {"op1_quality": "documents", "op2_toxicity": "documents", "op4_suffix_array": "documents", "op5_simhash": "documents", "op6_url_filter": "pages", "op7_embedding_near_duplicates": "embeddings", "op9_warc": "pages", "op10_mixing": "documents"}
@@ -41,9 +44,9 @@ def test_columns_and_rows(spark, name):
         assert len(rows) == spark.read.parquet(f"{DIR}/{ONE_A_ROW[name]}.parquet").count()
     assert rows
     if name in SQL:
-        table = ONE_A_ROW.get(name, "embeddings")
         con = duckdb.connect()
-        con.execute(f"create view {table} as select * from read_parquet('{DIR}/{table}.parquet')")
+        for table in ("documents", "embeddings", "pages", "labels", "conversations"):
+            con.execute(f"create view {table} as select * from read_parquet('{DIR}/{table}.parquet')")
         cursor = con.execute(SQL[name])
         columns = [d[0] for d in cursor.description]
         assert sorted(map(repr, (tuple(r[c] for c in columns) for r in rows))) == sorted(map(repr, cursor.fetchall()))

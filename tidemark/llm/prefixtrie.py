@@ -165,10 +165,11 @@ def named(sequences: DataFrame, parts: list[DataFrame], root: int) -> DataFrame:
     at = sequences.where("length > 0").withColumn("i", F.lit(0).cast("long")).withColumn("parent", F.lit(root).cast("long"))
     for k in range(len(parts) - 2, -1, -1):
         upper = at.withColumn("i", F.col("i") * 2)
-        longer = upper.where(F.col("length") > F.shiftleft(F.col("i") + 1, k)).join(parts[k], ["conv_id", "i"])
+        cut = F.shiftleft(F.col("i") + 1, k)
+        reaching = upper.where(F.col("length") >= cut).join(parts[k], ["conv_id", "i"])
         key = ["i", "parent", "digest"]
-        names = written(longer.groupBy(*key).agg(F.min("conv_id").alias("name"), F.count("*").alias("n")), "names")
-        lower = join_each(longer, names.drop("n"), key, names).select("conv_id", "n", "length", (F.col("i") + 1).alias("i"), F.col("name").alias("parent"))
+        names = written(reaching.groupBy(*key).agg(F.min("conv_id").alias("name"), F.count("*").alias("n")), "names")
+        lower = join_each(reaching, names.drop("n"), key, names).where(F.col("length") > cut).select("conv_id", "n", "length", (F.col("i") + 1).alias("i"), F.col("name").alias("parent"))
         at = written(upper.unionByName(lower), "cut")
     return at
 
