@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.period import Period, bucket_index, bucket_start, round_down
 from tidemark.operators.reduce import reduce, reducer
+from tidemark.sources.commits import HadoopFiles
 from tidemark.sources.sinks import to_json_pairs
 from tidemark.sources.store import SeriesStore
 
@@ -22,7 +23,9 @@ MONDAY = 345_600_000
 
 
 def follow(spark: SparkSession, path: str, schema: str, max_files: int | None = None) -> DataFrame:
-    """What a table's files hold (first batches) and what is added to them later."""
+    """What a folder's files hold (first batches) and what is added to them later; ``SeriesStore.follow`` does it for a store."""
+    if "log" in HadoopFiles(spark, path).names(""):
+        raise ValueError(f"{path} is a table of a store: use SeriesStore.follow")
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -137,10 +140,10 @@ def start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint:
     return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(each).start()
 
 
-def _token(batch: DataFrame, checkpoint: str, n: int) -> str:
+def _token(batch: DataFrame, checkpoint: str, n: int) -> tuple[str, int]:
     """A name of a stream's batch: the stream's id, which its checkpoint keeps, and the batch number."""
     held = batch.sparkSession.read.text(checkpoint + "/metadata").first().value
-    return f"{json.loads(held)['id']}-{n}"
+    return json.loads(held)["id"], n
 
 
 def write_stream(stream: DataFrame, store: SeriesStore, value_type: str, checkpoint: str, trigger: dict | None = None):
@@ -163,7 +166,7 @@ def load_stream(
             items = t(items)
         store.write(items, value_type, token)
         failed = decoded.where(F.col("error").isNotNull()).groupBy("error").count()
-        failed.write.mode("overwrite").parquet(f"{errors}/batch={token}")
+        failed.write.mode("overwrite").parquet(f"{errors}/batch={token[0]}-{n}")
 
     return start(messages, each, checkpoint, trigger)
 
