@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tidemark import queries_load, queries_store  # noqa: F401
+from tidemark import queries_load, queries_ranges, queries_store  # noqa: F401
 from tidemark.queries import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"

@@ -129,14 +129,14 @@ def test_running_over_chunks_is_running_over_all(spark):
     rows = [(s, k, rng.randint(-5, 9)) for s in "ab" for k in sorted(rng.sample(range(5000), 200))]
     df = spark.createDataFrame(rows, "column_path string, key long, value long")
     for chunk in (7, 400, 10**6):
-        got = {(r.column_path, r.key): (r.t, r.m) for r in running(running(df, ["column_path"], ["key"], "sum", F.col("value"), "t", True, chunk), ["column_path"], ["key"], "max", F.col("value"), "m", chunk_ms=chunk).collect()}
+        got = {(r.column_path, r.key): (r.t, r.m) for r in running(running(df, ["column_path"], ["key"], "sum", F.col("value"), "t", True, chunk), ["column_path"], ["key"], "max", F.col("value"), "m", chunk_rows=chunk).collect()}
         for s in "ab":
             total, most = 0, None
             for _, k, v in (r for r in rows if r[0] == s):
                 total += v
                 assert got[s, k] == (total, most)
                 most = v if most is None else max(most, v)
-    assert sorted(r.position for r in positions(df, ["column_path"], chunk_ms=50).where("column_path = 'a'").collect()) == list(range(200))
+    assert sorted(r.position for r in positions(df, ["column_path"], chunk_rows=50).where("column_path = 'a'").collect()) == list(range(200))
 
 
 def test_ranges(simple):
@@ -169,7 +169,7 @@ def onoff(spark, values):
     [([(0, True), (1, False)], [(0, 1)]), ([(0, True), (1, True)], [(0, 1)]), ([(0, True)], [(0, 0)]), ([(0, False), (1, False)], []), ([(0, False), (1, True), (2, True), (5, False), (6, False), (7, True)], [(1, 5), (7, 7)]), ([], [])],
 )
 def test_onoff(spark, values, want):
-    got = intervals.onoff_to_intervals(onoff(spark, values), chunk_ms=2 * MINUTE)
+    got = intervals.onoff_to_intervals(onoff(spark, values), chunk_rows=2)
     assert sorted(((r.start - T0) // MINUTE, (r.end - T0) // MINUTE) for r in got.collect()) == want
 
 
@@ -221,8 +221,8 @@ def test_fold_in_order(spark):
 def test_merging(spark):
     df = spark.createDataFrame([("x", 0, 10), ("x", 2, 4), ("x", 10, 12), ("x", 20, 21)], "column_path string, start long, end long")
     as_pairs = lambda d: sorted((r.start, r.end) for r in d.collect())
-    assert as_pairs(intervals.merge_intervals(df, chunk_ms=5)) == [(0, 12), (20, 21)]
-    assert as_pairs(intervals.merge_intervals(df, touching=False, chunk_ms=5)) == [(0, 10), (10, 12), (20, 21)]
+    assert as_pairs(intervals.merge_intervals(df, chunk_rows=2)) == [(0, 12), (20, 21)]
+    assert as_pairs(intervals.merge_intervals(df, touching=False, chunk_rows=2)) == [(0, 10), (10, 12), (20, 21)]
 
 
 def test_tabular(spark):

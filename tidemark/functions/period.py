@@ -114,7 +114,7 @@ def bucket_start(index: Column, anchor: Column, period: Period, zone: str = "UTC
 
 
 def period_starts(start: Column, until: Column, period: Period, zone: str = "UTC") -> Column:
-    """Array of the period starts from the one at or before ``start`` up to ``until``; for bounded ranges."""
+    """Array of the period starts from the one at or before ``start`` up to ``until``, for short ranges; ``spans.period_starts`` gives rows."""
     anchor = round_down(start, period, zone)
     last = bucket_index(until - 1, anchor, period, zone)
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0).cast("long"), last), lambda k: bucket_start(k, anchor, period, zone)))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.period import Period, bucket_index, bucket_start, friendly_size, round_down
 from tidemark.model import Grouping, SeriesRange
-from tidemark.operators.ranges import with_ranges
-from tidemark.operators.running import positions
+from tidemark.operators.ranges import with_numbers, with_ranges
+from tidemark.operators.running import positions, running
 from tidemark.sources.folders import written
 
 #: Reducers by name: a column to an aggregate that is null where there is no value.
@@ -106,13 +106,16 @@ def _anchored(cut: DataFrame, fn: str, firsts: DataFrame, choices: list[tuple[Co
     parts = cut.join(firsts, keys).withColumn("_k", index(F.col("key"))).where(_capped(F.col("_k"), grouping))
     parts = parts.groupBy(*keys, *own, "range_until", "_k").agg(reducer(fn)(F.col("value")).alias("value"))
     if grouping.empties:
+        # Empty periods stay runs between the parts until they are sent: no table of all periods, nothing to join.
         parts = written(parts, "parts")
         end = F.greatest(F.max("_k"), F.max(index(F.col("range_until") - 1)))
         if grouping.max_parts is not None:
             end = F.least(end, F.lit(grouping.max_parts - 1))
-        last = parts.groupBy(*keys, *own).agg(end.alias("_last"))
-        every = last.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last")))).drop("_last")
-        parts = every.join(parts.drop(*own), [*keys, "_k"], "left")
+        tail = parts.groupBy(*keys, *own).agg((F.max("_k") + 1).alias("_since"), end.alias("_k"), F.lit(None).cast(parts.schema["value"].dataType).alias("value"))
+        runs = running(parts, keys, ("_k",), "lag", F.col("_k"), "_before").withColumn("_since", F.coalesce(F.col("_before") + 1, F.lit(0).cast("long")))
+        every = runs.select(tail.columns).unionByName(tail)
+        every = with_numbers(every, F.col("_since"), F.col("_k"), "_at").withColumn("value", F.when(F.col("_at") == F.col("_k"), F.col("value")))
+        parts = every.drop("_k").withColumnRenamed("_at", "_k")
     return parts.select(*keys, chosen(lambda p: bucket_start(F.col("_k"), F.col("_anchor"), p, zone)).alias("key"), "value")
 
 

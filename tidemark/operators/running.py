@@ -1,54 +1,85 @@
 """Running aggregates over one long series without putting it into one task.
 
-A window over a whole series is a single task for a series that holds a third of all rows.  Here keys are cut into
-chunks of time; aggregates of whole chunks are combined (a small table, with sums before the shuffle), and the window
-runs inside a chunk only.  The small table is written to the shared folder at once, so that running aggregates over
-running aggregates read their input once more each, not twice as often each.
+A window over a whole series is a single task for a series that holds a third of all rows.  Here series of more than ``CHUNK_ROWS``
+items are dealt into chunks of equal depth: Spark's range partitioning samples the keys, so a chunk holds about as many rows
+wherever they lie.  Aggregates of whole chunks are combined (a small table), and the window runs inside a chunk only.
+Other series need no chunks: a window of theirs is that of one shuffle.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.sources.folders import written
+from tidemark.sources.folders import drop_written, written
 
-#: Rows of the largest series that one window partition should cover.
+#: Rows of a series that one window partition should cover.
 CHUNK_ROWS = 200_000
 
 
-def chunk_size(df: DataFrame, by: Sequence[str], key: str = "key") -> int:
-    """Keys to a chunk, so that the series with most rows has some ``CHUNK_ROWS`` in one; at least 1."""
-    sizes = df.groupBy(*by).agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
-    most, low, high = sizes.agg(F.max("n"), F.min("low"), F.max("high")).first()
-    return max(1, (high - low + 1) * CHUNK_ROWS // max(most, CHUNK_ROWS)) if most and low is not None else 1
+def split_large(df: DataFrame, by: Sequence[str], order: Sequence[str], chunk_rows: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of small series, rows of large ones with ``_chunk``): a series' chunks follow one another in ``order``.
+
+    Of rows that are alike in ``order`` some may be in one chunk, some in the next.  Large series are fewer than one for
+    each ``chunk_rows`` rows; Spark broadcasts their names if the table's size allows it.
+    """
+    rows = chunk_rows or CHUNK_ROWS
+    large = written(df.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > rows), "large")
+    n = large.agg(F.sum("_n")).first()[0]
+    if not n:
+        drop_written(large)
+        return df, None
+    small, big = df.where(F.lit(False)), df
+    if by:
+        names = large.select(*[F.col(c).alias(f"_large_{c}") for c in by])
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_large_{c}"))
+        small, big = df.join(names, same, "left_anti"), df.join(names, same, "left_semi")
+    tied = big.withColumn("_tie", F.monotonically_increasing_id())
+    dealt = tied.repartitionByRange(math.ceil(n / rows), *by, *order, "_tie").withColumn("_chunk", F.spark_partition_id())
+    return small, written(dealt.drop("_tie"), "chunks")
 
 
-def running(df: DataFrame, by: Sequence[str], order: Sequence[str], kind: str, value: Column, name: str, inclusive: bool = False, chunk_ms: int | None = None, key: str = "key") -> DataFrame:
-    """Add the running sum, max or min of ``value`` over the rows before each row (with it if inclusive).
+def running(df: DataFrame, by: Sequence[str], order: Sequence[str], kind: str, value: Column, name: str, inclusive: bool = False, chunk_rows: int | None = None) -> DataFrame:
+    """Add the running sum, max or min of ``value`` over the rows before each row (with it if inclusive), or its lag.
 
-    ``order`` starts with ``key``.  Null where no row comes before; a running sum is then 0.
+    Null where no row comes before; a running sum is then 0.
     """
-    total = {"sum": F.sum, "max": F.max, "min": F.min}[kind]
-    pick = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": F.greatest, "min": F.least}[kind]
-    chunk_ms = chunk_ms or chunk_size(df, by, key)
-    chunked = df.withColumn("_chunk", F.floor(F.col(key) / chunk_ms)).withColumn("_value", value)
-    sums = written(chunked.groupBy(*by, "_chunk").agg(total("_value").alias("_sum")), "chunks")
-    earlier = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_chunk").alias("_at"), total("_sum").over(earlier).alias("_before"))
-    inside = Window.partitionBy(*by, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    local = chunked.withColumn("_inside", total("_value").over(inside))
+    small, large = split_large(df.withColumn("_value", value), by, order, chunk_rows)
+    columns = [*df.columns, name]
+    if kind == "lag":
+        whole = F.max_by("_value", F.struct(*order))
+        inside, earlier = (lambda w: F.lag("_value").over(w)), (lambda w: F.lag("_whole").over(w))
+        both = lambda own, before: F.when(F.col("_row") == 1, before).otherwise(own)
+    else:
+        total = {"sum": F.sum, "max": F.max, "min": F.min}[kind]
+        whole = total("_value")
+        inside = lambda w: total("_value").over(w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+        earlier = lambda w: total("_whole").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        both = {"sum": lambda own, before: F.coalesce(own, F.lit(0)) + F.coalesce(before, F.lit(0)), "max": F.greatest, "min": F.least}[kind]
+    found = inside(Window.partitionBy(*by).orderBy(*order))
+    out = small.withColumn(name, F.coalesce(found, F.lit(0)) if kind == "sum" else found).select(columns)
+    if large is None:
+        return out
+    # A row for each chunk of a series: written, so that Spark knows the size and broadcasts them while they are small.
+    chunks = large.groupBy(*by, "_chunk").agg(whole.alias("_whole"))
+    chunks = chunks.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_chunk").alias("_at"), earlier(Window.partitionBy(*by).orderBy("_chunk")).alias("_before"))
     same = F.col("_chunk") == F.col("_at")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return local.join(before, same).withColumn(name, pick(F.col("_inside"), F.col("_before"))).select(*df.columns, name)
+    order_in_chunk = Window.partitionBy(*by, "_chunk").orderBy(*order)
+    local = large.withColumn("_inside", inside(order_in_chunk)).withColumn("_row", F.row_number().over(order_in_chunk))
+    joined = local.join(written(chunks, "chunk-sums"), same).withColumn(name, both(F.col("_inside"), F.col("_before")))
+    return out.unionByName(joined.select(columns))
 
 
-def positions(df: DataFrame, by: Sequence[str], name: str = "position", order: Sequence[str] = ("key",), chunk_ms: int | None = None) -> DataFrame:
+def positions(df: DataFrame, by: Sequence[str], name: str = "position", order: Sequence[str] = ("key",), chunk_rows: int | None = None) -> DataFrame:
     """Number the rows of each series from 0 by key."""
-    return running(df, by, order, "sum", F.lit(1).cast("long"), name, chunk_ms=chunk_ms, key=order[0])
+    return running(df, by, order, "sum", F.lit(1).cast("long"), name, chunk_rows=chunk_rows)
 
 
 def numbered(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:

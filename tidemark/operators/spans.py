@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.running import positions
+from tidemark.functions.period import Period, bucket_index, bucket_start, round_down
+from tidemark.operators.ranges import with_numbers
+from tidemark.operators.running import positions, running
 
 
 def spans(df: DataFrame, names: DataFrame, trace_ids: DataFrame) -> DataFrame:
@@ -24,12 +26,25 @@ def span_names(df: DataFrame) -> DataFrame:
     return df.select("name").distinct()
 
 
-def span_gaps(df: DataFrame) -> DataFrame:
-    """(name, trace_id, time, gap): µs from the end of the span before; a trace of one span has one gap of 0."""
-    order = Window.partitionBy("name", "trace_id").orderBy("time", "duration")
+def period_starts(df: DataFrame, start: str, until: str, period: Period, zone: str = "UTC", name: str = "start") -> DataFrame:
+    """Each row once for each period from the one at or before its ``start`` up to ``until``, with the period's start, made as needed."""
+    anchored = df.withColumn("_anchor", round_down(F.col(start), period, zone))
+    last = bucket_index(F.col(until) - 1, F.col("_anchor"), period, zone)
+    numbers = with_numbers(anchored, F.lit(0).cast("long"), last, "_k")
+    return numbers.withColumn(name, bucket_start(F.col("_k"), F.col("_anchor"), period, zone)).drop("_anchor", "_k")
+
+
+def span_gaps(df: DataFrame, chunk_rows: int | None = None) -> DataFrame:
+    """(name, trace_id, time, gap): µs from the end of the span before; a trace of one span has one gap of 0.
+
+    Large traces are dealt into chunks; the end of a chunk's last span is handed to the next one.
+    """
+    own = ["name", "trace_id"]
     end = F.col("time") + F.floor(F.col("duration") / 1000)
-    marked = df.withColumn("_before", F.lag(end).over(order)).withColumn("_n", F.count("*").over(Window.partitionBy("name", "trace_id")))
-    return marked.where(F.col("_before").isNotNull() | (F.col("_n") == 1)).select("name", "trace_id", "time", F.coalesce(F.col("time") - F.col("_before"), F.lit(0)).alias("gap"))
+    marked = running(df, own, ("time", "duration"), "lag", end, "_before", chunk_rows=chunk_rows)
+    gaps = marked.where(F.col("_before").isNotNull()).select(*own, "time", (F.col("time") - F.col("_before")).alias("gap"))
+    alone = df.groupBy(*own).agg(F.count("*").alias("_n"), F.min("time").alias("time")).where(F.col("_n") == 1)
+    return gaps.unionByName(alone.select(*own, "time", F.lit(0).cast("long").alias("gap")))
 
 
 def span_summary(df: DataFrame) -> DataFrame:

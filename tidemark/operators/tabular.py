@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def tabular(df: DataFrame, columns: Sequence[str], by: str = "column_path", value: str = "value", names: Sequence[str] | None = None, order: str | None = None) -> DataFrame:
-    """(key, one column for each of ``columns``): a full outer join of series by key in one shuffle.
+def tabular(df: DataFrame, columns: Sequence[str], by: str = "column_path", value: str = "value", names: Sequence[str] | None = None, order: str | None = None, within: Sequence[str] = ()) -> DataFrame:
+    """(key, one column for each of ``columns``): a full outer join of series by key, and the columns ``within``, in one shuffle.
 
     Of several values at one key the one of least ``order`` counts (without it the least value); with ``order`` the column
     ``first_seen`` holds the least of a key.
@@ -17,7 +17,7 @@ def tabular(df: DataFrame, columns: Sequence[str], by: str = "column_path", valu
     names = names or columns
     own = lambda c: (F.col(by) == c) & F.col(value).isNotNull()
     cells = [(F.min_by(value, F.when(own(c), F.col(order))) if order else F.min(F.when(own(c), F.col(value)))).alias(n) for c, n in zip(columns, names, strict=True)]
-    return df.where(F.col(by).isin(list(columns))).groupBy("key").agg(*cells, *([F.min(order).alias("first_seen")] if order else []))
+    return df.where(F.col(by).isin(list(columns))).groupBy(*within, "key").agg(*cells, *([F.min(order).alias("first_seen")] if order else []))
 
 
 def zero_fill(df: DataFrame, columns: Sequence[str]) -> DataFrame:

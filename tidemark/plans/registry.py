@@ -76,14 +76,12 @@ def run(name: str, df: DataFrame, params: dict | None = None, selection: DataFra
     if known == "intervalsum":
         options = (params.get("period"), params.get("zone", "UTC"))
         if "columns" in params:
-            return intervals.of_every_range(_ranges(params), lambda r: intervals.interval_sum_across(df, params["columns"], *options, params.get("names"), r.start, r.until))
-        return intervals.of_every_range(_ranges(params), lambda r: intervals.interval_sum(df, *options, by, r.start, r.until, params.get("max_parts")))
+            return intervals.interval_sum_across(df, params["columns"], *options, params.get("names"), ranges=_ranges(params))
+        return intervals.interval_sum(df, *options, by, max_parts=params.get("max_parts"), ranges=_ranges(params))
     if known == "onoffintervalsum":
         if selection is None:
             raise ValueError("OnOffIntervalSum needs a selection of columns")
-        return intervals.of_every_range(
-            _ranges(params), lambda r: intervals.onoff_interval_sum(df, selection, params.get("period"), params.get("zone", "UTC"), r, max_parts=params.get("max_parts"))
-        )
+        return intervals.onoff_interval_sum(df, selection, params.get("period"), params.get("zone", "UTC"), _ranges(params), max_parts=params.get("max_parts"))
     if name in _CUSTOM:
         return _CUSTOM[name](df, params)
     raise LookupError(f"no transform {name!r}")
