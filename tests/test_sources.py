@@ -23,6 +23,7 @@ def test_header_rules():
     assert h.names == ("name", "seconds", "startTime", "endTime") and h.key == 2 and h.types[1] == "double"
     assert delimited.detect_header("a,when_date", ",").key == 1 and delimited.detect_header("a,b", ",").key == 0
     assert not delimited.detect_header("1.5,2", ",").has_header
+    assert delimited.detect_header('"a, b","time"', ",").names == ("a, b", "time")
     with pytest.raises(ValueError):
         delimited.detect_header("single", ",")
 
@@ -39,6 +40,51 @@ def test_delimited_folder(spark, folder):
     assert [r.line for r in delimited.bad_keys(spark, folder).collect()] == ["bad,3,true,z"]
 
 
+def test_quoted_headers_and_cells_over_lines(spark, folder):
+    rows = [("time", "a, b", 'say "x":string', "c:long"), ("1", "one\ntwo, three", "plain", "7"), ("2", "", '"\n\n"', ""), ("3", "last", "#no comment\n# nor this", "x"), ("four", "no\nkey", "", "")]
+    text = "# a comment\n\n" + "\n".join(",".join('"' + c.replace('"', '""') + '"' if any(x in c for x in ',"\n') else c for c in r) for r in rows) + "\n"
+    put(folder, "q.csv", text)
+    put(folder, "t.tsv", 'time\t"v\tw"\n5\t"x\ny"\n')
+    got = {(r.column_path, r.key, r.value) for r in delimited.read_delimited(spark, folder).collect()}
+    want = {("q/a, b", 1, "one\ntwo, three"), ("q/say \"x\"", 1, "plain"), ("q/c", 1, "7"), ("q/say \"x\"", 2, '"\n\n"'), ("q/a, b", 3, "last"), ("q/say \"x\"", 3, "#no comment\n# nor this"), ("t/v\tw", 5, "x\ny")}
+    assert got == want
+    assert [r.line for r in delimited.bad_keys(spark, folder).collect()] == ['four,"no\nkey",,']
+    assert [tuple(r)[1:] for r in delimited.bad_values(spark, folder).collect()] == [(3, "c", "long", "x")]
+
+
+@pytest.mark.parametrize("split", ["64b", "300b", "64k"])
+def test_records_over_splits(spark, folder, split):
+    """Records of up to many lines in splits of a few bytes: what a plain reader of the whole file gives."""
+    import csv
+    import io
+    import random
+
+    rng, want = random.Random(1), []
+    for f in range(2):
+        rows = [("time", "note", "n:long")] + [(str(i), "".join(rng.choice(['"', ",", "\n", "\n", "a", "b ", "#", "é"]) for _ in range(rng.choice([0, 3, 60]))), str(i * 2)) for i in range(30)]
+        out = io.StringIO()
+        csv.writer(out, lineterminator="\n").writerows(rows)
+        put(folder, f"d/f{f}.csv", out.getvalue())
+        want += [(f"d/f{f}/note", int(r[0]), r[1].strip(" ")) for r in rows[1:] if r[1].strip(" ")] + [(f"d/f{f}/n", int(r[0]), r[2]) for r in rows[1:]]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found = delimited.read_delimited(spark, folder)
+        if split == "64b":
+            assert delimited.read_records(spark, folder).select("block").distinct().count() > 20
+        assert sorted((r.column_path, r.key, r.value) for r in found.collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_an_unclosed_quote_quotes_nothing(spark, folder):
+    put(folder, "u.csv", 'time,v,w\n1,"a\nb",x\n2,5" disc,y\n3,c,z\n')
+    got = {(r.column_path, r.key, r.value) for r in delimited.read_delimited(spark, folder).collect()}
+    assert got == {("u/v", 1, "a\nb"), ("u/w", 1, "x"), ("u/v", 2, '5" disc'), ("u/w", 2, "y"), ("u/v", 3, "c"), ("u/w", 3, "z")}
+
+
 def test_dataset_names(spark):
     names = {"/r/a/b.csv": "a/b", "/r/a/_b.TSV": "a", "/r/_b.csv": "default", "/r/_x/c.csv": "c", "/r/_x/_c.csv": "default"}
     df = spark.createDataFrame([("file://" + n,) for n in names], "f string")

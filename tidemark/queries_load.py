@@ -43,6 +43,27 @@ def delimited_with_headers(spark, sf_dir):
     return _numbers(delimited.read_delimited(spark, folder))
 
 
+@query("""WITH e AS (SELECT epoch_us(ts) // 1000 AS key, event_id, 'n "' || event_id || '",' || chr(10) || chr(10) || '# ' || event_type AS note FROM events)
+SELECT 'part/note, "text"' AS column_path, key, NULL AS number, note AS text, 'string' AS value_type FROM e WHERE event_id % 3 > 0
+UNION ALL SELECT 'part/event_id', key, CAST(event_id AS DOUBLE), NULL, 'long' FROM e""")
+def delimited_quoted_records(spark, sf_dir):
+    """Quoted header fields, cells of several lines, quotes and separators in cells (A1, A2)."""
+    folder, e = fresh_path(spark, "csv"), series(spark, sf_dir, "event_id", "event_type")
+    note = F.concat(F.lit('n "'), F.col("event_id").cast("string"), F.lit('",\n\n# '), "event_type")
+    wide = e.select(F.col("key").alias("time"), F.when(F.col("event_id") % 3 > 0, note).alias('note, "text"'), "event_id")
+    wide.repartition(3).write.option("header", True).option("escape", '"').csv(folder)
+    return _numbers(delimited.read_delimited(spark, folder))
+
+
+@query("SELECT event_id AS key, 'n:int' AS name, 'int' AS value_type, 'x' || event_id AS text FROM events WHERE event_id % 50 = 0")
+def delimited_bad_values(spark, sf_dir):
+    """Cells that are none of their column's type (A4)."""
+    folder, e = fresh_path(spark, "csv"), table(spark, sf_dir, "events")
+    number = F.col("event_id").cast("string")
+    e.select(F.col("event_id").alias("time"), F.concat(F.when(F.col("event_id") % 50 == 0, "x").otherwise(""), number).alias("n:int")).write.option("header", True).csv(folder)
+    return delimited.bad_values(spark, folder).select("key", F.concat("name", F.lit(":int")).alias("name"), "value_type", "text")
+
+
 @query("""SELECT 'part/' || n AS column_path, key, number, NULL AS text, 'long' AS value_type FROM (
 SELECT epoch_us(ts) // 1000 AS key, CAST(event_id AS DOUBLE) AS number, '2' AS n FROM events UNION ALL SELECT epoch_us(ts) // 1000, CAST(user_id AS DOUBLE), '3' FROM events)""")
 def delimited_without_headers(spark, sf_dir):

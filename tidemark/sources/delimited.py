@@ -1,14 +1,21 @@
 """Delimited text files as series.
 
 Files are read by Spark, and their headers worked out by it, a row for each file: any number of files and headers is one plan.
-The lines are written to the shared folder first, so that a file's first line is the same to every part of the plan.
+Only headers, types and counts of quotes are written to the shared folder; the text is read again for each.
+
+A record may go on over lines within quotes, and large files are still read in splits.  A line with an odd number of quotes opens
+or closes a quoted cell; each split counts such lines, the counts before a split (a row for each split) say whether it begins
+within quotes, and only the lines of records that do go over lines are brought together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,9 +40,9 @@ class HeaderSpec:
 
 
 def detect_header(first_line: str, separator: str) -> HeaderSpec:
-    """Names, declared types and key column; a first line that starts with no letter is data, named 1..n."""
-    fields = [f.strip() for f in first_line.split(separator)]
-    if not first_line[:1].isalpha():
+    """Names, declared types and key column; a first record that starts with no letter is data, named 1..n."""
+    fields = [f.strip() for f in next(csv.reader([first_line], delimiter=separator), [""])]
+    if not fields[0][:1].isalpha():
         return HeaderSpec(tuple(str(i + 1) for i in range(len(fields))), (None,) * len(fields), 0, False)
     if len(fields) < 2:
         raise ValueError(f"a header needs two fields: {first_line!r}")
@@ -82,20 +89,71 @@ def roots(spark: SparkSession, path: str) -> list[str]:
     return found
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, at, line) of every line that is not blank or a comment, of every .csv and .tsv below ``path``;
-    block and at give the order of a file's lines."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add each line's place in its split and the lines before it there that have an odd number of quotes.
+
+    A split's lines come one after the other in one task.
+    """
+    last, place, odd = None, 0, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        files, blocks = batch.column("file").to_pylist(), batch.column("block").to_numpy()
+        own = batch.column("odd").to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = [0, *(i for i in range(1, len(files)) if blocks[i] != blocks[i - 1] or files[i] != files[i - 1]), len(files)]
+        at, before = np.empty(len(files), dtype=np.int64), np.empty(len(files), dtype=np.int64)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if (files[a], blocks[a]) != last:
+                last, place, odd = (files[a], blocks[a]), 0, 0
+            at[a:b] = place + np.arange(b - a)
+            sums = np.cumsum(own[a:b])
+            before[a:b] = odd + sums - own[a:b]
+            place, odd = place + b - a, odd + int(sums[-1])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("file", "block", "line", "odd")), pa.array(at), pa.array(before)], ["file", "block", "line", "odd", "at", "before"])
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, at, line) of every record that is not blank or a comment, of every .csv and .tsv below ``path``;
+    block and at give the order of a file's records.
+
+    A quote that is not closed quotes nothing: each of the lines from there on is a record.
+    """
     # A glob cannot be caseless for a single file; the filter is on the file's name.
-    lines = spark.read.option("recursiveFileLookup", "true").text(roots(spark, path)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
-    named = F.col("file").rlike(r"(?i)\.[ct]sv$")
-    return written(lines.where(named & (F.trim("line") != "") & ~F.ltrim("line").startswith("#")), "lines")
+    lines = spark.read.option("recursiveFileLookup", "true").text(roots(spark, path)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    lines = lines.where(F.col("file").rlike(r"(?i)\.[ct]sv$")).withColumn("odd", (F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))) % 2 == 1)
+    splits = lines.groupBy("file", "block").agg(F.count_if("odd").alias("_odd"))
+    in_file = Window.partitionBy("file")
+    prefix = F.coalesce(F.sum("_odd").over(in_file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.withColumn("_prefix", prefix).withColumn("_all", F.sum("_odd").over(in_file)).where("_all > 0").drop("_odd")
+    # A row for each split of a file that has such lines: written, so that Spark knows the size.
+    splits = written(splits.withColumnsRenamed({"file": "_file", "block": "_block"}), "splits")
+    counted = lines.mapInArrow(_counted, "file string, block long, line string, odd boolean, at long, before long")
+    if splits.first() is None:
+        records = counted.select("file", "block", "at", "line")
+    else:
+        met = counted.join(splits, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")), "left")
+        odd = F.coalesce("_prefix", F.lit(0)) + F.col("before")
+        run = F.floor(odd / 2)
+        inside = ((odd % 2 == 1) | F.col("odd")) & ~((F.col("_all") % 2 == 1) & (run == F.floor(F.col("_all") / 2)))
+        met = met.select("file", "block", "at", "line", F.coalesce(inside, F.lit(False)).alias("_inside"), run.alias("_run"))
+        parts = met.where("_inside").groupBy("file", "_run").agg(F.sort_array(F.collect_list(F.struct("block", "at", "line"))).alias("_lines"))
+        whole = parts.select("file", F.get("_lines", F.lit(0))["block"].alias("block"), F.get("_lines", F.lit(0))["at"].alias("at"), F.array_join(F.col("_lines.line"), "\n").alias("line"))
+        records = met.where("NOT _inside").select("file", "block", "at", "line").unionByName(whole)
+    return records.where((F.trim("line") != "") & ~F.ltrim("line").startswith("#"))
+
+
+def _fields(line: Column, separator: str) -> Column:
+    """The fields of a header: cut at the separators outside of quotes, then freed of theirs."""
+    cut = F.transform(F.split(line, separator + r'(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda f: F.trim(f))
+    quoted = lambda f: f.rlike(r'(?s)^".*"$') & (F.length(f) > 1)
+    return F.transform(cut, lambda f: F.when(quoted(f), F.trim(F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"')))).otherwise(f))
 
 
 def header_columns(line: Column) -> dict[str, Column]:
-    """What ``detect_header`` tells of a first line, as columns: separator, has_header, names, types (null where not given), place of the key."""
+    """What ``detect_header`` tells of a first record, as columns: separator, has_header, names, types (null where not given), place of the key."""
     separator = F.when(F.contains(line, F.lit("\t")), F.lit("\t")).otherwise(F.lit(","))
-    fields = F.transform(F.split(line, separator), lambda f: F.trim(f))
-    has_header = line.rlike(r"^\p{L}")
+    fields = F.when(F.contains(line, F.lit("\t")), _fields(line, "\t")).otherwise(_fields(line, ","))
+    has_header = F.get(fields, F.lit(0)).rlike(r"^\p{L}")
     kind = lambda f: F.lower(F.element_at(F.split(f, ":"), -1))
     typed = lambda f: (F.locate(":", f) > 1) & kind(f).isin(*TYPES)
     given = F.transform(fields, lambda f: F.when(typed(f), F.regexp_replace(f, r":[^:]*$", "")).otherwise(f))
@@ -126,8 +184,8 @@ def infer_types(cells: DataFrame, sample: int = SAMPLE) -> DataFrame:
 def read_delimited(spark: SparkSession, path: str, single_file: bool = False) -> DataFrame:
     """Series of all files: (column_path, key, value, value_type, file), the value as text.
 
-    Tab-separated if a file's first line has a tab, else comma-separated.  A cell that is missing or does not parse
-    gives no item; rows whose key does not parse are in ``bad_keys``.
+    Tab-separated if a file's first record has a tab, else comma-separated.  A cell that is missing or does not parse
+    gives no item: those that do not are in ``bad_values``, rows whose key does not parse in ``bad_keys``.
     """
     keyed = _keyed(spark, path, single_file)
     return melt_cells(keyed.where(F.col("key").isNotNull()))
@@ -138,41 +196,58 @@ def bad_keys(spark: SparkSession, path: str, single_file: bool = False) -> DataF
     return _keyed(spark, path, single_file).where(F.col("key").isNull()).select("file", "line")
 
 
-def headers(lines: DataFrame) -> DataFrame:
-    """(file, first_block, first_at, separator, has_header, names, types, key_at), a row for each file."""
-    firsts = lines.groupBy("file").agg(F.min_by(F.struct("block", "at", "line"), F.struct("block", "at")).alias("_first"))
+def bad_values(spark: SparkSession, path: str, single_file: bool = False) -> DataFrame:
+    """(file, key, name, value_type, text) of the filled cells that are none of their column's type."""
+    cells = _cells(_keyed(spark, path, single_file).where(F.col("key").isNotNull()))
+    return cells.where(F.col("value").isNull()).select("file", "key", "name", "value_type", "text")
+
+
+def headers(records: DataFrame) -> DataFrame:
+    """(file, first_block, first_at, first_line, separator, has_header, names, types, key_at), a row for each file."""
+    firsts = records.groupBy("file").agg(F.min_by(F.struct("block", "at", "line"), F.struct("block", "at")).alias("_first"))
     told = header_columns(F.col("_first.line"))
     return firsts.select("file", F.col("_first.block").alias("first_block"), F.col("_first.at").alias("first_at"), F.col("_first.line").alias("first_line"), *[c.alias(n) for n, c in told.items()])
 
 
 def _row_of(line: str, width: int, separator: str) -> Column:
-    """The cells c0, c1 and so on of a line; a quote within quotes is doubled."""
-    return F.from_csv(line, ", ".join(f"c{i} string" for i in range(width)), {"sep": separator, "escape": '"'})
+    """The cells c0, c1 and so on of a record; a quote within quotes is doubled."""
+    return F.from_csv(line, ", ".join(f"c{i} string" for i in range(width)), {"sep": separator, "escape": '"', "multiLine": "true", "lineSep": "\n"})
+
+
+def _with_cells(records: DataFrame, specs: DataFrame, widest: int) -> DataFrame:
+    """Records that are no headers, with what their file's header tells and their cells."""
+    row = F.when(F.col("separator") == "\t", _row_of("line", widest, "\t")).otherwise(_row_of("line", widest, ","))
+    own = records.join(specs, "file").where(~F.col("has_header") | (F.col("block") != F.col("first_block")) | (F.col("at") != F.col("first_at")))
+    return own.withColumn("_row", row).withColumn("cells", F.slice(F.array(*[F.col(f"_row.c{i}") for i in range(widest)]), F.lit(1), F.size("names"))).drop("_row")
 
 
 def _keyed(spark: SparkSession, path: str, single_file: bool) -> DataFrame:
-    lines = read_lines(spark, path)
-    specs = written(headers(lines), "headers")
+    records = read_records(spark, path)
+    specs = written(headers(records), "headers")
     short = specs.where(F.col("has_header") & (F.size("names") < 2)).select("file", "first_line").first()
     if short:
         raise ValueError(f"a header needs two fields: {short.first_line!r} in {short.file}")
     widest = specs.agg(F.max(F.size("names"))).first()[0] or 1
-    row = F.when(F.col("separator") == "\t", _row_of("line", widest, "\t")).otherwise(_row_of("line", widest, ","))
-    own = lines.join(specs, "file").where(~F.col("has_header") | (F.col("block") != F.col("first_block")) | (F.col("at") != F.col("first_at")))
-    own = own.withColumn("_row", row).withColumn("cells", F.slice(F.array(*[F.col(f"_row.c{i}") for i in range(widest)]), F.lit(1), F.size("names"))).drop("_row")
-    kinds = written(infer_types(own.select("file", "block", "at", "cells")), "kinds")
-    typed = own.join(kinds, "file").withColumn("kinds", F.zip_with("types", "inferred", lambda given, found: F.coalesce(given, found, F.lit("string"))))
+    kinds = infer_types(_with_cells(records, specs, widest).select("file", "block", "at", "cells"))
+    kind = F.zip_with("types", F.coalesce("inferred", F.array().cast("array<string>")), lambda given, found: F.coalesce(given, found, F.lit("string")))
+    known = written(specs.join(kinds, "file", "left").withColumn("kinds", kind).drop("inferred"), "known")
     key = parse_key_ms(F.trim(F.get("cells", F.col("key_at"))))
-    return typed.withColumn("key", key).withColumn("dataset", dataset_from_path(F.col("file"), path, single_file))
+    return _with_cells(records, known, widest).withColumn("key", key).withColumn("dataset", dataset_from_path(F.col("file"), path, single_file))
 
 
-def melt_cells(df: DataFrame) -> DataFrame:
-    """(column_path, key, value, value_type, file): the filled cells of rows (key, file, dataset, names, kinds, cells, key_at) but the key's own."""
+def _cells(df: DataFrame) -> DataFrame:
+    """(key, file, dataset, name, value_type, text, value) of the filled cells of rows (key, file, dataset, names, kinds, cells, key_at)
+    but the key's own; the value, as text, is null where the text does not parse."""
     cell = F.transform(F.arrays_zip("names", "kinds", "cells"), lambda c, i: F.struct(i.alias("i"), c["names"].alias("name"), c["kinds"].alias("kind"), _filled(c["cells"]).alias("text")))
     long = df.select("key", "file", "dataset", "key_at", F.explode(cell).alias("c")).where((F.col("c.i") != F.col("key_at")) & F.col("c.text").isNotNull())
     text, kind = F.col("c.text"), F.col("c.kind")
     shown = F.coalesce(*[F.when(kind == k, text if k == "string" else F.when(parse_value(text, k).isNotNull(), text) if k in ("json", "blob") else parse_value(text, k).cast("string")) for k in TYPES if k != "bool"])
-    return long.select(F.concat_ws("/", "dataset", "c.name").alias("column_path"), "key", shown.alias("value"), kind.alias("value_type"), "file").where(F.col("value").isNotNull())
+    return long.select("key", "file", "dataset", F.col("c.name").alias("name"), kind.alias("value_type"), text.alias("text"), shown.alias("value"))
+
+
+def melt_cells(df: DataFrame) -> DataFrame:
+    """(column_path, key, value, value_type, file) of the cells that parse."""
+    return _cells(df).where(F.col("value").isNotNull()).select(F.concat_ws("/", "dataset", "name").alias("column_path"), "key", "value", "value_type", "file")
 
 
 def melt_to_series(df: DataFrame, dataset: str, key: str, columns: Sequence[str] | None = None) -> DataFrame:
