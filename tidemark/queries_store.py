@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import catalog
-from tidemark.queries import query, series
+from tidemark.queries import arriving, four, query, series
+from tidemark.sources.commits import HadoopFiles
 from tidemark.sources.folders import fresh_path
 from tidemark.sources.store import SeriesStore, latest_wins
-from tidemark.streaming import streams
+from tidemark.streaming import batches, streams
 
 
 def _store(spark: SparkSession) -> SeriesStore:
@@ -87,3 +88,55 @@ def store_validated_paths(spark, sf_dir):
     kept.erase_column("events/u9/value", "double")
     asked = e.select("column_path", F.col("user_id").alias("place")).distinct()
     return catalog.validate_paths(asked, kept.catalog())
+
+
+def _put_file(df: DataFrame, folder: str, name: str, sep: str = ",") -> None:
+    """One file of a given name, in the place of an earlier one."""
+    spark, aside = df.sparkSession, fresh_path(df.sparkSession, "aside")
+    df.coalesce(1).write.option("header", True).option("sep", sep).csv(aside)
+    new, files = HadoopFiles(spark, aside), HadoopFiles(spark, folder)
+    part = next(n for n in new.names("") if n.startswith("part-"))
+    files.fs.mkdirs(files.at(""))
+    files.delete(name)
+    new.fs.rename(new.at(part), files.at(name))
+
+
+@query("""SELECT 'value/amount' AS column_path, key, CAST(CASE WHEN event_id % 2 = 0 THEN value + 1 ELSE value END AS VARCHAR) AS value, 'double' AS value_type FROM {S}
+UNION ALL SELECT 'ids/event_id', key, CAST(event_id AS VARCHAR), 'long' FROM {S}
+UNION ALL SELECT 'ids/event, type', key, event_type, 'string' FROM {S}""")
+def watched_headers_and_changes(spark, sf_dir):
+    """Two files with headers of their own, watched; then one changes and the other comes."""
+    kept, e = _store(spark), series(spark, sf_dir, "event_id", "event_type")
+    folder, progress = fresh_path(spark, "watched"), fresh_path(spark, "progress")
+    load = lambda: batches.load_watched(spark, folder, kept, progress).awaitTermination()
+    _put_file(e.select(F.col("key").alias("time"), F.col("value").alias("amount:double")), folder, "value.csv")
+    load()
+    load()
+    _put_file(e.select(F.col("event_id").alias("event_id:long"), F.col("event_type").alias("event, type"), F.col("key").alias("startTime")), folder, "ids.tsv", "\t")
+    _put_file(_changed(e, 2, 1).select(F.col("key").alias("time"), F.col("value").alias("amount:double")), folder, "value.csv")
+    load()
+    return kept.scan_all()
+
+
+def _emitted(spark: SparkSession, run) -> DataFrame:
+    """What ``run(emit, checkpoint)`` emits, with the number of the batch."""
+    out = fresh_path(spark, "emitted")
+    run(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/ingest_seq={n}"), fresh_path(spark, "progress")).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query("""WITH n AS (SELECT *, (row_number() OVER (PARTITION BY column_path ORDER BY key) - 1) // 10 AS p, count(*) OVER (PARTITION BY column_path) AS c FROM {S})
+SELECT column_path, min(key) AS key, round(sum(value), 4) AS value FROM n WHERE (p + 1) * 10 <= c GROUP BY column_path, p""")
+def batches_sum_of_tens(spark, sf_dir):
+    """Totals of each ten items of a series over batches, a series being many tasks (K6)."""
+    found = _emitted(spark, lambda emit, ck: batches.count_parts(arriving(spark, sf_dir), 10, "sum", emit, ck))
+    return four(found.drop("ingest_seq"))
+
+
+@query("""WITH h AS (SELECT column_path, key // 3600000 AS d, round(avg(value), 4) AS value FROM {S} GROUP BY 1, 2),
+e AS (SELECT column_path, unnest(generate_series(min(d), max(d))) AS d FROM h GROUP BY 1)
+SELECT e.column_path, e.d * 3600000 AS key, h.value FROM e LEFT JOIN h ON e.column_path = h.column_path AND e.d = h.d""")
+def batches_mean_with_empties(spark, sf_dir):
+    """Means by hour over batches with all empty hours between, a series being many tasks (K4)."""
+    found = _emitted(spark, lambda emit, ck: batches.reduce_with_empties(arriving(spark, sf_dir), "1 hour", "mean", emit, ck))
+    return four(latest_wins(found).drop("ingest_seq"))

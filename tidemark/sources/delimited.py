@@ -112,14 +112,15 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("file", "block", "line", "odd")), pa.array(at), pa.array(before)], ["file", "block", "line", "odd", "at", "before"])
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, at, line) of every record that is not blank or a comment, of every .csv and .tsv below ``path``;
+def read_records(spark: SparkSession, path: str, files: Sequence[str] | None = None) -> DataFrame:
+    """(file, block, at, line) of every record that is not blank or a comment, of every .csv and .tsv below ``path``, or of ``files``;
     block and at give the order of a file's records.
 
     A quote that is not closed quotes nothing: each of the lines from there on is a record.
     """
     # A glob cannot be caseless for a single file; the filter is on the file's name.
-    lines = spark.read.option("recursiveFileLookup", "true").text(roots(spark, path)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    text = spark.read.text(list(files)) if files is not None else spark.read.option("recursiveFileLookup", "true").text(roots(spark, path))
+    lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
     lines = lines.where(F.col("file").rlike(r"(?i)\.[ct]sv$")).withColumn("odd", (F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))) % 2 == 1)
     splits = lines.groupBy("file", "block").agg(F.count_if("odd").alias("_odd"))
     in_file = Window.partitionBy("file")
@@ -181,13 +182,13 @@ def infer_types(cells: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return kinds.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("i", kind.alias("kind"))))["kind"].alias("inferred"))
 
 
-def read_delimited(spark: SparkSession, path: str, single_file: bool = False) -> DataFrame:
-    """Series of all files: (column_path, key, value, value_type, file), the value as text.
+def read_delimited(spark: SparkSession, path: str, single_file: bool = False, files: Sequence[str] | None = None) -> DataFrame:
+    """Series of all files below ``path``, or of ``files`` of these: (column_path, key, value, value_type, file), the value as text.
 
     Tab-separated if a file's first record has a tab, else comma-separated.  A cell that is missing or does not parse
     gives no item: those that do not are in ``bad_values``, rows whose key does not parse in ``bad_keys``.
     """
-    keyed = _keyed(spark, path, single_file)
+    keyed = _keyed(spark, path, single_file, files)
     return melt_cells(keyed.where(F.col("key").isNotNull()))
 
 
@@ -221,8 +222,8 @@ def _with_cells(records: DataFrame, specs: DataFrame, widest: int) -> DataFrame:
     return own.withColumn("_row", row).withColumn("cells", F.slice(F.array(*[F.col(f"_row.c{i}") for i in range(widest)]), F.lit(1), F.size("names"))).drop("_row")
 
 
-def _keyed(spark: SparkSession, path: str, single_file: bool) -> DataFrame:
-    records = read_records(spark, path)
+def _keyed(spark: SparkSession, path: str, single_file: bool, files: Sequence[str] | None = None) -> DataFrame:
+    records = read_records(spark, path, files)
     specs = written(headers(records), "headers")
     short = specs.where(F.col("has_header") & (F.size("names") < 2)).select("file", "first_line").first()
     if short:
