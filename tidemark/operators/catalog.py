@@ -77,8 +77,11 @@ def dataset_children(paths: DataFrame, parent: str | None = None) -> DataFrame:
 
 
 def validate_paths(paths: DataFrame, series: DataFrame) -> DataFrame:
-    """The rows of ``paths`` whose column has items; other columns of ``paths`` (such as an order) stay."""
-    return paths.join(series.select("column_path"), "column_path", "left_semi")
+    """The rows of ``paths`` whose column has items; other columns of ``paths`` (such as an order) stay.
+
+    ``series`` are items, of which a path each is kept before anything is shuffled, or a store's catalog, which has no more.
+    """
+    return paths.join(series.select("column_path").distinct(), "column_path", "left_semi")
 
 
 def first_last_count(df: DataFrame, start: int | None = None, until: int | None = None, by: Sequence[str] = ("column_path",)) -> DataFrame:

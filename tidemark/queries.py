@@ -518,19 +518,23 @@ def watched_items(spark, sf_dir):
 
 
 #: Files of each quarter of a stream that queries read.
-QUARTER_FILES = 4
+QUARTER_FILES, FILE_ROWS = 4, 5_000_000
+
+
+def quarter_files(df: DataFrame) -> int:
+    return max(QUARTER_FILES, -(-df.count() // FILE_ROWS))
 
 
 def arriving(spark: SparkSession, sf_dir: str, *more: str, parts: int = 4) -> DataFrame:
-    """The events as a stream of files, in the order of time: each part of the time is a batch of ``QUARTER_FILES`` files."""
+    """The events as a stream of files, in the order of time: each part of the time is a batch of ``quarter_files`` files."""
     e, folder = series(spark, sf_dir, *more), fresh_path(spark, "stream")
     low, high = e.agg(F.min("key"), F.max("key")).first()
-    edges = [low + (high + 1 - low) * i // parts for i in range(parts + 1)]
+    edges, files = [low + (high + 1 - low) * i // parts for i in range(parts + 1)], quarter_files(e)
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        ranges.in_range(e, a, b).repartition(QUARTER_FILES).write.mode("append").parquet(folder)
+        ranges.in_range(e, a, b).repartition(files).write.mode("append").parquet(folder)
     types = {"event_id": "long", "event_type": "string", "user_id": "long"}
     schema = ", ".join(["column_path string, key long, value double", *(f"{c} {types[c]}" for c in more)])
-    return streams.follow(spark, folder, schema, max_files=QUARTER_FILES)
+    return streams.follow(spark, folder, schema, max_files=files)
 
 
 def sent(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:

@@ -11,7 +11,7 @@ from tidemark.model import Grouping, SeriesRange
 from tidemark.operators import catalog, intervals, load, ranges, tabular
 from tidemark.operators.reduce import fold_values, reduce
 from tidemark.plans import registry
-from tidemark.queries import CUT, DURATIONS, ISLANDS, MERGE, PATHS, QUARTER_FILES, SIGNALS, T1, T2, T3, arriving, catalog_paths, durations, four, query, sent, series, table
+from tidemark.queries import CUT, DURATIONS, ISLANDS, MERGE, PATHS, SIGNALS, T1, T2, T3, arriving, catalog_paths, durations, four, quarter_files, query, sent, series, table
 from tidemark.sources import delimited, records, sinks, store
 from tidemark.sources.folders import fresh_path
 from tidemark.streaming import streams
@@ -234,10 +234,9 @@ def column_items(spark, sf_dir):
     return catalog.column(series(spark, sf_dir), "events/u1/value")
 
 
-@query(f"SELECT DISTINCT 'app/u' || user_id AS entity_path FROM {PATHS} WHERE user_id = 1")
+@query(f"SELECT DISTINCT 'app/u' || user_id AS entity_path FROM {PATHS}")
 def entities_found(spark, sf_dir):
-    paths = catalog_paths(spark, sf_dir).where(F.col("column_path").startswith("app/u1/"))
-    return catalog.find_entities(paths, "app", required=True)
+    return catalog.find_entities(catalog_paths(spark, sf_dir), "app", required=True)
 
 
 @query(f"SELECT DISTINCT column_path FROM {PATHS}")
@@ -376,10 +375,11 @@ def stream_by_processing_time(spark, sf_dir):
 def stream_without_late_items(spark, sf_dir):
     """A quarter of the early items comes after all others: past the watermark, they are dropped; the stream ends at a key (K7, K8)."""
     e, folder = series(spark, sf_dir, "event_id"), fresh_path(spark, "late")
+    files = quarter_files(e)
     late = (F.col("event_id") % 4 == 0) & (F.col("key") < T2)
     for part in (~late & (F.col("key") < T3 - 3_600_000), ~late & (F.col("key") >= T3 - 3_600_000), late):
-        e.where(part).drop("event_id").repartition(QUARTER_FILES).write.mode("append").parquet(folder)
-    stream = streams.follow(spark, folder, "column_path string, key long, value double", max_files=QUARTER_FILES)
+        e.where(part).drop("event_id").repartition(files).write.mode("append").parquet(folder)
+    stream = streams.follow(spark, folder, "column_path string, key long, value double", max_files=files)
     return store.latest_wins(sent(spark, streams.stream_reduce(stream, "count", "1 hour", until=T3, late="1 hour"), "update")).drop("ingest_seq")
 
 

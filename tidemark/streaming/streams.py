@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidemark.functions.period import Period, bucket_index, bucket_start, round_down
 from tidemark.operators.reduce import reduce, reducer
 from tidemark.sources.commits import HadoopFiles
+from tidemark.sources.folders import drop_written, written
 from tidemark.sources.sinks import to_json_pairs
 from tidemark.sources.store import SeriesStore
 
@@ -76,7 +77,8 @@ def stream_reduce_with_empties(stream: DataFrame, period: str, zone: str = "UTC"
     """Totals by period of each series, with a missing value for every empty period between the last sent and new data.
 
     The state of a series is its open period and that one's total; a period is sent with the first of the empty ones before it,
-    which Spark's ``explode`` then lists, so that a key far ahead costs the state nothing.
+    which Spark's ``explode`` then lists, so that a key far ahead costs the state nothing.  A series is one group of the state;
+    ``batches.reduce_with_empties`` deals large ones out.
     """
     p, shown = Period.parse(period), _carried(fn)
     base = F.lit(anchor).cast("long") if anchor is not None else default_anchor(p, zone)
@@ -107,7 +109,10 @@ def stream_reduce_with_empties(stream: DataFrame, period: str, zone: str = "UTC"
 
 
 def stream_count_reduce(stream: DataFrame, n: int, fn: str = "sum") -> DataFrame:
-    """Totals of each ``n`` items of a series, sent when complete and keyed by their first item."""
+    """Totals of each ``n`` items of a series, sent when complete and keyed by their first item.
+
+    A series is one group of the state; ``batches.count_parts`` deals large ones out.
+    """
     shown = _carried(fn)
 
     def step(group: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -156,17 +161,18 @@ def load_stream(
 ):
     """Decode messages, transform, write items to the store and failures (error, count, by batch) to the ``errors`` table.
 
-    A batch that runs again overwrites its own failures.
+    A batch is decoded once, into the shared folder; one that runs again overwrites its own failures.
     """
 
     def each(batch: DataFrame, n: int) -> None:
-        decoded, token = decoder(batch), _token(batch, checkpoint, n)
+        decoded, token = written(decoder(batch), "decoded"), _token(batch, checkpoint, n)
         items = decoded.where(F.col("error").isNull()).drop("error")
         for t in transforms:
             items = t(items)
         store.write(items, value_type, token)
         failed = decoded.where(F.col("error").isNotNull()).groupBy("error").count()
         failed.write.mode("overwrite").parquet(f"{errors}/batch={token[0]}-{n}")
+        drop_written(decoded)
 
     return start(messages, each, checkpoint, trigger)
 
