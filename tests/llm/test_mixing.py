@@ -54,3 +54,17 @@ def test_a_source_for_every_row_or_two(spark):
     rows = spark.range(31_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.concat(F.lit("site"), F.col("id") % 21_000).alias("source"))
     placed = mixing.mix(rows, block_rows=1).agg(F.count("*"), F.countDistinct("_slot"), F.min("_slot"), F.max("_slot")).first()
     assert tuple(placed) == (31_000, 31_000, 0, 30_999)
+
+
+def test_ranks_of_a_source_of_many_buckets(spark, monkeypatch):
+    """Bucket counts are added up in chunks: places are the same as in one window."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import running
+
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 5)
+    docs = spark.range(900).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"), F.when(F.col("id") % 4 > 0, "hot").otherwise("rest").alias("source")).repartition(3)
+    places = lambda: {r.doc_id: r._place for r in mixing.mix(docs, keep=["doc_id"]).collect()}
+    whole = places()
+    monkeypatch.setattr(running, "CHUNK_ROWS", 20)
+    assert places() == whole and len(set(whole.values())) == 900

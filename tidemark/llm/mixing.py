@@ -13,7 +13,7 @@ stretch and of the one before, and no other task's result.
 
 Sources are rows of a table in every step and may be any number; the driver sees the row counts that occur.
 
-Ranks within a source come from two-step counting over hash buckets: no source is ever one group.
+Ranks within a source come from counts of its hash buckets, which are added up in chunks where they are many: no source is one group.
 
 Defined cases: a null source is a source of its own; sources without a weight share the rows' own proportion of
 what the given weights leave (1e-9 where these leave nothing); sources with a weight but no rows are ignored; repeated
@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import join_each, written
+from tidemark.operators.running import running
 
 #: Rows of a block; rows of a hash bucket; slots of a stretch (more when windows are longer).
 BLOCK_ROWS, BUCKET_ROWS, STRETCH = 8, 1000, 1 << 16
@@ -190,8 +191,7 @@ def _placed(documents: DataFrame, weights: dict[str, float] | None = None, sourc
     dealt = dealt.withColumn("_bucket", F.pmod("_hash", "_buckets")).drop("_buckets")
     group = ["_name", "_null", "_bucket"]
     sizes = dealt.groupBy(*group).agg(F.count("*").alias("_count"))
-    before = F.sum("_count").over(Window.partitionBy("_name", "_null").orderBy("_bucket")) - F.col("_count")
-    sizes = sizes.withColumn("_before", before).join(sources.drop("_n"), ["_name", "_null"])
+    sizes = running(written(sizes, "sizes"), ["_name", "_null"], ("_bucket",), "sum", F.col("_count"), "_before").join(sources.drop("_n"), ["_name", "_null"])
     # The blocks that have rows in the bucket, and the first that starts there.
     last = F.floor((F.col("_before") + F.col("_count") - 1) / block_rows)
     sizes = sizes.withColumn("_first", F.floor(F.col("_before") / block_rows)).withColumn("_own", F.ceil(F.col("_before") / block_rows)).withColumn("_last", last)
