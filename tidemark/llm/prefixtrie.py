@@ -64,6 +64,7 @@ def placed(conversations: DataFrame) -> DataFrame:
     rows = conversations.where("conv_id IS NOT NULL").select(
         F.col("conv_id").cast("long").alias("conv_id"), "turn", token(F.col("role"), F.col("text")).alias("token"), F.size(words(text)).cast("long").alias("words"), F.monotonically_increasing_id().alias("row")
     )
+    rows = written(rows, "tokens")  # ranges are found by a look at the rows first: the texts are read once
     dealt = written(rows.repartitionByRange("conv_id", "turn", "token", "row").withColumn("range", F.spark_partition_id()), "dealt")
     counts = dealt.groupBy("conv_id", "range").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
