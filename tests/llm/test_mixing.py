@@ -58,8 +58,6 @@ def test_a_source_for_every_row_or_two(spark):
 
 def test_ranks_of_a_source_of_many_buckets(spark, monkeypatch):
     """Bucket counts are added up in chunks: places are the same as in one window."""
-    from pyspark.sql import functions as F
-
     from tidemark.operators import running
 
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 5)

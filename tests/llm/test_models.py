@@ -123,6 +123,11 @@ def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
 
+def test_terms_beyond_longs_are_the_largest_long(spark):
+    rows = topk.quantise(vectors(spark, [(20, [1e30], 0), (1, [5e29], 0), (2, [-1e30], 0)])).collect()
+    assert {r.id: r.terms[0] for r in rows} == {20: 2**63 - 1, 1: 2**63 - 1, 2: -(2**63)}
+
+
 def test_top_k_is_exhaustive(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 6) / 8], 0) for i in range(300)]

@@ -7,7 +7,8 @@ list decoding: partial sums over the blocks go on while the best of the rest can
 threshold.  Vectors that share a filter are compared in double precision.
 
 The number of directions follows the number of different vectors, so a filter holds about ``FILL`` of them at any
-size; each vector is in ``EXPECTED`` filters on average and in ``LEAST`` at least.  Equal vectors are joined up
+size; each vector is in ``EXPECTED`` filters on average and in ``LEAST`` at least (or in those
+that it exceeds after the threshold was lowered 40 times).  Equal vectors are joined up
 first and count by their number.  A filter with more than ``CELL`` vectors is dealt into blocks, compared two by
 two, so no group is unbounded; a cell reports, for each of its vectors, how many links it found that no filter of
 smaller number finds too, and a spanning forest of them.  No list of pairs is ever made.

@@ -9,7 +9,8 @@ Defined cases: a vector that is null or holds a null or non-finite component tak
 or one of zeros scores 0 with everything; vectors of different lengths meet on their common dimensions;
 every row is a candidate of its own, rows that share an id or have none too, and a query leaves out its own row only (two
 query rows of one id give two lists); ties go to the smaller id, nulls last; an empty table gives no rows; other
-columns are ignored.  Scores are exact while every partial sum stays below 2**63.
+columns are ignored.  Terms are longs: a component whose term would lie beyond them gets the largest or least long, as
+Spark's ``floor`` gives it.  Scores are exact while every partial sum stays below 2**63.
 """
 
 from __future__ import annotations
