@@ -39,6 +39,12 @@ def test_positions_of_bursts(bursts):
     assert all(r.n == r.rows == r.last + 1 for r in got) and len(got) == 4
 
 
+def test_a_shuffle_has_a_bounded_number_of_partitions(bursts, monkeypatch):
+    monkeypatch.setattr("tidemark.operators.running.CHUNKS", 7)
+    _, large = split_large(bursts, ["column_path"], ("key",), 100)
+    assert large.select("_chunk").distinct().count() <= 7 and large.count() == bursts.count()
+
+
 def test_only_large_series_are_dealt(bursts):
     small, large = split_large(bursts, ["column_path"], ("key",), 6000)
     assert {r[0] for r in small.select("column_path").distinct().collect()} == {"daily", "stuck"}

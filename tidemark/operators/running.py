@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.folders import drop_written, written
 
-#: Rows of a series that one window partition should cover.
-CHUNK_ROWS = 200_000
+#: Rows of a series that one window partition should cover, and the most partitions that all large series are dealt into: beyond
+#: that chunks grow, as a shuffle of more would be too much for a driver.
+CHUNK_ROWS, CHUNKS = 200_000, 20_000
 
 
 def split_large(df: DataFrame, by: Sequence[str], order: Sequence[str], chunk_rows: int | None = None) -> tuple[DataFrame, DataFrame | None]:
@@ -40,7 +41,7 @@ def split_large(df: DataFrame, by: Sequence[str], order: Sequence[str], chunk_ro
             same = same & F.col(c).eqNullSafe(F.col(f"_large_{c}"))
         small, big = df.join(names, same, "left_anti"), df.join(names, same, "left_semi")
     tied = big.withColumn("_tie", F.monotonically_increasing_id())
-    dealt = tied.repartitionByRange(math.ceil(n / rows), *by, *order, "_tie").withColumn("_chunk", F.spark_partition_id())
+    dealt = tied.repartitionByRange(min(math.ceil(n / rows), CHUNKS), *by, *order, "_tie").withColumn("_chunk", F.spark_partition_id())
     return small, written(dealt.drop("_tie"), "chunks")
 
 
