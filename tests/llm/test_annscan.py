@@ -97,6 +97,9 @@ def test_rotation_keeps_distances_and_scan_keeps_what_is_near():
     apart = ((x - x[0]) ** 2).sum(axis=1)
     assert np.allclose(((turned - turned[0]) ** 2).sum(axis=1), apart)
     columns = [turned[:, c : c + 16] for c in range(0, 64, 16)]
-    bound = np.sort(apart)[20]
-    alive = annscan.scan(columns, [turned[0, c : c + 16] for c in range(0, 64, 16)], bound)
-    assert len(set(np.flatnonzero(apart <= bound)) & set(alive)) >= 20 and (apart[alive] <= bound * 1.000001).all()
+    bounds = np.array([np.sort(((x - x[i]) ** 2).sum(axis=1))[20] for i in range(3)])
+    query, row = annscan.scan(columns, [c[:3] for c in columns], bounds)
+    for i in range(3):
+        apart = ((x - x[i]) ** 2).sum(axis=1)
+        alive = row[query == i]
+        assert len(set(np.flatnonzero(apart <= bounds[i])) & set(alive)) >= 20 and (apart[alive] <= bounds[i] * 1.000001).all()

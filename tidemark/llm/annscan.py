@@ -41,8 +41,8 @@ SAMPLE, VALUES, LISTS, CENTROID_VALUES, TRIALS = 32_768, 4_000_000, 4096, 2_000_
 TARGET = 0.97
 #: Deviations of the test by which a partial distance may be above the bound's share (Gao and Long, 2023).
 DEVIATIONS = 2.1
-#: Columns of a block, vectors scanned at once, vectors and queries of a cell.
-COLUMNS, ROWS, CELL, QUERIES = 16, 1024, 8192, 2048
+#: Columns of a block, vectors and queries scanned at once, vectors and queries of a cell.
+COLUMNS, ROWS, GROUP, CELL, QUERIES = 16, 256, 256, 8192, 2048
 SEED = 11
 _HIT = "query long, score double, first long, ids array<long>, own boolean"
 
@@ -161,25 +161,47 @@ def _route(index: Index, width: int, sizes: np.ndarray, least: int):
     return route
 
 
-def scan(columns: list[np.ndarray], query: list[np.ndarray], bound: float) -> np.ndarray:
-    """Rows of the column blocks that may be within ``bound`` (squared) of ``query``; others are given up early."""
-    width = sum(c.shape[1] for c in columns)
-    alive, partial, seen = np.arange(len(columns[0])), np.zeros(len(columns[0])), 0
-    for block, part in zip(columns, query, strict=True):
-        apart = (block if len(alive) == len(block) else block[alive]) - part
-        partial = partial + np.einsum("ij,ij->i", apart, apart)
-        seen += len(part)
-        share = 1 + 1e-9 if seen == width else seen / width * (1 + DEVIATIONS / math.sqrt(seen)) ** 2
-        near = partial <= bound * share
-        if not near.all():
-            alive, partial = alive[near], partial[near]
-            if not len(alive):
-                break
-    return alive
+def scan(columns: list[np.ndarray], queries: list[np.ndarray], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of the pairs that may be within the query's bound (squared); others are given up early.
+
+    ``columns`` are the column blocks of the rows, ``queries`` those of the queries.
+    """
+    width, seen = sum(c.shape[1] for c in columns), columns[0].shape[1]
+    share = lambda: 1 + 1e-9 if seen == width else seen / width * (1 + DEVIATIONS / math.sqrt(seen)) ** 2
+    apart = queries[0][:, None, :] - columns[0][None, :, :]
+    partial = np.einsum("qrc,qrc->qr", apart, apart)
+    query, row = np.nonzero(partial <= (bounds * share())[:, None])
+    partial = partial[query, row]
+    for block, asked in zip(columns[1:], queries[1:], strict=True):
+        apart = block[row] - asked[query]
+        partial += np.einsum("ij,ij->i", apart, apart)
+        seen += block.shape[1]
+        near = partial <= bounds[query] * share()
+        query, row, partial = query[near], row[near], partial[near]
+    return query, row
 
 
 def _cell(index: Index, width: int, k: int):
     """The ``k + 1`` nearest nodes of each of a cell's queries, where they are within its bound."""
+    cuts = list(range(0, index.signs.shape[1], COLUMNS))
+    blocks = lambda rotated: [np.ascontiguousarray(rotated[:, c : c + COLUMNS]) for c in cuts]
+
+    def nearest_of(x: np.ndarray, rows: list[list[np.ndarray]], first: np.ndarray, q: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, score), by query, score and first id; bounds shrink from one block of rows to the next."""
+        asked, numbers = blocks(index.rotated(q)), np.arange(len(q))
+        query, row, score = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+        for p, columns in enumerate(rows):
+            new, at = scan(columns, asked, bounds)
+            at += p * ROWS
+            apart = x[at] - q[new]
+            query, row, score = np.concatenate([query, new]), np.concatenate([row, at]), np.concatenate([score, np.sqrt((apart * apart).sum(axis=1))])
+            order = np.lexsort((first[row], score, query))
+            query, row, score = query[order], row[order], score[order]
+            rank = np.arange(len(query)) - np.searchsorted(query, numbers)[query]
+            full = query[rank == k]
+            bounds[full] = np.minimum(bounds[full], score[rank == k] ** 2 * (1 + 1e-9))
+            query, row, score = query[rank <= k], row[rank <= k], score[rank <= k]
+        return query, row, score
 
     def cell(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
@@ -189,33 +211,20 @@ def _cell(index: Index, width: int, k: int):
         x, q = _matrix(whole(held, "vector"), width), _matrix(whole(queries, "vector"), width)
         nodes, ids, asked = held["node"].to_numpy(), whole(held, "ids"), queries["node"].to_numpy()
         bounds = queries["bound"].to_numpy() ** 2
-        cuts = list(range(0, index.signs.shape[1], COLUMNS))
         turned = index.rotated(x)
-        parts = [[np.ascontiguousarray(turned[at : at + ROWS, c : c + COLUMNS]) for c in cuts] for at in range(0, len(x), ROWS)]
+        parts = [blocks(turned[at : at + ROWS]) for at in range(0, len(x), ROWS)]
         no_id = np.iinfo(np.int64).max
         first = (pc.list_element(ids, 0).fill_null(no_id) if len(ids) else pa.array([], pa.int64())).to_numpy(zero_copy_only=False)
-        out_q, out_n, out_s = [], [], []
-        for j, turn in enumerate(index.rotated(q)):
-            bound, kept, scores = bounds[j], np.zeros(0, dtype=np.int64), np.zeros(0)
-            query = [turn[c : c + COLUMNS] for c in cuts]
-            for p, columns in enumerate(parts):
-                near = scan(columns, query, bound) + p * ROWS
-                if not len(near):
-                    continue
-                apart = x[near] - q[j]
-                kept, scores = np.concatenate([kept, near]), np.concatenate([scores, np.sqrt((apart * apart).sum(axis=1))])
-                if len(kept) > k:
-                    best = np.lexsort((first[kept], scores))[: k + 1]
-                    kept, scores = kept[best], scores[best]
-                    bound = min(bound, float(scores[-1]) ** 2 * (1 + 1e-9))
-            out_q.append(np.full(len(kept), j))
-            out_n.append(kept)
-            out_s.append(scores)
-        at, found = (np.concatenate(v or [np.zeros(0)]).astype(np.int64) for v in (out_q, out_n))
+        told = []
+        for at in range(0, len(q), GROUP):
+            query, row, score = nearest_of(x, parts, first, q[at : at + GROUP], bounds[at : at + GROUP].copy())
+            told.append((query + at, row, score))
+        query, row, score = (np.concatenate([t[i] for t in told] or [np.zeros(0)]) for i in range(3))
+        query, row = query.astype(np.int64), row.astype(np.int64)
         return pa.table(
             {
-                "query": pa.array(asked[at]), "score": pa.array(np.concatenate(out_s or [np.zeros(0)])), "first": pa.array(first[found], mask=first[found] == no_id),
-                "ids": ids.take(pa.array(found)), "own": pa.array(asked[at] == nodes[found]),
+                "query": pa.array(asked[query]), "score": pa.array(score), "first": pa.array(first[row], mask=first[row] == no_id),
+                "ids": ids.take(pa.array(row)), "own": pa.array(asked[query] == nodes[row]),
             }
         )
 
