@@ -1,6 +1,8 @@
 """The mix against its weights as they are, over many stretches."""
 
+import heapq
 import random
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -8,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing
+from tidemark.llm.common import written
 
 
 def test_equal_sources_stay_within_a_block_over_many_periods(spark):
@@ -20,34 +23,66 @@ def test_equal_sources_stay_within_a_block_over_many_periods(spark):
         assert all(abs(20 * n - t) < 20 for n in seen.values())
 
 
+def one_by_one(windows):
+    """Slots of blocks (due, tie..., release), the earliest deadline first: the plain serial loop."""
+    coming, ready, slots = sorted(windows, key=lambda w: w[-1]), [], {}
+    for slot in range(len(windows)):
+        while coming and coming[0][-1] <= slot:
+            heapq.heappush(ready, coming.pop(0))
+        job = heapq.heappop(ready)
+        assert slot < job[0]
+        slots[job[1:-1]] = slot
+    return slots
+
+
 @pytest.mark.parametrize("trial", range(8))
-def test_unrounded_weights_over_many_stretches(trial):
+def test_unrounded_weights_over_many_stretches(spark, trial):
+    """Weights down to 0.0005 beside large ones, so windows of many stretches; several sources alike in the later trials."""
     rng = random.Random(trial)
     n = rng.randint(2, 15)
     weights = [rng.choice([1.0, rng.random() + 0.02, rng.random() ** 4 + 0.0005]) for _ in range(n)]
     blocks = [max(1, int(w / sum(weights) * 3000 * rng.choice([1, 1, 2]))) for w in weights]
-    fluid = mixing.Fluid(list(zip(blocks, weights, [1] * n, strict=True)))
-    length = max(64, fluid.longest + 1)
-    jobs = []
+    if trial > 4:
+        weights, blocks = weights + weights[:3] + [0.001] * 70, blocks + blocks[:3] + [rng.randint(1, 2) for _ in range(70)]
+        n = len(weights)
+    kind_of = sorted(Counter(zip(blocks, weights, strict=True)).items())
+    kinds = [(*pair, many) for pair, many in kind_of]
+    fluid = mixing.Fluid(kinds)
+    sources, windows, seen_kinds = [], [], Counter()
     for s in range(n):
+        kind = [pair for pair, _ in kind_of].index((blocks[s], weights[s]))
+        rank = seen_kinds[kind]
+        seen_kinds[kind] += 1
+        sources.append((str(s), False, blocks[s], weights[s], kind, rank))
         release, due = fluid.windows(np.arange(blocks[s]), np.full(blocks[s], weights[s]))
-        jobs += zip(due.tolist(), [s] * blocks[s], release.tolist(), strict=True)
-    due, source, release = (np.array(x) for x in zip(*sorted(jobs), strict=True))
-    order = np.full(fluid.slots, -1)
-    for k in range(-(-fluid.slots // length)):
-        near = np.flatnonzero((release // length == k) | (release // length == k - 1))
-        which, slot = mixing.stretch(release[near], due[near], k, length, fluid.slots, (int((due <= k * length).sum()), int((due <= (k + 1) * length).sum())))
-        assert (order[slot] == -1).all() and (slot >= release[near][which]).all() and (slot < due[near][which]).all()
-        order[slot] = near[which]
-    assert sorted(order.tolist()) == list(range(fluid.slots))
+        windows += [(int(d), kind, i, rank, int(r)) for i, (r, d) in enumerate(zip(release, due, strict=True))]
+    table = spark.createDataFrame(sources, "_name string, _null boolean, _blocks long, _weight double, _kind int, _rank long")
+    placed = mixing._slots(table, kinds, 64).collect()
+    name = {(kind, rank): s for s, _, _, _, kind, rank in sources}
+    want = {(name[kind, rank], i): slot for (kind, i, rank), slot in one_by_one(windows).items()}
+    assert len(placed) == len(want) and {(r._name, r._block): r._slot for r in placed} == want
+    source = [int(r._name) for r in sorted(placed, key=lambda r: r._slot)]
+    assert sorted(want.values()) == list(range(fluid.slots))
     exact = [Fraction(w) / sum(map(Fraction, weights)) for w in weights]
     seen = [0] * n
-    for t, s in enumerate(source[order].tolist(), 1):
+    for t, s in enumerate(source, 1):
         seen[s] += 1
         if any(seen[x] == blocks[x] for x in range(n)):
             break  # from here on the others share what it leaves
         assert all(abs(exact[x] * t - seen[x]) < 1 for x in range(n))
-    assert t > 64 or fluid.slots < 200
+    assert t > 64 or fluid.slots < 200 or trial > 4
+
+
+def test_many_sources_of_one_block_beside_large_ones_are_many_stretches(spark):
+    """400,000 sources of one block each and three large ones: no stretch, so no task, has more blocks than its slots."""
+    kinds = [(1, 1.0, 400_000), (30_000, 30_000.0, 2), (60_000, 60_000.0, 1)]
+    fluid = mixing.Fluid(kinds)
+    runs = mixing._runs(written(mixing._classes(spark, kinds, fluid), "classes"), 4096, fluid.slots)
+    size = F.sum(F.col("last") - F.col("first"))
+    found = {r.stretch: r.n for r in runs.groupBy("stretch").agg(size.alias("n")).collect()}
+    assert found == {k: min(4096, fluid.slots - 4096 * k) for k in range(-(-fluid.slots // 4096))}
+    rare = runs.where("kind = 0").agg(size, F.max(F.col("last") - F.col("first"))).first()
+    assert rare[0] == 400_000 and rare[1] <= 4096
 
 
 def test_a_source_for_every_row_or_two(spark):
