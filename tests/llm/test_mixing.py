@@ -101,3 +101,17 @@ def test_ranks_of_a_source_of_many_buckets(spark, monkeypatch):
     whole = places()
     monkeypatch.setattr(running, "CHUNK_ROWS", 20)
     assert places() == whole and len(set(whole.values())) == 900
+
+
+def test_weights_that_leave_nothing_for_the_other_sources(spark):
+    """Sources without a weight get 1e-9 each: their windows span the whole mix, over many stretches of 64 slots."""
+    source = F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 7))
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"), source.alias("source"))
+    placed = sorted((r._place, r._slot, r.source) for r in mixing.mix(rows, {"hot": 1.0}, block_rows=1, period=64).collect())
+    assert [p[:2] for p in placed] == [(i, i) for i in range(3000)]
+    # While the hot source lasts, each other one is within a block of its share, which is all but none.
+    assert sum(p[2] != "hot" for p in placed[:2000]) <= 7
+    seen = Counter()
+    for t, (_, _, s) in enumerate(placed[2000:], 1):
+        seen[s] += 1
+        assert all(abs(t / 7 - seen[f"s{i}"]) < 3 for i in range(7))
