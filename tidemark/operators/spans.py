@@ -12,10 +12,15 @@ from tidemark.operators.ranges import with_numbers
 from tidemark.operators.running import positions, running
 
 
-def spans(df: DataFrame, names: DataFrame, trace_ids: DataFrame) -> DataFrame:
-    """Spans from three series of one dataset (durations, names, trace ids), joined by key."""
-    duration = df.select("key", F.col("value").alias("duration"))
-    return duration.join(names.select("key", F.col("value").alias("name")), "key").join(trace_ids.select("key", F.col("value").alias("trace_id")), "key").withColumnRenamed("key", "time")
+def spans(df: DataFrame, names: DataFrame, trace_ids: DataFrame, apart: Sequence[str] = ()) -> DataFrame:
+    """Spans from three series of one dataset (durations, names, trace ids), joined by key.
+
+    Where several items may share a key, ``apart`` are the columns of all three that tell these apart; without them each meets each.
+    """
+    on = ["key", *apart]
+    part = lambda items, name: items.select(*on, F.col("value").alias(name))
+    joined = part(df, "duration").join(part(names, "name"), on).join(part(trace_ids, "trace_id"), on)
+    return joined.select(F.col("key").alias("time"), "duration", "name", "trace_id")
 
 
 def spans_named(df: DataFrame, name: str, regex: bool = False) -> DataFrame:

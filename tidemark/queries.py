@@ -490,8 +490,8 @@ def typed_columns(spark, sf_dir):
 @query(f"SELECT time, duration, name, trace_id FROM (SELECT epoch_us(ts) // 1000 AS time, event_id * 1000 AS duration, event_type AS name, CAST(user_id AS VARCHAR) AS trace_id FROM events)")
 def aligned_spans(spark, sf_dir):
     e = series(spark, sf_dir, "event_id", "event_type", "user_id")
-    column = lambda c: e.select("key", c.alias("value"))
-    return spans.spans(column(F.col("event_id") * 1000), column(F.col("event_type")), column(F.col("user_id").cast("string")))
+    column = lambda c: e.select("key", "event_id", c.alias("value"))
+    return spans.spans(column(F.col("event_id") * 1000), column(F.col("event_type")), column(F.col("user_id").cast("string")), ["event_id"])
 
 
 @query("SELECT CASE user_id WHEN 1 THEN 0 ELSE 1 END AS group_id, column_path, key, value FROM {S} WHERE user_id IN (1, 2, 3)")
