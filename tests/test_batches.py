@@ -101,3 +101,26 @@ def test_watched_files_keep_a_store_up_to_date(spark, folder):
     load()
     assert sorted(map(tuple, store.scan("int").collect())) == [("a/v", 1, 5, "int"), ("a/v", 2, 8, "int")]
     assert [bytes(r.value) for r in store.scan("blob").collect()] == [b"ab"]
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_state_by_buckets_of_series(spark, folder, monkeypatch, buckets):
+    """Many series are few groups of the state; what is sent is what the batch operators emit, nulls and a series without a name included."""
+    monkeypatch.setattr(streams, "BUCKETS", buckets)
+    rng = random.Random(6)
+    keys = iter(rng.sample(range(100_000), 400))
+    paths = [None, *(f"s{i}" for i in range(20))]
+    parts = [[(rng.choice(paths), next(keys), rng.choice([None, *map(float, range(9))])) for _ in range(n)] for n in (150, 20, 160)]
+    items = stream(spark, folder + "/in", parts)
+    named = items.fillna("none", ["column_path"])
+    for i, fn in enumerate(("min", "sum")):
+        for name, streamed, batched, mode in (
+            ("tens", lambda: streams.stream_count_reduce(items, 4, fn), lambda emit, ck: batches.count_parts(named, 4, fn, emit, ck), "append"),  # noqa: B023
+            ("empties", lambda: streams.stream_reduce_with_empties(items, "10 seconds", fn=fn), lambda emit, ck: batches.reduce_with_empties(named, "10 seconds", fn, emit, ck), "update"),  # noqa: B023
+        ):
+            got, own = {}, f"{folder}/{name}{i}"
+            query = streams.start(streamed(), lambda b, n: got.__setitem__(n, sorted(map(tuple, b.fillna("none", ["column_path"]).collect()), key=repr)), own + "/stream", mode=mode)  # noqa: B023
+            query.awaitTermination()
+            want = run(spark, own, batched)
+            assert [sorted(set(a) ^ set(b), key=repr) for a, b in zip([got[n] for n in sorted(got) if n < 3], want, strict=True)] == [[]] * 3, fn
+            assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) <= buckets

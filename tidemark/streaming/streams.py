@@ -8,7 +8,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -69,41 +69,77 @@ def _carried(fn: str):
     return CARRIED[fn]
 
 
-def _joined(a: tuple, b: tuple) -> tuple:
-    return a[0] + b[0], a[1] + b[1], min(a[2], b[2]), max(a[3], b[3])
+#: Groups of the state: each holds the series of one remainder of a hash, so a group's fixed costs do not grow with the series.
+#: A stream's checkpoint goes with this number.
+BUCKETS = 1024
+_TOTALS = ["n", "total", "low", "high"]
+_KINDS = {"column_path": "object", "total": "float64", "low": "float64", "high": "float64"}
+
+
+def _state_schema(columns: Sequence[str]) -> str:
+    kinds = {"object": "string", "float64": "double"}
+    return ", ".join(f"{c} array<{kinds.get(_KINDS.get(c), 'long')}>" for c in columns)
+
+
+def _held(state: GroupState, columns: Sequence[str]) -> pd.DataFrame:
+    """The rows that a group of the state holds, one for each series of it."""
+    kept = state.get if state.exists else [[] for _ in columns]
+    return pd.DataFrame({c: pd.Series(v, dtype=_KINDS.get(c, "int64")) for c, v in zip(columns, kept, strict=True)})
+
+
+def _keep(state: GroupState, rows: pd.DataFrame, columns: Sequence[str]) -> None:
+    names = [x if isinstance(x, str) else None for x in rows["column_path"]]
+    state.update((names, *(rows[c].astype(_KINDS.get(c, "int64")).tolist() for c in columns[1:])))
+
+
+def _totalled(rows: pd.DataFrame, by: Sequence[str]) -> pd.DataFrame:
+    """Totals of values, or of rows that hold totals already, by groups."""
+    groups = rows.groupby(list(by), dropna=False)
+    if "value" in rows:
+        v = groups["value"]
+        return pd.DataFrame({"n": v.count(), "total": v.sum(min_count=1), "low": v.min(), "high": v.max()})
+    return pd.DataFrame({"n": groups["n"].sum(), "total": groups["total"].sum(min_count=1), "low": groups["low"].min(), "high": groups["high"].max()})
+
+
+def _in_buckets(stream: DataFrame, *columns: Column) -> DataFrame:
+    value, bucket = F.col("value").cast("double").alias("value"), F.pmod(F.xxhash64("column_path"), F.lit(BUCKETS)).alias("_bucket")
+    return stream.select(bucket, "column_path", *columns, value)
 
 
 def stream_reduce_with_empties(stream: DataFrame, period: str, zone: str = "UTC", anchor: int | None = None, fn: str = "sum") -> DataFrame:
     """Totals by period of each series, with a missing value for every empty period between the last sent and new data.
 
     The state of a series is its open period and that one's total; a period is sent with the first of the empty ones before it,
-    which Spark's ``explode`` then lists, so that a key far ahead costs the state nothing.  A series is one group of the state;
-    ``batches.reduce_with_empties`` deals large ones out.
+    which Spark's ``explode`` then lists, so that a key far ahead costs the state nothing.  A group of the state is a bucket of
+    series, worked off at once; ``batches.reduce_with_empties`` deals large series out.
     """
     p, shown = Period.parse(period), _carried(fn)
     base = F.lit(anchor).cast("long") if anchor is not None else default_anchor(p, zone)
-    rows = stream.select("column_path", bucket_index(F.col("key"), base, p, zone).alias("k"), F.col("value").cast("double").alias("value"))
+    rows = _in_buckets(stream, bucket_index(F.col("key"), base, p, zone).alias("k")).where(F.col("k").isNotNull())
+    by, columns = ["column_path", "k"], ["column_path", "k", *_TOTALS]
 
     def step(group: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, *before = state.get if state.exists else (None,)
-        totals: dict[int, tuple] = {}
-        for f in frames:
-            for k, n, t, a, b in f.groupby("k")["value"].agg(["count", "sum", "min", "max"]).itertuples():
-                if n and (last is None or k >= last):  # an earlier period is past: late data
-                    own = (int(n), float(t), float(a), float(b))
-                    totals[int(k)] = _joined(totals[int(k)], own) if int(k) in totals else own
-        if not totals:
+        held = _held(state, columns)
+        own = pd.concat([_totalled(f, by).reset_index() for f in frames])
+        own = own[own["n"] > 0]
+        if own.empty:
             return
-        if last in totals:
-            totals[last] = _joined(tuple(before), totals[last])
-        keys = sorted(totals)
-        reach = [k if last is None or last in totals else last + 1 for k in keys[:1]] + [k + 1 for k in keys[:-1]]
-        state.update((keys[-1], *totals[keys[-1]]))
-        yield pd.DataFrame({"column_path": group[0], "since": reach, "k": keys, "value": [float(shown(*totals[k])) for k in keys]})
-
-    out = rows.groupBy("column_path").applyInPandasWithState(
-        step, "column_path string, since long, k long, value double", "last long, n long, total double, low double, high double", "update", GroupStateTimeout.NoTimeout
-    )
+        none = np.iinfo(np.int64).min
+        both = pd.concat([x for x in (held.assign(new=False, open=held["k"]), own.assign(new=True, open=none)) if len(x)], ignore_index=True)
+        both["open"] = both.groupby("column_path", dropna=False)["open"].transform("max")
+        both = both[both["k"] >= both["open"]]  # an earlier period is past: late data
+        periods = _totalled(both, by).assign(new=both.groupby(by, dropna=False)["new"].max()).reset_index()
+        series, k = periods.groupby("column_path", dropna=False).ngroup().to_numpy(), periods["k"].to_numpy()
+        goes_on = series[1:] == series[:-1]
+        since = k.copy()
+        since[1:][goes_on] = k[:-1][goes_on] + 1
+        _keep(state, periods[np.append(~goes_on, True)], columns)
+        value = shown(*(periods[c] for c in _TOTALS)).astype("float64")
+        sent = pd.DataFrame({"column_path": periods["column_path"], "since": since, "k": k, "value": value})[periods["new"].to_numpy(dtype=bool)]
+        if len(sent):
+            yield sent
+
+    out = rows.groupBy("_bucket").applyInPandasWithState(step, "column_path string, since long, k long, value double", _state_schema(columns), "update", GroupStateTimeout.NoTimeout)
     every = out.select("column_path", F.explode(F.sequence("since", "k")).alias("at"), "k", "value")
     return every.select("column_path", bucket_start(F.col("at"), base, p, zone).alias("key"), F.when(F.col("at") == F.col("k"), F.col("value")).alias("value"))
 
@@ -111,28 +147,33 @@ def stream_reduce_with_empties(stream: DataFrame, period: str, zone: str = "UTC"
 def stream_count_reduce(stream: DataFrame, n: int, fn: str = "sum") -> DataFrame:
     """Totals of each ``n`` items of a series, sent when complete and keyed by their first item.
 
-    A series is one group of the state; ``batches.count_parts`` deals large ones out.
+    A group of the state is a bucket of series, worked off at once; ``batches.count_parts`` deals large series out.
     """
-    shown = _carried(fn)
+    shown, columns = _carried(fn), ["column_path", "key", "items", *_TOTALS]
 
     def step(group: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, first, *before = state.get if state.exists else (0, 0, 0.0, 0.0, 0.0)
-        rows = pd.concat(list(frames)).sort_values("key", kind="stable", ignore_index=True)
-        part = (held + np.arange(len(rows))) // n
-        own = rows.groupby(part).agg(key=("key", "first"), n=("value", "size"), total=("value", "sum"), low=("value", "min"), high=("value", "max"))
-        totals = [(int(k), (int(c), float(t), float(a), float(b))) for k, c, t, a, b in own.itertuples(index=False)]
-        if held and totals:
-            totals[0] = (first, _joined((held, *before), totals[0][1]))
-        whole = [x for x in totals if x[1][0] == n]
-        rest = totals[-1] if totals and totals[-1][1][0] < n else (0, (0, 0.0, 0.0, 0.0))
-        state.update((rest[1][0], rest[0], *rest[1][1:]))
-        if whole:
-            yield pd.DataFrame({"column_path": group[0], "key": [k for k, _ in whole], "value": [float(shown(*t)) for _, t in whole]})
-
-    rows = stream.select("column_path", "key", F.col("value").cast("double").alias("value"))
-    return rows.groupBy("column_path").applyInPandasWithState(
-        step, "column_path string, key long, value double", "n long, first long, total double, low double, high double", "append", GroupStateTimeout.NoTimeout
-    )
+        held = _held(state, columns)
+        rows = pd.concat(list(frames), ignore_index=True)
+        paths = pd.concat([held["column_path"], rows["column_path"]], ignore_index=True)
+        series, names = pd.factorize(paths, use_na_sentinel=False)
+        before = np.zeros(len(names), dtype=np.int64)
+        before[series[: len(held)]] = held["items"]
+        rows = rows.assign(series=series[len(held) :]).sort_values(["series", "key"], kind="stable", ignore_index=True)
+        rows["part"] = (before[rows["series"]] + rows.groupby("series").cumcount()) // n
+        by = ["series", "part"]
+        groups = rows.groupby(by)
+        own = _totalled(rows, by).assign(key=groups["key"].first(), items=groups.size()).reset_index()
+        begun = held.drop(columns="column_path").assign(series=series[: len(held)], part=0)
+        both = pd.concat([x for x in (begun, own) if len(x)], ignore_index=True)  # what is begun comes first and gives the key
+        groups = both.groupby(by)
+        parts = _totalled(both, by).assign(key=groups["key"].first(), items=groups["items"].sum()).reset_index()
+        parts["column_path"] = np.asarray(names, dtype=object)[parts["series"]]
+        _keep(state, parts[parts["items"] < n], columns)
+        whole = parts[parts["items"] == n]
+        if len(whole):
+            yield pd.DataFrame({"column_path": whole["column_path"], "key": whole["key"], "value": shown(*(whole[c] for c in _TOTALS)).astype("float64")})
+
+    return _in_buckets(stream, F.col("key")).groupBy("_bucket").applyInPandasWithState(step, "column_path string, key long, value double", _state_schema(columns), "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_batch_reduce(stream: DataFrame, fn: str, emit: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None):
