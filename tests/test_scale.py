@@ -146,6 +146,28 @@ def test_deep_limits(spark, monkeypatch):
     assert sorted((r.range_id, r.column_path, r.key, r.value) for r in ranges.raw(df, asked).collect()) == plain_ranges(rows, asked)
 
 
+@pytest.mark.parametrize("task_rows", [40, 3000])
+def test_rows_of_ranges_are_dealt_out(spark, monkeypatch, task_rows):
+    """No task makes many more rows than asked for, whether series stay whole or, being too large, do not; results are the same."""
+    monkeypatch.setattr(ranges, "TASK_ROWS", task_rows)
+    rows = [(f"s{i % 23}", i * 7 % 2000, float(i % 11)) for i in range(1200)] + [(None, 5, 1.0)]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    asked = [SeriesRange(i * 30, i * 30 + 900) for i in range(40)] + [SeriesRange(None, 700), SeriesRange(100, None)]
+    dealt = ranges.with_ranges(df, asked, deal=True)
+    made = dealt.groupBy(F.spark_partition_id()).count().agg(F.sum("count"), F.max("count")).first()
+    assert made[1] < 3 * task_rows + 100 and made[0] == len(plain_ranges([r for r in rows if r[0]], asked)) + 2
+    if task_rows == 3000:
+        assert dealt.withColumn("_p", F.spark_partition_id()).groupBy("column_path").agg(F.count_distinct("_p").alias("n")).agg(F.max("n")).first()[0] == 1
+    want = {}
+    for i, s, k, v in plain_ranges([r for r in rows if r[0]], asked):
+        want[s, i, k // 100 * 100] = want.get((s, i, k // 100 * 100), 0) + v
+    got = reduce(df.where("column_path IS NOT NULL"), "sum", Grouping(period="100 milliseconds"), [SeriesRange(r.start and r.start // 100 * 100, r.until) for r in asked])
+    assert got.where("range_id = 40").count() == sum(1 for x in want if x[1] == 40)
+    limited = [SeriesRange(r.start, r.until, 3 if i % 2 else None) for i, r in enumerate(asked)]
+    found = sorted((r.range_id, r.column_path, r.key) for r in ranges.raw(df.where("column_path IS NOT NULL"), limited).collect())
+    assert found == sorted(x[:3] for x in plain_ranges([r for r in rows if r[0]], limited))
+
+
 def jobs(spark, name, make):
     spark.sparkContext.setJobGroup(name, name)
     make().collect()

@@ -119,7 +119,7 @@ def interval_sum(
     own = [*by, "range_id"]
     if not ranges:
         return interval_sum(df, period, zone, by, max_parts=max_parts).withColumn("range_id", F.lit(0)).where(F.lit(False))
-    merged = merge_intervals(durations_to_intervals(with_ranges(df, ranges, by), own), own)
+    merged = merge_intervals(durations_to_intervals(with_ranges(df, ranges, by, deal=True), own), own)
     return coverage(with_range_ends(merged, ranges), period, zone, own, "range_until", max_parts)
 
 
@@ -164,7 +164,7 @@ def onoff_interval_sum(
     if not asked:
         return onoff_interval_sum(df, selection, period, zone, None, early_ms, max_parts).withColumn("range_id", F.lit(0)).where(F.lit(False))
     read = [SeriesRange(r.start, r.until) for _, r in extend_range(asked, before=early_ms)]
-    chosen = with_ranges(df, read).join(selection.select("group_id", "column_path"), "column_path")
+    chosen = with_ranges(df, read, deal=True).join(selection.select("group_id", "column_path"), "column_path")
     # Intervals are far fewer than items, merged ones fewer still: written, they are not worked out again for each use.
     own = ("group_id", "range_id")
     spans = written(onoff_to_intervals(chosen, ("group_id", "range_id", "column_path")).drop("column_path"), "intervals")

@@ -32,6 +32,8 @@ def in_range(df: DataFrame, start: int | None = None, until: int | None = None,
 
 #: Keys are found their ranges through so many bins at most, and the table of bins and ranges has so many rows at most.
 BINS, BIN_ROWS = 1024, 200_000
+#: Rows, each item once for each of its ranges, that one task should make where they are grouped or ordered afterwards; and the most tasks.
+TASK_ROWS, TASKS = 1_000_000, 20_000
 #: Limits up to this are windows, whose rows Spark cuts before it shuffles them.
 TOP = 1000
 
@@ -81,8 +83,25 @@ def _bins(ranges: Sequence[SeriesRange]) -> tuple[Column, list[tuple[int, int, i
     return F.when(F.col("key").isNull() | (F.col("key") < low), 0).when(F.col("key") >= high, last).otherwise(inner).cast("long"), held
 
 
-def with_ranges(df: DataFrame, ranges: Sequence[SeriesRange] | None, by: Sequence[str] = ("column_path",)) -> DataFrame:
-    """Each item once for each range that holds it, with range_id, range_start and range_until.
+def _dealt(binned: DataFrame, held: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Items (with their ``_bin``) dealt out so that no task makes many more than ``TASK_ROWS`` rows of them.
+
+    Series stay whole, so that what groups by them shuffles the items once and never what they become.  Where one is too large for
+    that, items are dealt out evenly.  Small inputs and streams stay as they are.
+    """
+    if binned.isStreaming:
+        return binned
+    sizes = held.groupBy("_bin").agg(F.count("*").alias("_n"))
+    made = binned.groupBy(*by, "_bin").agg(F.count("*").alias("_items")).join(F.broadcast(sizes), "_bin").groupBy(*by).agg(F.sum(F.col("_items") * F.col("_n")).alias("_rows"))
+    total, largest = made.agg(F.sum("_rows"), F.max("_rows")).first()
+    if (total or 0) <= TASK_ROWS:
+        return binned
+    tasks = min(math.ceil(total / TASK_ROWS), TASKS)
+    return binned.repartition(tasks, *by) if largest <= TASK_ROWS else binned.repartition(tasks)
+
+
+def with_ranges(df: DataFrame, ranges: Sequence[SeriesRange] | None, by: Sequence[str] = ("column_path",), deal: bool = False) -> DataFrame:
+    """Each item once for each range that holds it, with range_id, range_start and range_until; ``deal`` where they are then grouped.
 
     One range is a filter that the scan can use.  More are one plan whatever their number: the filter is what spans them all,
     and each item meets the ranges of its bin of keys in a broadcast table of at most ``BIN_ROWS`` rows (or one row for each range).
@@ -96,7 +115,10 @@ def with_ranges(df: DataFrame, ranges: Sequence[SeriesRange] | None, by: Sequenc
     span = in_range(df, None if None in starts else min(starts), None if None in untils else max(untils))
     key_bin, held = _bins(wanted)
     table = df.sparkSession.createDataFrame(held, "_bin long, range_id int, range_start long, range_until long")
-    met = span.withColumn("_bin", key_bin).join(F.broadcast(table), "_bin").drop("_bin")
+    binned = span.withColumn("_bin", key_bin)
+    if deal or any(r.limit is not None for r in wanted):
+        binned = _dealt(binned, table, by)
+    met = binned.join(F.broadcast(table), "_bin").drop("_bin")
     inside = (F.col("range_start").isNull() | (F.col("key") >= F.col("range_start"))) & (F.col("range_until").isNull() | (F.col("key") < F.col("range_until")))
     met = met.where(inside).select(*df.columns, "range_id", "range_start", "range_until")
     limits = [(i, r.limit, r.start is None and r.until is not None) for i, r in enumerate(wanted) if r.limit is not None]

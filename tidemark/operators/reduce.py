@@ -41,7 +41,7 @@ def reduce(
     ``df`` has the columns of ``by``, key (epoch ms) and ``value``.  Sums and counts widen as Spark's do.
     """
     grouping = grouping or Grouping()
-    cut = with_ranges(df.select(*by, "key", F.col(value).alias("value")), ranges, by)
+    cut = with_ranges(df.select(*by, "key", F.col(value).alias("value")), ranges, by, deal=True)
     keys = [*by, "range_id"]
     if grouping.period is not None:
         return _by_period(cut, fn, Period.parse(grouping.period), grouping, keys)
