@@ -241,3 +241,12 @@ def test_stream_of_files(spark, folder):
     put(folder, "in/a.csv", "time,v:double\n5,1.5\nx,2\n")
     out = collect(delimited.stream_delimited(spark, folder + "/in", "time,v:double", "d"), folder, "append")
     assert [r for part in out for r in part] == [("d/v", 5, "1.5", "double")]
+
+
+def test_records_are_put_together_once(spark, folder):
+    """Headers, types and the result are worked out from records that were written once, not from the text again."""
+    with open(folder + "/a.csv", "w") as f:
+        f.write('time,"a b"\n1,"x\ny"\n2,z\n')
+    found = delimited.read_delimited(spark, folder)
+    assert not any(x.endswith("/a.csv") for x in found.inputFiles())
+    assert sorted((r.column_path, r.key, r.value) for r in found.collect()) == [("a/a b", 1, "x\ny"), ("a/a b", 2, "z")]

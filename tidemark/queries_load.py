@@ -11,7 +11,7 @@ from tidemark.model import Grouping, SeriesRange
 from tidemark.operators import catalog, intervals, load, ranges, tabular
 from tidemark.operators.reduce import fold_values, reduce
 from tidemark.plans import registry
-from tidemark.queries import CUT, DURATIONS, ISLANDS, MERGE, PATHS, SIGNALS, T1, T2, T3, arriving, catalog_paths, durations, four, quarter_files, query, sent, series, table
+from tidemark.queries import CUT, DURATIONS, FILE_ROWS, ISLANDS, MERGE, PATHS, SIGNALS, T1, T2, T3, arriving, catalog_paths, durations, four, quarter_files, query, sent, series, table
 from tidemark.sources import delimited, records, sinks, store
 from tidemark.sources.folders import fresh_path
 from tidemark.streaming import streams
@@ -51,7 +51,7 @@ def delimited_quoted_records(spark, sf_dir):
     folder, e = fresh_path(spark, "csv"), series(spark, sf_dir, "event_id", "event_type")
     note = F.concat(F.lit('n "'), F.col("event_id").cast("string"), F.lit('",\n\n# '), "event_type")
     wide = e.select(F.col("key").alias("time"), F.when(F.col("event_id") % 3 > 0, note).alias('note, "text"'), "event_id")
-    wide.repartition(3).write.option("header", True).option("escape", '"').csv(folder)
+    wide.repartition(max(3, -(-wide.count() // FILE_ROWS))).write.option("header", True).option("escape", '"').csv(folder)
     return _numbers(delimited.read_delimited(spark, folder))
 
 

@@ -1,7 +1,8 @@
 """Delimited text files as series.
 
 Files are read by Spark, and their headers worked out by it, a row for each file: any number of files and headers is one plan.
-Only headers, types and counts of quotes are written to the shared folder; the text is read again for each.
+The text is read twice, for the counts of quotes and for the records; these are written to the shared folder once, as headers,
+types and the result are each worked out from them.
 
 A record may go on over lines within quotes, and large files are still read in splits.  A line with an odd number of quotes opens
 or closes a quoted cell; each split counts such lines, the counts before a split (a row for each split) say whether it begins
@@ -98,13 +99,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        files, blocks = batch.column("file").to_pylist(), batch.column("block").to_numpy()
+        files, blocks = batch.column("file"), batch.column("block").to_numpy()
+        codes = files.dictionary_encode().indices.to_numpy()
         own = batch.column("odd").to_numpy(zero_copy_only=False).astype(np.int64)
-        cuts = [0, *(i for i in range(1, len(files)) if blocks[i] != blocks[i - 1] or files[i] != files[i - 1]), len(files)]
+        cuts = [0, *(np.flatnonzero((blocks[1:] != blocks[:-1]) | (codes[1:] != codes[:-1])) + 1), len(files)]
         at, before = np.empty(len(files), dtype=np.int64), np.empty(len(files), dtype=np.int64)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if (files[a], blocks[a]) != last:
-                last, place, odd = (files[a], blocks[a]), 0, 0
+            if (files[a].as_py(), blocks[a]) != last:
+                last, place, odd = (files[a].as_py(), blocks[a]), 0, 0
             at[a:b] = place + np.arange(b - a)
             sums = np.cumsum(own[a:b])
             before[a:b] = odd + sums - own[a:b]
@@ -223,7 +225,8 @@ def _with_cells(records: DataFrame, specs: DataFrame, widest: int) -> DataFrame:
 
 
 def _keyed(spark: SparkSession, path: str, single_file: bool, files: Sequence[str] | None = None) -> DataFrame:
-    records = read_records(spark, path, files)
+    # Written: headers, types and the result each need them, and lines of records that go over lines are shuffled for them.
+    records = written(read_records(spark, path, files), "records")
     specs = written(headers(records), "headers")
     short = specs.where(F.col("has_header") & (F.size("names") < 2)).select("file", "first_line").first()
     if short:
