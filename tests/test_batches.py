@@ -1,12 +1,16 @@
 """Streams by batch operators against the same worked out in one go."""
 
+import datetime
 import os
 import random
 import time
 
+import duckdb
 import pytest
 
+from tidemark import queries_load, queries_store  # noqa: F401  add their queries
 from tidemark.operators import running
+from tidemark.queries import QUERIES, SQL
 from tidemark.sources.store import SeriesStore
 from tidemark.streaming import batches, streams
 
@@ -124,3 +128,36 @@ def test_state_by_buckets_of_series(spark, folder, monkeypatch, buckets):
             want = run(spark, own, batched)
             assert [sorted(set(a) ^ set(b), key=repr) for a, b in zip([got[n] for n in sorted(got) if n < 3], want, strict=True)] == [[]] * 3, fn
             assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) <= buckets
+
+
+@pytest.fixture(scope="module")
+def sparse(spark, tmp_path_factory):
+    """Events of four users, many empty periods apart; two in the hour over the end of the first quarter of the time."""
+    folder, start = str(tmp_path_factory.mktemp("sparse")), datetime.datetime(2024, 1, 1)
+    at = [(5000 * i, i % 4) for i in range(100)] + [(123_740, 1), (123_760, 1)]
+    rows = [(i, start + datetime.timedelta(minutes=m), user, "view", float(i % 7), "{}") for i, (m, user) in enumerate(at)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["batches_mean_with_empties", "stream_sum_with_empties", "stream_max_with_empties"])
+def test_missing_values_are_not_compared(spark, sparse, name):
+    """The result is that of the SQL, and no more rows are shuffled for it than there are items, whatever lies between them."""
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{sparse}/events.parquet/*.parquet')")
+    want = sorted(con.execute(SQL[name]).fetchall(), key=repr)
+    found = QUERIES[name](spark, sparse)
+    spark.sparkContext.setJobGroup(name, name)
+    got = sorted((tuple(r) for r in found.select("column_path", "key", "value").collect()), key=repr)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == want and len(want) > 1000
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup(name) for s in tracker.getJobInfo(j).stageIds}
+    made = [store.stageAttempt(s, 0, False, None, False, None)._1().shuffleWriteRecords() for s in stages]
+    assert 0 < sum(made) <= 102
+
+
+def test_newest_of_what_was_sent(spark):
+    sent = [("a", 0, 1.0, 0), ("a", 10, None, 0), ("a", 20, 5.0, 0), ("a", 20, 4.0, 1), ("a", 30, None, 1), ("a", 40, 2.0, 1), ("b", 20, float("nan"), 0), (None, 20, 3.0, 1)]
+    got = streams.newest_with_empties(spark.createDataFrame(sent, SCHEMA + ", ingest_seq int")).where("value IS NULL OR NOT isnan(value)")
+    assert sorted(map(tuple, got.drop("ingest_seq").collect()), key=repr) == sorted([("a", 0, 1.0), ("a", 10, None), ("a", 20, 4.0), ("a", 30, None), ("a", 40, 2.0), (None, 20, 3.0)], key=repr)

@@ -556,7 +556,7 @@ e AS (SELECT column_path, unnest(generate_series(min(d), max(d))) AS d FROM h GR
 SELECT e.column_path, e.d * 86400000 AS key, h.value FROM e LEFT JOIN h ON e.column_path = h.column_path AND e.d = h.d""")
 def stream_sum_with_empties(spark, sf_dir):
     found = sent(spark, streams.stream_reduce_with_empties(arriving(spark, sf_dir), "1 day"), "update")
-    return four(store.latest_wins(found).drop("ingest_seq"))
+    return four(streams.newest_with_empties(found).drop("ingest_seq"))
 
 
 @query("""WITH n AS (SELECT *, (row_number() OVER (PARTITION BY column_path ORDER BY key) - 1) // 10 AS p, count(*) OVER (PARTITION BY column_path) AS c FROM {S})

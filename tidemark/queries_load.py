@@ -397,7 +397,7 @@ def stream_json_blocks(spark, sf_dir):
 e AS (SELECT column_path, unnest(generate_series(min(d), max(d))) AS d FROM h GROUP BY 1)
 SELECT e.column_path, e.d * 86400000 AS key, h.value FROM e LEFT JOIN h ON e.column_path = h.column_path AND e.d = h.d""")
 def stream_max_with_empties(spark, sf_dir):
-    return store.latest_wins(sent(spark, streams.stream_reduce_with_empties(arriving(spark, sf_dir), "1 day", fn="max"), "update")).drop("ingest_seq")
+    return streams.newest_with_empties(sent(spark, streams.stream_reduce_with_empties(arriving(spark, sf_dir), "1 day", fn="max"), "update")).drop("ingest_seq")
 
 
 @query("""WITH n AS (SELECT *, (row_number() OVER (PARTITION BY column_path ORDER BY key) - 1) // 10 AS p, count(*) OVER (PARTITION BY column_path) AS c FROM {S})

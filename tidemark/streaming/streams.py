@@ -17,7 +17,7 @@ from tidemark.operators.reduce import reduce, reducer
 from tidemark.sources.commits import HadoopFiles
 from tidemark.sources.folders import drop_written, written
 from tidemark.sources.sinks import to_json_pairs
-from tidemark.sources.store import SeriesStore
+from tidemark.sources.store import SeriesStore, latest_wins
 
 #: Monday 1970-01-05, from which weeks of a stream count.
 MONDAY = 345_600_000
@@ -144,6 +144,17 @@ def stream_reduce_with_empties(stream: DataFrame, period: str, zone: str = "UTC"
     return every.select("column_path", bucket_start(F.col("at"), base, p, zone).alias("key"), F.when(F.col("at") == F.col("k"), F.col("value")).alias("value"))
 
 
+def newest_with_empties(sent: DataFrame) -> DataFrame:
+    """What a reduction with empty periods has sent (column_path, key, value, ingest_seq), here or in ``batches``: what came last of each period.
+
+    A missing value lies between two periods that have some, and what comes for it later is late: it is sent once.  So only values,
+    no more than items of the series, are compared; missing ones, however many, are neither sorted nor shuffled.  What a batch
+    has sent must be there once, as where a batch that runs again overwrites it.
+    """
+    values = latest_wins(sent.where(F.col("value").isNotNull()))
+    return values.unionByName(sent.where(F.col("value").isNull()))
+
+
 def stream_count_reduce(stream: DataFrame, n: int, fn: str = "sum") -> DataFrame:
     """Totals of each ``n`` items of a series, sent when complete and keyed by their first item.
 
